@@ -1,8 +1,9 @@
 """Language identification by compression.
 
-Each language has a zstandard raw-content dictionary made of labelled text. A text is
-compressed with every dictionary and belongs to the language that makes it smallest. Long
-texts are compressed in pieces, because a compressor learns any language from a long one.
+Each language has a zstandard raw-content dictionary made of labelled text. All texts are
+compressed as lower-case letters with single spaces for all else. A text belongs to the language whose dictionary makes it
+smallest. Long texts are compressed in pieces, because a compressor learns any language
+from a long one. Of equally small languages the one with more labelled documents wins.
 """
 
 from __future__ import annotations
@@ -15,38 +16,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-LETTER = r"\p{L}"
-PIECE = 1024
+#: What stands between letters and their marks.
+BETWEEN = r"[^\p{L}\p{M}]+"
+PIECE = 2048
 #: Bits a byte by which the second language must do worse; below that a text is rejected.
 MARGIN = 0.02
 #: Makes score from the difference in bits a byte.
 SHARPNESS = 12.0
 
 
-def dictionaries(labelled: DataFrame, excerpts: int, length: int) -> dict[str, bytes]:
-    """Per language up to `excerpts` excerpts of `length` code points of its labelled texts.
+def normalized(text: str) -> str:
+    import regex
+
+    return regex.sub(BETWEEN, " ", text.lower()).strip()
+
+
+def dictionaries(labelled: DataFrame, excerpts: int, length: int) -> dict[str, tuple[int, bytes]]:
+    """Per language the number of its labelled texts, and up to `excerpts` excerpts of `length` code points of its labelled texts.
 
     Of the documents that share a hash slot the one with the least hash is taken, so the
     sample is the same in any partitioning and no language meets in one task.
     """
     rows = labelled.select("lang", F.pmod(F.xxhash64("doc_id"), F.lit(excerpts)).alias("slot"), F.xxhash64("doc_id", F.lit("rank")).alias("rank"), F.substring("text", 1, length).alias("text")).where("text is not null and text <> ''")
-    picked = rows.groupBy("lang", "slot").agg(F.min_by("text", F.struct("rank", "text")).alias("text")).orderBy("lang", "slot").collect()
-    out: dict[str, list[bytes]] = {}
+    picked = rows.groupBy("lang", "slot").agg(F.min_by("text", F.struct("rank", "text")).alias("text"), F.count("*").alias("n")).orderBy("lang", "slot").collect()
+    out: dict[str, list[tuple[int, bytes]]] = {}
     for row in picked:
-        out.setdefault(row.lang, []).append(row.text.encode())
-    return {lang: b"\n".join(texts) for lang, texts in out.items()}
+        out.setdefault(row.lang, []).append((row.n, normalized(row.text).encode()))
+    return {lang: (sum(n for n, _ in rows), b"\n".join(t for _, t in rows)) for lang, rows in out.items()}
 
 
 class Identifier:
     """Compressors of all languages, made once per worker."""
 
-    def __init__(self, contents: dict[str, bytes], level: int = 3):
+    def __init__(self, contents: dict[str, tuple[int, bytes]], level: int = 5):
         import zstandard
 
-        self.languages = sorted(contents)
+        self.languages = sorted(contents, key=lambda lang: (-contents[lang][0], lang))
         self.compressors = []
         for lang in self.languages:
-            learned = zstandard.ZstdCompressionDict(contents[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            learned = zstandard.ZstdCompressionDict(contents[lang][1], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             learned.precompute_compress(level=level)
             self.compressors.append(zstandard.ZstdCompressor(level=level, dict_data=learned, write_checksum=False, write_content_size=False, write_dict_id=False))
 
@@ -55,10 +63,10 @@ class Identifier:
         return [sum(len(c.compress(p)) for p in pieces) for c in self.compressors]
 
     def predict(self, text: str) -> tuple[str, float, bool]:
-        """(language, score, rejected)."""
+        """(language, score, rejected) of a normalized text."""
         data = text.encode()
         sizes = self.sizes(data)
-        order = sorted(range(len(sizes)), key=lambda i: (sizes[i], self.languages[i]))
+        order = sorted(range(len(sizes)), key=sizes.__getitem__)
         best = order[0]
         worse = [8 * (s - sizes[best]) / max(1, len(data)) for s in sizes]
         score = 1 / sum(math.exp(-SHARPNESS * w) for w in worse)
@@ -72,7 +80,7 @@ def predict_languages(docs: DataFrame, training: DataFrame, excerpts: int = 128,
     lang_pred is one of its languages, or `und` where text is null or has no letter, with
     score 0. `rejected` tells that the margin over the second language is too narrow to
     trust; the best guess stays in lang_pred. Without any labelled text all rows are
-    `und`. Of equally small languages the first by code point wins. Other columns pass.
+    `und`. Other columns pass.
     """
     kept = docs.columns
     contents = dictionaries(training.where("lang is not null"), excerpts, length)
@@ -80,12 +88,10 @@ def predict_languages(docs: DataFrame, training: DataFrame, excerpts: int = 128,
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        import regex
-
-        letter, identifier = regex.compile(LETTER), Identifier(shared.value)
-        unknown = (UNKNOWN, 0.0, True)
+        identifier = Identifier(shared.value)
         for texts in batches:
-            rows = [unknown if not t or not identifier.languages or not letter.search(t) else identifier.predict(t) for t in texts]
+            plain = (normalized(t) if t else "" for t in texts)
+            rows = [identifier.predict(t) if identifier.languages and any(map(str.isalpha, t)) else (UNKNOWN, 0.0, True) for t in plain]
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "rejected"])
 
     found = docs.select(*kept, predict(F.col("text").cast("string")).alias("found__"))
