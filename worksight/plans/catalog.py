@@ -1,11 +1,663 @@
-"""All queries over a folder of tables, and their SQL."""
+"""All queries over a folder of tables. Each takes (spark, folder) and returns a DataFrame."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from worksight.functions import scalar, stats
+from worksight.operators import checks, features, fusion, models, pairs, peers, serving, signals, trends
+from worksight.plans import sql
+from worksight.sources import domain
+from worksight.sources.domain import AS_OF, EVENTS_AS_OF, table
 
-def oracle_sql():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+REGISTERED: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    REGISTERED[f.__name__] = f
+    return f
+
+
+class Tables:
+    """The domain tables of a folder and what is derived from them, each built once on demand."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self.works, self.payments = domain.works(spark, sf_dir), domain.payments(spark, sf_dir)
+        self.progress, self.assets = domain.progress(spark, sf_dir), domain.assets(spark, sf_dir)
+        self._profile = None
+
+    def raw(self, name: str) -> DataFrame:
+        return table(self.spark, self.sf_dir, name)
+
+    @property
+    def profile(self) -> DataFrame:
+        if self._profile is None:
+            self._profile = features.work_profile(self.works, self.payments, self.assets, AS_OF)
+        return self._profile
+
+
+METRICS = ["released_total", "spend_ratio", "vendor_hhi", "payment_count", "planned_days"]
+REPORT_ORDER = ["report_date", "progress_id"]
+
+
+# Validation
+
+
+@query
+def dq_primary_keys(spark: SparkSession, d: str) -> DataFrame:
+    keys = {"orders": ["o_orderkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"], "lineitem": ["l_orderkey", "l_linenumber"], "events": ["event_id"]}
+    out = None
+    for name, key in keys.items():
+        part = checks.key_faults(table(spark, d, name), key).select(F.lit(name).alias("table_name"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def dq_foreign_keys(spark: SparkSession, d: str) -> DataFrame:
+    t = lambda n: table(spark, d, n)
+    links = [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("labels", "doc_id", "documents", "doc_id"), ("events", "user_id", "customer", "c_custkey")]
+    out = None
+    for child, key, parent, parent_key in links:
+        part = checks.relationship(t(child), key, t(parent), parent_key, f"{child}.{key}")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def dq_orphans(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").where("doc_id % 3 <> 0")
+    return checks.orphans(table(spark, d, "labels").withColumn("work_id", F.col("doc_id")), "doc_id", docs, "doc_id", "ORPHAN_FOREIGN_KEY", "labels", "doc_id")
+
+
+@query
+def dq_fk_type(spark: SparkSession, d: str) -> DataFrame:
+    t = Tables(spark, d)
+    return checks.wrong_type(t.payments, "vendor_id", t.raw("supplier"), "s_suppkey", F.col("s_nationkey") < 20, "FOREIGN_KEY_UNEXPECTED_ENTITY_TYPE", "payments", "payment_id").groupBy("issue_code", "observed").agg(F.count("*").alias("issues"))
+
+
+@query
+def dq_ranges(spark: SparkSession, d: str) -> DataFrame:
+    rows = domain.progress(spark, d)
+    return checks.out_of_range(rows, {"physical": (0, 90), "financial": (1, 98)}, "progress", "progress_id").select("issue_code", "record_id", "work_id", "observed")
+
+
+@query
+def dq_chronology(spark: SparkSession, d: str) -> DataFrame:
+    t = Tables(spark, d)
+    pairs_ = {"PAYMENT_AUTH_BEFORE_REQUEST": ("requested_on", "authorized_on"), "PAYMENT_RELEASE_BEFORE_AUTH": ("authorized_on", "released_on")}
+    own = checks.chronology(t.payments, pairs_, "payments", "payment_id")
+    joined = t.payments.join(t.works.select("work_id", "recommended_on", "sanctioned_on"), "work_id")
+    cross = checks.chronology(joined, {"PAYMENT_BEFORE_RECOMMENDATION": ("recommended_on", "released_on"), "PAYMENT_BEFORE_SANCTION": ("sanctioned_on", "released_on")}, "payments", "payment_id")
+    return own.unionByName(cross).groupBy("issue_code", "severity").agg(F.count("*").alias("issues"), F.countDistinct("work_id").alias("works"))
+
+
+@query
+def dq_future_events(spark: SparkSession, d: str) -> DataFrame:
+    return checks.future_events(domain.assets(spark, d), ["completed_on", "public_use_on", "handover_on", "certificate_on"], AS_OF, "assets", "asset_id").select("issue_code", "record_id", "observed")
+
+
+@query
+def dq_sequence_decrease(spark: SparkSession, d: str) -> DataFrame:
+    return checks.sequence_decrease(domain.progress(spark, d), "physical", REPORT_ORDER, "progress", "progress_id").select("issue_code", "severity", "record_id", "work_id")
+
+
+@query
+def dq_duplicate_report_date(spark: SparkSession, d: str) -> DataFrame:
+    return checks.repeated(domain.progress(spark, d), ["work_id", "report_date"], [F.col("progress_id")], "DUPLICATE_WORK_REPORT_DATE", "progress", "progress_id").select("issue_code", "record_id", "work_id")
+
+
+@query
+def dq_duplicate_reference(spark: SparkSession, d: str) -> DataFrame:
+    found = checks.repeated(domain.payments(spark, d), ["reference"], features.payment_order(), "DUPLICATE_PFMS_REFERENCE", "payments", "payment_id")
+    return found.groupBy("work_id").agg(F.count("*").alias("issues"))
+
+
+@query
+def dq_total_mismatch(spark: SparkSession, d: str) -> DataFrame:
+    t = Tables(spark, d)
+    return checks.total_mismatch(t.works, "sanctioned", t.payments)
+
+
+@query
+def dq_running_total(spark: SparkSession, d: str) -> DataFrame:
+    rows = checks.running_totals(domain.payments(spark, d), features.payment_order())
+    return rows.groupBy("work_id").agg(F.max("cumulative").alias("final_total"), F.sum("cumulative").alias("sum_of_totals"), F.count("*").alias("payments"))
+
+
+@query
+def dq_cardinality_profile(spark: SparkSession, d: str) -> DataFrame:
+    t = Tables(spark, d)
+    return checks.cardinality(t.works, t.payments)
+
+
+@query
+def dq_status_inconsistency(spark: SparkSession, d: str) -> DataFrame:
+    t = Tables(spark, d)
+    paid = t.payments.where("is_released").groupBy("work_id").agg(F.count("*").alias("payments"))
+    return t.works.where("status = 'P'").join(paid, "work_id").select("work_id", "status", "payments")
+
+
+@query
+def dq_issue_summary(spark: SparkSession, d: str) -> DataFrame:
+    t = Tables(spark, d)
+    found = checks.chronology(t.payments, {"PAYMENT_AUTH_BEFORE_REQUEST": ("requested_on", "authorized_on"), "PAYMENT_RELEASE_BEFORE_AUTH": ("authorized_on", "released_on")}, "payments", "payment_id")
+    found = found.unionByName(checks.sequence_decrease(t.progress, "physical", REPORT_ORDER, "progress", "progress_id"))
+    found = found.unionByName(checks.out_of_range(t.progress, {"physical": (0, 90)}, "progress", "progress_id"))
+    return checks.summary(found)
+
+
+# Features
+
+
+@query
+def payments_as_of(spark: SparkSession, d: str) -> DataFrame:
+    return features.payments_as_of(domain.payments(spark, d), AS_OF).select("work_id", "payment_count", "released_total", "vendor_count", "largest_payment", "first_payment_on", "last_payment_on", "final_payment_count", "zero_payment_count", F.round("largest_share", 6).alias("largest_share"), F.round("vendor_hhi", 6).alias("vendor_hhi"), "days_since_payment")
+
+
+@query
+def progress_as_of(spark: SparkSession, d: str) -> DataFrame:
+    out = features.progress_as_of(domain.progress(spark, d), EVENTS_AS_OF)
+    return out.select("work_id", "report_count", "first_report_on", "last_report_on", "first_physical", "last_physical", "last_financial", "decrease_count", F.round("largest_decrease", 4).alias("largest_decrease"), "same_day_extras", F.round("financial_gap", 4).alias("financial_gap"), "days_since_report", F.round("velocity", 4).alias("velocity"))
+
+
+@query
+def asset_mask_as_of(spark: SparkSession, d: str) -> DataFrame:
+    return features.asset_summary(domain.assets(spark, d), AS_OF)
+
+
+@query
+def work_profile(spark: SparkSession, d: str) -> DataFrame:
+    p = Tables(spark, d).profile
+    rounded = {c: F.round(c, 6) for c in ("largest_share", "vendor_hhi", "spend_ratio", "overrun_pct", "schedule_ratio")}
+    return p.withColumns(rounded)
+
+
+@query
+def feature_quality(spark: SparkSession, d: str) -> DataFrame:
+    got = features.column_profile(Tables(spark, d).profile, METRICS)
+    return got.select("feature", "rows", "non_null", "distinct_values", F.round("minimum", 4).alias("minimum"), F.round("maximum", 4).alias("maximum"), F.round("dominant_share", 6).alias("dominant_share"), F.round("null_share", 6).alias("null_share"))
+
+
+@query
+def feature_selection(spark: SparkSession, d: str) -> DataFrame:
+    got = features.feature_selection(features.column_profile(Tables(spark, d).profile, [*METRICS, "overdue_days", "asset_count"], ["lifecycle"]))
+    return got.select("lifecycle", "feature", "non_null", "reason")
+
+
+# Peers and anomalies
+
+
+@query
+def peer_stats(spark: SparkSession, d: str) -> DataFrame:
+    long = peers.long_metrics(Tables(spark, d).profile, ["released_total", "planned_days"], ["lifecycle", "sector"])
+    got = peers.peer_stats(long, ["lifecycle", "sector"])
+    return got.select("lifecycle", "sector", "metric", "n", *[F.round(c, 3).alias(c) for c in ("p10", "q25", "median", "q75", "p90", "mad", "iqr")])
+
+
+@query
+def peer_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    got = peers.peer_evidence(Tables(spark, d).profile, ["released_total", "planned_days"])
+    return got.select("work_id", "metric", "level", "peers", F.round("median", 2).alias("median"), F.round("deviation", 4).alias("deviation"), "method")
+
+
+@query
+def peer_summary(spark: SparkSession, d: str) -> DataFrame:
+    got = peers.peer_summary(peers.peer_evidence(Tables(spark, d).profile, ["released_total", "planned_days"]))
+    return got.select("work_id", "lifecycle", "usable_metrics", "outlier_count", F.round("max_deviation", 4).alias("max_deviation"))
+
+
+@query
+def sector_deviation(spark: SparkSession, d: str) -> DataFrame:
+    got = peers.sector_deviation(Tables(spark, d).profile.select("work_id", "sector", "released_total"), "released_total")
+    return got.select("work_id", "sector", F.round("deviation", 4).alias("deviation"))
+
+
+@query
+def stage_percentile(spark: SparkSession, d: str) -> DataFrame:
+    got = stats.percentile_exclusive(Tables(spark, d).profile.select("work_id", "lifecycle", "payment_count"), ["lifecycle"], "payment_count", "pct")
+    return got.select("work_id", "lifecycle", F.round("pct", 6).alias("pct"))
+
+
+@query
+def inclusive_percentile(spark: SparkSession, d: str) -> DataFrame:
+    got = stats.percentile_inclusive(Tables(spark, d).profile.select("work_id", "lifecycle", "payment_count"), ["lifecycle"], "payment_count", "pct")
+    return got.select("work_id", "lifecycle", F.round("pct", 6).alias("pct"))
+
+
+@query
+def isolation_forest(spark: SparkSession, d: str) -> DataFrame:
+    got = models.isolation_forest(Tables(spark, d).profile, METRICS)
+    return stats.percentile_exclusive(got, ["lifecycle"], "anomaly_score", "anomaly_percentile")
+
+
+# Pairs
+
+
+@query
+def vector_topk_pairs(spark: SparkSession, d: str) -> DataFrame:
+    got = pairs.canonical_pairs(pairs.topk_neighbours(table(spark, d, "embeddings"), 10))
+    return got.select("a", "b", F.round("cosine", 4).alias("cosine"))
+
+
+def scored_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbour vectors as candidate records: amounts, places and dates of the work with the vector's id."""
+    near = pairs.canonical_pairs(pairs.topk_neighbours(table(spark, d, "embeddings"), 5))
+    w = domain.works(spark, d).select("work_id", "state", "district", "sector", "sub_sector", "sanctioned", "recommended_on", "mp_id")
+    side = lambda s: w.select(*[F.col(c).alias(f"{c}_{s}") for c in w.columns])
+    both = near.join(side("a"), F.col("a") == F.col("work_id_a")).join(side("b"), F.col("b") == F.col("work_id_b"))
+    same = lambda c: scalar.same_text(f"{c}_a", f"{c}_b")
+    place = pairs.location_similarity(same("state"), same("district"), F.lit(None), F.lit(None), F.lit(None).cast("double"))
+    parts = {"text": F.col("cosine"), "location": place, "amount": scalar.amount_similarity("sanctioned_a", "sanctioned_b"), "date": scalar.date_proximity("recommended_on_a", "recommended_on_b"), "sector": same("sector").cast("double"), "sub_sector": same("sub_sector").cast("double"), "agency": (F.col("mp_id_a") == F.col("mp_id_b")).cast("double")}
+    out = both.withColumn("score", pairs.pair_score(parts))
+    return out.withColumns({"amount": parts["amount"], "same_district": same("district"), "same_sector": same("sector"), "same_sub_sector": same("sub_sector"), "days": F.abs(F.datediff("recommended_on_a", "recommended_on_b"))})
+
+
+@query
+def pair_score(spark: SparkSession, d: str) -> DataFrame:
+    return scored_pairs(spark, d).select("a", "b", F.round("score", 3).alias("score"))
+
+
+@query
+def pair_review_policy(spark: SparkSession, d: str) -> DataFrame:
+    rows = scored_pairs(spark, d).withColumns({"text": F.col("cosine"), "same_block": F.lit(True), "same_village": F.lit(True), "km": F.lit(0.5)})
+    return rows.select("a", "b", F.array_join(pairs.review_reasons(), ",").alias("reasons"))
+
+
+@query
+def pair_symmetric_summary(spark: SparkSession, d: str) -> DataFrame:
+    rows = scored_pairs(spark, d).select("a", "b", F.round("score", 3).alias("score"), F.col("same_sector").alias("review"))
+    return pairs.pair_summary(table(spark, d, "embeddings").select(F.col("vec_id").alias("id")), rows, "score", "review")
+
+
+@query
+def text_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.normalize_texts(table(spark, d, "documents").select("doc_id", "text"), "text", "normalized").select("doc_id", F.sha2("normalized", 256).alias("normalized_sha256"), F.length("normalized").alias("normalized_chars"))
+
+
+# Payments, gaps, rules
+
+
+@query
+def payment_signals(spark: SparkSession, d: str) -> DataFrame:
+    t = Tables(spark, d)
+    return signals.payment_signals(t.profile, t.payments, AS_OF).groupBy("work_id", "signal_code", "severity").agg(F.count("*").alias("signals"))
+
+
+@query
+def payment_signal_summary(spark: SparkSession, d: str) -> DataFrame:
+    t = Tables(spark, d)
+    return signals.signal_summary(t.profile, signals.payment_signals(t.profile, t.payments, AS_OF))
+
+
+@query
+def gap_runs(spark: SparkSession, d: str) -> DataFrame:
+    got = signals.gap_runs(domain.progress(spark, d))
+    return got.select("work_id", "reports", F.round("latest_gap", 4).alias("latest_gap"), F.round("largest_gap", 4).alias("largest_gap"), "positive_gaps", "flagged", "longest_run", "latest_run")
+
+
+def funds(t: Tables) -> DataFrame:
+    return signals.fund_progress(t.profile, signals.gap_runs(t.progress), features.progress_as_of(t.progress, EVENTS_AS_OF))
+
+
+@query
+def fund_progress(spark: SparkSession, d: str) -> DataFrame:
+    return funds(Tables(spark, d)).withColumns({c: F.round(c, 4) for c in ("paid_pct", "fund_gap", "reported_gap", "reconciliation")})
+
+
+@query
+def rule_evidence(spark: SparkSession, d: str) -> DataFrame:
+    t = Tables(spark, d)
+    return signals.rule_evidence(t.profile, t.assets, AS_OF)
+
+
+@query
+def rule_summary(spark: SparkSession, d: str) -> DataFrame:
+    t = Tables(spark, d)
+    return signals.rule_summary(signals.rule_evidence(t.profile, t.assets, AS_OF))
+
+
+@query
+def record_status(spark: SparkSession, d: str) -> DataFrame:
+    t = Tables(spark, d)
+    return signals.record_status(t.assets, t.profile, AS_OF)
+
+
+# Prediction
+
+
+@query
+def landmark_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    t = Tables(spark, d)
+    got = models.landmark_rows(t.works, t.payments)
+    return got.select("work_id", "fraction", F.unix_seconds("landmark").alias("landmark_s"), "payment_count", "released_total", F.round("spend_ratio", 6).alias("spend_ratio"))
+
+
+@query
+def work_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    t = Tables(spark, d)
+    return signals.outcomes_of_completed(t.profile, t.assets, AS_OF)
+
+
+@query
+def feasibility(spark: SparkSession, d: str) -> DataFrame:
+    t = Tables(spark, d)
+    return models.feasibility(signals.outcomes_of_completed(t.profile, t.assets, AS_OF), "overran")
+
+
+def labelled(spark: SparkSession, d: str) -> DataFrame:
+    """Documents' labels with a score to rank: a share from a fixed hash, by source of the label."""
+    return table(spark, d, "labels").select(F.col("doc_id").alias("work_id"), F.col("quality").alias("label"), (F.col("doc_id") * 7919 % 1000 / 1000.0).alias("score"), F.when(F.col("toxic") == 1, "A").otherwise("B").alias("model"))
+
+
+@query
+def ranking_metrics(spark: SparkSession, d: str) -> DataFrame:
+    got = models.ranking_metrics(labelled(spark, d), "score", "label", ["model"])
+    return got.select("model", "rows", *[F.round(c, 6).alias(c) for c in ("brier", "prevalence", "roc_auc", "average_precision")])
+
+
+@query
+def calibration_error(spark: SparkSession, d: str) -> DataFrame:
+    return models.calibration_error(labelled(spark, d), "score", "label").select(F.round("calibration_error", 6).alias("calibration_error"), "rows")
+
+
+@query
+def top_fraction(spark: SparkSession, d: str) -> DataFrame:
+    return models.top_fraction(labelled(spark, d), "score", "label").select("fraction", "selected", "hits", "positives", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query
+def threshold_search(spark: SparkSession, d: str) -> DataFrame:
+    return models.threshold_search(labelled(spark, d), "score", "label").select(F.round("threshold", 4).alias("threshold"), F.round("f1", 6).alias("f1"))
+
+
+@query
+def serving_rank(spark: SparkSession, d: str) -> DataFrame:
+    got = models.serving_rank(Tables(spark, d).profile.select("work_id", "lifecycle", "spend_ratio"), "spend_ratio")
+    return got.select("work_id", "lifecycle", F.round("serving_percentile", 6).alias("serving_percentile"), "serving_rank")
+
+
+@query
+def work_split(spark: SparkSession, d: str) -> DataFrame:
+    return models.split(Tables(spark, d).works.withColumn("label", F.col("status")), "label").select("work_id", "part")
+
+
+@query
+def train_models(spark: SparkSession, d: str) -> DataFrame:
+    t = Tables(spark, d)
+    labels = t.works.withColumn("label", (F.col("sanctioned") < 25_000_000).cast("int")).select("work_id", "label")
+    rows = models.landmark_rows(t.works, t.payments, (0.5,)).join(labels, "work_id")
+    return models.train_models(models.split(rows, "label"), ["payment_count", "released_total", "spend_ratio"], "label")
+
+
+# Trends
+
+
+def trend_events(t: Tables) -> DataFrame:
+    w = t.works.select("work_id", "state", "district", "sector")
+    paid = t.payments.where("is_released").join(w, "work_id").select(F.lit("RELEASED_AMOUNT").alias("metric"), F.col("released_on").alias("event_on"), F.col("amount").alias("value"), "state", "district", "sector")
+    asked = t.works.select(F.lit("RECOMMENDATIONS").alias("metric"), F.col("recommended_on").alias("event_on"), F.lit(1).cast("bigint").alias("value"), "state", "district", "sector")
+    return paid.unionByName(asked)
+
+
+def baseline(t: Tables) -> DataFrame:
+    return trends.causal_baseline(trends.dense_months(trend_events(t), AS_OF))
+
+
+@query
+def monthly_dense(spark: SparkSession, d: str) -> DataFrame:
+    return trends.dense_months(trend_events(Tables(spark, d)), AS_OF).withColumn("value", F.col("value").cast("bigint"))
+
+
+@query
+def monthly_causal_z(spark: SparkSession, d: str) -> DataFrame:
+    got = baseline(Tables(spark, d))
+    return got.select("group_type", "group_value", "metric", "month", "baseline_months", "support", F.round("median", 2).alias("median"), F.round("mad", 2).alias("mad"), F.round("robust_z", 4).alias("robust_z"), "method", "status", "flagged")
+
+
+@query
+def monthly_ewma(spark: SparkSession, d: str) -> DataFrame:
+    got = trends.monthly_ewma(trends.dense_months(trend_events(Tables(spark, d)), AS_OF).where("group_type = 'STATE'"))
+    return got.select("group_value", "metric", "month", F.round("ewma", 2).alias("ewma"))
+
+
+@query
+def trend_alerts(spark: SparkSession, d: str) -> DataFrame:
+    return trends.trend_alerts(baseline(Tables(spark, d))).select("group_type", "group_value", "metric", "month", "message")
+
+
+@query
+def hotspots(spark: SparkSession, d: str) -> DataFrame:
+    groups = {g: c for g, c in trends.GROUPS.items() if g != "STATE_SECTOR"}
+    flags = {"overspent": F.col("overrun") > 0, "overdue": F.col("overdue_days") > 0, "concentrated": F.col("vendor_hhi") > 0.5}
+    got = trends.hotspots(Tables(spark, d).profile, flags, 20, groups)
+    return got.withColumns({f"{n}_share": F.round(f"{n}_share", 6) for n in flags})
+
+
+@query
+def trend_context(spark: SparkSession, d: str) -> DataFrame:
+    t = Tables(spark, d)
+    got = trends.trend_context(t.works, baseline(t), AS_OF)
+    return got.select("work_id", "trend_group", "trend_metric", F.round("trend_z", 4).alias("trend_z"), "trend_flagged", F.round("trend_strength", 4).alias("trend_strength"))
+
+
+# Fusion
+
+
+def wide_signals(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(wide families, funds, payment signals, rule evidence) of all works."""
+    p = t.profile
+    found, rules, fund = signals.payment_signals(p, t.payments, AS_OF), signals.rule_evidence(p, t.assets, AS_OF), funds(t)
+    evidence = peers.peer_evidence(p, ["released_total", "planned_days"])
+    odd = stats.percentile_exclusive(p.select("work_id", "lifecycle", "planned_days"), ["lifecycle"], "planned_days", "odd").select("work_id", "odd")
+    wide = p.select("work_id", "lifecycle", "overdue_days", "spend_ratio")
+    for part in (odd, fusion.peer_family(peers.peer_summary(evidence)), fusion.payment_family(p, found, fund), fusion.observed_family(p), fusion.compliance_family(rules), trends.trend_context(t.works, baseline(t), AS_OF)):
+        wide = wide.join(part, "work_id", "left")
+    serving_ = models.serving_rank(p.select("work_id", "lifecycle", "spend_ratio"), "spend_ratio").select("work_id", "serving_percentile")
+    wide = wide.join(serving_, "work_id", "left")
+    execution = F.col("lifecycle") == "EXECUTION"
+    named = {
+        "ANOMALY": (F.col("odd"), F.lit("LIFECYCLE_ANOMALY_PERCENTILE"), F.col("odd").isNotNull()),
+        "PEER_DEVIATION": (F.col("peer_score"), F.col("peer_code"), F.col("peer_score").isNotNull()),
+        "DUPLICATE_REVIEW": (F.lit(0.0), F.lit("NO_DUPLICATE_REVIEW_CANDIDATE"), F.lit(True)),
+        "PAYMENT_EXECUTION": (F.col("payment_score"), F.col("payment_code"), F.col("payment_available")),
+        "OBSERVED_CONDITIONS": (F.col("observed_score"), F.col("observed_code"), execution),
+        "COMPLIANCE": (F.col("compliance_score"), F.col("compliance_code"), F.col("compliance_score").isNotNull()),
+        "COST_OVERRUN_PREDICTION": (F.coalesce("serving_percentile", F.lit(0.0)), F.when(execution, "SECONDARY_EARLY_WARNING").otherwise("NOT_APPLICABLE_STAGE"), execution & F.col("serving_percentile").isNotNull()),
+        "OPERATIONAL_TREND_CONTEXT": (F.col("trend_strength"), F.when(F.col("trend_flagged"), "OPERATIONAL_TREND_DEVIATION").otherwise("NO_OPERATIONAL_TREND_DEVIATION"), F.col("trend_z").isNotNull()),
+    }
+    columns = [F.col(c) for c in ("work_id", "lifecycle")]
+    for name, (score, code, there) in named.items():
+        columns += [F.round(score, 6).alias(f"{name}_score"), code.alias(f"{name}_code"), there.alias(f"{name}_available")]
+    return wide.select(*columns), fund, found, rules
+
+
+@query
+def family_signals(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.family_evidence(wide_signals(Tables(spark, d))[0]).select("work_id", "family", F.round("score", 4).alias("score"), "code", "available")
+
+
+@query
+def contributions(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.family_evidence(wide_signals(Tables(spark, d))[0]).select("work_id", "lifecycle", "family", "weight", F.round("points", 3).alias("points"))
+
+
+def scores(t: Tables) -> DataFrame:
+    return fusion.priority_scores(fusion.family_evidence(wide_signals(t)[0]))
+
+
+@query
+def priority_scores(spark: SparkSession, d: str) -> DataFrame:
+    got = fusion.ranked(scores(Tables(spark, d)))
+    return got.select("work_id", "lifecycle", F.round("score", 3).alias("score"), "coverage", "band", "top_family_1")
+
+
+@query
+def priority_queue(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.priority_queue(fusion.ranked(scores(Tables(spark, d)))).select("work_id", "lifecycle", F.round("score", 3).alias("score"), "band")
+
+
+@query
+def review_alerts(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.review_alerts(*wide_signals(Tables(spark, d))).select("work_id", "alert_type", "evidence_code", F.round("strength", 3).alias("strength"))
+
+
+@query
+def alert_summary(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.alert_summary(fusion.review_alerts(*wide_signals(Tables(spark, d))))
+
+
+@query
+def authority_summary(spark: SparkSession, d: str) -> DataFrame:
+    t = Tables(spark, d)
+    return fusion.authority_summary(scores(t), t.profile).withColumn("mean_score", F.round("mean_score", 2))
+
+
+# Geography and calendar
+
+
+@query
+def working_days(spark: SparkSession, d: str) -> DataFrame:
+    w = domain.works(spark, d)
+    return w.select("work_id", F.element_at(scalar.first_working_days("recommended_on", 3), 3).alias("third_working_day"), scalar.add_working_days("recommended_on", 5).alias("fifth_after"))
+
+
+@query
+def evidence_status(spark: SparkSession, d: str) -> DataFrame:
+    rows = domain.progress(spark, d).where("stage = 'view'").groupBy("work_id").agg(F.min("report_date").alias("captured_on"), F.max("report_date").alias("latest_on"))
+    late = F.when(F.dayofmonth("captured_on") % 2 == 0, F.col("captured_on"))
+    today = F.lit("2024-01-04").cast("date")
+    return rows.select("work_id", scalar.monthly_evidence(late, F.lit("2024-01-01").cast("date"), today).alias("monthly"), scalar.completion_evidence("captured_on", "latest_on", today).alias("completion"), (F.col("captured_on") > F.lit("2024-01-03").cast("date")).alias("late"))
+
+
+@query
+def haversine_pairs(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") * 37 % 160 - 80).cast("double").alias("lat"), (F.col("s_suppkey") * 91 % 340 - 170).cast("double").alias("lon"))
+    other = s.select((F.col("s_suppkey") - 1).alias("s_suppkey"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    metres = scalar.haversine("lat", "lon", "lat2", "lon2")
+    return s.join(other, "s_suppkey").select("s_suppkey", F.round(metres / 1000, 3).alias("km"), scalar.location_status(metres).alias("status"))
+
+
+# Serving
+
+
+def served(t: Tables) -> DataFrame:
+    """Scores by a cheap deterministic proxy joined with the profile, for the serving queries."""
+    pct = F.least(F.lit(100.0), F.coalesce(F.col("spend_ratio"), F.lit(0.0)) * 20)
+    return t.profile.withColumn("score", F.round(pct, 4)).withColumn("band", scalar.band("score"))
+
+
+@query
+def scoped_queue(spark: SparkSession, d: str) -> DataFrame:
+    rows = served(Tables(spark, d))
+    got = serving.queue(rows, serving.scope("STATE", state="ASIA"), {"lifecycle": "EXECUTION"}, "nation", ("district", "sector"), "score")
+    return serving.page(got, 1, 25).select("work_id", "district", "sector", "score", "band")
+
+
+@query
+def overview(spark: SparkSession, d: str) -> DataFrame:
+    return serving.overview(served(Tables(spark, d)))
+
+
+@query
+def comparison(spark: SparkSession, d: str) -> DataFrame:
+    return serving.comparison(served(Tables(spark, d)), "state")
+
+
+@query
+def fund_flow(spark: SparkSession, d: str) -> DataFrame:
+    t = Tables(spark, d)
+    return serving.fund_flow(t.works, t.payments.where("is_released"))
+
+
+@query
+def precheck_costs(spark: SparkSession, d: str) -> DataFrame:
+    return serving.precheck_costs(domain.works(spark, d)).withColumns({"peer_median": F.round("peer_median", 2), "peer_q75": F.round("peer_q75", 2)})
+
+
+@query
+def work_dossier(spark: SparkSession, d: str) -> DataFrame:
+    t = Tables(spark, d)
+    alerts = signals.payment_signals(t.profile, t.payments, AS_OF).select("work_id", F.col("signal_code").alias("alert_type"), F.col("severity").alias("evidence_code"), F.lit(1.0).alias("strength")).distinct()
+    return serving.dossier(t.profile, features.released(t.payments, AS_OF), alerts)
+
+
+@query
+def latest_status(spark: SparkSession, d: str) -> DataFrame:
+    return serving.latest_status(table(spark, d, "events"), "user_id", "event_type", ["ts", "event_id"])
+
+
+STEPS = {"view": "submit", "click": "review", "signup": "accept", "purchase": "sanction", "error": "clarify"}
+
+
+@query
+def workflow_fold(spark: SparkSession, d: str) -> DataFrame:
+    names = F.create_map(*[F.lit(x) for pair in STEPS.items() for x in pair])
+    log = table(spark, d, "events").where("event_id % 7 < 3").select("user_id", "ts", "event_id", F.element_at(names, F.col("event_type")).alias("event"))
+    return serving.workflow_fold(log, "user_id", "event", ["ts", "event_id"])
+
+
+# Retrieval
+
+
+@query
+def retrieve_topk(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    got = serving.cosine_topk(e.where("id < 20"), e, 5)
+    return got.select("query_id", "chunk_id", F.round("score", 4).alias("score"))
+
+
+@query
+def evidence_select(spark: SparkSession, d: str) -> DataFrame:
+    t = Tables(spark, d)
+    rules = signals.rule_evidence(t.profile, t.assets, AS_OF).where("result <> 'NOT_APPLICABLE'").select("work_id", (F.col("result") == "NON_COMPLIANT").alias("mandatory"), F.when(F.col("result") == "REVIEW", 2.0).otherwise(1.0).alias("points"), F.col("rule_id").alias("family_order"))
+    return serving.evidence_selection(rules, 4).select("work_id", F.col("family_order").alias("rule_id"), "place")
+
+
+@query
+def budget_trim(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "source", F.length("text").alias("chars"))
+    got = serving.within_budget(docs, 20_000, "source", [F.col("chars"), F.col("doc_id")], F.col("chars"))
+    return got.select("doc_id", "source", "used")
+
+
+@query
+def grounding_check(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    answers = docs.select(F.col("doc_id").alias("id"), F.array(F.concat(F.lit("C"), F.col("doc_id") % 5), F.col("lang")).alias("codes"), F.when(F.col("doc_id") % 10 == 0, "a fraud").otherwise("a note").alias("text"))
+    known = docs.where("doc_id % 4 <> 0").select(F.col("doc_id").alias("id"), F.array(F.lit("C1"), F.lit("C2"), F.lit("en")).alias("codes"))
+    return serving.grounding_faults(answers, known)
+
+
+@query
+def clause_extract(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages")
+    return pages.select("page_id", F.regexp_extract("html", r"<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit(r"<li>"), F.lit(0))).alias("items"))
+
+
+@query
+def chapter_carry_forward(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), "text")
+    return serving.carried_chapters(chunks, r"^(Th[a-z]+)").select("doc", "page", "chapter")
+
+
+@query
+def explanations(spark: SparkSession, d: str) -> DataFrame:
+    return serving.explanation(scores(Tables(spark, d)))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.priority_queue(fusion.ranked(scores(Tables(spark, sf_dir))))
+
+
+def queries() -> dict[str, Query]:
+    return dict(REGISTERED)
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: text for name, text in sql.all_sql().items() if name in REGISTERED}
