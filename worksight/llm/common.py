@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import functools
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 SPACE = frozenset(b" \t\n\r\x0b\x0c")
@@ -95,6 +96,35 @@ class Words:
         self.first = np.searchsorted(self.starts, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]))
 
 
+def slot_counts(texts: DataFrame, hashes: Callable[[list[bytes]], np.ndarray], slots: int) -> np.ndarray:
+    """How many of the hashes of all texts (one string column) fall into each slot.
+
+    A task gives one array of fixed size; these are added up in a few tasks before the
+    driver gets them, so it sees MERGES arrays however large the input is.
+    """
+    schema = pa.schema([("counts", pa.binary())])
+    row = lambda total: pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], schema=schema)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(slots, np.int64)
+        for batch in batches:
+            rows = encoded(batch.column(0))
+            for a, b in blocks(rows):
+                total += np.bincount((hashes(rows[a:b]) % np.uint64(slots)).astype(np.int64), minlength=slots)
+        yield row(np.minimum(total, 2**31 - 1).astype(np.int32))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(slots, np.int64)
+        for batch in batches:
+            for counts in batch.column(0):
+                total += np.frombuffer(counts.as_py(), np.int32)
+        yield row(np.minimum(total, 2**31 - 1).astype(np.int32))
+
+    found = texts.mapInArrow(count, "counts binary").repartition(MERGES).mapInArrow(add, "counts binary").toArrow()
+    return sum((np.frombuffer(c.as_py(), np.int32).astype(np.int64) for c in found.column(0)), np.zeros(slots, np.int64))
+
+
+MERGES = 4
 STEPS = mix(np.arange(1001, 1065, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -125,6 +155,4 @@ def shingle_hashes(texts: list[bytes], k: int) -> list[np.ndarray]:
 
 def encoded(column) -> list[bytes]:
     """UTF-8 of an Arrow string column, null as empty."""
-    import pyarrow as pa
-
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

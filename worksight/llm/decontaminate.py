@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worksight.llm.common import ALNUM, STEPS, Words, blocks, durable, encoded, mix
+from worksight.llm.common import ALNUM, STEPS, Words, blocks, durable, encoded, mix, slot_counts
 
 #: Slots of the table of word counts.
 SLOTS = 1 << 18
@@ -32,20 +32,7 @@ BITS = 1 << 22
 
 def rarity(docs: DataFrame) -> np.ndarray:
     """Counts of all documents' words by hash slot."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            texts = encoded(batch.column(0))
-            for a, b in blocks(texts):
-                total += np.bincount((Words(texts[a:b], ALNUM).hashes % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["slot", "n"])
-
-    counts = np.zeros(SLOTS, np.int64)
-    found = docs.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts[found.column(0).to_numpy()] = found.column(1).to_numpy()
-    return counts
+    return slot_counts(docs.select("text"), lambda texts: Words(texts, ALNUM).hashes, SLOTS)
 
 
 class Windows:

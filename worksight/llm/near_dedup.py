@@ -5,11 +5,14 @@ permutations both the smallest and the largest value are kept, so half as many h
 evaluations give a signature of two values each. Bands of `rows` values are bucket keys.
 
 Scale: documents with equal sets become one class first. A bucket is never expanded into
-its pairs: each class is compared with the bucket's smallest one, the confirmed links are
-joined into components, and only classes that share a bucket and still lie in different
-components are compared directly. So a group of copies costs as many comparisons as it
-has members, and no link between different texts is lost. Comparisons stream, dealt by
-(smaller class, slice of its partners), so that a hot class is compared by many tasks.
+its pairs: each class is compared with the bucket's most central one, and the confirmed
+links are joined into components. Classes that share a bucket and still lie in different
+components are open. Links among open classes of different components come from an exact
+prefix filter: two sets that are similar enough share one of their rarest shingles at
+positions that leave room for the overlap they need. So a group of copies costs about as
+many comparisons as it has members, and no link between different texts is lost.
+Comparisons stream, dealt by (center, slice of its partners), so that a hot class is
+compared by many tasks.
 """
 
 from __future__ import annotations
@@ -22,8 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worksight.llm.common import blocks, durable, encoded, mix, partitions, shingle_hashes
+from worksight.llm.common import blocks, durable, encoded, mix, partitions, shingle_hashes, slot_counts
 
+#: Slots of the table of shingle counts.
+SLOTS = 1 << 18
 #: Partners of one class that a slice of comparisons holds.
 SLICE = 128
 EMPTY = np.empty(0, np.uint64)
@@ -34,11 +39,21 @@ def class_key(unique: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(unique.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def signatures(docs: DataFrame, k: int, permutations: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, class, bands: one row per document; bands is empty without shingles."""
+def prefix(unique: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """32 bits of each of a set's rarest shingles, rarest first: as many as a partner must share one of."""
+    n = len(unique)
+    need = n - -(-percent * n // 100) + 1
+    keys = (counts[(unique % np.uint64(len(counts))).astype(np.int64)].astype(np.uint64) << np.uint64(32)) | (unique >> np.uint64(32))
+    return (np.sort(np.partition(keys, need - 1)[:need]) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+
+
+def signatures(docs: DataFrame, k: int, permutations: int, rows: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, class, bands, prefix: one row per document; lists are empty without shingles."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rarity = docs.sparkSession.sparkContext.broadcast(slot_counts(docs.select("text"), lambda texts: np.concatenate(shingle_hashes(texts, k)), SLOTS))
     multipliers = mix(np.arange(7001, 7001 + permutations, dtype=np.uint64)) | np.uint64(1)
     weights = mix(np.arange(9001, 9001 + rows, dtype=np.uint64)) | np.uint64(1)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64()), ("bands", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int32()))])
 
     def bands(sets: list[np.ndarray]) -> np.ndarray:
         full = [s for s in sets if len(s)]
@@ -59,9 +74,10 @@ def signatures(docs: DataFrame, k: int, permutations: int, rows: int) -> DataFra
                 sets = [np.unique(s) for s in shingle_hashes(texts[a:b], k)]
                 found = iter(bands(sets))
                 lists = [next(found) if len(s) else EMPTY for s in sets]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) if len(s) else None for s in sets], pa.int64()), pa.array(lists, pa.list_(pa.int64()))], schema=schema)
+                rarest = [prefix(s, rarity.value, percent) if len(s) else EMPTY for s in sets]
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) if len(s) else None for s in sets], pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array(rarest, pa.list_(pa.int32()))], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, class long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, class long, bands array<long>, prefix array<int>")
 
 
 def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -119,6 +135,41 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def shared_buckets(classes: DataFrame) -> DataFrame:
+    """key, class, center of buckets that several classes share.
+
+    The center is the class whose buckets hold most rows together: in a group of copies
+    that differ by a few edits each, the one with the fewest edits.
+    """
+    members = classes.select("class", F.explode("bands").alias("key"))
+    sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = durable(members.join(sizes, "key"))
+    ranks = members.groupBy("class").agg(F.sum("size").alias("central"))
+    members = members.join(ranks, "class").select("key", "class", "central")
+    centers = members.groupBy("key").agg(F.max(F.struct("central", "class"))["class"].alias("center"))
+    return members.join(centers, "key").select("key", "class", "center")
+
+
+def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of rows (class, component, n, prefix) that can be similar enough, of different components.
+
+    Sets of n and m shingles that are similar enough share at least
+    percent * (n + m) / (100 + percent). If the first they have in common stands at place p
+    of one's prefix, at most n - p + 1 are shared; so place p allows partners of at most
+    `most` shingles. Places that allow no partner as small as the token's smallest, and
+    then tokens of one component, go before any two rows meet.
+    """
+    tokens = rows.select("class", "component", "n", F.posexplode("prefix").alias("p", "token")).withColumn("p", F.col("p") + 1)
+    tokens = tokens.withColumn("most", F.expr(f"(n - p + 1) * (100 + {percent}) div {percent} - n")).where(f"100 * most >= {percent} * n")
+    held = tokens.groupBy("token").agg(F.min("n").alias("least"), F.count("*").alias("rows")).where("rows > 1")
+    tokens = durable(tokens.join(held.drop("rows"), "token").where("most >= least").drop("least"))
+    mixed = tokens.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
+    tokens = tokens.join(mixed, "token")
+    other = tokens.select("token", *[F.col(c).alias(f"{c}2") for c in ("class", "component", "n", "most")])
+    pairs = tokens.join(other, "token").where(f"class < class2 and component <> component2 and most >= n2 and most2 >= n and 100 * least(n, n2) >= {percent} * greatest(n, n2)")
+    return pairs.select(F.col("class").alias("a"), F.col("class2").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, permutations: int = 64, rows: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text).
 
@@ -131,21 +182,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, permut
     are documents of their own. A row whose doc_id is null links with nothing, has a null
     component_id and is kept. Other columns of docs are ignored. Empty in, empty out.
     """
-    signed = durable(signatures(docs, shingle, permutations, rows).withColumn("class", F.when(F.col("doc_id").isNotNull(), F.col("class"))))
-    classes = durable(signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands")))
-    members = classes.select("class", "n", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("last")).where("a <> last").select("key", "a")
-    members = durable(members.join(shared, "key"))
-    fits = lambda x, y: F.expr(f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})")
-    stars = members.where("class <> a").select("a", F.col("class").alias("b")).distinct()
+    signed = signatures(docs, shingle, permutations, rows, percent)
+    signed = durable(signed.withColumn("class", F.when(F.col("doc_id").isNotNull(), F.col("class"))))
+    classes = durable(signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("prefix").alias("prefix")))
+    members = durable(shared_buckets(classes))
+    stars = members.where("class <> center").select(F.col("center").alias("a"), F.col("class").alias("b")).distinct()
     links = durable(linked(stars, classes, docs, shingle, percent))
     groups = components(links)
 
-    labelled = members.select("key", "class", "n").join(groups.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    labelled = members.select("key", "class").join(groups.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    apart = labelled.join(open_keys, "key")
-    other = apart.select("key", F.col("class").alias("class2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-    rest = apart.join(other, "key").where("class < class2 and component <> component2").where(fits("n", "n2")).select(F.col("class").alias("a"), F.col("class2").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    open_classes = labelled.join(open_keys, "key").select("class", "component").distinct()
+    rest = prefix_pairs(open_classes.join(classes.select("class", "n", "prefix"), "class"), percent).join(stars, ["a", "b"], "left_anti")
     more = durable(linked(durable(rest), classes, docs, shingle, percent))
     if not more.isEmpty():
         groups = components(links.unionByName(more))
