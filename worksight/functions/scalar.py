@@ -28,6 +28,12 @@ def clipped_excess(a, b) -> Column:
     return F.when(d.isNotNull(), F.greatest(d, F.lit(0)))
 
 
+def fixed(value, digits: int) -> Column:
+    """value rounded half up by plain arithmetic, which gives the same bits in every engine."""
+    scale = 10.0**digits
+    return F.floor(col(value) * scale + 0.5) / scale
+
+
 def days_between(later, earlier) -> Column:
     return F.datediff(col(later), col(earlier))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from worksight.functions.scalar import band
+from worksight.functions.scalar import band, fixed
 from worksight.functions.stats import percentile_exclusive
 from worksight.operators.signals import TOTAL
 
@@ -92,13 +92,13 @@ def family_evidence(wide: DataFrame, weights: dict[str, dict[str, int]] = WEIGHT
                 weight = F.when(F.col("lifecycle") == stage, w[f]).otherwise(weight)
         parts.append(F.struct(F.lit(i).alias("family_order"), F.lit(f).alias("family"), F.col(f"{f}_score").cast("double").alias("score"), F.col(f"{f}_code").alias("code"), F.coalesce(F.col(f"{f}_available"), F.lit(False)).alias("available"), weight.alias("weight")))
     rows = wide.select("work_id", "lifecycle", F.explode(F.array(*parts)).alias("e")).select("work_id", "lifecycle", "e.*").where("weight is not null")
-    return rows.withColumn("points", F.round(F.coalesce("score", F.lit(0.0)) * F.col("weight") / 100, 6))
+    return rows.withColumn("points", fixed(F.coalesce("score", F.lit(0.0)) * F.col("weight") / 100, 6))
 
 
 def priority_scores(evidence: DataFrame) -> DataFrame:
     """One row per work: score, coverage, band and the three families that add most."""
     top = F.slice(F.array_sort(F.collect_list(F.when(F.col("points") > 0, F.struct((-F.col("points")).alias("p"), "family_order", "family")))), 1, 3)
-    out = evidence.groupBy("work_id", "lifecycle").agg(F.round(F.sum("points"), 6).alias("score"), F.sum(F.when(F.col("available"), F.col("weight")).otherwise(0)).alias("coverage"), top.alias("t"))
+    out = evidence.groupBy("work_id", "lifecycle").agg(fixed(F.sum("points"), 6).alias("score"), F.sum(F.when(F.col("available"), F.col("weight")).otherwise(0)).alias("coverage"), top.alias("t"))
     return out.select("work_id", "lifecycle", "score", "coverage", band("score").alias("band"), *[F.get("t.family", F.lit(i)).alias(f"top_family_{i + 1}") for i in range(3)])
 
 
@@ -146,7 +146,7 @@ def authority_summary(scores: DataFrame, profile: DataFrame) -> DataFrame:
     """Works, mean score and urgent bands by state, district and sector: one pass of grouping sets."""
     rows = scores.join(profile.select("work_id", "state", "district", "sector"), "work_id")
     sets = rows.groupingSets([["state"], ["state", "district"], ["sector"]], "state", "district", "sector")
-    out = sets.agg(F.grouping_id().alias("g"), F.count("*").alias("works"), F.round(F.avg("score"), 4).alias("mean_score"), F.count_if(F.col("band") == "HIGH").alias("high"), F.count_if(F.col("band") == "CRITICAL").alias("critical"))
+    out = sets.agg(F.grouping_id().alias("g"), F.count("*").alias("works"), fixed(F.avg("score"), 4).alias("mean_score"), F.count_if(F.col("band") == "HIGH").alias("high"), F.count_if(F.col("band") == "CRITICAL").alias("critical"))
     kind = F.when(F.col("g") == 3, "STATE").when(F.col("g") == 1, "DISTRICT").otherwise("SECTOR")
     return out.select(kind.alias("group_type"), F.concat_ws(" / ", "state", "district", "sector").alias("group_value"), "works", "mean_score", "high", "critical")
 

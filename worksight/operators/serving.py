@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from worksight.functions.scalar import safe_ratio
+from worksight.functions.scalar import fixed, safe_ratio
 
 ROLES = {"NATIONAL": (), "STATE": ("state",), "DISTRICT": ("state", "district"), "MP": ("mp_id",)}
 SORTS = {"score": F.desc, "work_id": F.asc, "sanctioned": F.desc}
@@ -51,13 +51,13 @@ def overview(rows: DataFrame) -> DataFrame:
     bands = [F.count_if(F.col("band") == b).alias(b.lower()) for b in ("LOW", "MEDIUM", "HIGH", "CRITICAL")]
     stages = [F.count_if(F.col("lifecycle") == s).alias(s.lower()) for s in ("PRE_SANCTION", "EXECUTION", "COMPLETION")]
     out = rows.agg(F.count("*").alias("works"), *bands, *stages, F.sum("sanctioned").alias("sanctioned_total"), F.sum("released_total").alias("released_sum"))
-    return out.withColumns({"urgent_share": F.round(safe_ratio((F.col("high") + F.col("critical")) * 100.0, "works"), 4), "utilisation": F.round(safe_ratio(F.col("released_sum") * 100.0, "sanctioned_total"), 4)})
+    return out.withColumns({"urgent_share": fixed(safe_ratio((F.col("high") + F.col("critical")) * 100.0, "works"), 4), "utilisation": fixed(safe_ratio(F.col("released_sum") * 100.0, "sanctioned_total"), 4)})
 
 
 def comparison(rows: DataFrame, by: str) -> DataFrame:
     """Works, urgent works and rates of each value of a column, most urgent first."""
     out = rows.groupBy(F.col(by).alias("group_value")).agg(F.count("*").alias("works"), F.count_if(F.col("band").isin("HIGH", "CRITICAL")).alias("urgent"), F.sum("sanctioned").alias("sanctioned_total"), F.sum("released_total").alias("released_sum"))
-    return out.select("group_value", "works", "urgent", F.round(safe_ratio(F.col("urgent") * 100.0, "works"), 1).alias("urgent_rate"), F.round(safe_ratio(F.col("released_sum") * 100.0, "sanctioned_total"), 1).alias("utilisation"))
+    return out.select("group_value", "works", "urgent", fixed(safe_ratio(F.col("urgent") * 100.0, "works"), 1).alias("urgent_rate"), fixed(safe_ratio(F.col("released_sum") * 100.0, "sanctioned_total"), 1).alias("utilisation"))
 
 
 def fund_flow(rows: DataFrame, spent: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def fund_flow(rows: DataFrame, spent: DataFrame) -> DataFrame:
     year = F.year("released_on") - (F.month("released_on") < 4).cast("int")
     flows = spent.join(rows.select("work_id", "sector"), "work_id").groupBy("sector", year.alias("fiscal_year")).agg(F.sum("amount").alias("released"), F.countDistinct("work_id").alias("works"))
     total = F.sum("released").over(W.partitionBy("fiscal_year"))
-    return flows.withColumn("share", F.round(safe_ratio(F.col("released") * 100.0, total), 4))
+    return flows.withColumn("share", fixed(safe_ratio(F.col("released") * 100.0, total), 4))
 
 
 def precheck_costs(rows: DataFrame, peers: int = 5, factor: float = 1.25) -> DataFrame:
@@ -134,7 +134,7 @@ def cosine_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     loops over blocks of both.
     """
     dot = F.aggregate(F.zip_with(F.col("q.v"), F.col("c.v"), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    pairs = queries.alias("q").join(chunks.alias("c"), F.col("q.id") != F.col("c.id")).select(F.col("q.id").alias("query_id"), F.col("c.id").alias("chunk_id"), F.round(dot, 5).alias("score"))
+    pairs = queries.alias("q").join(chunks.alias("c"), F.col("q.id") != F.col("c.id")).select(F.col("q.id").alias("query_id"), F.col("c.id").alias("chunk_id"), fixed(dot, 5).alias("score"))
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
     return pairs.withColumn("place", place).where(F.col("place") <= k)
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worksight.functions import scalar, stats
+from worksight.functions.scalar import fixed
 from worksight.operators import checks, features, fusion, models, pairs, peers, serving, signals, trends
 from worksight.plans import sql
 from worksight.sources import domain
@@ -18,7 +20,13 @@ REGISTERED: dict[str, Query] = {}
 
 
 def query(f: Query) -> Query:
-    REGISTERED[f.__name__] = f
+    """Registers a query; its dates come out as text, which all clients read alike."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = f(spark, sf_dir)
+        return df.select(*[F.date_format(c, "yyyy-MM-dd").alias(c) if t == "date" else F.col(c) for c, t in df.dtypes])
+
+    REGISTERED[f.__name__] = functools.wraps(f)(run)
     return f
 
 
@@ -157,13 +165,13 @@ def dq_issue_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def payments_as_of(spark: SparkSession, d: str) -> DataFrame:
-    return features.payments_as_of(domain.payments(spark, d), AS_OF).select("work_id", "payment_count", "released_total", "vendor_count", "largest_payment", "first_payment_on", "last_payment_on", "final_payment_count", "zero_payment_count", F.round("largest_share", 6).alias("largest_share"), F.round("vendor_hhi", 6).alias("vendor_hhi"), "days_since_payment")
+    return features.payments_as_of(domain.payments(spark, d), AS_OF).select("work_id", "payment_count", "released_total", "vendor_count", "largest_payment", "first_payment_on", "last_payment_on", "final_payment_count", "zero_payment_count", fixed("largest_share", 6).alias("largest_share"), fixed("vendor_hhi", 6).alias("vendor_hhi"), "days_since_payment")
 
 
 @query
 def progress_as_of(spark: SparkSession, d: str) -> DataFrame:
     out = features.progress_as_of(domain.progress(spark, d), EVENTS_AS_OF)
-    return out.select("work_id", "report_count", "first_report_on", "last_report_on", "first_physical", "last_physical", "last_financial", "decrease_count", F.round("largest_decrease", 4).alias("largest_decrease"), "same_day_extras", F.round("financial_gap", 4).alias("financial_gap"), "days_since_report", F.round("velocity", 4).alias("velocity"))
+    return out.select("work_id", "report_count", "first_report_on", "last_report_on", "first_physical", "last_physical", "last_financial", "decrease_count", fixed("largest_decrease", 4).alias("largest_decrease"), "same_day_extras", fixed("financial_gap", 4).alias("financial_gap"), "days_since_report", fixed("velocity", 4).alias("velocity"))
 
 
 @query
@@ -174,14 +182,14 @@ def asset_mask_as_of(spark: SparkSession, d: str) -> DataFrame:
 @query
 def work_profile(spark: SparkSession, d: str) -> DataFrame:
     p = Tables(spark, d).profile
-    rounded = {c: F.round(c, 6) for c in ("largest_share", "vendor_hhi", "spend_ratio", "overrun_pct", "schedule_ratio")}
+    rounded = {c: fixed(c, 6) for c in ("largest_share", "vendor_hhi", "spend_ratio", "overrun_pct", "schedule_ratio")}
     return p.withColumns(rounded)
 
 
 @query
 def feature_quality(spark: SparkSession, d: str) -> DataFrame:
     got = features.column_profile(Tables(spark, d).profile, METRICS)
-    return got.select("feature", "rows", "non_null", "distinct_values", F.round("minimum", 4).alias("minimum"), F.round("maximum", 4).alias("maximum"), F.round("dominant_share", 6).alias("dominant_share"), F.round("null_share", 6).alias("null_share"))
+    return got.select("feature", "rows", "non_null", "distinct_values", fixed("minimum", 4).alias("minimum"), fixed("maximum", 4).alias("maximum"), fixed("dominant_share", 6).alias("dominant_share"), fixed("null_share", 6).alias("null_share"))
 
 
 @query
@@ -197,37 +205,37 @@ def feature_selection(spark: SparkSession, d: str) -> DataFrame:
 def peer_stats(spark: SparkSession, d: str) -> DataFrame:
     long = peers.long_metrics(Tables(spark, d).profile, ["released_total", "planned_days"], ["lifecycle", "sector"])
     got = peers.peer_stats(long, ["lifecycle", "sector"])
-    return got.select("lifecycle", "sector", "metric", "n", *[F.round(c, 3).alias(c) for c in ("p10", "q25", "median", "q75", "p90", "mad", "iqr")])
+    return got.select("lifecycle", "sector", "metric", "n", *[fixed(c, 3).alias(c) for c in ("p10", "q25", "median", "q75", "p90", "mad", "iqr")])
 
 
 @query
 def peer_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     got = peers.peer_evidence(Tables(spark, d).profile, ["released_total", "planned_days"])
-    return got.select("work_id", "metric", "level", "peers", F.round("median", 2).alias("median"), F.round("deviation", 4).alias("deviation"), "method")
+    return got.select("work_id", "metric", "level", "peers", fixed("median", 2).alias("median"), fixed("deviation", 4).alias("deviation"), "method")
 
 
 @query
 def peer_summary(spark: SparkSession, d: str) -> DataFrame:
     got = peers.peer_summary(peers.peer_evidence(Tables(spark, d).profile, ["released_total", "planned_days"]))
-    return got.select("work_id", "lifecycle", "usable_metrics", "outlier_count", F.round("max_deviation", 4).alias("max_deviation"))
+    return got.select("work_id", "lifecycle", "usable_metrics", "outlier_count", fixed("max_deviation", 4).alias("max_deviation"))
 
 
 @query
 def sector_deviation(spark: SparkSession, d: str) -> DataFrame:
     got = peers.sector_deviation(Tables(spark, d).profile.select("work_id", "sector", "released_total"), "released_total")
-    return got.select("work_id", "sector", F.round("deviation", 4).alias("deviation"))
+    return got.select("work_id", "sector", fixed("deviation", 4).alias("deviation"))
 
 
 @query
 def stage_percentile(spark: SparkSession, d: str) -> DataFrame:
     got = stats.percentile_exclusive(Tables(spark, d).profile.select("work_id", "lifecycle", "payment_count"), ["lifecycle"], "payment_count", "pct")
-    return got.select("work_id", "lifecycle", F.round("pct", 6).alias("pct"))
+    return got.select("work_id", "lifecycle", fixed("pct", 6).alias("pct"))
 
 
 @query
 def inclusive_percentile(spark: SparkSession, d: str) -> DataFrame:
     got = stats.percentile_inclusive(Tables(spark, d).profile.select("work_id", "lifecycle", "payment_count"), ["lifecycle"], "payment_count", "pct")
-    return got.select("work_id", "lifecycle", F.round("pct", 6).alias("pct"))
+    return got.select("work_id", "lifecycle", fixed("pct", 6).alias("pct"))
 
 
 @query
@@ -242,7 +250,7 @@ def isolation_forest(spark: SparkSession, d: str) -> DataFrame:
 @query
 def vector_topk_pairs(spark: SparkSession, d: str) -> DataFrame:
     got = pairs.canonical_pairs(pairs.topk_neighbours(table(spark, d, "embeddings"), 10))
-    return got.select("a", "b", F.round("cosine", 4).alias("cosine"))
+    return got.select("a", "b", fixed("cosine", 4).alias("cosine"))
 
 
 def scored_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -260,7 +268,7 @@ def scored_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def pair_score(spark: SparkSession, d: str) -> DataFrame:
-    return scored_pairs(spark, d).select("a", "b", F.round("score", 3).alias("score"))
+    return scored_pairs(spark, d).select("a", "b", fixed("score", 3).alias("score"))
 
 
 @query
@@ -271,7 +279,7 @@ def pair_review_policy(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def pair_symmetric_summary(spark: SparkSession, d: str) -> DataFrame:
-    rows = scored_pairs(spark, d).select("a", "b", F.round("score", 3).alias("score"), F.col("same_sector").alias("review"))
+    rows = scored_pairs(spark, d).select("a", "b", fixed("score", 3).alias("score"), F.col("same_sector").alias("review"))
     return pairs.pair_summary(table(spark, d, "embeddings").select(F.col("vec_id").alias("id")), rows, "score", "review")
 
 
@@ -298,7 +306,7 @@ def payment_signal_summary(spark: SparkSession, d: str) -> DataFrame:
 @query
 def gap_runs(spark: SparkSession, d: str) -> DataFrame:
     got = signals.gap_runs(domain.progress(spark, d))
-    return got.select("work_id", "reports", F.round("latest_gap", 4).alias("latest_gap"), F.round("largest_gap", 4).alias("largest_gap"), "positive_gaps", "flagged", "longest_run", "latest_run")
+    return got.select("work_id", "reports", fixed("latest_gap", 4).alias("latest_gap"), fixed("largest_gap", 4).alias("largest_gap"), "positive_gaps", "flagged", "longest_run", "latest_run")
 
 
 def funds(t: Tables) -> DataFrame:
@@ -307,7 +315,7 @@ def funds(t: Tables) -> DataFrame:
 
 @query
 def fund_progress(spark: SparkSession, d: str) -> DataFrame:
-    return funds(Tables(spark, d)).withColumns({c: F.round(c, 4) for c in ("paid_pct", "fund_gap", "reported_gap", "reconciliation")})
+    return funds(Tables(spark, d)).withColumns({c: fixed(c, 4) for c in ("paid_pct", "fund_gap", "reported_gap", "reconciliation")})
 
 
 @query
@@ -335,7 +343,7 @@ def record_status(spark: SparkSession, d: str) -> DataFrame:
 def landmark_snapshots(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
     got = models.landmark_rows(t.works, t.payments)
-    return got.select("work_id", "fraction", F.unix_seconds("landmark").alias("landmark_s"), "payment_count", "released_total", F.round("spend_ratio", 6).alias("spend_ratio"))
+    return got.select("work_id", "fraction", F.unix_seconds("landmark").alias("landmark_s"), "payment_count", "released_total", fixed("spend_ratio", 6).alias("spend_ratio"))
 
 
 @query
@@ -358,28 +366,28 @@ def labelled(spark: SparkSession, d: str) -> DataFrame:
 @query
 def ranking_metrics(spark: SparkSession, d: str) -> DataFrame:
     got = models.ranking_metrics(labelled(spark, d), "score", "label", ["model"])
-    return got.select("model", "rows", *[F.round(c, 6).alias(c) for c in ("brier", "prevalence", "roc_auc", "average_precision")])
+    return got.select("model", "rows", *[fixed(c, 6).alias(c) for c in ("brier", "prevalence", "roc_auc", "average_precision")])
 
 
 @query
 def calibration_error(spark: SparkSession, d: str) -> DataFrame:
-    return models.calibration_error(labelled(spark, d), "score", "label").select(F.round("calibration_error", 6).alias("calibration_error"), "rows")
+    return models.calibration_error(labelled(spark, d), "score", "label").select(fixed("calibration_error", 6).alias("calibration_error"), "rows")
 
 
 @query
 def top_fraction(spark: SparkSession, d: str) -> DataFrame:
-    return models.top_fraction(labelled(spark, d), "score", "label").select("fraction", "selected", "hits", "positives", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+    return models.top_fraction(labelled(spark, d), "score", "label").select("fraction", "selected", "hits", "positives", fixed("precision", 6).alias("precision"), fixed("recall", 6).alias("recall"))
 
 
 @query
 def threshold_search(spark: SparkSession, d: str) -> DataFrame:
-    return models.threshold_search(labelled(spark, d), "score", "label").select(F.round("threshold", 4).alias("threshold"), F.round("f1", 6).alias("f1"))
+    return models.threshold_search(labelled(spark, d), "score", "label").select(fixed("threshold", 4).alias("threshold"), fixed("f1", 6).alias("f1"))
 
 
 @query
 def serving_rank(spark: SparkSession, d: str) -> DataFrame:
     got = models.serving_rank(Tables(spark, d).profile.select("work_id", "lifecycle", "spend_ratio"), "spend_ratio")
-    return got.select("work_id", "lifecycle", F.round("serving_percentile", 6).alias("serving_percentile"), "serving_rank")
+    return got.select("work_id", "lifecycle", fixed("serving_percentile", 6).alias("serving_percentile"), "serving_rank")
 
 
 @query
@@ -417,13 +425,13 @@ def monthly_dense(spark: SparkSession, d: str) -> DataFrame:
 @query
 def monthly_causal_z(spark: SparkSession, d: str) -> DataFrame:
     got = baseline(Tables(spark, d))
-    return got.select("group_type", "group_value", "metric", "month", "baseline_months", "support", F.round("median", 2).alias("median"), F.round("mad", 2).alias("mad"), F.round("robust_z", 4).alias("robust_z"), "method", "status", "flagged")
+    return got.select("group_type", "group_value", "metric", "month", "baseline_months", "support", fixed("median", 2).alias("median"), fixed("mad", 2).alias("mad"), fixed("robust_z", 4).alias("robust_z"), "method", "status", "flagged")
 
 
 @query
 def monthly_ewma(spark: SparkSession, d: str) -> DataFrame:
     got = trends.monthly_ewma(trends.dense_months(trend_events(Tables(spark, d)), AS_OF).where("group_type = 'STATE'"))
-    return got.select("group_value", "metric", "month", F.round("ewma", 2).alias("ewma"))
+    return got.select("group_value", "metric", "month", fixed("ewma", 2).alias("ewma"))
 
 
 @query
@@ -436,14 +444,14 @@ def hotspots(spark: SparkSession, d: str) -> DataFrame:
     groups = {g: c for g, c in trends.GROUPS.items() if g != "STATE_SECTOR"}
     flags = {"overspent": F.col("overrun") > 0, "overdue": F.col("overdue_days") > 0, "concentrated": F.col("vendor_hhi") > 0.5}
     got = trends.hotspots(Tables(spark, d).profile, flags, 20, groups)
-    return got.withColumns({f"{n}_share": F.round(f"{n}_share", 6) for n in flags})
+    return got.withColumns({f"{n}_share": fixed(f"{n}_share", 6) for n in flags})
 
 
 @query
 def trend_context(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
     got = trends.trend_context(t.works, baseline(t), AS_OF)
-    return got.select("work_id", "trend_group", "trend_metric", F.round("trend_z", 4).alias("trend_z"), "trend_flagged", F.round("trend_strength", 4).alias("trend_strength"))
+    return got.select("work_id", "trend_group", "trend_metric", fixed("trend_z", 4).alias("trend_z"), "trend_flagged", fixed("trend_strength", 4).alias("trend_strength"))
 
 
 # Fusion
@@ -473,18 +481,18 @@ def wide_signals(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]
     }
     columns = [F.col(c) for c in ("work_id", "lifecycle")]
     for name, (score, code, there) in named.items():
-        columns += [F.round(score, 6).alias(f"{name}_score"), code.alias(f"{name}_code"), there.alias(f"{name}_available")]
+        columns += [fixed(score, 6).alias(f"{name}_score"), code.alias(f"{name}_code"), there.alias(f"{name}_available")]
     return wide.select(*columns), fund, found, rules
 
 
 @query
 def family_signals(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.family_evidence(wide_signals(Tables(spark, d))[0]).select("work_id", "family", F.round("score", 4).alias("score"), "code", "available")
+    return fusion.family_evidence(wide_signals(Tables(spark, d))[0]).select("work_id", "family", fixed("score", 4).alias("score"), "code", "available")
 
 
 @query
 def contributions(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.family_evidence(wide_signals(Tables(spark, d))[0]).select("work_id", "lifecycle", "family", "weight", F.round("points", 3).alias("points"))
+    return fusion.family_evidence(wide_signals(Tables(spark, d))[0]).select("work_id", "lifecycle", "family", "weight", fixed("points", 3).alias("points"))
 
 
 def scores(t: Tables) -> DataFrame:
@@ -494,17 +502,17 @@ def scores(t: Tables) -> DataFrame:
 @query
 def priority_scores(spark: SparkSession, d: str) -> DataFrame:
     got = fusion.ranked(scores(Tables(spark, d)))
-    return got.select("work_id", "lifecycle", F.round("score", 3).alias("score"), "coverage", "band", "top_family_1")
+    return got.select("work_id", "lifecycle", fixed("score", 3).alias("score"), "coverage", "band", "top_family_1")
 
 
 @query
 def priority_queue(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.priority_queue(fusion.ranked(scores(Tables(spark, d)))).select("work_id", "lifecycle", F.round("score", 3).alias("score"), "band")
+    return fusion.priority_queue(fusion.ranked(scores(Tables(spark, d)))).select("work_id", "lifecycle", fixed("score", 3).alias("score"), "band")
 
 
 @query
 def review_alerts(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.review_alerts(*wide_signals(Tables(spark, d))).select("work_id", "alert_type", "evidence_code", F.round("strength", 3).alias("strength"))
+    return fusion.review_alerts(*wide_signals(Tables(spark, d))).select("work_id", "alert_type", "evidence_code", fixed("strength", 3).alias("strength"))
 
 
 @query
@@ -515,7 +523,7 @@ def alert_summary(spark: SparkSession, d: str) -> DataFrame:
 @query
 def authority_summary(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
-    return fusion.authority_summary(scores(t), t.profile).withColumn("mean_score", F.round("mean_score", 2))
+    return fusion.authority_summary(scores(t), t.profile).withColumn("mean_score", fixed("mean_score", 2))
 
 
 # Geography and calendar
@@ -540,7 +548,7 @@ def haversine_pairs(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") * 37 % 160 - 80).cast("double").alias("lat"), (F.col("s_suppkey") * 91 % 340 - 170).cast("double").alias("lon"))
     other = s.select((F.col("s_suppkey") - 1).alias("s_suppkey"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
     metres = scalar.haversine("lat", "lon", "lat2", "lon2")
-    return s.join(other, "s_suppkey").select("s_suppkey", F.round(metres / 1000, 3).alias("km"), scalar.location_status(metres).alias("status"))
+    return s.join(other, "s_suppkey").select("s_suppkey", fixed(metres / 1000, 3).alias("km"), scalar.location_status(metres).alias("status"))
 
 
 # Serving
@@ -549,7 +557,7 @@ def haversine_pairs(spark: SparkSession, d: str) -> DataFrame:
 def served(t: Tables) -> DataFrame:
     """Scores by a cheap deterministic proxy joined with the profile, for the serving queries."""
     pct = F.least(F.lit(100.0), F.coalesce(F.col("spend_ratio"), F.lit(0.0)) * 20)
-    return t.profile.withColumn("score", F.round(pct, 4)).withColumn("band", scalar.band("score"))
+    return t.profile.withColumn("score", fixed(pct, 4)).withColumn("band", scalar.band("score"))
 
 
 @query
@@ -577,7 +585,7 @@ def fund_flow(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def precheck_costs(spark: SparkSession, d: str) -> DataFrame:
-    return serving.precheck_costs(domain.works(spark, d)).withColumns({"peer_median": F.round("peer_median", 2), "peer_q75": F.round("peer_q75", 2)})
+    return serving.precheck_costs(domain.works(spark, d)).withColumns({"peer_median": fixed("peer_median", 2), "peer_q75": fixed("peer_q75", 2)})
 
 
 @query
@@ -609,7 +617,7 @@ def workflow_fold(spark: SparkSession, d: str) -> DataFrame:
 def retrieve_topk(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     got = serving.cosine_topk(e.where("id < 20"), e, 5)
-    return got.select("query_id", "chunk_id", F.round("score", 4).alias("score"))
+    return got.select("query_id", "chunk_id", fixed("score", 4).alias("score"))
 
 
 @query
