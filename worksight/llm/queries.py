@@ -32,7 +32,7 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = durable(warc.write_archives(warc.revisits(table(spark, sf_dir, "pages"))))
-    return warc.read_archives(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read_archives(archives, payloads=False, in_order=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of archive that a row holds; a longer record gets a row of its own.
-PART = 4 << 20
+PART = 1 << 18
+#: Bytes after which a new archive begins.
+ARCHIVE = 32 << 20
 VERSION = b"WARC/1.1"
 #: Of records that stand for rows without an id.
 NO_ID = "none"
@@ -57,25 +59,26 @@ def one_line(value: str) -> str:
     return " ".join(value.split())
 
 
-def write_archives(pages: DataFrame, per_archive: int = 20000) -> DataFrame:
+def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE) -> DataFrame:
     """archive, part, content: the records of pages (page_id, url, html, refers_to).
 
     A row whose refers_to is its own page_id, or null, becomes a response with its html
     as payload; others become revisits without payload that name the full payload's
-    digest and length. `per_archive` is the rough number of records of an archive.
+    digest and length. Parts of an archive are rows of one partition, in order.
     """
     schema = pa.schema([("archive", pa.string()), ("part", pa.int64()), ("content", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, number, part, done, parts = TaskContext.get().partitionId(), 0, 0, 0, bytearray()
+        task, number, part, parts, written = TaskContext.get().partitionId(), 0, 0, bytearray(), 0
 
         def row() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([f"{task:06d}-{number:06d}.warc.gz"]), pa.array([part], pa.int64()), pa.array([bytes(parts)], pa.binary())], schema=schema)
 
         for batch in batches:
-            for page_id, url, html, refers in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for i in range(batch.num_rows):
+                page_id, url, html, refers = (batch.column(c)[i].as_py() for c in range(4))
                 payload = (html or "").encode()
                 name = NO_ID if page_id is None else str(page_id)
                 headers = [("WARC-Record-ID", f"<urn:page:{name}>"), ("WARC-Target-URI", one_line(url or "about:blank")), ("WARC-Payload-Digest", f"sha1:{digest(payload)}")]
@@ -87,10 +90,10 @@ def write_archives(pages: DataFrame, per_archive: int = 20000) -> DataFrame:
                     yield row()
                     part, parts = part + 1, bytearray()
                 parts += made
-                done += 1
-                if done % per_archive == 0:
+                written += len(made)
+                if written >= archive_bytes:
                     yield row()
-                    number, part, parts = number + 1, 0, bytearray()
+                    number, part, parts, written = number + 1, 0, bytearray(), 0
         if parts:
             yield row()
 
@@ -157,12 +160,14 @@ def parsed(headers: dict[str, str], block: bytes) -> tuple:
     return page_of(headers.get("warc-record-id")), headers["warc-type"], headers.get("warc-target-uri"), length, said, page_of(headers.get("warc-refers-to")), payload if response else None
 
 
-def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
+def read_archives(archives: DataFrame, payloads: bool = True, in_order: bool = False) -> DataFrame:
     """One row per record of archives (archive, part, content), checked as it is read.
 
     Columns: page_id, record_type, url, payload_bytes and payload_digest (of the full
     payload, also for revisits), refers_to, payload (null for revisits, and if `payloads`
-    is false). A damaged archive raises WarcError. Null contents count as empty.
+    is false). A damaged archive raises WarcError. Null contents count as empty. With
+    `in_order` the parts of an archive are taken to lie together and in order, as
+    write_archives gives them and a checkpoint keeps them; else they are brought so.
     """
     schema = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
@@ -182,9 +187,8 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 yield batch_of(rows)
         reader.close()
 
-    # Parts are small beside an archive, so a few rows at a time keep a batch small.
-    dealt = archives.repartition("archive").sortWithinPartitions("archive", "part").select("archive", "content")
-    return dealt.mapInArrow(run, "page_id long, record_type string, url string, payload_bytes long, payload_digest string, refers_to long, payload binary")
+    dealt = archives if in_order else archives.repartition("archive").sortWithinPartitions("archive", "part")
+    return dealt.select("archive", "content").mapInArrow(run, "page_id long, record_type string, url string, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
 
 def archives_of_files(files: DataFrame) -> DataFrame:
