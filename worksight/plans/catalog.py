@@ -13,6 +13,7 @@ from worksight.functions.scalar import fixed
 from worksight.operators import checks, features, fusion, models, pairs, peers, serving, signals, trends
 from worksight.plans import sql
 from worksight.sources import domain
+from worksight.sources.durable import durable
 from worksight.sources.domain import AS_OF, EVENTS_AS_OF, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -450,7 +451,7 @@ def hotspots(spark: SparkSession, d: str) -> DataFrame:
 @query
 def trend_context(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
-    got = trends.trend_context(t.works, baseline(t), AS_OF)
+    got = trends.trend_context(t.works, durable(baseline(t)), AS_OF)
     return got.select("work_id", "trend_group", "trend_metric", fixed("trend_z", 4).alias("trend_z"), "trend_flagged", fixed("trend_strength", 4).alias("trend_strength"))
 
 
@@ -459,12 +460,13 @@ def trend_context(spark: SparkSession, d: str) -> DataFrame:
 
 def wide_signals(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(wide families, funds, payment signals, rule evidence) of all works."""
-    p = t.profile
-    found, rules, fund = signals.payment_signals(p, t.payments, AS_OF), signals.rule_evidence(p, t.assets, AS_OF), funds(t)
-    evidence = peers.peer_evidence(p, ["released_total", "planned_days"])
+    # Each of these is read by several families; written once, they also keep plans small.
+    p = t._profile = durable(t.profile)
+    found, rules, fund = durable(signals.payment_signals(p, t.payments, AS_OF)), durable(signals.rule_evidence(p, t.assets, AS_OF)), durable(funds(t))
+    evidence = durable(peers.peer_evidence(p, ["released_total", "planned_days"]))
     odd = stats.percentile_exclusive(p.select("work_id", "lifecycle", "planned_days"), ["lifecycle"], "planned_days", "odd").select("work_id", "odd")
     wide = p.select("work_id", "lifecycle", "overdue_days", "spend_ratio")
-    for part in (odd, fusion.peer_family(peers.peer_summary(evidence)), fusion.payment_family(p, found, fund), fusion.observed_family(p), fusion.compliance_family(rules), trends.trend_context(t.works, baseline(t), AS_OF)):
+    for part in (odd, fusion.peer_family(peers.peer_summary(evidence)), fusion.payment_family(p, found, fund), fusion.observed_family(p), fusion.compliance_family(rules), trends.trend_context(t.works, durable(baseline(t)), AS_OF)):
         wide = wide.join(part, "work_id", "left")
     serving_ = models.serving_rank(p.select("work_id", "lifecycle", "spend_ratio"), "spend_ratio").select("work_id", "serving_percentile")
     wide = wide.join(serving_, "work_id", "left")
@@ -482,7 +484,7 @@ def wide_signals(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]
     columns = [F.col(c) for c in ("work_id", "lifecycle")]
     for name, (score, code, there) in named.items():
         columns += [fixed(score, 6).alias(f"{name}_score"), code.alias(f"{name}_code"), there.alias(f"{name}_available")]
-    return wide.select(*columns), fund, found, rules
+    return durable(wide.select(*columns)), fund, found, rules
 
 
 @query
