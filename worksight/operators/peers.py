@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from worksight.functions.stats import OUTLIER, robust_deviation, robust_method
+from worksight.sources.durable import durable
 
 LEVELS = (("district", "sector", "sub_sector"), ("district", "sector"), ("sector", "sub_sector"), ("sector",), ())
 MINIMUM = 20
@@ -34,7 +35,7 @@ def peer_evidence(profile: DataFrame, metrics: list[str], minimum: int = MINIMUM
     `minimum` non-null values of the metric is used. Without one, all is null.
     """
     every = ["district", "sector", "sub_sector"]
-    long = long_metrics(profile, metrics, ["work_id", "lifecycle", *every])
+    long = durable(long_metrics(profile, metrics, ["work_id", "lifecycle", *every]))  # read by each level, twice
     out = long
     for i, level in enumerate(LEVELS):
         keys = ["lifecycle", *level]
