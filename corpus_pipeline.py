@@ -53,12 +53,14 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copy counts from 1; words is how many words of the text the copy has, all of them but
     in the one partial copy of a bucket, whose text ends after these words.
     """
-    mixed = mixing.mix_sources(docs, keep=tuple(c for c in docs.columns if c not in ("doc_id", "source")) + ("source",)).where("taken > 0")
+    carried = {f"in__{c}": F.col(c) for c in docs.columns}
+    mixed = mixing.mix_sources(docs.select("doc_id", "text", "source", *[v.alias(k) for k, v in carried.items()]), keep=tuple(carried)).where("taken > 0")
     copies = mixed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size")))))
-    words = F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size"))
-    copies = copies.withColumn("words", words)
-    cut = F.regexp_extract("text", F.concat(F.lit(r"^(?s)((?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){"), F.col("words").cast("string"), F.lit("})")), 1)
-    return copies.withColumn("text", F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("text"))).select(*docs.columns, "copy", "words", "taken", "target")
+    copies = copies.withColumn("words", F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size")))
+    pieces = F.regexp_extract_all("in__text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    text = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(pieces, 1, F.col("words").cast("int")), "")).otherwise(F.col("in__text"))
+    own = [text.alias("text") if c == "text" else F.col(f"in__{c}").alias(c) for c in docs.columns]
+    return copies.select(*own, *[F.col(c) for c in ("copy", "words", "taken", "target") if c not in docs.columns])
 
 
 STAGES = [("quality classifier", quality_classifier), ("MinHash near-dedup", near_duplicates), ("benchmark decontamination", benchmark_decontamination), ("PII", personal_data), ("mixing sources to target weights", source_mix)]
