@@ -209,3 +209,35 @@ def test_isolation_forest_finds_the_odd_one(spark):
     assert len(got) == 2002 and got[9999] == max(v for k, v in got.items() if k != 10000) and all(0 < v <= 1 for v in got.values())
     again = {r.work_id: r.anomaly_score for r in models.isolation_forest(df.repartition(3), ["a", "b"], trees=20, sample=64).collect()}
     assert got == again
+
+
+def test_neighbours_and_pair_summary(spark):
+    import numpy as np
+
+    v = np.random.default_rng(3).normal(size=(60, 8))
+    v[7] = v[3]
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "vec_id long, embedding array<double>")
+    old, pairs.BLOCK = pairs.BLOCK, 16
+    try:
+        got = {(r.id, r.other): r.cosine for r in pairs.topk_neighbours(df, 4).collect()}
+    finally:
+        pairs.BLOCK = old
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    cos = np.round(unit.astype(np.float32).astype(float) @ unit.astype(np.float32).astype(float).T, 4)
+    for i in range(60):
+        best = sorted((j for j in range(60) if j != i), key=lambda j: (-cos[i, j], j))[:4]
+        assert sorted(round(got[i, j], 3) for a, j in got if a == i) == pytest.approx(sorted(cos[i, best]), abs=2e-3)
+    rows = spark.createDataFrame([(1, 2, 90.0, True), (1, 3, 95.0, False), (2, 3, 90.0, True)], "a long, b long, score double, review boolean")
+    got = {r.id: r for r in pairs.pair_summary(spark.range(1, 5), rows, "score", "review").collect()}
+    assert (got[1].candidates, got[1].best, got[1].reviews, got[1].best_review) == (2, 3, 1, 2)
+    assert (got[2].candidates, got[2].best, got[3].best, got[4].candidates, got[4].best) == (2, 1, 1, 0, None)
+
+
+def test_text_normalization(spark):
+    df = spark.createDataFrame([("ＲＯＡＤ  Straße_(No.１)!",), (None,)], "t string")
+    assert [r.n for r in pairs.normalize_texts(df, "t", "n").collect()] == ["road strasse no 1", None]
+
+
+def test_explanation_names_what_leads(spark):
+    df = spark.createDataFrame([(7, "EXECUTION", 61.5, "HIGH", "COMPLIANCE", "ANOMALY", None)], "work_id long, lifecycle string, score double, band string, top_family_1 string, top_family_2 string, top_family_3 string")
+    assert serving.explanation(df).first().text == "Work 7 is in EXECUTION with review priority 61.50 (HIGH). Leading evidence: COMPLIANCE, ANOMALY. A human decides."
