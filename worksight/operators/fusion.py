@@ -78,6 +78,12 @@ def peer_family(summary: DataFrame) -> DataFrame:
     return rows.select("work_id", F.coalesce("pct", F.lit(0.0)).alias("peer_score"), F.when(out, "STATISTICAL_PEER_OUTLIER").otherwise("NO_STATISTICAL_PEER_OUTLIER").alias("peer_code"))
 
 
+def duplicate_family(summary: DataFrame) -> DataFrame:
+    """work_id, duplicate_score, duplicate_code: the best review candidate of a `pair_summary`; works outside it have none."""
+    review = F.col("reviews") > 0
+    return summary.select(F.col("id").alias("work_id"), F.when(review, F.col("best_review_score")).otherwise(0.0).alias("duplicate_score"), F.when(review, "DUPLICATE_REVIEW_CANDIDATE").otherwise("NO_DUPLICATE_REVIEW_CANDIDATE").alias("duplicate_code"))
+
+
 def family_evidence(wide: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS) -> DataFrame:
     """work_id, lifecycle, family, score, code, available, weight, points; one row per weighted family.
 

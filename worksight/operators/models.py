@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from worksight.functions.scalar import fractional_instant, safe_ratio
+from worksight.functions.scalar import fixed, fractional_instant, safe_ratio
 from worksight.functions.stats import average_precision, average_rank, rank_auc
+from worksight.sources.durable import durable
 
 LANDMARKS = (0.25, 0.5, 0.75)
+#: What a model must reach on TEST rows: ROC-AUC, and average precision above prevalence.
+USEFUL = {"roc_auc": 0.65, "lift": 0.05}
 
 
 def landmark_rows(works: DataFrame, payments: DataFrame, fractions: tuple[float, ...] = LANDMARKS) -> DataFrame:
@@ -101,33 +104,82 @@ def early_warning(probability: Column, threshold: float, useful: bool) -> Column
     return F.when(probability >= min(0.95, 1.35 * threshold), "HIGH_EARLY_WARNING").when(probability >= threshold, "ELEVATED_EARLY_WARNING").otherwise("NO_EARLY_WARNING")
 
 
-def train_models(rows: DataFrame, features: list[str], label: str) -> DataFrame:
-    """Fits logistic regression, a forest and boosted trees to TRAIN rows; metrics of VALIDATION and TEST.
+def fitted_models(rows: DataFrame, features: list[str], label: str) -> dict:
+    """Logistic regression, a forest and boosted trees by name, fitted to the TRAIN rows.
 
     rows has `part`, the features and a 0/1 label. Classes weigh alike; medians are
-    imputed from TRAIN. Returns part, model, roc_auc, average_precision, brier, rows.
+    imputed from TRAIN.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
 
-    rows = rows.where(F.col(label).isNotNull()).withColumns({**{f: F.col(f).cast("double") for f in features}, label: F.col(label).cast("double")})
     train = rows.where("part = 'TRAIN'")
     share = train.agg(F.avg(label)).first()[0] or 0.5
     weight = F.when(F.col(label) == 1, 0.5 / max(share, 1e-9)).otherwise(0.5 / max(1 - share, 1e-9))
     stages = [Imputer(strategy="median", relativeError=0.0, inputCols=features, outputCols=[f"{f}__i" for f in features]), VectorAssembler(inputCols=[f"{f}__i" for f in features], outputCol="raw__"), StandardScaler(inputCol="raw__", outputCol="x__", withMean=True)]
     common = {"featuresCol": "x__", "labelCol": label, "weightCol": "weight__"}
     models = {"logistic": LogisticRegression(maxIter=30, regParam=0.01, **common), "forest": RandomForestClassifier(numTrees=30, maxDepth=5, seed=42, **common), "boosted": GBTClassifier(maxIter=15, maxDepth=3, seed=42, **common)}
+    train = train.withColumn("weight__", weight)
+    return {name: Pipeline(stages=[*stages, model]).fit(train) for name, model in models.items()}
+
+
+def as_doubles(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.withColumns({c: F.col(c).cast("double") for c in columns})
+
+
+def probability(model, rows: DataFrame) -> DataFrame:
+    """Adds score, the fitted probability of label 1."""
+    from pyspark.ml.functions import vector_to_array
+
+    return model.transform(rows).withColumn("score", fixed(vector_to_array("probability")[1], 6))
+
+
+def train_models(rows: DataFrame, features: list[str], label: str) -> DataFrame:
+    """Metrics of VALIDATION and TEST of the `fitted_models`: part, model, roc_auc, average_precision, brier, rows."""
+    from pyspark.ml.functions import vector_to_array
+
+    rows = as_doubles(rows.where(F.col(label).isNotNull()), [*features, label])
     out = None
-    for name, model in models.items():
-        fitted = Pipeline(stages=[*stages, model]).fit(train.withColumn("weight__", weight))
+    for name, fitted in fitted_models(rows, features, label).items():
         scored = fitted.transform(rows.where("part <> 'TRAIN'")).select("part", F.lit(name).alias("model"), label, vector_to_array("probability")[1].alias("score"))
         got = ranking_metrics(scored, "score", label, ["part", "model"])
         out = got if out is None else out.unionByName(got)
     return out
 
 
+def guarded_probability(rows: DataFrame, serving: DataFrame, features: list[str], label: str) -> DataFrame:
+    """work_id, probability, status of the serving rows by the best of the `fitted_models`.
+
+    The model is the one with the best average precision (then ROC-AUC) on VALIDATION rows,
+    the threshold that of its best F1 there. Where a label has too few works, or the TEST
+    rows show less than USEFUL over chance, no probability is served: null, UNAVAILABLE.
+    """
+    rows = as_doubles(rows.where(F.col(label).isNotNull()), [*features, label])
+    serving = as_doubles(serving.select("work_id", *features), features)
+    none = serving.select("work_id", F.lit(None).cast("double").alias("probability"), early_warning(F.lit(None).cast("double"), 0.0, False).alias("status"))
+    if not feasibility(rows, label).first().feasible:
+        return none
+    # One layout in any partitioning, as forests draw their samples by partition.
+    rows = durable(rows.repartition(max(8, -(-rows.count() // 100_000)), "work_id").sortWithinPartitions("work_id", *features))
+    best = None
+    for name, fitted in fitted_models(rows, features, label).items():
+        held = durable(probability(fitted, rows.where("part <> 'TRAIN'")).select("part", label, "score"))
+        got = {r.part: r for r in ranking_metrics(held, "score", label, ["part"]).collect()}
+        if any(got.get(part) is None or got[part].roc_auc is None for part in ("VALIDATION", "TEST")):
+            continue
+        rank = (got["VALIDATION"].average_precision, got["VALIDATION"].roc_auc)
+        if best is None or rank > best[0]:
+            best = (rank, fitted, held, got["TEST"])
+    if best is None:
+        return none
+    _, fitted, held, test = best
+    if test.roc_auc < USEFUL["roc_auc"] or test.average_precision < test.prevalence + USEFUL["lift"]:
+        return none
+    threshold = threshold_search(held.where("part = 'VALIDATION'"), "score", label).first().threshold
+    return probability(fitted, serving).select("work_id", F.col("score").alias("probability"), early_warning(F.col("score"), threshold, True).alias("status"))
+
+
 TREES, SAMPLE = 100, 256
 
 

@@ -267,6 +267,11 @@ def scored_pairs(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({"amount": parts["amount"], "same_district": same("district"), "same_sector": same("sector"), "same_sub_sector": same("sub_sector"), "days": F.abs(F.datediff("recommended_on_a", "recommended_on_b"))})
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """Scored pairs with what the policy needs; the tables have no block, village or distance, so these stand as met."""
+    return rows.withColumns({"text": F.col("cosine"), "same_block": F.lit(True), "same_village": F.lit(True), "km": F.lit(0.5)})
+
+
 @query
 def pair_score(spark: SparkSession, d: str) -> DataFrame:
     return scored_pairs(spark, d).select("a", "b", fixed("score", 3).alias("score"))
@@ -274,7 +279,7 @@ def pair_score(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def pair_review_policy(spark: SparkSession, d: str) -> DataFrame:
-    rows = scored_pairs(spark, d).withColumns({"text": F.col("cosine"), "same_block": F.lit(True), "same_village": F.lit(True), "km": F.lit(0.5)})
+    rows = placed(scored_pairs(spark, d))
     return rows.select("a", "b", F.array_join(pairs.review_reasons(), ",").alias("reasons"))
 
 
@@ -458,27 +463,44 @@ def trend_context(spark: SparkSession, d: str) -> DataFrame:
 # Fusion
 
 
+def review_summary(t: Tables) -> DataFrame:
+    """The pair summary of all works with a vector; pairs without a failed check of the policy are review candidates."""
+    rows = placed(scored_pairs(t.spark, t.sf_dir)).withColumn("review", F.size(pairs.review_reasons()) == 0).select("a", "b", "score", "review")
+    return pairs.pair_summary(t.raw("embeddings").where("vec_id is not null and embedding is not null").select(F.col("vec_id").alias("id")).distinct(), durable(rows), "score", "review")
+
+
+WARNED_BY = ["payment_count", "released_total", "spend_ratio", "planned_days"]
+
+
+def overrun_warning(t: Tables) -> DataFrame:
+    """work_id, probability, status of works in execution, from completed ones at landmarks before their end."""
+    ended = signals.outcomes_of_completed(t.profile, t.assets, AS_OF).select("work_id", "finished_on", "overran")
+    rows = models.landmark_rows(t.works, t.payments).join(ended, "work_id").where("landmark < finished_on").join(t.profile.select("work_id", "planned_days"), "work_id")
+    return models.guarded_probability(models.split(rows, "overran"), t.profile.where("lifecycle = 'EXECUTION'"), WARNED_BY, "overran")
+
+
 def wide_signals(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(wide families, funds, payment signals, rule evidence) of all works."""
     # Each of these is read by several families; written once, they also keep plans small.
     p = t._profile = durable(t.profile)
     found, rules, fund = durable(signals.payment_signals(p, t.payments, AS_OF)), durable(signals.rule_evidence(p, t.assets, AS_OF)), durable(funds(t))
     evidence = durable(peers.peer_evidence(p, ["released_total", "planned_days"]))
-    odd = stats.percentile_exclusive(p.select("work_id", "lifecycle", "planned_days"), ["lifecycle"], "planned_days", "odd").select("work_id", "odd")
-    wide = p.select("work_id", "lifecycle", "overdue_days", "spend_ratio")
-    for part in (odd, fusion.peer_family(peers.peer_summary(evidence)), fusion.payment_family(p, found, fund), fusion.observed_family(p), fusion.compliance_family(rules), trends.trend_context(t.works, durable(baseline(t)), AS_OF)):
+    odd = stats.percentile_exclusive(durable(models.isolation_forest(p, METRICS)), ["lifecycle"], "anomaly_score", "odd").select("work_id", "odd")
+    wide = p.select("work_id", "lifecycle")
+    for part in (odd, fusion.duplicate_family(review_summary(t)), fusion.peer_family(peers.peer_summary(evidence)), fusion.payment_family(p, found, fund), fusion.observed_family(p), fusion.compliance_family(rules), trends.trend_context(t.works, durable(baseline(t)), AS_OF)):
         wide = wide.join(part, "work_id", "left")
-    serving_ = models.serving_rank(p.select("work_id", "lifecycle", "spend_ratio"), "spend_ratio").select("work_id", "serving_percentile")
+    warned = durable(overrun_warning(t))
+    serving_ = models.serving_rank(warned.withColumn("lifecycle", F.lit("EXECUTION")), "probability").select("work_id", "serving_percentile", "status")
     wide = wide.join(serving_, "work_id", "left")
     execution = F.col("lifecycle") == "EXECUTION"
     named = {
         "ANOMALY": (F.col("odd"), F.lit("LIFECYCLE_ANOMALY_PERCENTILE"), F.col("odd").isNotNull()),
         "PEER_DEVIATION": (F.col("peer_score"), F.col("peer_code"), F.col("peer_score").isNotNull()),
-        "DUPLICATE_REVIEW": (F.lit(0.0), F.lit("NO_DUPLICATE_REVIEW_CANDIDATE"), F.lit(True)),
+        "DUPLICATE_REVIEW": (F.coalesce("duplicate_score", F.lit(0.0)), F.coalesce("duplicate_code", F.lit("NO_DUPLICATE_REVIEW_CANDIDATE")), F.col("duplicate_code").isNotNull()),
         "PAYMENT_EXECUTION": (F.col("payment_score"), F.col("payment_code"), F.col("payment_available")),
         "OBSERVED_CONDITIONS": (F.col("observed_score"), F.col("observed_code"), execution),
         "COMPLIANCE": (F.col("compliance_score"), F.col("compliance_code"), F.col("compliance_score").isNotNull()),
-        "COST_OVERRUN_PREDICTION": (F.coalesce("serving_percentile", F.lit(0.0)), F.when(execution, "SECONDARY_EARLY_WARNING").otherwise("NOT_APPLICABLE_STAGE"), execution & F.col("serving_percentile").isNotNull()),
+        "COST_OVERRUN_PREDICTION": (F.coalesce("serving_percentile", F.lit(0.0)), F.when(execution, F.col("status")).otherwise("NOT_APPLICABLE_STAGE"), execution & F.col("serving_percentile").isNotNull()),
         "OPERATIONAL_TREND_CONTEXT": (F.col("trend_strength"), F.when(F.col("trend_flagged"), "OPERATIONAL_TREND_DEVIATION").otherwise("NO_OPERATIONAL_TREND_DEVIATION"), F.col("trend_z").isNotNull()),
     }
     columns = [F.col(c) for c in ("work_id", "lifecycle")]
