@@ -16,6 +16,19 @@ from worksight.functions.scalar import available_mean
 BLOCK = 2048
 
 
+def best(ids: np.ndarray, others: np.ndarray, cos: np.ndarray, k: int) -> pd.DataFrame:
+    """id, other, cosine of the k greatest finite entries of each row, ties by other."""
+    if not (own := min(k, len(others))):
+        return pd.DataFrame({"id": [], "other": [], "cosine": []}).astype({"id": "int64", "other": "int64", "cosine": "float64"})
+    # All that reach the k-th cosine, ties included; only these are sorted.
+    row, at = np.nonzero((cos >= np.partition(cos, len(others) - own, axis=1)[:, len(others) - own, None]) & np.isfinite(cos))
+    order = np.lexsort((others[at], -cos[row, at], row))
+    row, at = row[order], at[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    row, at = row[kept], at[kept]
+    return pd.DataFrame({"id": ids[row], "other": others[at], "cosine": cos[row, at]})
+
+
 def topk_neighbours(vectors: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """id, other, cosine of the k nearest other vectors of each, ties by id; exact.
 
@@ -38,15 +51,7 @@ def topk_neighbours(vectors: DataFrame, k: int, id_col: str = "vec_id", vector:
         ids, others = a.id.to_numpy(), b.id.to_numpy()
         cos = np.round(x @ y.T, 6)
         cos[ids[:, None] == others[None, :]] = -np.inf
-        if not (own := min(k, len(others))):
-            return pd.DataFrame({"id": [], "other": [], "cosine": []}).astype({"id": "int64", "other": "int64", "cosine": "float64"})
-        # All that reach the k-th cosine, ties included; only these are sorted.
-        row, at = np.nonzero((cos >= np.partition(cos, len(others) - own, axis=1)[:, len(others) - own, None]) & np.isfinite(cos))
-        order = np.lexsort((others[at], -cos[row, at], row))
-        row, at = row[order], at[order]
-        kept = np.arange(len(row)) - np.searchsorted(row, row) < k
-        row, at = row[kept], at[kept]
-        return pd.DataFrame({"id": ids[row], "other": others[at], "cosine": cos[row, at]})
+        return best(ids, others, cos, k)
 
     pairs = left.groupBy("b", "o").cogroup(right.groupBy("b", "o")).applyInPandas(meet, "id long, other long, cosine double")
     nth = F.row_number().over(W.partitionBy("id").orderBy(F.desc("cosine"), "other"))

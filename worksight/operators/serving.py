@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from worksight.functions.scalar import fixed, safe_ratio
+from worksight.operators.pairs import BLOCK, best
 
 ROLES = {"NATIONAL": (), "STATE": ("state",), "DISTRICT": ("state", "district"), "MP": ("mp_id",)}
 SORTS = {"score": F.desc, "work_id": F.asc, "sanctioned": F.desc}
@@ -130,13 +133,25 @@ def new_ids(rows: DataFrame, taken: DataFrame, id_column: str, prefix: str, orde
 def cosine_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """query_id, chunk_id, score, place of the k most similar chunks; both have (id, v), unit vectors.
 
-    Queries are few beside chunks; Spark broadcasts them if they are small and otherwise
-    loops over blocks of both.
+    Blocks of queries meet blocks of chunks as matrices, so no task grows with either. Scores
+    are rounded to five digits, ties by chunk; rows without an id or a vector take no part.
     """
-    dot = F.aggregate(F.zip_with(F.col("q.v"), F.col("c.v"), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    pairs = queries.alias("q").join(chunks.alias("c"), F.col("q.id") != F.col("c.id")).select(F.col("q.id").alias("query_id"), F.col("c.id").alias("chunk_id"), fixed(dot, 5).alias("score"))
+    rows = [t.where("id is not null and v is not null").select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")) for t in (queries, chunks)]
+    blocks = [max(1, -(-t.count() // BLOCK)) for t in rows]
+    own = [t.withColumn(c, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")) for t, c, n in zip(rows, "bo", blocks)]
+    every = [t.withColumn(c, F.explode(F.sequence(F.lit(0), F.lit(n - 1)))) for t, c, n in zip(own, "ob", reversed(blocks))]
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        ids, others = a.id.to_numpy(np.int64), b.id.to_numpy(np.int64)
+        if not len(a) or not len(b):
+            return best(ids, others[:0], np.zeros((len(ids), 0)), k)
+        score = np.floor(np.stack(a.v.to_numpy()) @ np.stack(b.v.to_numpy()).T * 1e5 + 0.5) / 1e5
+        score[ids[:, None] == others[None, :]] = -np.inf
+        return best(ids, others, score, k)
+
+    pairs = every[0].groupBy("b", "o").cogroup(every[1].groupBy("b", "o")).applyInPandas(meet, "id long, other long, cosine double")
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
-    return pairs.withColumn("place", place).where(F.col("place") <= k)
+    return pairs.toDF("query_id", "chunk_id", "score").withColumn("place", place).where(F.col("place") <= k)
 
 
 def two_channel(direct: DataFrame, similar: DataFrame, cap: int = 10, extra: int = 5) -> DataFrame:
