@@ -27,7 +27,7 @@ LOWEST = -(1 << 63)
 
 
 def anchors(text: Column) -> Column:
-    """Hashes of the closed syncmers of a text, in order; under K pieces, of their sequence."""
+    """Hashes of the closed syncmers of a text, in order; where it has none, of all its pieces."""
     pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"[^\x20\x09-\x0D]{{1,{PIECE}}}"), F.lit(0))
     hashes = F.transform(pieces, lambda p: F.xxhash64(p))
     pairs = lambda h: F.zip_with(h, F.slice(h, 2, F.greatest(F.size(h), F.lit(1))), lambda a, b: F.xxhash64(a, b))
@@ -43,7 +43,9 @@ def anchors(text: Column) -> Column:
     # One binding for each array that is used repeatedly: a lambda over an array of one.
     bind = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
     whole = lambda h: F.array(F.xxhash64(F.concat_ws(",", h.cast("array<string>"))) % (1 << 31) + (1 << 31))
-    return bind(hashes, lambda h: F.when(F.size(h) >= K, bind(F.slice(pairs(h), 1, F.size(h) - 1), chosen)).when(F.size(h) > 0, whole(h)).otherwise(F.array().cast("array<bigint>")))
+    none = F.array().cast("array<bigint>")
+    some = lambda h: F.when(F.size(h) >= K, bind(F.slice(pairs(h), 1, F.size(h) - 1), chosen)).otherwise(none)
+    return bind(hashes, lambda h: bind(some(h), lambda c: F.when((F.size(c) == 0) & (F.size(h) > 0), whole(h)).otherwise(c)))
 
 
 def sketch(text: Column) -> Column:
