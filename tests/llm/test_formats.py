@@ -132,16 +132,3 @@ def test_fingerprints(spark):
     assert fingerprints.edited_fingerprints(df.where("false")).count() == 0
     twice = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "q")], "doc_id long, text string")
     assert fingerprints.edited_fingerprints(twice).count() == 3
-
-
-def test_syncmers_are_those_of_the_definition(spark):
-    from pyspark.sql import functions as F
-
-    text = " ".join(f"w{i * i % 97}" for i in range(60))
-    df = spark.createDataFrame([(text,)], "text string")
-    words = text.split()
-    h = [r.h for r in spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string").select(F.xxhash64("w").alias("h"), "i").orderBy("i").collect()]
-    g = [r.g for r in spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(h, h[1:]))], "i int, a long, b long").select(F.xxhash64("a", "b").alias("g"), "i").orderBy("i").collect()]
-    closed = [(g[i], g[i + 2]) for i in range(len(g) - 2) if min(g[i : i + 3]) in (g[i], g[i + 2])]
-    want = [r.k for r in spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(closed)], "i int, a long, b long").select((F.xxhash64("a", "b") % (1 << 31) + (1 << 31)).alias("k"), "i").orderBy("i").collect()]
-    assert df.select(fingerprints.anchors(F.col("text")).alias("a")).first().a == want

@@ -1,100 +1,196 @@
 """Document fingerprints from closed syncmers, by DataFrame functions only.
 
-A text is a sequence of pieces: its runs of anything but white space, cut every PIECE
-characters. A k-mer of pieces is a closed syncmer when the least hash of its inner s-mers
-lies at its first or last s-mer. That depends on the k-mer alone, not on what stands around
-it, so an edit changes anchors only where it touches them and the rest match by position
-and order.
-
-The fingerprint is the text's anchors thinned to those with the SKETCH least hashes, in
-text order, as 8 hexadecimal digits each. Two fingerprints have the likeness of the least
-SKETCH hashes of their union that both hold, which estimates the Jaccard similarity of all
-anchors without bias and is exact up to SKETCH anchors.
+A text is the sequence of its UTF-8 bytes. A k-mer of K bytes is a closed syncmer when the
+least hash of its inner substrings of S bytes lies at its first or last one. That depends
+on the k-mer alone, not on what stands around it, so an edit changes anchors only where it
+touches them, spaces or none. Of K - S neighbouring k-mers at least one is chosen.
+
+An anchor is a long: a hash of the k-mer in the upper half, its position in bytes in the
+lower one. The fingerprint lists all anchors in text order, each as eight hexadecimal
+digits of the hash and two of the distance from the anchor before. A text that has no
+syncmer but isn't empty has one anchor, the hash of all of it.
+
+Likeness matches anchors by position: the median offset between anchors that both texts
+hold aligns them, and two anchors match when they have one hash and lie within an eighth of
+the longer text of each other after that. An anchor weighs as much as its distance from the
+one before, so that runs of one letter, where every k-mer is chosen, weigh what they are
+long. The weight of matches over that of both texts' anchors together is the likeness;
+passages that changed their order count as changed.
+
+Scale: a text is shuffled once, and its anchors are computed once, in pieces of CHUNK bytes.
+Those of an edited text are the anchors left in its two parts and those across the seam.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-K, S = 4, 2
-PIECE = 4
-SKETCH = 128
-#: Rows of a bucket in the walk to the next document, and buckets at most.
-ROWS, BUCKETS = 2000, 4096
-LOWEST = -(1 << 63)
+from worksight.llm.common import durable
 
+K, S = 28, 4
+#: Start positions that are looked at together; bounds the arrays of hashes.
+CHUNK = 4096
+#: Documents of a bucket in the walk to the next document, about.
+ROWS = 2000
+#: Buckets are dealt by so many quantiles of the ids, and evenly between two of these.
+QUANTILES = 256
+#: First rows of buckets that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
+#: Anchors match within the longer text's length divided by this.
+TOLERANCE = 8
+UPPER, LOWER, SIGN = -(1 << 32), (1 << 32) - 1, -(1 << 63)
 
-def anchors(text: Column) -> Column:
-    """Hashes of the closed syncmers of a text, in order; where it has none, of all its pieces."""
-    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"[^\x20\x09-\x0D]{{1,{PIECE}}}"), F.lit(0))
-    hashes = F.transform(pieces, lambda p: F.xxhash64(p))
-    pairs = lambda h: F.zip_with(h, F.slice(h, 2, F.greatest(F.size(h), F.lit(1))), lambda a, b: F.xxhash64(a, b))
-    inner = K - S + 1
 
-    def chosen(h: Column) -> Column:
-        """Of s-mer hashes g: g[i] and g[i + inner - 1] stand for the k-mer from i on."""
-        ends = F.zip_with(F.slice(h, 1, F.size(h) - inner + 1), F.slice(h, inner, F.size(h)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        middle = F.slice(h, 2, F.size(h) - inner + 1)
-        both = F.zip_with(ends, middle, lambda e, m: F.when(F.least(e["a"], e["b"]) <= m, F.xxhash64(e["a"], e["b"]) % (1 << 31) + (1 << 31)))
-        return F.array_compact(both)
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def position(anchor: Column) -> Column:
+    return anchor.bitwiseAND(F.lit(LOWER))
+
 
-    # One binding for each array that is used repeatedly: a lambda over an array of one.
-    bind = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
-    whole = lambda h: F.array(F.xxhash64(F.concat_ws(",", h.cast("array<string>"))) % (1 << 31) + (1 << 31))
-    none = F.array().cast("array<bigint>")
-    some = lambda h: F.when(F.size(h) >= K, bind(F.slice(pairs(h), 1, F.size(h) - 1), chosen)).otherwise(none)
-    return bind(hashes, lambda h: bind(some(h), lambda c: F.when((F.size(c) == 0) & (F.size(h) > 0), whole(h)).otherwise(c)))
+def anchor_of(data: Column, at: Column) -> Column:
+    return F.xxhash64(data).bitwiseOR(F.lit(SIGN)).bitwiseAND(F.lit(UPPER)) + at
 
 
-def sketch(text: Column) -> Column:
-    """The anchors with the SKETCH least distinct hashes, in text order."""
-    bind = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
-    thin = lambda a: F.when(F.size(a) <= SKETCH, a).otherwise(bind(F.element_at(F.sort_array(a), SKETCH), lambda top: F.filter(a, lambda x: x <= top)))
-    return bind(F.array_distinct(anchors(text)), thin)
+def chunk_anchors(part: Column, base: Column) -> Column:
+    """Anchors of the closed syncmers of some bytes (K at least), positions counted from base."""
+    ends = K - S
+    hashes = F.transform(F.sequence(F.lit(1), F.octet_length(part) - (S - 1)), lambda i: F.xxhash64(F.substring(part, i, F.lit(S))))
+    least_of = lambda h, d: F.zip_with(h, F.slice(h, F.lit(1 + d), F.size(h)), lambda a, b: F.least(a, b))
 
+    def chosen(h: Column, m: Column) -> Column:
+        """m[i] is the least of the width hashes from i on; two of these cover what lies between the ends."""
+        closed = lambda i: F.least(F.get(h, i), F.get(h, i + ends)) <= F.least(F.get(m, i + 1), F.get(m, i + (ends - width)))
+        found = F.filter(F.sequence(F.lit(0), F.octet_length(part) - K), closed)
+        return F.transform(found, lambda i: anchor_of(F.substring(part, i + 1, F.lit(K)), base + i))
 
-def shown(sketched: Column) -> Column:
-    return F.array_join(F.transform(sketched, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+    width = 1
+    step = lambda h, m, d: chosen(h, m) if 2 * d > ends - 1 else bind(least_of(m, d), lambda m2: step(h, m2, 2 * d))
+    while 2 * width <= ends - 1:
+        width *= 2
+    return bind(hashes, lambda h: step(h, h, 1))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Of two sketches, 0 to 1; two without anchors are alike."""
-    both = F.array_intersect(a, b)
-    least = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    return F.when(F.size(least) == 0, 1.0).otherwise(F.size(F.array_intersect(least, both)) / F.size(least)).cast("double")
+def syncmers(data: Column, base: Column | None = None) -> Column:
+    """Anchors of all closed syncmers of some bytes, in order."""
+    base = F.lit(0).cast("long") if base is None else base
+    starts = F.when(F.octet_length(data) >= K, F.sequence(F.lit(0), F.octet_length(data) - K, F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.transform(starts, lambda c: bind(F.substring(data, c + 1, F.lit(CHUNK + K - 1)), lambda part: chunk_anchors(part, base + c))))
+
+
+def whole(found: Column, text: Column) -> Column:
+    """The anchors, or for a text without any the one that stands for all of it."""
+    return F.when((F.size(found) == 0) & (text != ""), F.array(anchor_of(text.cast("binary"), F.lit(0).cast("long")))).otherwise(found)
+
+
+def anchors(text: Column) -> Column:
+    """All anchors of a text, in order; none only where it is empty."""
+    return bind(syncmers(text.cast("binary")), lambda found: whole(found, text))
 
 
-def successors(docs: DataFrame, key: str) -> DataFrame:
-    """docs (key, text, sketch) with next_text and next_sketch: of the row with the next
-    smaller key, and for the least row of the greatest. Rows with one key follow by text.
+def shown(found: Column) -> Column:
+    """Ten hexadecimal digits an anchor. Hashes have their highest bit set, so that none has fewer."""
+    before = F.concat(F.array(F.lit(0).cast("long")), found)
+    digits = F.zip_with(found, F.slice(before, F.lit(1), F.size(found)), lambda x, y: F.hex(F.shiftrightunsigned(x, 32) * 256 + F.least(position(x) - position(y), F.lit(255))))
+    return F.lower(F.array_join(digits, ""))
 
-    Rows are dealt into buckets of neighbouring keys, bounded by approximate quantiles.
-    The first row of the next bucket joins each bucket as its last one, so that every
-    text is shuffled once and a bucket holds about ROWS rows.
+
+def weighed(found: Column, side: int, shift: Column) -> Column:
+    """Anchors as longs that sort by hash, then by position less shift.
+
+    From the highest bit on: 27 of the hash, 31 of the position counted from -2 ** 30, one
+    of the side, and five of the distance from the anchor before, 1 at least.
     """
-    count, quantiles = docs.agg(F.count("*"), F.percentile_approx(key, [0.0, 1.0])).first()
-    n = min(BUCKETS, max(1, -(-count // ROWS)))
-    coarse = max(1, round(n**0.5))
-    fine = -(-n // coarse)
-    bounds = docs.agg(F.percentile_approx(key, [i / (coarse * fine) for i in range(1, coarse * fine)], 20 * BUCKETS)).first()[0] if coarse * fine > 1 and count else []
-    upper = [bounds[i * fine : (i + 1) * fine] for i in range(coarse)]
-    literal = lambda values: F.array(*[F.lit(v).cast("long") for v in values]).cast("array<bigint>")
-    at = F.size(F.filter(literal([u[-1] for u in upper[:-1] if u]), lambda b: F.col(key) > b))
-    # Buckets count down from the greatest keys.
-    inside = F.size(F.filter(F.element_at(F.array(*[literal(u) for u in upper]), at + 1), lambda b: F.col(key) > b))
-    bucket = (at * fine + inside).cast("long")
-    dealt = docs.withColumns({"bucket": bucket, "extra": F.lit(0)})
-    # One row a bucket, BUCKETS at most: safe to sort in one task and to broadcast.
-    firsts = docs.select(key, bucket.alias("bucket")).groupBy("bucket").agg(F.max(key).alias("first_key"))
-    ring = W.orderBy(F.desc("bucket"))
-    firsts = firsts.withColumns({"after": F.lead("first_key").over(ring), "top": F.first("first_key").over(ring)})
-    firsts = firsts.select(F.coalesce("after", "top").alias("wanted"), F.col("bucket").alias("to"))
-    more = docs.join(F.broadcast(firsts), F.col(key) == F.col("wanted")).drop("wanted").withColumnRenamed("to", "bucket").withColumn("extra", F.lit(1))
-    order = W.partitionBy("bucket").orderBy("extra", F.desc(key), "text")
-    walk = dealt.unionByName(more).withColumns({"next_text": F.lead("text").over(order), "next_sketch": F.lead("sketch").over(order)})
-    return walk.where("extra = 0").drop("bucket", "extra")
+    before = F.concat(F.array(F.lit(0).cast("long")), found)
+    place = lambda x: (position(x) - shift) * 64 + ((1 << 36) + 32 * side)
+    return F.zip_with(found, F.slice(before, F.lit(1), F.size(found)), lambda x, y: x.bitwiseAND(F.lit(-(1 << 37))) + place(x) + F.greatest(F.lit(1), F.least(position(x) - position(y), F.lit(31))))
+
+
+def likeness(a: Column, b: Column, longer: Column) -> Column:
+    """Of two lists of anchors, 0 to 1, matched by hash and position; two empty ones are alike.
+
+    longer is the length in bytes of the longer text, below 2 ** 29.
+    """
+    hash_of = lambda x: F.shiftright(x, 37)
+    place = lambda x: F.shiftright(x.bitwiseAND(F.lit((1 << 37) - 1)), 6)
+    side = lambda x: x.bitwiseAND(F.lit(32))
+    weight = lambda x: x.bitwiseAND(F.lit(31))
+    merged = lambda shift: F.sort_array(F.concat(weighed(a, 0, F.lit(0).cast("long")), weighed(b, 1, shift)))
+    within = F.greatest(F.lit(K), longer / TOLERANCE)
+
+    def offsets(rows: Column) -> Column:
+        pairs = F.zip_with(rows, F.slice(rows, F.lit(2), F.size(rows)), lambda x, y: F.when((hash_of(x) == hash_of(y)) & (side(x) != side(y)), (place(y) - place(x)) * (1 - side(x) / 16).cast("long")))
+        return F.sort_array(F.array_compact(pairs))
+
+    def matches(rows: Column) -> Column:
+        """Bytes of neighbours of one hash from both sides, which pair up, each once."""
+        state = lambda last, n: F.struct(last.cast("long").alias("last"), n.cast("long").alias("n"))
+        fits = lambda x, y: (hash_of(x) == hash_of(y)) & (side(x) != side(y)) & (place(y) - place(x) <= within)
+        return F.aggregate(rows, state(F.lit(None), F.lit(0)), lambda s, x: F.when(F.coalesce(fits(s["last"], x), F.lit(False)), state(F.lit(None), s["n"] + F.least(weight(s["last"]), weight(x)))).otherwise(state(x, s["n"])), lambda s: s["n"])
+
+    def aligned(rows: Column, found: Column) -> Column:
+        shift = F.get(found, F.floor(F.size(found) / 2).cast("int"))
+        return F.when(F.size(found) == 0, F.lit(0).cast("long")).otherwise(bind(shift, lambda d: F.when(d == 0, matches(rows)).otherwise(bind(merged(d), matches))))
+
+    shared = bind(merged(F.lit(0).cast("long")), lambda rows: bind(offsets(rows), lambda found: aligned(rows, found)))
+    # All distances of a list add up to its last position, and 1 where the first one is 0.
+    covered = lambda found: F.when(F.size(found) == 0, F.lit(0).cast("long")).otherwise(position(F.get(found, F.size(found) - 1)) + (position(F.get(found, F.lit(0))) == 0).cast("long"))
+    either = covered(a) + covered(b)
+    return F.when(either == 0, 1.0).otherwise(bind(shared, lambda n: n / (either - n))).cast("double")
+
+
+def successors(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, no nulls in text) with found, next_text and next_found.
+
+    The next row is the one with the next smaller doc_id, null last, and after the last
+    one the first. Rows with one doc_id follow by a hash of the text, then by the text.
+
+    Rows are dealt into buckets by their place in that order: QUANTILES quantiles, and
+    between two of them evenly, so that buckets hold about ROWS rows however many there
+    are. Rows that repeat a doc_id have places between it and the next. The first row of
+    each bucket joins the one before it as its last, so every text is shuffled once.
+    """
+    mixed = F.xxhash64("text")
+    between = mixed / F.lit(2.0**64) + 0.5
+    id_ = F.col("doc_id").cast("double")
+    # Never falls in that order. Rows that have one place share a bucket.
+    place = F.when(id_.isNull(), F.lit(2.0**63) * (1 + between)).when(F.abs(id_) < 2.0**40, F.floor(between * 4096) / 4096 - id_).otherwise(-id_)
+    rows = docs.withColumns({"late": F.col("doc_id").isNull(), "down": F.coalesce(F.bitwise_not("doc_id"), F.lit(0).cast("long")), "mixed": mixed, "place": place})
+    count, bounds = rows.agg(F.count("*"), F.percentile_approx("place", [i / QUANTILES for i in range(QUANTILES + 1)], 20 * QUANTILES)).first()
+    wanted = max(1, -(-count // ROWS))
+    coarse = min(QUANTILES, wanted)
+    fine = -(-wanted // coarse)
+    bounds = [bounds[i * QUANTILES // coarse] for i in range(coarse + 1)] if count else [0.0, 0.0]
+    every = F.array(*[F.lit(float(b)) for b in bounds])
+    at = F.size(F.filter(F.slice(every, 2, coarse - 1), lambda b: b <= F.col("place"))) if coarse > 1 else F.lit(0)
+    low, high = F.get(every, F.col("coarse")), F.get(every, F.col("coarse") + 1)
+    share = F.when(high > low, F.floor((F.col("place") - low) / (high - low) * fine)).otherwise(F.lit(0))
+    inside = F.greatest(F.lit(0), F.least(F.lit(fine - 1), share)).cast("long")
+    dealt = rows.withColumn("coarse", at).withColumn("bucket", F.col("coarse") * fine + inside).drop("place").withColumn("extra", F.lit(0))
+
+    key = ["late", "down", "mixed"]
+    firsts = dealt.groupBy("coarse", "bucket").agg(F.min(F.struct(*key)).alias("first"))
+    firsts = durable(firsts)
+    # A row per quantile: QUANTILES at most.
+    groups = firsts.groupBy("coarse").agg(F.max("bucket").alias("last"))
+    ring = W.orderBy("coarse")
+    groups = groups.select("coarse", F.coalesce(F.lag("last").over(ring), F.max("last").over(W.orderBy(F.lit(0)))).alias("last"))
+    to = F.coalesce(F.lag("bucket").over(W.partitionBy("coarse").orderBy("bucket")), F.col("last"))
+    moved = firsts.join(F.broadcast(groups), "coarse").select(*[F.col(f"first.{c}").alias(f"{c}__") for c in key], to.alias("to"))
+    moved = F.broadcast(moved) if wanted <= BROADCAST_ROWS // 2 else moved
+    more = dealt.join(moved, [F.col(c) == F.col(f"{c}__") for c in key]).select("doc_id", "text", *key, "coarse", F.col("to").alias("bucket"), F.lit(1).alias("extra"))
+    order = ["extra", *key, "text"]
+    walk = dealt.unionByName(more).repartition("bucket").sortWithinPartitions("bucket", *order)
+    walk = walk.withColumn("found", syncmers(F.col("text").cast("binary")))
+    window = W.partitionBy("bucket").orderBy(*order)
+    walk = walk.withColumns({"next_text": F.lead("text").over(window), "next_found": F.lead("found").over(window)})
+    return walk.where("extra = 0").select("doc_id", "text", "found", "next_text", "next_found")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -103,7 +199,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     Equal texts have equal fingerprints; null and empty ones an empty fingerprint.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long"), shown(sketch(text)).alias("fingerprint"), F.size(anchors(text)).cast("long").alias("n_anchors"))
+    rows = docs.select(F.col("doc_id").cast("long"), anchors(text).alias("found"))
+    return rows.select("doc_id", shown(F.col("found")).alias("fingerprint"), F.size("found").cast("long").alias("n_anchors"))
+
+
+def edited_found(found: Column, kept: Column, head: Column, next_found: Column) -> Column:
+    """Syncmers of kept + head, where kept begins a text, head the next one, and theirs are known."""
+    left, right = F.octet_length(kept), F.octet_length(head)
+    inside = lambda anchors_, length: F.filter(anchors_, lambda x: position(x) + K <= length)
+    overlap = F.least(F.lit(K - 1), left)
+    seam = F.concat(F.substring(kept.cast("binary"), left - overlap + 1, overlap), F.substring(head.cast("binary"), F.lit(1), F.least(F.lit(K - 1), right)))
+    across = bind(seam, lambda data: syncmers(data, (left - overlap).cast("long")))
+    return F.concat(inside(found, left), across, F.transform(inside(next_found, right), lambda x: x + left))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -112,13 +219,16 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     A document's edited text has its last floor(n_chars / 3) code points replaced by the
     first as many (or all) of the next document by descending doc_id, the first after the
     last. Null texts are empty. A null doc_id comes last; of rows that repeat a doc_id the
-    next is the one with the next greater text, and every row stays. A single row is its
-    own next document. Other columns are ignored. Empty in, empty out.
+    next is the one whose text has the next greater hash, and every row stays. A single row is its
+    own next document. Other columns are ignored. Empty in, empty out. A text needs about
+    four times its size in memory.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("sketch", sketch(F.col("text")))
-    out = successors(rows, "key").withColumn("n_chars", F.length("text").cast("long"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    out = successors(rows).withColumn("n_chars", F.length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
-    out = out.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - third), F.substring("next_text", F.lit(1), third)))
-    out = out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sketch", "next_sketch", sketch(F.col("edited")).alias("edited_sketch"))
-    return out.select("doc_id", "n_chars", "edited_sha256", shown(F.col("sketch")).alias("fingerprint"), shown(F.col("edited_sketch")).alias("edited_fingerprint"), likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
+    out = out.withColumns({"left": F.substring("text", F.lit(1), F.col("n_chars").cast("int") - third), "head": F.substring("next_text", F.lit(1), third)})
+    edited = F.concat("left", "head")
+    out = out.withColumn("edited_found", edited_found(F.col("found"), F.col("left"), F.col("head"), F.col("next_found")))
+    out = out.select("doc_id", "n_chars", F.sha2(edited, 256).alias("edited_sha256"), whole(F.col("found"), F.col("text")).alias("found"), whole(F.col("next_found"), F.col("next_text")).alias("next_found"), whole(F.col("edited_found"), edited).alias("edited_found"), F.octet_length("text").alias("bytes"), F.octet_length(edited).alias("edited_bytes"), F.octet_length("next_text").alias("next_bytes"))
+    near = lambda other, size: likeness(F.col("found"), F.col(other), F.greatest("bytes", size))
+    return out.select("doc_id", "n_chars", "edited_sha256", shown(F.col("found")).alias("fingerprint"), shown(F.col("edited_found")).alias("edited_fingerprint"), near("edited_found", "edited_bytes").alias("near_edited"), near("next_found", "next_bytes").alias("near_next"))
