@@ -7,7 +7,7 @@ import pytest
 import xxhash
 
 from worksight.llm import fingerprints
-from worksight.llm.fingerprints import TOLERANCE, K, S
+from worksight.llm.fingerprints import PARTS, K, S
 
 FIELDS = "doc_id long, text string, fingerprint string"
 
@@ -36,23 +36,15 @@ def brute_print(text):
 
 
 def brute_likeness(one, two):
-    a, b = brute_anchors(one), brute_anchors(two)
-    if not a and not b:
+    sides = [(brute_anchors(t), len(t.encode())) for t in (one, two)]
+    if not any(found for found, _ in sides):
         return 1.0
-    weights = lambda found: [max(1, p - q) for (_, p), (_, q) in zip(found, [(0, 0), *found])]
-    sides = [(h - (1 << 32) >> 5, p, side, w) for side, found in enumerate((a, b)) for (h, p), w in zip(found, weights(found))]
-    merged = lambda shift: sorted((h, p - shift * side, side, w) for h, p, side, w in sides)
-    rows = merged(0)
-    offsets = sorted((y[1] - x[1]) * (1 - 2 * x[2]) for x, y in zip(rows, rows[1:]) if x[0] == y[0] and x[2] != y[2])
-    if not offsets:
-        return 0.0
-    within, last, n = max(K, max(len(one.encode()), len(two.encode())) / TOLERANCE), None, 0
-    for x in merged(offsets[len(offsets) // 2]):
-        if last and last[0] == x[0] and last[2] != x[2] and x[1] - last[1] <= within:
-            last, n = None, n + min(last[3], x[3])
-        else:
-            last = x
-    return n / (sum(weights(a)) + sum(weights(b)) - n)
+    longer = max(1, *(n for _, n in sides))
+    scores = []
+    for place in (lambda p, n: p, lambda p, n: n - p):
+        a, b = ({(h, place(p, n) * PARTS // longer) for h, p in found} for found, n in sides)
+        scores.append(len(a & b) / len(a | b))
+    return max(scores)
 
 
 def chosen_texts():

@@ -10,12 +10,12 @@ lower one. The fingerprint lists all anchors in text order, each as eight hexade
 digits of the hash and two of the distance from the anchor before. A text that has no
 syncmer but isn't empty has one anchor, the hash of all of it.
 
-Likeness matches anchors by position: the median offset between anchors that both texts
-hold aligns them, and two anchors match when they have one hash and lie within an eighth of
-the longer text of each other after that. An anchor weighs as much as its distance from the
-one before, so that runs of one letter, where every k-mer is chosen, weigh what they are
-long. The weight of matches over that of both texts' anchors together is the likeness;
-passages that changed their order count as changed.
+Likeness matches anchors by position: two anchors match when they have one hash and lie in
+the same of PARTS equal parts of the longer text, counted from the start of either text or,
+where that gives more, from its end. Matches over the pairs of hash and part that either
+text has is the likeness. So passages that changed their order count as changed, text put
+before or after the rest moves nothing else, and runs of one letter, where every k-mer is
+chosen, count once a part.
 
 Scale: a text is shuffled once, and its anchors are computed once, in pieces of CHUNK bytes.
 Those of an edited text are the anchors left in its two parts and those across the seam.
@@ -34,14 +34,15 @@ from worksight.llm.common import durable
 K, S = 28, 4
 #: Start positions that are looked at together; bounds the arrays of hashes.
 CHUNK = 4096
-#: Documents of a bucket in the walk to the next document, about.
-ROWS = 2000
+#: Documents of a bucket in the walk to the next document, about: ROWS, and up to MOST where
+#: that keeps the number of buckets, and with it a broadcast, small.
+ROWS, MOST = 256, 4096
 #: Buckets are dealt by so many quantiles of the ids, and evenly between two of these.
 QUANTILES = 256
 #: First rows of buckets that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
-#: Anchors match within the longer text's length divided by this.
-TOLERANCE = 8
+#: Parts of the longer text in which anchors match.
+PARTS = 8
 UPPER, LOWER, SIGN = -(1 << 32), (1 << 32) - 1, -(1 << 63)
 
 
@@ -101,48 +102,15 @@ def shown(found: Column) -> Column:
     return F.lower(F.array_join(digits, ""))
 
 
-def weighed(found: Column, side: int, shift: Column) -> Column:
-    """Anchors as longs that sort by hash, then by position less shift.
-
-    From the highest bit on: 27 of the hash, 31 of the position counted from -2 ** 30, one
-    of the side, and five of the distance from the anchor before, 1 at least.
-    """
-    before = F.concat(F.array(F.lit(0).cast("long")), found)
-    place = lambda x: (position(x) - shift) * 64 + ((1 << 36) + 32 * side)
-    return F.zip_with(found, F.slice(before, F.lit(1), F.size(found)), lambda x, y: x.bitwiseAND(F.lit(-(1 << 37))) + place(x) + F.greatest(F.lit(1), F.least(position(x) - position(y), F.lit(31))))
-
-
-def likeness(a: Column, b: Column, longer: Column) -> Column:
-    """Of two lists of anchors, 0 to 1, matched by hash and position; two empty ones are alike.
-
-    longer is the length in bytes of the longer text, below 2 ** 29.
-    """
-    hash_of = lambda x: F.shiftright(x, 37)
-    place = lambda x: F.shiftright(x.bitwiseAND(F.lit((1 << 37) - 1)), 6)
-    side = lambda x: x.bitwiseAND(F.lit(32))
-    weight = lambda x: x.bitwiseAND(F.lit(31))
-    merged = lambda shift: F.sort_array(F.concat(weighed(a, 0, F.lit(0).cast("long")), weighed(b, 1, shift)))
-    within = F.greatest(F.lit(K), longer / TOLERANCE)
-
-    def offsets(rows: Column) -> Column:
-        pairs = F.zip_with(rows, F.slice(rows, F.lit(2), F.size(rows)), lambda x, y: F.when((hash_of(x) == hash_of(y)) & (side(x) != side(y)), (place(y) - place(x)) * (1 - side(x) / 16).cast("long")))
-        return F.sort_array(F.array_compact(pairs))
-
-    def matches(rows: Column) -> Column:
-        """Bytes of neighbours of one hash from both sides, which pair up, each once."""
-        state = lambda last, n: F.struct(last.cast("long").alias("last"), n.cast("long").alias("n"))
-        fits = lambda x, y: (hash_of(x) == hash_of(y)) & (side(x) != side(y)) & (place(y) - place(x) <= within)
-        return F.aggregate(rows, state(F.lit(None), F.lit(0)), lambda s, x: F.when(F.coalesce(fits(s["last"], x), F.lit(False)), state(F.lit(None), s["n"] + F.least(weight(s["last"]), weight(x)))).otherwise(state(x, s["n"])), lambda s: s["n"])
-
-    def aligned(rows: Column, found: Column) -> Column:
-        shift = F.get(found, F.floor(F.size(found) / 2).cast("int"))
-        return F.when(F.size(found) == 0, F.lit(0).cast("long")).otherwise(bind(shift, lambda d: F.when(d == 0, matches(rows)).otherwise(bind(merged(d), matches))))
-
-    shared = bind(merged(F.lit(0).cast("long")), lambda rows: bind(offsets(rows), lambda found: aligned(rows, found)))
-    # All distances of a list add up to its last position, and 1 where the first one is 0.
-    covered = lambda found: F.when(F.size(found) == 0, F.lit(0).cast("long")).otherwise(position(F.get(found, F.size(found) - 1)) + (position(F.get(found, F.lit(0))) == 0).cast("long"))
-    either = covered(a) + covered(b)
-    return F.when(either == 0, 1.0).otherwise(bind(shared, lambda n: n / (either - n))).cast("double")
+def likeness(a: Column, a_bytes: Column, b: Column, b_bytes: Column) -> Column:
+    """Of two lists of anchors and their texts' lengths, 0 to 1; two empty lists are alike."""
+    longer = F.greatest(a_bytes, b_bytes, F.lit(1))
+    # The part in which an anchor lies takes the place of its position.
+    placed = lambda found, place: F.transform(found, lambda x: x.bitwiseAND(F.lit(UPPER)) + F.floor(place(position(x)) * PARTS / longer))
+    jaccard = lambda x, y: bind(x, lambda x: bind(y, lambda y: F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))))
+    forward = jaccard(placed(a, lambda p: p), placed(b, lambda p: p))
+    backward = jaccard(placed(a, lambda p: a_bytes - p), placed(b, lambda p: b_bytes - p))
+    return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(F.greatest(forward, backward)).cast("double")
 
 
 def successors(docs: DataFrame) -> DataFrame:
@@ -152,8 +120,7 @@ def successors(docs: DataFrame) -> DataFrame:
     one the first. Rows with one doc_id follow by a hash of the text, then by the text.
 
     Rows are dealt into buckets by their place in that order: QUANTILES quantiles, and
-    between two of them evenly, so that buckets hold about ROWS rows however many there
-    are. Rows that repeat a doc_id have places between it and the next. The first row of
+    between two of them evenly, so that buckets stay small however many rows there are. Rows that repeat a doc_id have places between it and the next. The first row of
     each bucket joins the one before it as its last, so every text is shuffled once.
     """
     mixed = F.xxhash64("text")
@@ -163,7 +130,7 @@ def successors(docs: DataFrame) -> DataFrame:
     place = F.when(id_.isNull(), F.lit(2.0**63) * (1 + between)).when(F.abs(id_) < 2.0**40, F.floor(between * 4096) / 4096 - id_).otherwise(-id_)
     rows = docs.withColumns({"late": F.col("doc_id").isNull(), "down": F.coalesce(F.bitwise_not("doc_id"), F.lit(0).cast("long")), "mixed": mixed, "place": place})
     count, bounds = rows.agg(F.count("*"), F.percentile_approx("place", [i / QUANTILES for i in range(QUANTILES + 1)], 20 * QUANTILES)).first()
-    wanted = max(1, -(-count // ROWS))
+    wanted = max(1, -(-count // min(max(ROWS, count // BROADCAST_ROWS), max(ROWS, MOST))))
     coarse = min(QUANTILES, wanted)
     fine = -(-wanted // coarse)
     bounds = [bounds[i * QUANTILES // coarse] for i in range(coarse + 1)] if count else [0.0, 0.0]
@@ -183,7 +150,7 @@ def successors(docs: DataFrame) -> DataFrame:
     groups = groups.select("coarse", F.coalesce(F.lag("last").over(ring), F.max("last").over(W.orderBy(F.lit(0)))).alias("last"))
     to = F.coalesce(F.lag("bucket").over(W.partitionBy("coarse").orderBy("bucket")), F.col("last"))
     moved = firsts.join(F.broadcast(groups), "coarse").select(*[F.col(f"first.{c}").alias(f"{c}__") for c in key], to.alias("to"))
-    moved = F.broadcast(moved) if wanted <= BROADCAST_ROWS // 2 else moved
+    moved = F.broadcast(moved) if wanted <= 2 * BROADCAST_ROWS else moved
     more = dealt.join(moved, [F.col(c) == F.col(f"{c}__") for c in key]).select("doc_id", "text", *key, "coarse", F.col("to").alias("bucket"), F.lit(1).alias("extra"))
     order = ["extra", *key, "text"]
     walk = dealt.unionByName(more).repartition("bucket").sortWithinPartitions("bucket", *order)
@@ -230,5 +197,5 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     edited = F.concat("left", "head")
     out = out.withColumn("edited_found", edited_found(F.col("found"), F.col("left"), F.col("head"), F.col("next_found")))
     out = out.select("doc_id", "n_chars", F.sha2(edited, 256).alias("edited_sha256"), whole(F.col("found"), F.col("text")).alias("found"), whole(F.col("next_found"), F.col("next_text")).alias("next_found"), whole(F.col("edited_found"), edited).alias("edited_found"), F.octet_length("text").alias("bytes"), F.octet_length(edited).alias("edited_bytes"), F.octet_length("next_text").alias("next_bytes"))
-    near = lambda other, size: likeness(F.col("found"), F.col(other), F.greatest("bytes", size))
+    near = lambda other, size: likeness(F.col("found"), F.col("bytes"), F.col(other), F.col(size))
     return out.select("doc_id", "n_chars", "edited_sha256", shown(F.col("found")).alias("fingerprint"), shown(F.col("edited_found")).alias("edited_fingerprint"), near("edited_found", "edited_bytes").alias("near_edited"), near("next_found", "next_bytes").alias("near_next"))
