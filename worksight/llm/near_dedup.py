@@ -10,7 +10,9 @@ links are joined into components. Classes that share a bucket and still lie in d
 components are open. Links among open classes of different components come from an exact
 prefix filter: two sets that are similar enough share one of their rarest shingles at
 positions that leave room for the overlap they need. So a group of copies costs about as
-many comparisons as it has members, and no link between different texts is lost.
+many comparisons as it has members, and of the links between classes that share a bucket
+none is lost to the choice of a center. Two classes that share no bucket may be missed; the
+tests and README say how rarely.
 Comparisons stream, dealt by (center, slice of its partners), so that a hot class is
 compared by many tasks.
 """
@@ -34,9 +36,9 @@ SLICE = 128
 EMPTY = np.empty(0, np.uint64)
 
 
-def class_key(unique: np.ndarray) -> int:
-    """64 bits that stand for a set given as its sorted hashes."""
-    return int.from_bytes(hashlib.blake2b(unique.tobytes(), digest_size=8).digest(), "little", signed=True)
+def class_key(unique: np.ndarray) -> bytes:
+    """128 bits that stand for a set given as its sorted hashes."""
+    return hashlib.blake2b(unique.tobytes(), digest_size=16).digest()
 
 
 def prefix(unique: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
@@ -48,12 +50,12 @@ def prefix(unique: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, permutations: int, rows: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, class, bands, prefix: one row per document; lists are empty without shingles."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    """doc_id, tag, n_shingles, digest, bands, prefix: one row per document (doc_id, text, tag); lists are empty without shingles."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("tag").cast("long"))
     rarity = docs.sparkSession.sparkContext.broadcast(slot_counts(docs.select("text"), lambda texts: np.concatenate(shingle_hashes(texts, k)), SLOTS))
     multipliers = mix(np.arange(7001, 7001 + permutations, dtype=np.uint64)) | np.uint64(1)
     weights = mix(np.arange(9001, 9001 + rows, dtype=np.uint64)) | np.uint64(1)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64()), ("bands", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int32()))])
 
     def bands(sets: list[np.ndarray]) -> np.ndarray:
         full = [s for s in sets if len(s)]
@@ -69,15 +71,15 @@ def signatures(docs: DataFrame, k: int, permutations: int, rows: int, percent: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids = encoded(batch.column(1)), batch.column(0)
+            texts, ids, tags = encoded(batch.column(1)), batch.column(0), batch.column(2)
             for a, b in blocks(texts):
                 sets = [np.unique(s) for s in shingle_hashes(texts[a:b], k)]
                 found = iter(bands(sets))
                 lists = [next(found) if len(s) else EMPTY for s in sets]
                 rarest = [prefix(s, rarity.value, percent) if len(s) else EMPTY for s in sets]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) if len(s) else None for s in sets], pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array(rarest, pa.list_(pa.int32()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), tags.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) if len(s) else None for s in sets], pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array(rarest, pa.list_(pa.int32()))], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, class long, bands array<long>, prefix array<int>")
+    return docs.mapInArrow(run, "doc_id long, tag long, n_shingles long, digest binary, bands array<long>, prefix array<int>")
 
 
 def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -85,21 +87,21 @@ def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percen
     slices = F.greatest(F.lit(1), F.ceil(F.col("partners") / SLICE))
     dealt = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("partners")), "a").select("a", "b", F.pmod(F.xxhash64("b"), slices).alias("slice"))
     legs = dealt.select("a", "slice", F.lit(1).alias("leg"), F.col("b").alias("class")).unionByName(dealt.select("a", "slice").distinct().withColumns({"leg": F.lit(0), "class": F.col("a")}))
-    legs = legs.join(classes.select("class", "first_id"), "class")
+    legs = legs.join(classes.select("class", "first_id", "digest"), "class")
     texts = docs.select(F.col("doc_id").cast("long").alias("first_id"), F.col("text").cast("string").alias("text"))
-    streams = legs.join(texts, "first_id").select("a", "slice", "leg", "class", "text").repartition(partitions(docs.sparkSession), "a", "slice").sortWithinPartitions("a", "slice", "leg")
+    streams = legs.join(texts, "first_id").select("a", "slice", "leg", "class", "text", "digest").repartition(partitions(docs.sparkSession), "a", "slice").sortWithinPartitions("a", "slice", "leg")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, left = None, EMPTY
         for batch in batches:
             texts = encoded(batch.column(4))
-            a, part, leg, keys = (batch.column(i).to_pylist() for i in range(4))
+            a, part, leg, keys, digests = (batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5))
             found: list[tuple[int, int]] = []
             for x, y in blocks(texts):
                 for i, s in enumerate(shingle_hashes(texts[x:y], k), x):
                     unique = np.unique(s)
-                    if class_key(unique) != keys[i]:  # another text under the same doc_id
+                    if class_key(unique) != digests[i]:  # another text under the same doc_id
                         continue
                     if leg[i] == 0:
                         at, left = (a[i], part[i]), unique
@@ -170,7 +172,22 @@ def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.col("class").alias("a"), F.col("class2").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, permutations: int = 64, rows: int = 4) -> DataFrame:
+#: Parts into which the rows of one component are dealt when they get its smallest doc_id.
+PARTS = 32
+
+
+def component_ids(groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """class, component, component_id (its smallest doc_id) of every class; groups (class, component) holds linked ones.
+
+    The rows of a component are dealt over PARTS tasks, so that a large one spreads.
+    """
+    linked_ = groups.join(classes.select("class", "first_id"), "class")
+    smallest = linked_.groupBy("component").agg(F.min("first_id").alias("component_id")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    named = linked_.withColumn("part", F.pmod(F.xxhash64("class"), F.lit(PARTS)).cast("int")).join(smallest, ["component", "part"]).select("class", "component", "component_id")
+    return classes.select("class", "first_id").join(named, "class", "left").select("class", F.coalesce("component", "class").alias("component"), F.coalesce("component_id", "first_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, permutations: int = 64, rows: int = 4, tag: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text).
 
     Documents are linked when 100 * shared >= percent * united distinct shingles; a
@@ -180,11 +197,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, permut
 
     Null or empty texts have no shingles and link with nothing. Rows that repeat a doc_id
     are documents of their own. A row whose doc_id is null links with nothing, has a null
-    component_id and is kept. Other columns of docs are ignored. Empty in, empty out.
+    component_id and is kept. `tag` names a long column of docs that comes along, to tell
+    such rows apart, with the number of the component as group; other columns are ignored. Texts are hashed in blocks of about 1 MB; a
+    longer one is a block of its own and takes about 50 times its size. Empty in, empty out.
     """
+    docs = docs.select("doc_id", "text", (F.col(tag) if tag else F.lit(None)).cast("long").alias("tag"))
     signed = signatures(docs, shingle, permutations, rows, percent)
-    signed = durable(signed.withColumn("class", F.when(F.col("doc_id").isNotNull(), F.col("class"))))
-    classes = durable(signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("prefix").alias("prefix")))
+    signed = durable(signed.withColumn("digest", F.when(F.col("doc_id").isNotNull(), F.col("digest"))))
+    classes = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("prefix").alias("prefix"))
+    # Numbers of their own: 64 bits of a digest would be one number for two of some billion classes.
+    classes = durable(classes.withColumn("class", F.monotonically_increasing_id()))
     members = durable(shared_buckets(classes))
     stars = members.where("class <> center").select(F.col("center").alias("a"), F.col("class").alias("b")).distinct()
     links = durable(linked(stars, classes, docs, shingle, percent))
@@ -199,8 +221,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, permut
         groups = components(links.unionByName(more))
     groups = groups.select(F.col("node").alias("class"), "component")
 
-    named = classes.select("class", "first_id").join(groups, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    named = named.join(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "component").select("class", "component_id")
-    out = signed.select("doc_id", "n_shingles", "class").join(named, "class", "left")
-    out = out.withColumn("component_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    named = component_ids(groups, classes).join(classes.select("class", "digest"), "class").select("digest", F.col("component").alias("group"), "component_id")
+    out = signed.select("doc_id", "tag", "n_shingles", "digest").join(named, "digest", "left")
+    out = out.withColumn("component_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), *([F.col("tag").alias(tag), "group"] if tag else []))
