@@ -7,12 +7,15 @@ start, drops starts that don't fit into the document, compares the window's hash
 and last the words themselves.
 
 Scale: the documents are read twice and never shuffled. Rarity comes from word counts in a
-table of fixed size. Windows go to the executors in slices of bounded size, each slice
-against all documents, so a benchmark of any size fits.
+table of fixed size. Windows go to the executors in slices of bounded size. A benchmark of
+up to SLICE_BYTES is one slice; a larger one takes a pass over all documents for each, whose
+rows are written out and numbered first.
 """
 
 from __future__ import annotations
 
+import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +28,9 @@ from worksight.llm.common import ALNUM, STEPS, Words, blocks, durable, encoded,
 #: Slots of the table of word counts.
 SLOTS = 1 << 18
 #: Bytes of item texts whose windows are broadcast at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
+#: Words of a piece of an item; longer items are dealt in pieces that overlap by a window.
+PIECE = 100_000
 #: The prefilter of anchors has so many bits.
 BITS = 1 << 22
 
@@ -36,33 +41,35 @@ def rarity(docs: DataFrame) -> np.ndarray:
 
 
 class Windows:
-    """The distinct windows of a slice of items, by anchor."""
+    """The distinct windows of a slice of items, by anchor; their words stay in the items."""
 
     def __init__(self, items: list[tuple[str, bytes]], length: int, counts: np.ndarray):
-        self.items: list[list[str]] = []
+        self.names = [name for name, _ in items]
+        self.words: list[tuple[bytes, np.ndarray, np.ndarray]] = []
+        #: Names of windows that several items hold.
+        self.shared: dict[int, list[str]] = {}
         seen: dict[bytes, int] = {}
-        hashes, lengths, anchors, offsets, self.texts = [], [], [], [], []
-        for name, text in items:
+        hashes, lengths, anchors, offsets, self.item, self.first = [], [], [], [], array("i"), array("i")
+        for number, (name, text) in enumerate(items):
             w = Words([text], ALNUM)
+            self.words.append((w.data, w.starts.astype(np.int32), w.ends.astype(np.int32)))
             n = len(w.hashes)
-            words = [w.data[a:b] for a, b in zip(w.starts, w.ends, strict=True)]
             seldom = counts[(w.hashes % np.uint64(SLOTS)).astype(np.int64)]
             for i in range(max(0, n - length) + 1 if n else 0):
-                part = words[i : i + length]
-                key = b" ".join(part)
-                if key in seen:
-                    if self.items[seen[key]][-1] != name:
-                        self.items[seen[key]].append(name)
+                size = min(length, n)
+                key = hashlib.blake2b(self.text(number, i, size), digest_size=16).digest()
+                if (k := seen.setdefault(key, len(self.item))) < len(self.item):
+                    names = self.shared.setdefault(k, [self.names[self.item[k]]])
+                    if name not in names:
+                        names.append(name)
                     continue
-                seen[key] = len(self.items)
-                self.items.append([name])
-                size = len(part)
+                self.item.append(number)
+                self.first.append(i)
                 at = int(np.argmin(seldom[i : i + size]))
                 hashes.append(window_hash(w.hashes[i : i + size]))
                 lengths.append(size)
                 anchors.append(w.hashes[i + at])
                 offsets.append(at)
-                self.texts.append(key)
         order = np.argsort(np.array(anchors, np.uint64), kind="stable")
         self.order = order
         self.anchors = np.array(anchors, np.uint64)[order]
@@ -72,6 +79,14 @@ class Windows:
         self.bits = np.zeros(BITS, bool)
         self.bits[(self.anchors % np.uint64(BITS)).astype(np.int64)] = True
 
+    def text(self, item: int, first: int, size: int) -> bytes:
+        data, starts, ends = self.words[item]
+        return b" ".join(data[starts[i] : ends[i]] for i in range(first, first + size))
+
+    def holders(self, k: int) -> list[str]:
+        """Names of the items that hold a window."""
+        return self.shared.get(k) or [self.names[self.item[k]]]
+
 
 def window_hash(words: np.ndarray) -> np.uint64:
     return mix(np.sum(words * STEPS[: len(words)], keepdims=True, dtype=np.uint64) + np.uint64(len(words)))[0]
@@ -101,19 +116,19 @@ def occurrences(w: Words, windows: Windows) -> Iterator[tuple[int, int, int]]:
             sums += w.hashes[s + j] * STEPS[j]
         same = mix(sums + np.uint64(length)) == windows.hashes[k]
         for a, b in zip(s[same].tolist(), windows.order[k[same]].tolist(), strict=True):
-            if b" ".join(w.data[w.starts[i] : w.ends[i]] for i in range(a, a + int(length))) == windows.texts[b]:
+            if b" ".join(w.data[w.starts[i] : w.ends[i]] for i in range(a, a + int(length))) == windows.text(windows.item[b], windows.first[b], int(length)):
                 yield a, int(length), b
 
 
 def marked(docs: DataFrame, windows: Windows) -> DataFrame:
-    """row__, doc_id, n_words, hits (ranges of words), items of every row of docs."""
+    """row__, doc_id, tag, n_words, hits (ranges of words), items of every row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(windows)
-    schema = pa.schema([("row__", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+    schema = pa.schema([("row__", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = shared.value
         for batch in batches:
-            texts = encoded(batch.column(2))
+            texts = encoded(batch.column(3))
             hits: list[list[int]] = [[] for _ in texts]
             items: list[set[str]] = [set() for _ in texts]
             counts: list[int] = []
@@ -124,10 +139,10 @@ def marked(docs: DataFrame, windows: Windows) -> DataFrame:
                     text = int(np.searchsorted(w.first, start, "right")) - 1
                     first = start - int(w.first[text])
                     hits[a + text] += [first, first + length]
-                    items[a + text].update(windows.items[k])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(list(map(united, hits)), pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], schema=schema)
+                    items[a + text].update(windows.holders(k))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(counts, pa.int64()), pa.array(list(map(united, hits)), pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], schema=schema)
 
-    return docs.select("row__", "doc_id", "text").mapInArrow(run, "row__ long, doc_id long, n_words long, hits array<long>, items array<string>")
+    return docs.select("row__", "doc_id", "tag", "text").mapInArrow(run, "row__ long, doc_id long, tag long, n_words long, hits array<long>, items array<string>")
 
 
 def united(ranges: list[int]) -> list[int]:
@@ -141,7 +156,25 @@ def united(ranges: list[int]) -> list[int]:
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 13, one_in: int = 20) -> DataFrame:
+def pieces(items: DataFrame, length: int) -> DataFrame:
+    """items (item, text), long texts as pieces of PIECE words that hold the same windows."""
+    schema = pa.schema([("item", pa.string()), ("text", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), encoded(batch.column(1)), strict=True):
+                w = Words([text], ALNUM)
+                n, at = len(w.starts), 0
+                while at == 0 or at + length - 1 < n:
+                    end = min(n, at + PIECE)
+                    part = w.data[w.starts[at] : w.ends[end - 1]] if n else b""
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part.decode()])], schema=schema)
+                    at = max(1, end - length + 1)
+
+    return items.mapInArrow(run, "item string, text string")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 13, one_in: int = 20, tag: str | None = None) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of docs.
 
     docs has doc_id and text, benchmark item_id and text. An item of fewer than `length`
@@ -149,14 +182,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 13, one_i
     is hit; a document is contaminated when at least one in `one_in` of its words is.
     Null and empty texts have no words. Rows that repeat an item_id count as one item, a
     null item_id as an item named by the empty string, rows that repeat a doc_id each for
-    themselves. Other columns are ignored. Empty tables give no hits or no rows.
+    themselves. `tag` names a long column of docs that comes along; other columns are
+    ignored. Empty tables give no hits or no rows. A text of over 1 MB is hashed alone and
+    takes about 50 times its size.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text")).where("text is not null")
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), (F.col(tag) if tag else F.lit(None)).cast("long").alias("tag"))
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    items = durable(pieces(items, length))
     counts = rarity(docs)
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = max(1, -(-size // SLICE_BYTES))
-    docs = docs.withColumn("row__", F.lit(0).cast("long") if slices == 1 else F.monotonically_increasing_id())
+    # Rows keep their numbers over all passes only because they are written out with them.
+    docs = docs.withColumn("row__", F.lit(0).cast("long")) if slices == 1 else durable(docs.withColumn("row__", F.monotonically_increasing_id()))
     dealt = items.withColumn("slice__", F.pmod(F.xxhash64("item", "text"), F.lit(slices)))
     found = None
     for k in range(slices):
@@ -166,9 +203,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 13, one_i
         found = part if found is None else found.unionByName(part)
     if slices > 1:
         merge = F.pandas_udf(lambda s: s.map(lambda x: united([int(y) for r in x for y in r])), "array<long>")
-        found = found.groupBy("row__").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        found = found.groupBy("row__").agg(F.first("doc_id").alias("doc_id"), F.first("tag").alias("tag"), F.first("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         found = found.withColumn("hits", merge("hits"))
     n_hit = F.expr("aggregate(sequence(1, size(hits) div 2), 0L, (n, i) -> n + coalesce(hits[2 * i - 1] - hits[2 * i - 2], 0L))")
     out = found.withColumn("n_hit", F.when(F.size("hits") > 0, n_hit).otherwise(F.lit(0).cast("long")))
     contaminated = (F.col("n_hit") > 0) & (one_in * F.col("n_hit") >= F.col("n_words"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated.alias("contaminated"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated.alias("contaminated"), *([F.col("tag").alias(tag)] if tag else []))
