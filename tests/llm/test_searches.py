@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from worksight.llm import decontaminate, pii
 
@@ -35,6 +36,7 @@ def brute(docs, items, length=13):
 @pytest.mark.parametrize("slice_bytes", [1 << 22, 300])
 def test_contamination(spark, monkeypatch, slice_bytes):
     monkeypatch.setattr(decontaminate, "SLICE_BYTES", slice_bytes)
+    monkeypatch.setattr(decontaminate, "PIECE", 100_000 if slice_bytes > 300 else 15)
     r = random.Random(9)
     say = lambda n, k: [r.choice("abcdefghij") * r.randint(1, 3) for _ in range(n)] if k else [f"u{r.randrange(10**6)}" for _ in range(n)]
     items = [(i, " ".join(say(r.randint(1, 40), i % 3 == 0))) for i in range(25)] + [(7, "second row of seven " * 5), (None, "no id here"), (99, None), (98, "---"), (97, "Été à la MER, très LOIN"), (40, "a" * 20)]
@@ -51,6 +53,8 @@ def test_contamination(spark, monkeypatch, slice_bytes):
     bench = spark.createDataFrame([(i, t, "y") for i, t in items], "item_id long, text string, doc_id string")
     got = [tuple(x) for x in decontaminate.contamination(df, bench).collect()]
     assert sorted(got, key=str) == brute(docs, items)
+    shuffled = decontaminate.contamination(df.repartition(5).withColumn("mark", F.xxhash64("text")), bench.unionByName(bench), tag="mark")
+    assert sorted((tuple(x)[:-1] for x in shuffled.collect()), key=str) == brute(docs, items)
     none = decontaminate.contamination(df, bench.where("false")).collect()
     assert len(none) == len(docs) and not any(x.contaminated for x in none)
     assert decontaminate.contamination(df.where("false"), bench).count() == 0
@@ -97,6 +101,34 @@ def test_added_kinds_and_redaction(spark):
     assert pii.with_personal_data(df.where("false")).count() == 0
 
 
+def test_numbers_with_many_zeros():
+    for text in ("0" * 5000 + ".1.1.1", "1.2." + "0" * 9000 + "7.0", "0" * 5000 + "256.1.1.1", "00.000.0.255", "9" * 5000 + ".1.1.1"):
+        assert [s for s in pii.find(text) if s[0] == "ip"] == [("ip", *m.span()) for m in IP.finditer(text) if all(int(p.lstrip("0")[:4] or "0") <= 255 for p in m[0].split("."))]
+
+
+def test_query_lists_the_spans_of_the_patterns(spark, tmp_path):
+    from worksight.llm.queries import op8_personal_data
+
+    texts = [None, "", "a@b.c 1.2.3.4, +1 (555) 555-0100; é 4111 1111 1111 1111 and bad 4111 1111 1111 1112", "x" * 3000 + " q@r.st " + "0" * 5000 + ".1.1.1", "漢字 jo@ex.org", "漢字 jo@ex.org"]
+    spark.createDataFrame([(i % 5, t, "q", "r") for i, t in enumerate(texts)], "doc_id long, text string, spans string, found string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op8_personal_data(spark, str(tmp_path)).collect()
+    spell = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+    base = lambda t: [s for k in pii.BASE for s in base_spans_of(t or "") if s[0] == k]
+    want = sorted((i % 5, *[sum(s[0] == k for s in base(t)) for k in pii.BASE], hashlib.sha256(spell(base(t)).encode()).hexdigest(), spell(pii.find(t or ""))) for i, t in enumerate(texts))
+    assert sorted((x.doc_id, x.n_email, x.n_ip, x.n_card, x.n_phone, x.base_sha256, x.spans) for x in got) == want
+
+
+def base_spans_of(text):
+    """base_spans where numbers may have more digits than int() takes."""
+    return [s for s in base_spans(re.sub(r"0{4000,}", lambda m: "\x00" * len(m[0]), text))] + [("ip", *m.span()) for m in IP.finditer(text) if re.search(r"0{4000,}", m[0])]
+
+
+def test_columns_with_clashing_names_pass(spark):
+    df = spark.createDataFrame([(1, "a@b.c", "x", "y", "z")], "doc_id long, text string, found string, spans__ string, redacted__ string")
+    got = pii.with_personal_data(df, redact=True).first()
+    assert (got.found, got.redacted__, len(got.spans__)) == ("x", "[email]", 1)
+
+
 def test_long_runs_take_linear_time():
     for text in ("1" * 200_000, "1." * 100_000, "a" * 200_000 + "@", "@" * 200_000, "+1 " * 60_000, "1 2-" * 50_000, "a.b@" * 50_000):
         pii.find(text)

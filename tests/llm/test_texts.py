@@ -80,6 +80,57 @@ def test_newton_reaches_the_optimum(spark):
     assert got == pytest.approx({"a": 0.05, "b": 2.0, "c": 1.0, "d": 0.0, "e": 0.0}, abs=1e-9)
 
 
+def test_newton_reaches_small_rates(spark):
+    wanted = {f"s{i}": 10.0 ** -i for i in range(1, 12)} | {"up": 40.0, "tiny": 1e-300}
+    df = spark.createDataFrame([(s, 10**6, 10**6 * r) for s, r in wanted.items()], "source string, source_size long, target double")
+    got = {r.source: r.rate for r in mixing.tilted(df).collect()}
+    assert got == pytest.approx(wanted, rel=1e-9, abs=0)
+
+
+def test_mix_of_long_texts_repeats_and_one_source(spark):
+    rows = [(1, "w " * 300_000, "a", "", ""), (1, "w " * 300_000, "a", "", "")] + [(None, f"x{i} y", "a", "", "") for i in range(50)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, DOCS)).collect()
+    assert sum(x.taken for x in got) == round(1.5 * sum(x.size for x in got)) and all(0 <= x.taken <= 2 * x.size for x in got)
+
+
+def test_languages_equal_plain_compression(spark):
+    """Dictionaries and predictions against a second computation with the library alone."""
+    import xxhash
+    import zstandard
+
+    r = random.Random(11)
+    pool = {"aa": "abcde fgh", "bb": "fghij abé", "cc": "漢字仮名 ab"}
+    say = lambda lang, n: "".join(r.choice(pool[lang]) for _ in range(n))
+    rows = [(i, say(lang := r.choice("abc") * 2, r.choice([1, 30, 900, 6000])), "s", lang, "z") for i in range(120)] + [(7, say("aa", 50), "s", "aa", "z")] * 2
+    docs = [*rows, (900, None, "s", None, "z"), (901, "", "s", None, "z"), (902, "١٢٣ ?!", "s", None, "z"), (None, say("bb", 20_000), "s", None, "z")]
+    signed = lambda h: h - (1 << 64) if h >= 1 << 63 else h
+    of_long = lambda x, seed: xxhash.xxh64((x & (1 << 64) - 1).to_bytes(8, "little"), seed=seed & (1 << 64) - 1).intdigest()
+    of_text = lambda t, seed: xxhash.xxh64(t.encode(), seed=seed).intdigest()
+    picked, counts = {}, {}
+    for d, text, _, lang, _ in rows:
+        mixed = signed(of_text(text, of_long(d, 42)))
+        at = signed(of_text("place", of_long(mixed, 42))) % max(1, len(text) - 63)
+        key = (lang, mixed % 8)
+        mine = (signed(of_text("rank", of_long(mixed, 42))), text[at : at + 64])
+        picked[key] = min(picked.get(key, mine), mine)
+        counts[lang] = counts.get(lang, 0) + 1
+    contents = {lang: b"\n".join(language_id.normalized(picked[key][1]).encode() for key in sorted(picked) if key[0] == lang) for lang in counts}
+    level = [(lang, zstandard.ZstdCompressor(level=5, dict_data=zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False)) for lang, c in contents.items()]
+
+    def brute(text):
+        plain = language_id.normalized(text or "").encode()
+        if not any(map(str.isalpha, plain.decode())):
+            return "und"
+        size = lambda c: sum(len(c.compress(plain[i : i + 2048])) for i in range(0, len(plain), 2048))
+        return min(level, key=lambda x: (size(x[1]), -counts[x[0]], x[0]))[0]
+
+    df = spark.createDataFrame(docs, DOCS).withColumns({"score": F.lit("s"), "found": F.lit("f"), "rejected": F.lit("r")})
+    got = language_id.predict_languages(df.repartition(3), spark.createDataFrame(rows, DOCS), excerpts=8, length=64).collect()
+    assert sorted(((x.doc_id, x.lang_pred) for x in got), key=str) == sorted(((d, brute(t)) for d, t, _, _, _ in docs), key=str)
+    assert {x.found for x in got} == {"f"} and all(0 <= x.score <= 1 for x in got)
+    assert language_id.predict_languages(df.where("false"), spark.createDataFrame(rows, DOCS)).count() == 0
+
+
 def test_languages_on_held_out_texts(spark):
     vocabulary = {"aa": "the of and tion ing er ly wh".split(), "bb": "der die und sch ung ein keit ß".split()}
     r = random.Random(4)
@@ -113,3 +164,64 @@ def test_quality_on_held_out_texts(spark):
     assert np.array_equal(model.weights, again.weights)
     empty = quality.with_quality(docs, quality.train(docs, labels.where("false"))).collect()
     assert {x.score for x in empty} == {0.5}
+
+
+def test_quality_equals_a_plain_fit(spark):
+    """Weights and scores against a second computation of ratios, dual and scores."""
+    r = random.Random(9)
+    rows = [(i, "".join(r.choice("abcd " if i % 3 else "cdef ") for _ in range(r.choice([0, 5, 80, 3000]))), "s", "en", "z") for i in range(90)]
+    df = spark.createDataFrame([*rows, (5, rows[5][1], "s", "en", "z"), (None, "abc", "s", "en", "z")], DOCS)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(90)], "doc_id long, label int").withColumn("score", F.lit(1))
+    model = quality.train(df, labels, epochs=4)
+
+    def grams(text):
+        words, data = text.encode().split(), text.encode()
+        if any(a == b for a, b in zip(words, words[1:])):
+            data = b" ".join([words[0], *(b"\x01" if a == b else b for a, b in zip(words, words[1:]))])
+        slot = lambda g: ((int.from_bytes(bytes([0] * (7 - len(g))) + bytes([len(g)]) + g, "big") & (1 << 64) - 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 48
+        return sorted({slot(data[i : i + n]) for n in (1, 2, 3) for i in range(len(data) - n + 1)})
+
+    own = [i for i in range(90) if i % 5 != 4]
+    x, y = [grams(rows[i][1]) for i in own], [1 if i % 3 else -1 for i in own]
+    count = {s: np.full(quality.SLOTS, 1.0) for s in (1, -1)}
+    for at, s in zip(x, y):
+        count[s][at] += 1
+    ratio = np.log(count[1] / count[1].sum() / (count[-1] / count[-1].sum()))
+    dense = np.zeros((len(own), quality.SLOTS))
+    for i, at in enumerate(x):
+        dense[i, at] = ratio[at] / max(1, len(at)) ** 0.5
+    w, bias, alpha = np.zeros(quality.SLOTS), 0.0, np.zeros(len(own))
+    limit = [len(y) / (2 * y.count(s)) for s in y]
+    order = np.random.default_rng(7)
+    for _ in range(4):
+        for i in order.permutation(len(own)):
+            new = min(max(alpha[i] - (y[i] * (dense[i] @ w + bias) - 1) / (dense[i] @ dense[i] + 1), 0), limit[i])
+            w, bias, alpha[i] = w + (new - alpha[i]) * y[i] * dense[i], bias + (new - alpha[i]) * y[i], new
+    assert model.weights == pytest.approx(w * ratio, abs=1e-9) and model.bias == pytest.approx(bias)
+    got = {g.doc_id: g.score for g in quality.with_quality(df.withColumn("predicted", F.lit("p")), model).collect()}
+    for i, text, *_ in rows:
+        at = grams(text)
+        margin = (w * ratio)[at].sum() / max(1, len(at)) ** 0.5 + bias
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(model.slope * margin + model.offset))))
+    assert quality.with_quality(df.where("false"), model).count() == 0
+
+
+def test_slots_of_long_texts_are_bounded():
+    r = np.random.default_rng(3)
+    for n in (0, 1, 4095, 4096, 60_000):
+        at = np.sort(r.choice(quality.SLOTS, n, replace=False)).astype(np.int32)
+        data = quality.packed(at)
+        assert len(data) <= quality.SLOTS // 8 and np.array_equal(quality.unpacked(data), at)
+
+
+@pytest.mark.skipif(not __import__("pathlib").Path("/root/testdata/sf0.01").exists(), reason="no test tables")
+def test_held_out_accuracy(spark):
+    from worksight.llm.queries import op5_language_id, op9_quality
+
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    found = op5_language_id(spark, folder).where("held_out").join(docs.where("lang is not null and text is not null").select("doc_id", "lang"), "doc_id")
+    assert found.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0] > 0.97
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    scored = op9_quality(spark, folder).where("held_out").join(labels, "doc_id").collect()
+    assert np.mean([x.predicted == x.quality for x in scored]) > 0.95

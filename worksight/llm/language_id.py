@@ -1,8 +1,8 @@
 """Language identification by compression.
 
 Each language has a zstandard raw-content dictionary made of labelled text. All texts are
-compressed as lower-case letters with single spaces for all else. A text belongs to the language whose dictionary makes it
-smallest. Long texts are compressed in pieces, because a compressor learns any language
+compressed as lower-case letters with single spaces for all else. A text belongs to the
+language whose dictionary makes it smallest. Long texts are compressed in pieces, because a compressor learns any language
 from a long one. Of equally small languages the one with more labelled documents wins.
 """
 
@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from worksight.llm.common import unused
+
 UNKNOWN = "und"
 #: What stands between letters and their marks.
 BETWEEN = r"[^\p{L}\p{M}]+"
@@ -32,12 +34,16 @@ def normalized(text: str) -> str:
 
 
 def dictionaries(labelled: DataFrame, excerpts: int, length: int) -> dict[str, tuple[int, bytes]]:
-    """Per language the number of its labelled texts, and up to `excerpts` excerpts of `length` code points of its labelled texts.
+    """Per language the number of its labelled texts, and up to `excerpts` excerpts of `length` code points of them.
 
-    Of the documents that share a hash slot the one with the least hash is taken, so the
-    sample is the same in any partitioning and no language meets in one task.
+    The sample is `excerpts` documents a language: of those that share a hash slot the one
+    with the least hash. An excerpt begins anywhere in its text, at a place that a hash
+    picks, so no part of a text goes unlearned from. The sample is the same in any
+    partitioning, and no language meets in one task.
     """
-    rows = labelled.select("lang", F.pmod(F.xxhash64("doc_id"), F.lit(excerpts)).alias("slot"), F.xxhash64("doc_id", F.lit("rank")).alias("rank"), F.substring("text", 1, length).alias("text")).where("text is not null and text <> ''")
+    mixed = F.xxhash64("doc_id", "text")
+    at = F.pmod(F.xxhash64(mixed, F.lit("place")), F.greatest(F.lit(1), F.length("text") - (length - 1)))
+    rows = labelled.select("lang", F.pmod(mixed, F.lit(excerpts)).alias("slot"), F.xxhash64(mixed, F.lit("rank")).alias("rank"), F.substring("text", (at + 1).cast("int"), F.lit(length)).alias("text")).where("text is not null and text <> ''")
     picked = rows.groupBy("lang", "slot").agg(F.min_by("text", F.struct("rank", "text")).alias("text"), F.count("*").alias("n")).orderBy("lang", "slot").collect()
     out: dict[str, list[tuple[int, bytes]]] = {}
     for row in picked:
@@ -79,10 +85,14 @@ def predict_languages(docs: DataFrame, training: DataFrame, excerpts: int = 128,
     `training` (doc_id, text, lang) gives the languages; rows without lang are no labels.
     lang_pred is one of its languages, or `und` where text is null or has no letter, with
     score 0. `rejected` tells that the margin over the second language is too narrow to
-    trust; the best guess stays in lang_pred. Without any labelled text all rows are
-    `und`. Other columns pass.
+    trust; the best guess stays in lang_pred. Of equally good languages the one with more
+    labelled texts wins, then the one that comes first. Without any labelled text all rows
+    are `und`. Long texts are compressed whole, in pieces. Every row stands for itself,
+    repeated ones too; empty in, empty out. Other columns pass, save those named lang_pred,
+    score and rejected, which are replaced.
     """
-    kept = docs.columns
+    docs = docs.drop("lang_pred", "score", "rejected")
+    kept, name = docs.columns, unused(docs, "found")
     contents = dictionaries(training.where("lang is not null"), excerpts, length)
     shared = docs.sparkSession.sparkContext.broadcast(contents)
 
@@ -94,5 +104,5 @@ def predict_languages(docs: DataFrame, training: DataFrame, excerpts: int = 128,
             rows = [identifier.predict(t) if identifier.languages and any(map(str.isalpha, t)) else (UNKNOWN, 0.0, True) for t in plain]
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "rejected"])
 
-    found = docs.select(*kept, predict(F.col("text").cast("string")).alias("found__"))
-    return found.select(*[c for c in kept if c not in ("lang_pred", "score", "rejected")], "found__.lang_pred", "found__.score", "found__.rejected")
+    found = docs.withColumn(name, predict(F.col("text").cast("string")))
+    return found.select(*[f"`{c}`" for c in kept], f"{name}.lang_pred", f"{name}.score", f"{name}.rejected")

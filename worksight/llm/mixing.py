@@ -3,7 +3,7 @@
 Among all ways to repeat documents that meet each source's token target, the mix takes the
 one nearest to the corpus in relative entropy. The dual of that problem is convex with one
 multiplier per source; its Hessian is diagonal, so Newton steps run on the distributed
-table of source totals. The optimum tilts every document by exp(multiplier). Rates become
+table of source totals, until the dual's gradient vanishes. The optimum tilts every document by exp(multiplier). Rates become
 copies in the end: whole ones in a reproducible random order, the last one in part.
 
 Scale: one aggregation of the documents yields the source totals. Copies are dealt within
@@ -20,8 +20,11 @@ from worksight.llm.common import durable
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKET = 4096
-#: Newton steps; from the start at 0 the error squares with each of them.
-STEPS = 12
+#: Newton steps between two looks at the gradient, and looks at most. A step moves a
+#: multiplier by 1 at most until it is near, and no rate of doubles is below exp(-745).
+STEPS, LOOKS = 10, 100
+#: What of a target the gradient may be in the end.
+RESIDUAL = 1e-12
 
 
 def numbered(sources: DataFrame) -> DataFrame:
@@ -61,14 +64,22 @@ def tilted(sources: DataFrame) -> DataFrame:
 
     The dual is size * exp(x) - target * x for each source, so a step adds
     (target - size * exp(x)) / (size * exp(x)); steps are damped to 1, which makes them
-    descend from any start. A source with target 0 has no finite optimum and gets rate 0.
+    descend from any start. They go on until no gradient exceeds RESIDUAL of its target, and
+    it is an error if that never happens. A source with target 0 has no finite optimum and
+    gets rate 0.
     """
     x = "multiplier"
     out = sources.withColumn(x, F.lit(0.0))
-    for _ in range(STEPS):
-        tokens = F.col("source_size") * F.exp(x)
-        out = out.withColumn(x, F.when(tokens > 0, F.col(x) + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("target") - tokens) / tokens))).otherwise(F.lit(0.0)))
-    return out.withColumn("rate", F.when((F.col("target") > 0) & (F.col("source_size") > 0), F.exp(x)).otherwise(F.lit(0.0)))
+    has = (F.col("target") > 0) & (F.col("source_size") > 0)
+    tokens = F.col("source_size") * F.exp(x)
+    for _ in range(LOOKS):
+        for _ in range(STEPS):
+            out = out.withColumn(x, F.when(has, F.col(x) + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("target") - tokens) / tokens))).otherwise(F.lit(0.0)))
+        out = durable(out)
+        worst = out.where(has).agg(F.max(F.abs(tokens / F.col("target") - 1))).first()[0]
+        if (worst or 0.0) <= RESIDUAL:
+            return out.withColumn("rate", F.when(has, F.exp(x)).otherwise(F.lit(0.0)))
+    raise ArithmeticError(f"Newton steps have left {worst} of a target")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -80,21 +91,22 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     ceil(cap) times size, and whole copies but for one document in about BUCKET.
     A source's taken words are within a word a bucket of its target. The same
     rows give the same result in any partitioning. Null and empty texts have size 0 and
-    nothing taken; rows that repeat a doc_id are documents of their own. `keep` names
-    columns of docs to carry along. Empty in, empty out.
+    nothing taken; rows that repeat a doc_id are documents of their own, and of equal ones
+    any may be the one taken in part. Long texts cost their words only. `keep` names columns
+    of docs to carry along; others are ignored. Empty in, empty out.
     """
     own = [F.col(c).alias(f"kept_{c}") for c in keep]
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = durable(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), *own))
+    sized = durable(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), F.xxhash64("doc_id", "text").alias("mixed"), *own))
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents"))
     totals = numbered(totals)
     words = totals.agg(F.sum("source_size")).first()[0] or 0
     rates = tilted(capped_targets(totals, weights, share * words, cap)).withColumn("buckets", F.ceil(F.col("documents") / BUCKET))
     rates = durable(rates.select(F.col("source").alias("name"), "source_size", "target", "rate", "buckets"))
     rated = sized.join(rates, F.col("source").eqNullSafe(F.col("name"))).drop("name")
-    rated = rated.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", F.lit("bucket")), "buckets"))
+    rated = rated.withColumn("bucket", F.pmod(F.xxhash64("mixed", F.lit("bucket")), "buckets"))
     group = W.partitionBy("source", "bucket")
-    order = group.orderBy(F.xxhash64("doc_id", "size", F.lit("order")), "doc_id", "size")
+    order = group.orderBy(F.xxhash64("mixed", F.lit("order")), "mixed", "doc_id", "size")
     whole = F.floor(F.col("rate") + 1e-9)
     before = F.coalesce(F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     wanted = F.round((F.col("rate") - F.floor(F.col("rate") + 1e-9)) * F.sum("size").over(group))

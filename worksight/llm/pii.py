@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from worksight.llm.common import unused
+
 #: Base kinds in the order in which spans are listed, then those this method adds.
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "login", "secret")
@@ -94,7 +96,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
                 start -= 1
             if start <= at and (m := FOUR.match(text, start)):
                 done["ip"] = m.end()
-                if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split(".")):
+                if all(len(p) < 4 and int(p or "0") <= 255 for p in (p.lstrip("0") for p in m[0].split("."))):
                     spans["ip"].append(m.span())
         elif kind == "phone":
             if at >= done["phone"] and (m := CALL.match(text, at)):
@@ -131,9 +133,13 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
 def with_personal_data(docs: DataFrame, redact: bool = False) -> DataFrame:
     """docs with spans__ array<struct<kind, start, end>>, code points, end exclusive.
 
-    With `redact`, also redacted__: the text with every span replaced by its kind. Null texts have no
-    spans and stay null. Every row stands for itself; other columns pass unchanged.
+    With `redact`, also redacted__: the text with every span replaced by its kind. Null texts
+    have no spans and stay null; empty texts have none, empty tables give empty ones. A text
+    is read once from start to end, however long. Every row stands for itself, repeated ones
+    too. Other columns pass, save those named spans__ and redacted__, which are replaced.
     """
+    docs = docs.drop("spans__", "redacted__") if redact else docs.drop("spans__")
+    name = unused(docs, "found")
 
     @F.pandas_udf("spans array<struct<kind string, start int, end int>>, text string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -142,6 +148,5 @@ def with_personal_data(docs: DataFrame, redact: bool = False) -> DataFrame:
             clean = [redacted(t, s) if s else t for t, s in zip(texts, found, strict=True)] if redact else None
             yield pd.DataFrame({"spans": [[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in found], "text": clean})
 
-    out = docs.withColumn("found__", run(F.col("text").cast("string")))
-    out = out.withColumn("spans__", F.col("found__.spans"))
-    return (out.withColumn("redacted__", F.col("found__.text")) if redact else out).drop("found__")
+    out = docs.withColumn(name, run(F.col("text").cast("string"))).withColumn("spans__", F.col(f"{name}.spans"))
+    return (out.withColumn("redacted__", F.col(f"{name}.text")) if redact else out).drop(name)

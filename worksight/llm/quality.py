@@ -58,6 +58,19 @@ def features(text: bytes) -> np.ndarray:
     return np.flatnonzero(present).astype(np.int32)
 
 
+def packed(at: np.ndarray) -> bytes:
+    """Slots as numbers or, where that is shorter, as a bit each: SLOTS / 8 bytes at most."""
+    if 2 * len(at) < SLOTS // 8:
+        return at.astype(np.uint16).tobytes()
+    present = np.zeros(SLOTS, bool)
+    present[at] = True
+    return np.packbits(present).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8))) if len(data) == SLOTS // 8 else np.frombuffer(data, np.uint16).astype(np.int64)
+
+
 @dataclasses.dataclass
 class Model:
     """score = 1 / (1 + exp(-(slope * margin + offset))), the margin linear in the features."""
@@ -75,16 +88,16 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
 
 
-def log_count_ratio(rows: list[np.ndarray], labels: np.ndarray, smooth: float) -> np.ndarray:
+def log_count_ratio(rows: list[bytes], labels: np.ndarray, smooth: float) -> np.ndarray:
     """log((p / |p|) / (q / |q|)) of the smoothed indicator counts p and q of both classes."""
     counts = np.full((2, SLOTS), smooth)
-    for at, y in zip(rows, labels, strict=True):
-        counts[int(y), at] += 1
+    for data, y in zip(rows, labels, strict=True):
+        counts[int(y), unpacked(data)] += 1
     counts /= counts.sum(axis=1, keepdims=True)
     return np.log(counts[1] / counts[0])
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], scale: np.ndarray, labels: np.ndarray, cost: float, epochs: int) -> tuple[np.ndarray, float]:
+def dual_coordinate_descent(rows: list[bytes], scale: np.ndarray, labels: np.ndarray, cost: float, epochs: int) -> tuple[np.ndarray, float]:
     """Weights over scaled features and the bias of a hinge-loss linear model.
 
     Solves min |w|^2 / 2 + sum c_i max(0, 1 - y_i w.x_i) in the dual, one coordinate at a
@@ -95,17 +108,19 @@ def dual_coordinate_descent(rows: list[np.ndarray], scale: np.ndarray, labels: n
     limit = cost * len(y) / (2 * share[(y > 0).astype(int)])
     w, bias = np.zeros(SLOTS), 0.0
     alpha = np.zeros(len(y))
-    values = [scale[at] / np.sqrt(max(1, len(at))) for at in rows]
-    norms = np.array([v @ v + 1.0 for v in values])
+    squares = scale * scale
+    norms = np.array([squares[at].sum() / max(1, len(at)) + 1.0 for at in map(unpacked, rows)])
     order = np.random.default_rng(7)
     for _ in range(epochs):
         worst = 0.0
         for i in order.permutation(len(y)):
-            gradient = y[i] * (w[rows[i]] @ values[i] + bias) - 1
+            at = unpacked(rows[i])
+            value = scale[at] / np.sqrt(max(1, len(at)))
+            gradient = y[i] * (w[at] @ value + bias) - 1
             new = min(max(alpha[i] - gradient / norms[i], 0.0), limit[i])
             step = (new - alpha[i]) * y[i]
             if step:
-                w[rows[i]] += step * values[i]
+                w[at] += step * value
                 bias += step
                 alpha[i] = new
                 worst = max(worst, abs(step) * norms[i])
@@ -142,25 +157,28 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 5000, cost: float =
 
     Of the labelled rows about `sample` are used, chosen by a hash of doc_id, a fifth of
     them for the calibration. Null labels and null texts are no examples; of labels that
-    repeat a doc_id the largest counts. Without examples of both classes the score is the
-    share of label 1, or 0.5.
+    repeat a doc_id the largest counts, of texts that do the one with the least hash. An
+    example takes 8 KB at most, however long its text. Without examples of both classes the
+    score is the share of label 1, or 0.5; so it is for empty tables. Other columns of both
+    tables are ignored.
     """
     wanted = labels.select(F.col("doc_id").cast("long"), F.col("label").cast("int")).where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     share = max(1, -(-wanted.count() // sample))
     wanted = wanted.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(share)) == 0)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null")
-    rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(share)) == 0).join(wanted, "doc_id").select("doc_id", "label", "text")
+    rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(share)) == 0).join(wanted, "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.first("label").alias("label"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("slots", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slots = [features(t).tobytes() for t in encoded(batch.column(2))]
+            slots = [packed(features(t)) for t in encoded(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(slots, pa.binary())], schema=schema)
 
     found = rows.mapInArrow(run, "doc_id long, label int, slots binary").toArrow()
     examples = sorted(zip(found.column(0).to_pylist(), found.column(2).to_pylist(), found.column(1).to_pylist(), strict=True))
     y = np.array([e[2] > 0 for e in examples], int)
-    x = [np.frombuffer(e[1], np.int32) for e in examples]
+    x = [e[1] for e in examples]
     aside = np.arange(len(y)) % 5 == 4
     both = lambda part: 0 < y[part].sum() < len(y[part])
     if not len(y) or not both(~aside):
@@ -172,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 5000, cost: float =
     weights, bias = dual_coordinate_descent(own, ratio, y[~aside], cost, epochs)
     model = Model(weights, bias, 1.0, 0.0)
     apart = aside if both(aside) else ~aside
-    margins = np.array([model.margin(x[i]) for i in np.flatnonzero(apart)])
+    margins = np.array([model.margin(unpacked(x[i])) for i in np.flatnonzero(apart)])
     model.slope, model.offset = calibration(margins, y[apart])
     return model
 
@@ -180,9 +198,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 5000, cost: float =
 def with_quality(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """docs with score (0 to 1, higher: label 1 likelier) and predicted (1 from threshold on).
 
-    Null and empty texts are scored too, by the bias alone. Every row stands for itself;
-    other columns pass, save those named score or predicted, which are replaced.
+    Null and empty texts are scored too, by the bias alone; long ones are read in parts of
+    1 MB. Every row stands for itself, repeated ones too; empty in, empty out. Other columns
+    pass, save those named score or predicted, which are replaced.
     """
+    docs = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

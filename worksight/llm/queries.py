@@ -12,7 +12,7 @@ from worksight.llm.common import durable, table
 
 
 def fold(folds: int):
-    """The cross-validation fold of a document."""
+    """The cross-validation fold of a document; none without a doc_id, which is then neither learned from nor held out."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
 
 
@@ -38,7 +38,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = language_id.predict_languages(docs.select("doc_id", "text"), docs.where(fold(3) != 1))
-    return found.select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+    return found.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(fold(5) != 0).select("doc_id", F.col("quality").alias("label"))
     scored = quality.with_quality(docs, quality.train(docs, labels))
-    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
