@@ -2,47 +2,78 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the next stage's docs. All but the last return the columns of documents.
-Rows repeat or lack a doc_id only if the input's do; the operators' docstrings say what
-happens to nulls.
+
+Nothing here trusts that a doc_id names one row: a decision holds for the rows that have
+both its doc_id and its text. Every stage gives an empty table for an empty one, passes
+other columns by whatever name, and treats texts whole.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worksight.llm import decontaminate, mixing, near_dedup, pii, quality
-from worksight.llm.common import durable, table
+from worksight.llm.common import durable, table, unused
 from worksight.llm.queries import fold
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted to the labels of these documents, doesn't reject."""
+    """Documents that the classifier, fitted to the labels of these documents, doesn't reject.
+
+    Null and empty texts get the score of an empty one, repeated rows each their own. Columns
+    of docs named score or predicted come back unchanged.
+    """
     labels = table(spark, sf_dir, "labels").where(fold(5) != 0).select("doc_id", F.col("quality").alias("label"))
     model = quality.train(docs, labels)
-    return quality.with_quality(docs.withColumnRenamed("score", "score__in").withColumnRenamed("predicted", "predicted__in"), model).where("predicted = 1").drop("score", "predicted").withColumnsRenamed({"score__in": "score", "predicted__in": "predicted"})
+    names = [f"in{i}" if c not in ("doc_id", "text") else c for i, c in enumerate(docs.columns)]
+    kept = quality.with_quality(docs.toDF(*names), model).where("predicted = 1")
+    return kept.select(*names).toDF(*docs.columns)
+
+
+def mark() -> Column:
+    """Tells the texts of rows with one doc_id apart."""
+    return F.xxhash64("text")
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is among dropped's; rows without one stay."""
-    gone = dropped.select(F.col("doc_id").alias("gone__")).where("gone__ is not null").distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("gone__"), "left_anti")
+def chosen(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """The rows of docs whose doc_id and text are (left_semi) or aren't (left_anti) among keys (doc_id, mark)."""
+    found = keys.select(F.col("doc_id").alias("key__"), F.col("mark").alias("mark__")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("key__")) & (mark() == F.col("mark__")), how)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest doc_id."""
-    return without(docs, near_dedup.near_duplicates(docs).where("not kept"))
+    """One document of each near-duplicate group, the one with the smallest doc_id.
+
+    Of rows with that doc_id and equal texts one stays, any where other columns differ.
+    Documents without words, or without a doc_id, are in no group and stay.
+    """
+    found = durable(near_dedup.near_duplicates(docs.select("doc_id", "text", mark().alias("mark")), tag="mark"))
+    kept = found.where("kept and group is not null").groupBy("group", "doc_id", "mark").agg(F.count("*").alias("rows"))
+    # Where a group's smallest doc_id has several texts, one of them stays.
+    first = kept.groupBy("group").agg(F.min("mark").alias("first"), F.count("*").alias("texts")).where("texts > 1")
+    others = kept.join(first, "group").where("mark <> first").select("doc_id", "mark")
+    left = chosen(docs, found.where("not kept").select("doc_id", "mark").unionByName(others), "left_anti")
+    again = durable(kept.where("rows > 1").select("doc_id", "mark"))
+    if again.isEmpty():
+        return left
+    name = unused(docs, "mark")
+    return chosen(left, again, "left_anti").unionByName(chosen(left, again, "left_semi").withColumn(name, mark()).dropDuplicates(["doc_id", name]).drop(name))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without those that hold too much of the benchmark."""
-    return without(docs, decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    """Documents without those that hold too much of the benchmark; null and empty texts stay."""
+    found = decontaminate.contamination(docs.select("doc_id", "text", mark().alias("mark")), table(spark, sf_dir, "benchmark"), tag="mark")
+    return chosen(docs, found.where("contaminated"), "left_anti")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind in brackets, n_chars set anew."""
+    """All documents, personal data replaced by its kind in brackets, n_chars set anew.
+
+    Null texts stay null. Rows stand for themselves, repeated ones too.
+    """
     columns = [F.col("redacted__").alias("text") if c == "text" else F.length("redacted__").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return pii.with_personal_data(docs, redact=True).select(*columns)
 
