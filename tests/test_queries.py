@@ -9,7 +9,8 @@ from worksight.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"family_signals", "contributions", "priority_queue", "alert_summary", "authority_summary", "explanations", "train_models"}
+#: Take the evidence of queries that run here, in another form; tests/test_fusion_evidence.py holds it against its parts.
+SLOW = {"family_signals", "contributions", "priority_queue", "alert_summary", "authority_summary", "explanations", "train_models", "v2_alerts"}
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables")
 
 

@@ -75,9 +75,68 @@ def sequence_decrease(df: DataFrame, value: str, order: list[str], table: str, r
 
 
 def repeated(df: DataFrame, by: list[str], order: list[Column], code: str, table: str, record: str, severity: str = "WARNING") -> DataFrame:
-    """All but the first row, in the given order, of rows that share `by`."""
+    """All but the first row, in the given order, of rows that share `by`; a null in it shares nothing."""
+    known = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in by))
     nth = F.row_number().over(W.partitionBy(*by).orderBy(*order))
-    return issues(df.withColumn("nth__", nth), F.col("nth__") > 1, code, severity, table, record)
+    return issues(df.where(known).withColumn("nth__", nth), F.col("nth__") > 1, code, severity, table, record)
+
+
+def above(df: DataFrame, value: str, limit: float, code: str, table: str, record: str) -> DataFrame:
+    """Values above a limit, which later rules have to interpret."""
+    return issues(df, F.col(value) > limit, code, "WARNING", table, record, observed=F.col(value))
+
+
+def negative_money(df: DataFrame, fields: list[str], table: str, record: str, work: str) -> DataFrame:
+    """Negative amounts; one row per field and record."""
+    found = F.array_compact(F.array(*[F.when(F.col(f) < 0, F.lit(f)) for f in fields]))
+    rows = df.select(F.col(record).alias("record__"), F.col(work).alias("work__"), F.explode(found).alias("field"))
+    return issues(rows, F.lit(True), "NEGATIVE_MONETARY_VALUE", "WARNING", table, "record__", "work__", F.col("field"))
+
+
+def after_completion(progress: DataFrame, assets: DataFrame) -> DataFrame:
+    """Reports dated after the last completion of their work."""
+    ended = assets.groupBy("work_id").agg(F.max("completed_on").alias("completed_on"))
+    return issues(progress.join(ended, "work_id"), F.col("report_date") > F.col("completed_on"), "PROGRESS_AFTER_COMPLETION", "WARNING", "progress", "progress_id", observed=F.col("completed_on"))
+
+
+def asset_date_order(assets: DataFrame, fields: list[str]) -> DataFrame:
+    """Dates of an asset that lie before its completion."""
+    found = F.array_compact(F.array(*[F.when(F.col(f) < F.col("completed_on"), F.lit(f)) for f in fields]))
+    return issues(assets.select("asset_id", "work_id", F.explode(found).alias("field")), F.lit(True), "ASSET_DATE_ORDER_INCONSISTENCY", "WARNING", "assets", "asset_id", observed=F.col("field"))
+
+
+def cumulative_mismatch(payments: DataFrame, reported: Column, order: list[Column]) -> DataFrame:
+    """Payments whose reported running total is not that of the canonical order; a null one is a mismatch."""
+    rows = running_totals(payments.withColumn("reported__", reported), order)
+    return issues(rows, ~F.col("reported__").eqNullSafe(F.col("cumulative")), "PAYMENT_CUMULATIVE_MISMATCH", "WARNING", "payments", "payment_id", observed=F.col("cumulative"))
+
+
+def label_faults(labels: DataFrame, key: str, parent: DataFrame, fields: list[str]) -> DataFrame:
+    """issue_code, issues of a label table: null, repeated and unknown keys, values other than 0 and 1; zeros too."""
+    keys = labels.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n"), *[F.count_if(~F.coalesce(F.col(f).isin(0, 1), F.lit(False))).alias(f"bad_{f}") for f in fields])
+    marked = keys.join(parent.select(F.col(key).alias("k")).where("k is not null").distinct().withColumn("found", F.lit(True)), "k", "left")
+    n, known = F.col("n"), F.col("k").isNotNull()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    counts = {"NULL_LABEL_KEY": total(F.when(~known, n)), "DUPLICATE_LABEL": total(F.when(known & (n > 1), n - 1)), "ORPHAN_LABEL": total(F.when(known & F.col("found").isNull(), n))}
+    counts |= {f"INVALID_{f.upper()}": total(F.col(f"bad_{f}")) for f in fields}
+    row = marked.agg(*[c.alias(name) for name, c in counts.items()])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(name).alias("issue_code"), F.col(name).alias("issues")) for name in counts])).alias("c")).select("c.*")
+
+
+def severity_counts(found: DataFrame) -> DataFrame:
+    """Issues of every severity, zero for those without any."""
+    row = found.agg(*[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(s).alias("severity"), F.col(s).alias("issues")) for s in SEVERITIES])).alias("c")).select("c.*")
+
+
+def feature_contract(table: DataFrame, key: str, expected: DataFrame, columns: list[str], forbidden: list[str]) -> DataFrame:
+    """rule, violations of a feature table: one row per expected key, no others, declared columns only, no labels."""
+    keys = table.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n"))
+    both = keys.join(expected.select(F.col(key).alias("k"), F.lit(True).alias("wanted")).distinct(), "k", "full")
+    counts = both.agg(F.count_if(F.col("n") > 1).alias("REPEATED_KEY"), F.count_if(F.col("n").isNull()).alias("MISSING_KEY"), F.count_if(F.col("wanted").isNull()).alias("UNEXPECTED_KEY"))
+    fixed_ = {"UNDECLARED_COLUMN": len(set(table.columns) - set(columns)), "MISSING_COLUMN": len(set(columns) - set(table.columns)), "LABEL_COLUMN": len(set(forbidden) & set(table.columns))}
+    rows = [F.struct(F.lit(r).alias("rule"), F.col(r).alias("violations")) for r in ("REPEATED_KEY", "MISSING_KEY", "UNEXPECTED_KEY")] + [F.struct(F.lit(r).alias("rule"), F.lit(v).cast("bigint").alias("violations")) for r, v in fixed_.items()]
+    return counts.select(F.explode(F.array(*rows)).alias("c")).select("c.*")
 
 
 def total_mismatch(works: DataFrame, reported: str, payments: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ WEIGHTS_V2 = {
     "EXECUTION": {"ANOMALY": 10, "PEER_DEVIATION": 10, "DUPLICATE_REVIEW": 15, "PAYMENT_EXECUTION": 25, "OBSERVED_CONDITIONS": 20, "COMPLIANCE": 10, "COST_OVERRUN_PREDICTION": 5},
     "COMPLETION": {"ANOMALY": 5, "PEER_DEVIATION": 5, "DUPLICATE_REVIEW": 10, "PAYMENT_EXECUTION": 10, "OBSERVED_CONDITIONS": 50, "COMPLIANCE": 20},
 }
+# Strength of a severity as a payment signal and as a rule result.
 SEVERITY_SCORE = {"INFO": 25.0, "WARNING": 60.0, "STRONG_WARNING": 90.0}
 REVIEW_SCORE = {"INFO": 30.0, "WARNING": 60.0, "STRONG_WARNING": 80.0}
 
@@ -126,7 +127,7 @@ def priority_queue(scores: DataFrame) -> DataFrame:
 
 
 def review_alerts(wide: DataFrame, funds: DataFrame, signals: DataFrame, compliance: DataFrame) -> DataFrame:
-    """work_id, alert_type, evidence_code, strength; ids come with `numbered_alerts`."""
+    """work_id, alert_type, evidence_code, strength."""
     s = lambda f: F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(F.col(f"{f}_score"), F.lit(0.0))))
     tests = [
         ("STATISTICAL_ANOMALY", "LIFECYCLE_ANOMALY_TOP_DECILE", "ANOMALY", F.col("ANOMALY_score") >= 90),
@@ -148,6 +149,48 @@ def review_alerts(wide: DataFrame, funds: DataFrame, signals: DataFrame, complia
     return single.unionByName(paid).unionByName(gaps).unionByName(hard).unionByName(soft)
 
 
+# The second profile's alerts, in its order.
+ALERTS_V2 = ("OBSERVED_COST_OVERRUN", "OBSERVED_DELAY", "PAYMENT_CHRONOLOGY_REVIEW", "RELEASE_ABOVE_VISIBLE_SANCTION", "MISSING_MONTHLY_SITE_EVIDENCE", "LOCATION_REQUIRES_REVIEW", "COMPLETION_RECORDS_REVIEW", "DUPLICATE_WORK_CANDIDATE")
+
+
+def wide_v2(facts: DataFrame) -> DataFrame:
+    """Family scores of the second profile from facts per work, which pass along.
+
+    facts has work_id, lifecycle, odd, deviation_pct, best_duplicate, serving_percentile,
+    fund_gap and one boolean for each of ALERTS_V2, in lower case. Strengths are fixed;
+    evidence of the site weighs nothing.
+    """
+    flag = lambda name: F.coalesce(F.col(name.lower()), F.lit(False))
+    gap = F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.coalesce(F.col("fund_gap"), F.lit(0.0)) / 75 * 100))
+    scores = {
+        "ANOMALY": F.coalesce("odd", F.lit(0.0)),
+        "PEER_DEVIATION": F.coalesce("deviation_pct", F.lit(0.0)),
+        "DUPLICATE_REVIEW": F.when(flag("DUPLICATE_WORK_CANDIDATE"), F.col("best_duplicate")).otherwise(0.0),
+        "PAYMENT_EXECUTION": F.greatest(F.when(flag("PAYMENT_CHRONOLOGY_REVIEW"), 80.0).otherwise(0.0), gap),
+        "OBSERVED_CONDITIONS": F.when(flag("OBSERVED_COST_OVERRUN"), 100.0).when(flag("OBSERVED_DELAY"), 80.0).when(flag("RELEASE_ABOVE_VISIBLE_SANCTION"), 75.0).otherwise(0.0),
+        "COMPLIANCE": F.when(flag("COMPLETION_RECORDS_REVIEW"), 80.0).otherwise(0.0),
+        "COST_OVERRUN_PREDICTION": F.coalesce("serving_percentile", F.lit(0.0)),
+    }
+    columns = []
+    for name in FAMILIES:
+        columns += [scores.get(name, F.lit(0.0)).alias(f"{name}_score"), F.lit(name).alias(f"{name}_code"), F.lit(name in scores).alias(f"{name}_available")]
+    return facts.select("work_id", "lifecycle", *[flag(a).alias(a.lower()) for a in ALERTS_V2], *columns)
+
+
+def priority_v2(wide: DataFrame) -> DataFrame:
+    """work_id, lifecycle, score, band, requires_review by the second profile; a work is actionable if any alert holds."""
+    scored_ = priority_scores(family_evidence(wide, WEIGHTS_V2)).select("work_id", F.least(F.lit(100.0), F.col("score")).alias("score"))
+    flags = [F.col(a.lower()) for a in ALERTS_V2]
+    return wide.select("work_id", "lifecycle", F.array_contains(F.array(*flags), True).alias("requires_review")).join(scored_, "work_id").withColumn("band", band("score"))
+
+
+def alerts_v2(wide: DataFrame) -> DataFrame:
+    """alert_id, work_id, alert_type: a row for each alert that holds."""
+    found = F.array_compact(F.array(*[F.when(F.col(a.lower()), F.lit(a)) for a in ALERTS_V2]))
+    rows = wide.select("work_id", F.explode(found).alias("alert_type"))
+    return rows.select(F.concat_ws("-", F.lit("V2"), "work_id", "alert_type").alias("alert_id"), "work_id", "alert_type")
+
+
 def authority_summary(scores: DataFrame, profile: DataFrame) -> DataFrame:
     """Works, mean score and urgent bands by state, district and sector: one pass of grouping sets."""
     rows = scores.join(profile.select("work_id", "state", "district", "sector"), "work_id")

@@ -6,6 +6,7 @@ import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from worksight.functions import scalar, stats
@@ -139,6 +140,66 @@ def dq_running_total(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("work_id").agg(F.max("cumulative").alias("final_total"), F.sum("cumulative").alias("sum_of_totals"), F.count("*").alias("payments"))
 
 
+@query
+def dq_financial_over_100(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").withColumn("work_id", F.col("user_id"))
+    return checks.above(rows, "value", 100, "FINANCIAL_PROGRESS_OVER_100", "progress", "event_id").select("issue_code", "severity", "record_id", "work_id")
+
+
+@query
+def dq_negative_money(spark: SparkSession, d: str) -> DataFrame:
+    t = Tables(spark, d)
+    found = checks.negative_money(t.raw("customer"), ["c_acctbal"], "mp", "c_custkey", "c_custkey")
+    found = found.unionByName(checks.negative_money(t.raw("supplier"), ["s_acctbal"], "entities", "s_suppkey", "s_suppkey"))
+    found = found.unionByName(checks.negative_money(t.works, ["sanctioned"], "works", "work_id", "work_id"))
+    found = found.unionByName(checks.negative_money(t.payments, ["amount"], "payments", "payment_id", "work_id"))
+    return found.unionByName(checks.negative_money(t.assets, ["final_spend"], "assets", "asset_id", "work_id")).select("issue_code", "table_name", "record_id", "observed")
+
+
+@query
+def dq_progress_after_completion(spark: SparkSession, d: str) -> DataFrame:
+    return checks.after_completion(domain.progress(spark, d), domain.assets(spark, d)).select("issue_code", "severity", "record_id", "work_id", "observed")
+
+
+@query
+def dq_asset_date_order(spark: SparkSession, d: str) -> DataFrame:
+    return checks.asset_date_order(domain.assets(spark, d), ["marked_on", "certificate_on", "handover_on", "public_use_on"]).select("issue_code", "record_id", "work_id", "observed")
+
+
+@query
+def dq_zero_released(spark: SparkSession, d: str) -> DataFrame:
+    rows = domain.payments(spark, d)
+    found = checks.issues(rows, F.col("is_released") & (F.col("amount") == 0), "ZERO_RELEASED_PAYMENT", "WARNING", "payments", "payment_id")
+    return rows.agg(F.count("*").alias("payments"), F.count_if("is_released").alias("released")).crossJoin(found.agg(F.count("*").alias("issues")))  # one row each
+
+
+@query
+def dq_cumulative_mismatch(spark: SparkSession, d: str) -> DataFrame:
+    """The running total by number of payment, as reported, against that of the canonical order."""
+    rows = domain.payments(spark, d)
+    own = W.partitionBy("work_id").orderBy("stage", "payment_id").rowsBetween(W.unboundedPreceding, 0)
+    found = checks.cumulative_mismatch(rows.withColumn("told", F.sum("amount").over(own)), F.col("told"), features.payment_order())
+    return found.groupBy("issue_code", "work_id").agg(F.count("*").alias("issues"))
+
+
+@query
+def dq_labels(spark: SparkSession, d: str) -> DataFrame:
+    return checks.label_faults(table(spark, d, "labels"), "doc_id", table(spark, d, "documents"), ["quality", "toxic"])
+
+
+@query
+def dq_severity_counts(spark: SparkSession, d: str) -> DataFrame:
+    t = Tables(spark, d)
+    found = checks.sequence_decrease(t.progress, "physical", REPORT_ORDER, "progress", "progress_id")
+    return checks.severity_counts(found.unionByName(checks.out_of_range(t.progress, {"physical": (0, 90)}, "progress", "progress_id")))
+
+
+@query
+def dq_feature_contract(spark: SparkSession, d: str) -> DataFrame:
+    t = Tables(spark, d)
+    return checks.feature_contract(t.profile, "work_id", t.works.where(F.col("recommended_on") <= F.lit(AS_OF).cast("date")), list(features.PROFILE), ["quality", "toxic", "label"])
+
+
 @query
 def dq_cardinality_profile(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
@@ -479,34 +540,90 @@ def overrun_warning(t: Tables) -> DataFrame:
     return models.guarded_probability(models.split(rows, "overran"), t.profile.where("lifecycle = 'EXECUTION'"), WARNED_BY, "overran")
 
 
-def wide_signals(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(wide families, funds, payment signals, rule evidence) of all works."""
-    # Each of these is read by several families; written once, they also keep plans small.
-    p = t._profile = durable(t.profile)
-    found, rules, fund = durable(signals.payment_signals(p, t.payments, AS_OF)), durable(signals.rule_evidence(p, t.assets, AS_OF)), durable(funds(t))
-    evidence = durable(peers.peer_evidence(p, ["released_total", "planned_days"]))
-    odd = stats.percentile_exclusive(durable(models.isolation_forest(p, METRICS)), ["lifecycle"], "anomaly_score", "odd").select("work_id", "odd")
-    wide = p.select("work_id", "lifecycle")
-    for part in (odd, fusion.duplicate_family(review_summary(t)), fusion.peer_family(peers.peer_summary(evidence)), fusion.payment_family(p, found, fund), fusion.observed_family(p), fusion.compliance_family(rules), trends.trend_context(t.works, durable(baseline(t)), AS_OF)):
-        wide = wide.join(part, "work_id", "left")
+class Evidence:
+    """What the fusion policies read, each part written once; the three model families are given.
+
+    odd has work_id, odd; duplicates work_id, duplicate_score, duplicate_code of works that
+    were compared; warned work_id, serving_percentile, status.
+    """
+
+    def __init__(self, t: Tables, odd: DataFrame, duplicates: DataFrame, warned: DataFrame):
+        p = t.profile
+        self.profile, self.odd, self.duplicates, self.warned = p, odd, duplicates, warned
+        self.signals, self.rules, self.funds = durable(signals.payment_signals(p, t.payments, AS_OF)), durable(signals.rule_evidence(p, t.assets, AS_OF)), durable(funds(t))
+        self.peers = durable(peers.peer_summary(durable(peers.peer_evidence(p, ["released_total", "planned_days"]))))
+        self.trend = trends.trend_context(t.works, durable(baseline(t)), AS_OF)
+
+    def wide(self) -> DataFrame:
+        """Scores, codes and availability of the eight families, one row per work."""
+        p = self.profile
+        wide = p.select("work_id", "lifecycle")
+        for part in (self.odd, self.duplicates, fusion.peer_family(self.peers), fusion.payment_family(p, self.signals, self.funds), fusion.observed_family(p), fusion.compliance_family(self.rules), self.trend, self.warned):
+            wide = wide.join(part, "work_id", "left")
+        execution = F.col("lifecycle") == "EXECUTION"
+        named = {
+            "ANOMALY": (F.col("odd"), F.lit("LIFECYCLE_ANOMALY_PERCENTILE"), F.col("odd").isNotNull()),
+            "PEER_DEVIATION": (F.col("peer_score"), F.col("peer_code"), F.col("peer_score").isNotNull()),
+            "DUPLICATE_REVIEW": (F.coalesce("duplicate_score", F.lit(0.0)), F.coalesce("duplicate_code", F.lit("NO_DUPLICATE_REVIEW_CANDIDATE")), F.col("duplicate_code").isNotNull()),
+            "PAYMENT_EXECUTION": (F.col("payment_score"), F.col("payment_code"), F.col("payment_available")),
+            "OBSERVED_CONDITIONS": (F.col("observed_score"), F.col("observed_code"), execution),
+            "COMPLIANCE": (F.col("compliance_score"), F.col("compliance_code"), F.col("compliance_score").isNotNull()),
+            "COST_OVERRUN_PREDICTION": (F.coalesce("serving_percentile", F.lit(0.0)), F.when(execution, F.col("status")).otherwise("NOT_APPLICABLE_STAGE"), execution & F.col("serving_percentile").isNotNull()),
+            "OPERATIONAL_TREND_CONTEXT": (F.col("trend_strength"), F.when(F.col("trend_flagged"), "OPERATIONAL_TREND_DEVIATION").otherwise("NO_OPERATIONAL_TREND_DEVIATION"), F.col("trend_z").isNotNull()),
+        }
+        columns = [F.col(c) for c in ("work_id", "lifecycle")]
+        for name, (score, code, there) in named.items():
+            columns += [fixed(score, 6).alias(f"{name}_score"), code.alias(f"{name}_code"), there.alias(f"{name}_available")]
+        return durable(wide.select(*columns))
+
+    def facts(self, reported: DataFrame) -> DataFrame:
+        """What the second profile reads; reported has the work_id of works with a report of the current month.
+
+        The tables have no coordinates, so no location asks for a review.
+        """
+        p = self.profile
+        chron = self.signals.where("signal_code = 'PAYMENT_AUTH_BEFORE_REQUEST'").select("work_id", F.lit(True).alias("payment_chronology_review")).distinct()
+        records = self.rules.where("result = 'NON_COMPLIANT' and lifecycle = 'COMPLETION'").select("work_id", F.lit(True).alias("completion_records_review")).distinct()
+        deviation = stats.percentile_inclusive(self.peers.select("work_id", "max_deviation"), [], "max_deviation", "deviation_pct").select("work_id", "deviation_pct")
+        duplicates = self.duplicates.select("work_id", F.col("duplicate_score").alias("best_duplicate"), (F.col("duplicate_code") == "DUPLICATE_REVIEW_CANDIDATE").alias("duplicate_work_candidate"))
+        rows = p.select("work_id", "lifecycle", (F.col("final_spend") > F.col("sanctioned")).alias("observed_cost_overrun"), ((F.col("lifecycle") == "EXECUTION") & (F.col("overdue_days") > 0)).alias("observed_delay"), (F.col("sanctioned_on").isNotNull() & (F.col("released_total") > F.col("sanctioned"))).alias("release_above_visible_sanction"), F.lit(False).alias("location_requires_review"))
+        for part in (self.odd, deviation, duplicates, self.warned.select("work_id", "serving_percentile"), self.funds.select("work_id", "fund_gap"), chron, records, reported.select("work_id", F.lit(True).alias("reported__")).distinct()):
+            rows = rows.join(part, "work_id", "left")
+        return rows.withColumn("missing_monthly_site_evidence", (F.col("lifecycle") == "EXECUTION") & F.col("reported__").isNull()).drop("reported__")
+
+
+def modelled(t: Tables) -> Evidence:
+    """Evidence with the isolation forest, the compared records and the guarded model."""
+    t._profile = durable(t.profile)
+    odd = stats.percentile_exclusive(durable(models.isolation_forest(t.profile, METRICS)), ["lifecycle"], "anomaly_score", "odd").select("work_id", "odd")
     warned = durable(overrun_warning(t))
     serving_ = models.serving_rank(warned.withColumn("lifecycle", F.lit("EXECUTION")), "probability").select("work_id", "serving_percentile", "status")
-    wide = wide.join(serving_, "work_id", "left")
-    execution = F.col("lifecycle") == "EXECUTION"
-    named = {
-        "ANOMALY": (F.col("odd"), F.lit("LIFECYCLE_ANOMALY_PERCENTILE"), F.col("odd").isNotNull()),
-        "PEER_DEVIATION": (F.col("peer_score"), F.col("peer_code"), F.col("peer_score").isNotNull()),
-        "DUPLICATE_REVIEW": (F.coalesce("duplicate_score", F.lit(0.0)), F.coalesce("duplicate_code", F.lit("NO_DUPLICATE_REVIEW_CANDIDATE")), F.col("duplicate_code").isNotNull()),
-        "PAYMENT_EXECUTION": (F.col("payment_score"), F.col("payment_code"), F.col("payment_available")),
-        "OBSERVED_CONDITIONS": (F.col("observed_score"), F.col("observed_code"), execution),
-        "COMPLIANCE": (F.col("compliance_score"), F.col("compliance_code"), F.col("compliance_score").isNotNull()),
-        "COST_OVERRUN_PREDICTION": (F.coalesce("serving_percentile", F.lit(0.0)), F.when(execution, F.col("status")).otherwise("NOT_APPLICABLE_STAGE"), execution & F.col("serving_percentile").isNotNull()),
-        "OPERATIONAL_TREND_CONTEXT": (F.col("trend_strength"), F.when(F.col("trend_flagged"), "OPERATIONAL_TREND_DEVIATION").otherwise("NO_OPERATIONAL_TREND_DEVIATION"), F.col("trend_z").isNotNull()),
-    }
-    columns = [F.col(c) for c in ("work_id", "lifecycle")]
-    for name, (score, code, there) in named.items():
-        columns += [fixed(score, 6).alias(f"{name}_score"), code.alias(f"{name}_code"), there.alias(f"{name}_available")]
-    return durable(wide.select(*columns)), fund, found, rules
+    return Evidence(t, odd, fusion.duplicate_family(review_summary(t)), serving_)
+
+
+def given(t: Tables) -> Evidence:
+    """Evidence with plain numbers for the three model families, so that SQL can follow the policies.
+
+    The percentile of planned days, a candidate for each work whose id is divisible by 97,
+    and the percentile of the share spent.
+    """
+    p = t._profile = durable(t.profile)
+    odd = stats.percentile_exclusive(p.select("work_id", "lifecycle", "planned_days"), ["lifecycle"], "planned_days", "odd").select("work_id", "odd")
+    candidate = F.col("work_id") % 97 == 0
+    compared = p.select("work_id", F.when(candidate, 90.0 + F.col("work_id") % 10).otherwise(0.0).alias("duplicate_score"), F.when(candidate, "DUPLICATE_REVIEW_CANDIDATE").when(F.col("work_id") % 3 != 0, "NO_DUPLICATE_REVIEW_CANDIDATE").alias("duplicate_code"))
+    warned = models.serving_rank(p.select("work_id", "lifecycle", "spend_ratio"), "spend_ratio").select("work_id", "serving_percentile", F.lit("SECONDARY_EARLY_WARNING").alias("status"))
+    return Evidence(t, odd, compared, warned)
+
+
+def wide_signals(t: Tables, evidence: Callable[[Tables], Evidence] = modelled) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(wide families, funds, payment signals, rule evidence) of all works."""
+    e = evidence(t)
+    return e.wide(), e.funds, e.signals, e.rules
+
+
+def second_profile(t: Tables, evidence: Callable[[Tables], Evidence]) -> DataFrame:
+    reported = t.progress.where(F.trunc("report_date", "month") == F.trunc(F.lit(EVENTS_AS_OF).cast("date"), "month"))
+    return durable(fusion.wide_v2(evidence(t).facts(reported)))
 
 
 @query
@@ -526,7 +643,7 @@ def scores(t: Tables) -> DataFrame:
 @query
 def priority_scores(spark: SparkSession, d: str) -> DataFrame:
     got = fusion.ranked(scores(Tables(spark, d)))
-    return got.select("work_id", "lifecycle", fixed("score", 3).alias("score"), "coverage", "band", "top_family_1")
+    return got.select("work_id", "lifecycle", fixed("score", 3).alias("score"), "coverage", "band", "top_family_1", "rank", "rank_in_stage")
 
 
 @query
@@ -550,6 +667,50 @@ def authority_summary(spark: SparkSession, d: str) -> DataFrame:
     return fusion.authority_summary(scores(t), t.profile).withColumn("mean_score", fixed("mean_score", 2))
 
 
+@query
+def policy_contributions(spark: SparkSession, d: str) -> DataFrame:
+    got = fusion.family_evidence(wide_signals(Tables(spark, d), given)[0])
+    return got.select("work_id", "lifecycle", "family", fixed("score", 4).alias("score"), "code", "available", "weight", fixed("points", 3).alias("points"))
+
+
+@query
+def policy_scores(spark: SparkSession, d: str) -> DataFrame:
+    got = fusion.ranked(fusion.priority_scores(fusion.family_evidence(wide_signals(Tables(spark, d), given)[0])))
+    return got.select("work_id", "lifecycle", fixed("score", 3).alias("score"), "coverage", "band", "top_family_1", "rank", "rank_in_stage")
+
+
+@query
+def policy_alerts(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.review_alerts(*wide_signals(Tables(spark, d), given)).select("work_id", "alert_type", "evidence_code", fixed("strength", 3).alias("strength"))
+
+
+@query
+def policy_authority_summary(spark: SparkSession, d: str) -> DataFrame:
+    t = Tables(spark, d)
+    got = fusion.priority_scores(fusion.family_evidence(wide_signals(t, given)[0]))
+    return fusion.authority_summary(got, t.profile).withColumn("mean_score", fixed("mean_score", 2))
+
+
+@query
+def policy_v2_scores(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.priority_v2(second_profile(Tables(spark, d), given)).withColumn("score", fixed("score", 3))
+
+
+@query
+def policy_v2_alerts(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.alerts_v2(second_profile(Tables(spark, d), given))
+
+
+@query
+def v2_priority(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.priority_v2(second_profile(Tables(spark, d), modelled)).withColumn("score", fixed("score", 3))
+
+
+@query
+def v2_alerts(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.alerts_v2(second_profile(Tables(spark, d), modelled))
+
+
 # Geography and calendar
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from worksight.operators.fusion import FAMILIES, WEIGHTS
+from worksight.operators.fusion import ALERTS_V2, FAMILIES, WEIGHTS, WEIGHTS_V2
 from worksight.operators.signals import PAYMENT_SIGNALS, RULES
 
 AS_OF, EVENTS_AS_OF = "DATE '1998-12-31'", "DATE '2024-01-20'"
@@ -130,7 +130,7 @@ CTES |= {
     "obf": f"SELECT work_id, late, over_, greatest(CASE WHEN late THEN 50 + 0.5 * {pct('overdue_days', '', 'late')} ELSE 0 END, CASE WHEN over_ THEN 75 + 0.25 * {pct('overrun_pct', '', 'over_')} ELSE 0 END) AS observed_score, CASE WHEN late AND over_ THEN 'OBSERVED_OVERDUE_AND_OVER_SANCTION' WHEN over_ THEN 'OBSERVED_OVER_SANCTION' WHEN late THEN 'OBSERVED_OVERDUE' ELSE 'NO_OBSERVED_CONDITION' END AS observed_code FROM ob0",
     "cf": "SELECT work_id, greatest(max(s), 0) AS compliance_score, CASE WHEN max(s) >= 0 THEN arg_min(rule_id, (-s, rule_id)) ELSE 'NO_ACTIONABLE_COMPLIANCE_RESULT' END AS compliance_code FROM (SELECT *, CASE WHEN result = 'NON_COMPLIANT' THEN 100.0 WHEN result = 'REVIEW' THEN {} ELSE -1.0 END AS s FROM rule) GROUP BY work_id".format(_sev({"INFO": 30.0, "WARNING": 60.0, "STRONG_WARNING": 80.0})),
     "sv": f"SELECT work_id, {pct('spend_ratio', '', chr(39).join(['lifecycle = ', 'EXECUTION', '']))} AS serving FROM p",
-    "wide": """SELECT p.work_id, p.lifecycle, round(odd, 6) AS s0, 'LIFECYCLE_ANOMALY_PERCENTILE' AS c0, odd IS NOT NULL AS a0, round(peer_score, 6) AS s1, peer_code AS c1, peer_score IS NOT NULL AS a1, 0.0 AS s2, 'NO_DUPLICATE_REVIEW_CANDIDATE' AS c2, true AS a2,
+    "wide": """SELECT p.work_id, p.lifecycle, round(odd, 6) AS s0, 'LIFECYCLE_ANOMALY_PERCENTILE' AS c0, odd IS NOT NULL AS a0, round(peer_score, 6) AS s1, peer_code AS c1, peer_score IS NOT NULL AS a1, CASE WHEN p.work_id % 97 = 0 THEN 90.0 + p.work_id % 10 ELSE 0 END AS s2, CASE WHEN p.work_id % 97 = 0 THEN 'DUPLICATE_REVIEW_CANDIDATE' ELSE 'NO_DUPLICATE_REVIEW_CANDIDATE' END AS c2, p.work_id % 97 = 0 OR p.work_id % 3 <> 0 AS a2,
         round(payment_score, 6) AS s3, payment_code AS c3, payment_available AS a3, round(observed_score, 6) AS s4, observed_code AS c4, p.lifecycle = 'EXECUTION' AS a4, round(compliance_score, 6) AS s5, compliance_code AS c5, compliance_score IS NOT NULL AS a5,
         round(coalesce(serving, 0), 6) AS s6, CASE WHEN p.lifecycle = 'EXECUTION' THEN 'SECONDARY_EARLY_WARNING' ELSE 'NOT_APPLICABLE_STAGE' END AS c6, p.lifecycle = 'EXECUTION' AND serving IS NOT NULL AS a6,
         round(trend_strength, 6) AS s7, CASE WHEN trend_flagged THEN 'OPERATIONAL_TREND_DEVIATION' ELSE 'NO_OPERATIONAL_TREND_DEVIATION' END AS c7, trend_z IS NOT NULL AS a7
@@ -144,6 +144,7 @@ CTES |= {
     "scores": "SELECT *, CASE WHEN score < 25 THEN 'LOW' WHEN score < 50 THEN 'MEDIUM' WHEN score < 75 THEN 'HIGH' ELSE 'CRITICAL' END AS band FROM sc",
     "alerts": """SELECT work_id, 'STATISTICAL_ANOMALY' AS alert_type, 'LIFECYCLE_ANOMALY_TOP_DECILE' AS evidence_code, s0 AS strength FROM wide WHERE s0 >= 90
       UNION ALL SELECT work_id, 'PEER_DEVIATION', 'STATISTICAL_PEER_OUTLIER', s1 FROM wide WHERE c1 = 'STATISTICAL_PEER_OUTLIER'
+      UNION ALL SELECT work_id, 'DUPLICATE_REVIEW_CANDIDATE', 'CORROBORATED_REVIEW_CANDIDATE', s2 FROM wide WHERE c2 = 'DUPLICATE_REVIEW_CANDIDATE'
       UNION ALL SELECT work_id, 'OBSERVED_OVERDUE', 'OBSERVED_OVERDUE_AS_OF', s4 FROM wide WHERE c4 IN ('OBSERVED_OVERDUE', 'OBSERVED_OVERDUE_AND_OVER_SANCTION')
       UNION ALL SELECT work_id, 'OBSERVED_OVER_SANCTION', 'OBSERVED_OVER_SANCTION_AS_OF', s4 FROM wide WHERE c4 IN ('OBSERVED_OVER_SANCTION', 'OBSERVED_OVERDUE_AND_OVER_SANCTION')
       UNION ALL SELECT work_id, 'COST_OVERRUN_EARLY_WARNING', 'SECONDARY_TOP_DECILE', s6 FROM wide WHERE s6 >= 90 AND c4 NOT IN ('OBSERVED_OVER_SANCTION', 'OBSERVED_OVERDUE_AND_OVER_SANCTION')
@@ -152,6 +153,12 @@ CTES |= {
       UNION ALL SELECT work_id, 'FUND_PROGRESS_REVIEW', CASE WHEN persistent_gap THEN 'PERSISTENT_FUND_PROGRESS_REVIEW' ELSE 'CURRENT_LARGE_POSITIVE_FUND_GAP' END, least(100, s3) FROM fund JOIN wide USING (work_id) WHERE current_large_gap OR persistent_gap
       UNION ALL SELECT work_id, 'DETERMINISTIC_NON_COMPLIANCE', rule_id, 100.0 FROM rule WHERE result = 'NON_COMPLIANT'
       UNION ALL SELECT work_id, 'COMPLIANCE_REVIEW', rid, s5 FROM (SELECT work_id, arg_min(rule_id, (CASE severity WHEN 'STRONG_WARNING' THEN 0 ELSE 1 END, rule_id)) AS rid FROM rule WHERE result = 'REVIEW' GROUP BY work_id) JOIN wide USING (work_id)""",
+    "v2f": f"""SELECT p.work_id, p.lifecycle, coalesce(odd, 0) AS v0, coalesce(dev, 0) AS v1, CASE WHEN p.work_id % 97 = 0 THEN 90.0 + p.work_id % 10 ELSE 0 END AS v2, coalesce(fund_gap, 0) AS gap, coalesce(serving, 0) AS v6,
+        coalesce(final_spend > sanctioned, false) AS f1, coalesce(p.lifecycle = 'EXECUTION' AND overdue_days > 0, false) AS f2, p.work_id IN (SELECT work_id FROM sig WHERE signal_code = 'PAYMENT_AUTH_BEFORE_REQUEST') AS f3, sanctioned_on IS NOT NULL AND released_total > sanctioned AS f4,
+        p.lifecycle = 'EXECUTION' AND p.work_id NOT IN (SELECT work_id FROM prog WHERE work_id IS NOT NULL AND date_trunc('month', report_date) = date_trunc('month', {EVENTS_AS_OF})) AS f5, false AS f6, p.work_id IN (SELECT work_id FROM rule WHERE result = 'NON_COMPLIANT' AND lifecycle = 'COMPLETION') AS f7, p.work_id % 97 = 0 AS f8
+      FROM p LEFT JOIN odd USING (work_id) LEFT JOIN sv USING (work_id) LEFT JOIN fund USING (work_id) LEFT JOIN (SELECT work_id, {pct('max_deviation', '', 'true', True)} AS dev FROM psum) z USING (work_id)""",
+    "v2s": "SELECT *, greatest(CASE WHEN f3 THEN 80.0 ELSE 0 END, least(100.0, greatest(0.0, gap / 75 * 100))) AS v3, CASE WHEN f1 THEN 100.0 WHEN f2 THEN 80.0 WHEN f4 THEN 75.0 ELSE 0 END AS v4, CASE WHEN f7 THEN 80.0 ELSE 0 END AS v5 FROM v2f",
+    "v2p": "SELECT work_id, lifecycle, f1 OR f2 OR f3 OR f4 OR f5 OR f6 OR f7 OR f8 AS requires_review, least(100.0, round(CASE lifecycle " + " ".join(f"WHEN '{stage}' THEN " + " + ".join(f"round(v{i} * {w[f]} / 100, 6)" for i, f in enumerate(FAMILIES) if f in w) for stage, w in WEIGHTS_V2.items()) + " END, 6)) AS score FROM v2s",
     "lab": "SELECT doc_id AS work_id, quality AS label, doc_id * 7919 % 1000 / 1000.0 AS score, CASE WHEN toxic = 1 THEN 'A' ELSE 'B' END AS model FROM labels",
     "served0": "SELECT *, round(least(100.0::DOUBLE, coalesce(spend_ratio, 0) * 20), 4) AS score FROM p",
     "served": "SELECT *, CASE WHEN score < 25 THEN 'LOW' WHEN score < 50 THEN 'MEDIUM' WHEN score < 75 THEN 'HIGH' ELSE 'CRITICAL' END AS band FROM served0",
@@ -179,14 +186,25 @@ LINKS = [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_sup
 BODIES = {
     "dq_primary_keys": " UNION ALL ".join(f"SELECT '{t}' AS table_name, CAST(sum(n) AS BIGINT) AS row_count, CAST(coalesce(sum(n) FILTER ({' OR '.join(f'{c} IS NULL' for c in k)}), 0) AS BIGINT) AS null_keys, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS repeated_rows, CAST(coalesce(sum(n - 1) FILTER (n > 1), 0) AS BIGINT) AS extra_rows FROM (SELECT {', '.join(k)}, count(*) AS n FROM {t} GROUP BY ALL)" for t, k in KEYS.items()),
     "dq_foreign_keys": " UNION ALL ".join(f"SELECT '{c}.{k}' AS relationship, count(*) AS total, count(*) FILTER (c.{k} IS NULL) AS null_keys, count(*) FILTER (x.id IS NOT NULL) AS matched, count(*) FILTER (c.{k} IS NOT NULL AND x.id IS NULL) AS orphans, CASE WHEN count(*) FILTER (c.{k} IS NOT NULL AND x.id IS NULL) = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM {c} c LEFT JOIN (SELECT DISTINCT {pk} AS id FROM {p}) x ON c.{k} = x.id" for c, k, p, pk in LINKS),
-    "dq_orphans": "SELECT 'ORPHAN_FOREIGN_KEY' AS issue_code, 'ERROR' AS severity, 'labels' AS table_name, doc_id::VARCHAR AS record_id, doc_id::VARCHAR AS work_id, doc_id::VARCHAR AS observed FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0)",
+    "dq_orphans": "SELECT 'ORPHAN_FOREIGN_KEY' AS issue_code, 'ERROR' AS severity, 'labels' AS table_name, doc_id::VARCHAR AS record_id, doc_id::VARCHAR AS work_id, doc_id::VARCHAR AS observed FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id IS NOT NULL)",
     "dq_fk_type": "SELECT 'FOREIGN_KEY_UNEXPECTED_ENTITY_TYPE' AS issue_code, l_suppkey::VARCHAR AS observed, count(*) AS issues FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey >= 20 GROUP BY l_suppkey",
     "dq_ranges": "SELECT 'VALUE_OUT_OF_RANGE' AS issue_code, progress_id::VARCHAR AS record_id, work_id::VARCHAR AS work_id, 'physical' AS observed FROM prog WHERE NOT coalesce(physical BETWEEN 0 AND 90, false) UNION ALL SELECT 'VALUE_OUT_OF_RANGE', progress_id::VARCHAR, work_id::VARCHAR, 'financial' FROM prog WHERE NOT coalesce(financial BETWEEN 1 AND 98, false)",
     "dq_chronology": "SELECT issue_code, 'WARNING' AS severity, count(*) AS issues, count(DISTINCT work_id) AS works FROM (SELECT work_id, 'PAYMENT_AUTH_BEFORE_REQUEST' AS issue_code FROM pay WHERE authorized_on < requested_on UNION ALL SELECT work_id, 'PAYMENT_RELEASE_BEFORE_AUTH' FROM pay WHERE released_on < authorized_on UNION ALL SELECT work_id, 'PAYMENT_BEFORE_RECOMMENDATION' FROM pay JOIN w USING (work_id) WHERE released_on < recommended_on UNION ALL SELECT work_id, 'PAYMENT_BEFORE_SANCTION' FROM pay JOIN w USING (work_id) WHERE released_on < sanctioned_on) GROUP BY issue_code",
     "dq_future_events": " UNION ALL ".join(f"SELECT 'FUTURE_ACTUAL_EVENT' AS issue_code, asset_id AS record_id, '{c}' AS observed FROM ast WHERE {c} > {AS_OF}" for c in ("completed_on", "public_use_on", "handover_on", "certificate_on")),
     "dq_sequence_decrease": "SELECT 'PROGRESS_DECREASE' AS issue_code, 'WARNING' AS severity, progress_id::VARCHAR AS record_id, work_id::VARCHAR AS work_id FROM (SELECT *, physical - lag(physical) OVER (PARTITION BY work_id ORDER BY report_date, progress_id) AS c FROM prog) WHERE c < 0",
     "dq_duplicate_report_date": "SELECT 'DUPLICATE_WORK_REPORT_DATE' AS issue_code, progress_id::VARCHAR AS record_id, work_id::VARCHAR AS work_id FROM (SELECT *, row_number() OVER (PARTITION BY work_id, report_date ORDER BY progress_id) AS n FROM prog) WHERE n > 1",
-    "dq_duplicate_reference": "SELECT work_id::VARCHAR AS work_id, count(*) AS issues FROM (SELECT *, row_number() OVER (PARTITION BY reference ORDER BY released_on, stage, payment_id) AS n FROM pay) WHERE n > 1 GROUP BY work_id",
+    "dq_financial_over_100": "SELECT 'FINANCIAL_PROGRESS_OVER_100' AS issue_code, 'WARNING' AS severity, event_id::VARCHAR AS record_id, user_id::VARCHAR AS work_id FROM events WHERE value > 100",
+    "dq_negative_money": "SELECT 'NEGATIVE_MONETARY_VALUE' AS issue_code, table_name, record_id, observed FROM (SELECT 'mp' AS table_name, c_custkey::VARCHAR AS record_id, 'c_acctbal' AS observed, c_acctbal AS v FROM customer UNION ALL SELECT 'entities', s_suppkey::VARCHAR, 's_acctbal', s_acctbal FROM supplier UNION ALL SELECT 'works', work_id::VARCHAR, 'sanctioned', sanctioned FROM w UNION ALL SELECT 'payments', payment_id, 'amount', amount FROM pay UNION ALL SELECT 'assets', asset_id, 'final_spend', final_spend FROM ast) WHERE v < 0",
+    "dq_progress_after_completion": "SELECT 'PROGRESS_AFTER_COMPLETION' AS issue_code, 'WARNING' AS severity, progress_id::VARCHAR AS record_id, work_id::VARCHAR AS work_id, c::VARCHAR AS observed FROM prog JOIN (SELECT work_id, max(completed_on) AS c FROM ast GROUP BY work_id) USING (work_id) WHERE report_date > c",
+    "dq_asset_date_order": "SELECT 'ASSET_DATE_ORDER_INCONSISTENCY' AS issue_code, asset_id AS record_id, work_id::VARCHAR AS work_id, observed FROM (SELECT asset_id, work_id, completed_on, unnest(['marked_on', 'certificate_on', 'handover_on', 'public_use_on']) AS observed, unnest([marked_on, certificate_on, handover_on, public_use_on]) AS v FROM ast) WHERE v < completed_on",
+    "dq_zero_released": "SELECT count(*) AS payments, count(*) FILTER (is_released) AS released, count(*) FILTER (is_released AND amount = 0) AS issues FROM pay",
+    "dq_cumulative_mismatch": "SELECT 'PAYMENT_CUMULATIVE_MISMATCH' AS issue_code, work_id::VARCHAR AS work_id, count(*) AS issues FROM (SELECT work_id, sum(amount) OVER (PARTITION BY work_id ORDER BY stage, payment_id ROWS UNBOUNDED PRECEDING) AS told, sum(amount) OVER (PARTITION BY work_id ORDER BY released_on, stage, payment_id ROWS UNBOUNDED PRECEDING) AS made FROM pay) WHERE told IS DISTINCT FROM made GROUP BY work_id",
+    "dq_labels": "SELECT 'NULL_LABEL_KEY' AS issue_code, count(*) FILTER (doc_id IS NULL) AS issues FROM labels UNION ALL SELECT 'DUPLICATE_LABEL', count(doc_id) - count(DISTINCT doc_id) FROM labels UNION ALL SELECT 'ORPHAN_LABEL', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id IS NOT NULL) UNION ALL SELECT 'INVALID_QUALITY', count(*) FROM labels WHERE coalesce(quality NOT IN (0, 1), true) UNION ALL SELECT 'INVALID_TOXIC', count(*) FROM labels WHERE coalesce(toxic NOT IN (0, 1), true)",
+    "dq_severity_counts": "SELECT 'ERROR' AS severity, count(*) FILTER (coalesce(physical NOT BETWEEN 0 AND 90, true)) AS issues FROM prog UNION ALL SELECT 'WARNING', count(*) FROM (SELECT physical - lag(physical) OVER (PARTITION BY work_id ORDER BY report_date, progress_id) AS c FROM prog) WHERE c < 0 UNION ALL SELECT 'INFO', 0",
+    "dq_feature_contract": "SELECT unnest(['REPEATED_KEY', 'MISSING_KEY', 'UNEXPECTED_KEY', 'UNDECLARED_COLUMN', 'MISSING_COLUMN', 'LABEL_COLUMN']) AS rule, unnest([(SELECT count(*) - count(DISTINCT work_id) FROM p), (SELECT count(*) FROM w WHERE recommended_on <= DATE '1998-12-31' AND work_id NOT IN (SELECT work_id FROM p)), (SELECT count(*) FROM p WHERE work_id NOT IN (SELECT work_id FROM w)), 0, 0, 0]) AS violations",
+    "policy_v2_scores": "SELECT work_id, lifecycle, requires_review, round(score, 3) AS score, CASE WHEN score < 25 THEN 'LOW' WHEN score < 50 THEN 'MEDIUM' WHEN score < 75 THEN 'HIGH' ELSE 'CRITICAL' END AS band FROM v2p",
+    "policy_v2_alerts": "SELECT concat('V2-', work_id, '-', alert_type) AS alert_id, work_id, alert_type FROM (" + " UNION ALL ".join(f"SELECT work_id, '{a}' AS alert_type FROM v2f WHERE f{i}" for i, a in enumerate(ALERTS_V2, 1)) + ")",
+    "dq_duplicate_reference": "SELECT work_id::VARCHAR AS work_id, count(*) AS issues FROM (SELECT *, row_number() OVER (PARTITION BY reference ORDER BY released_on, stage, payment_id) AS n FROM pay WHERE reference IS NOT NULL) WHERE n > 1 GROUP BY work_id",
     "dq_total_mismatch": "SELECT work_id, sanctioned AS reported, paid FROM w JOIN (SELECT work_id, CAST(sum(amount) AS BIGINT) AS paid FROM pay GROUP BY work_id) USING (work_id) WHERE paid <> sanctioned",
     "dq_running_total": "SELECT work_id, CAST(max(c) AS BIGINT) AS final_total, CAST(sum(c) AS BIGINT) AS sum_of_totals, count(*) AS payments FROM (SELECT work_id, sum(amount) OVER (PARTITION BY work_id ORDER BY released_on, stage, payment_id ROWS UNBOUNDED PRECEDING) AS c FROM pay) GROUP BY work_id",
     "dq_cardinality_profile": "SELECT count(*) FILTER (n = 0) AS with_none, count(*) FILTER (n = 1) AS with_one, count(*) FILTER (n > 1) AS with_many, min(n) AS minimum, quantile_cont(n::DOUBLE, 0.5) AS median, avg(n) AS mean, max(n) AS maximum FROM (SELECT w.work_id, count(pay.work_id) AS n FROM w LEFT JOIN pay ON w.work_id = pay.work_id GROUP BY w.work_id)",
@@ -232,13 +250,10 @@ BODIES = {
     "trend_alerts": "SELECT group_type, group_value, metric, month, metric || ' of ' || group_value || ' in ' || strftime(month, '%Y-%m') || ' is ' || CASE WHEN robust_z > 0 THEN 'above' ELSE 'below' END || ' its causal baseline' AS message FROM base WHERE abs(robust_z) >= 3.5",
     "hotspots": "SELECT *, " + ", ".join(f"round({n}_count::DOUBLE / works, 6) AS {n}_share" for n in ("overspent", "overdue", "concentrated")) + " FROM (SELECT group_type, group_value, count(*) AS works, count(*) FILTER (overrun > 0) AS overspent_count, count(*) FILTER (overdue_days > 0) AS overdue_count, count(*) FILTER (vendor_hhi > 0.5) AS concentrated_count FROM (SELECT p.*, unnest(['STATE', 'DISTRICT', 'SECTOR', 'DISTRICT_SECTOR']) AS group_type, unnest(['state=' || state, 'state=' || state || '|district=' || district, 'sector=' || sector, 'state=' || state || '|district=' || district || '|sector=' || sector]) AS group_value FROM p) GROUP BY group_type, group_value HAVING count(*) >= 20)",
     "trend_context": "SELECT work_id, trend_group, trend_metric, round(trend_z, 4) AS trend_z, trend_flagged, round(trend_strength, 4) AS trend_strength FROM ctx",
-    "family_signals": "SELECT work_id, family, round(score, 4) AS score, code, available FROM fam",
-    "contributions": "SELECT work_id, lifecycle, family, weight, round(points, 3) AS points FROM contrib",
-    "priority_scores": "SELECT work_id, lifecycle, round(score, 3) AS score, coverage, band, top_family_1 FROM scores",
-    "priority_queue": "SELECT work_id, lifecycle, round(score, 3) AS score, band FROM scores WHERE band IN ('HIGH', 'CRITICAL')",
-    "review_alerts": "SELECT work_id, alert_type, evidence_code, round(strength, 3)::DOUBLE AS strength FROM alerts",
-    "alert_summary": "SELECT alert_type, count(DISTINCT work_id) AS works, count(*) AS alerts FROM alerts GROUP BY alert_type",
-    "authority_summary": " UNION ALL ".join(f"SELECT '{t}' AS group_type, {v} AS group_value, count(*) AS works, round(round(avg(score), 4), 2) AS mean_score, count(*) FILTER (band = 'HIGH') AS high, count(*) FILTER (band = 'CRITICAL') AS critical FROM scores JOIN (SELECT work_id, state, district, sector FROM p) USING (work_id) GROUP BY {v}" for t, v in (("STATE", "state"), ("DISTRICT", "concat_ws(' / ', state, district)"), ("SECTOR", "sector"))),
+    "policy_contributions": "SELECT work_id, lifecycle, family, round(score, 4) AS score, code, available, weight, round(points, 3) AS points FROM contrib",
+    "policy_scores": "SELECT work_id, lifecycle, round(score, 3) AS score, coverage, band, top_family_1, row_number() OVER (ORDER BY score DESC, work_id) AS rank, row_number() OVER (PARTITION BY lifecycle ORDER BY score DESC, work_id) AS rank_in_stage FROM scores",
+    "policy_alerts": "SELECT work_id, alert_type, evidence_code, round(strength, 3)::DOUBLE AS strength FROM alerts",
+    "policy_authority_summary": " UNION ALL ".join(f"SELECT '{t}' AS group_type, {v} AS group_value, count(*) AS works, round(round(avg(score), 4), 2) AS mean_score, count(*) FILTER (band = 'HIGH') AS high, count(*) FILTER (band = 'CRITICAL') AS critical FROM scores JOIN (SELECT work_id, state, district, sector FROM p) USING (work_id) GROUP BY {v}" for t, v in (("STATE", "state"), ("DISTRICT", "concat_ws(' / ', state, district)"), ("SECTOR", "sector"))),
     "working_days": "SELECT work_id, (list_filter(generate_series(date_trunc('month', recommended_on)::DATE, last_day(recommended_on), INTERVAL 1 DAY), lambda x: isodow(x) < 6))[3]::DATE AS third_working_day, (list_filter(generate_series(recommended_on + 1, recommended_on + 24, INTERVAL 1 DAY), lambda x: isodow(x) < 6))[5]::DATE AS fifth_after FROM w",
     "evidence_status": "SELECT work_id, CASE WHEN day(c) % 2 = 0 THEN 'RECORDED' WHEN DATE '2024-01-04' < DATE '2024-01-01' THEN 'UPCOMING' WHEN DATE '2024-01-04' <= DATE '2024-01-03' THEN 'DUE' ELSE 'OVERDUE' END AS monthly, CASE WHEN c IS NULL THEN 'NOT_APPLICABLE' WHEN l >= c THEN 'RECORDED' ELSE 'OVERDUE' END AS completion, c > DATE '2024-01-03' AS late FROM (SELECT work_id, min(report_date) AS c, max(report_date) AS l FROM prog WHERE stage = 'view' GROUP BY work_id)",
     "haversine_pairs": "SELECT s_suppkey, round(m / 1000, 3) AS km, CASE WHEN m <= 500 THEN 'LOCATION_CONSISTENT' ELSE 'LOCATION_REQUIRES_REVIEW' END AS status FROM (SELECT a.s_suppkey, 2 * 6371000.0 * asin(sqrt(least(1.0, power(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2)))) AS m FROM (SELECT s_suppkey, (s_suppkey * 37 % 160 - 80)::DOUBLE AS lat, (s_suppkey * 91 % 340 - 170)::DOUBLE AS lon FROM supplier) a JOIN (SELECT s_suppkey, (s_suppkey * 37 % 160 - 80)::DOUBLE AS lat, (s_suppkey * 91 % 340 - 170)::DOUBLE AS lon FROM supplier) b ON b.s_suppkey = a.s_suppkey + 1)",
@@ -249,10 +264,10 @@ BODIES = {
     "precheck_costs": "SELECT work_id, sanctioned, level, round(m, 2) AS peer_median, round(q, 2) AS peer_q75, sanctioned > 1.25 * q AS high_cost FROM (SELECT w.*, CASE WHEN fn >= 5 THEN 'SUB_SECTOR' ELSE 'SECTOR' END AS level, CASE WHEN fn >= 5 THEN fm ELSE cm END AS m, CASE WHEN fn >= 5 THEN fq ELSE cq END AS q FROM w JOIN (SELECT sector, sub_sector, count(*) AS fn, quantile_cont(sanctioned::DOUBLE, 0.5) AS fm, quantile_cont(sanctioned::DOUBLE, 0.75) AS fq FROM w GROUP BY ALL) USING (sector, sub_sector) JOIN (SELECT sector, quantile_cont(sanctioned::DOUBLE, 0.5) AS cm, quantile_cont(sanctioned::DOUBLE, 0.75) AS cq FROM w GROUP BY ALL) USING (sector))",
     "work_dossier": "SELECT p.work_id, lifecycle, latest_payments, top_alerts FROM p LEFT JOIN (SELECT work_id, string_agg(payment_id || ':' || amount, ',' ORDER BY released_on DESC, payment_id) AS latest_payments FROM (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY released_on DESC, payment_id) AS n FROM rel) WHERE n <= 10 GROUP BY work_id) x ON p.work_id = x.work_id LEFT JOIN (SELECT work_id, string_agg(signal_code, ',' ORDER BY signal_code) AS top_alerts FROM (SELECT work_id, signal_code, row_number() OVER (PARTITION BY work_id ORDER BY signal_code) AS n FROM (SELECT DISTINCT work_id, signal_code FROM sigs)) WHERE n <= 3 GROUP BY work_id) y ON p.work_id = y.work_id",
     "latest_status": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, count(*) AS records FROM events GROUP BY user_id",
-    "retrieve_topk": "SELECT query_id, chunk_id, round(score, 4) AS score FROM (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) DESC, b.vec_id) AS n FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 20) WHERE n <= 5",
+    "retrieve_topk": "SELECT query_id, chunk_id, round(score, 4) AS score FROM (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) DESC, b.vec_id) AS n FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) WHERE n <= 5",
     "evidence_select": "SELECT work_id, rule_id, place FROM (SELECT work_id, rule_id, CAST(row_number() OVER (PARTITION BY work_id ORDER BY result = 'NON_COMPLIANT' DESC, CASE WHEN result = 'REVIEW' THEN 2 ELSE 1 END DESC, rule_id) AS INTEGER) AS place FROM rule WHERE result <> 'NOT_APPLICABLE') WHERE place <= 4",
     "budget_trim": "SELECT doc_id, source, used FROM (SELECT doc_id, source, CAST(sum(length(text)) OVER (PARTITION BY source ORDER BY length(text), doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM documents) WHERE used <= 20000",
-    "grounding_check": "SELECT doc_id AS id, 'WORK_ID_MISMATCH' AS fault FROM documents WHERE doc_id % 4 = 0 UNION ALL SELECT doc_id, 'UNKNOWN_EVIDENCE_CODES' FROM documents WHERE doc_id % 4 = 0 OR doc_id % 5 NOT IN (1, 2) OR lang <> 'en' UNION ALL SELECT doc_id, 'PROHIBITED_VERDICT_LANGUAGE' FROM documents WHERE doc_id % 10 = 0",
+    "grounding_check": "SELECT doc_id AS id, 'UNKNOWN_EVIDENCE_CODES' AS fault FROM documents WHERE doc_id % 5 NOT IN (1, 2) OR lang <> 'en' UNION ALL SELECT doc_id, 'PROHIBITED_VERDICT_LANGUAGE' FROM documents WHERE doc_id % 10 = 0",
     "clause_extract": "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<li>')) AS INTEGER) AS items FROM pages",
     "chapter_carry_forward": "SELECT source AS doc, doc_id AS page, last_value(nullif(regexp_extract(text, '^(Th[a-z]+)', 1), '') IGNORE NULLS) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS chapter FROM documents",
 }
