@@ -549,7 +549,7 @@ class Evidence:
 
     def __init__(self, t: Tables, odd: DataFrame, duplicates: DataFrame, warned: DataFrame):
         p = t.profile
-        self.profile, self.odd, self.duplicates, self.warned = p, odd, duplicates, warned
+        self.profile, self.assets, self.odd, self.duplicates, self.warned = p, t.assets, odd, duplicates, warned
         self.signals, self.rules, self.funds = durable(signals.payment_signals(p, t.payments, AS_OF)), durable(signals.rule_evidence(p, t.assets, AS_OF)), durable(funds(t))
         self.peers = durable(peers.peer_summary(durable(peers.peer_evidence(p, ["released_total", "planned_days"]))))
         self.trend = trends.trend_context(t.works, durable(baseline(t)), AS_OF)
@@ -583,7 +583,7 @@ class Evidence:
         """
         p = self.profile
         chron = self.signals.where("signal_code = 'PAYMENT_AUTH_BEFORE_REQUEST'").select("work_id", F.lit(True).alias("payment_chronology_review")).distinct()
-        records = self.rules.where("result = 'NON_COMPLIANT' and lifecycle = 'COMPLETION'").select("work_id", F.lit(True).alias("completion_records_review")).distinct()
+        records = signals.record_status(self.assets, p, AS_OF).where("closure_requires_review").select("work_id", F.lit(True).alias("completion_records_review"))
         deviation = stats.percentile_inclusive(self.peers.select("work_id", "max_deviation"), [], "max_deviation", "deviation_pct").select("work_id", "deviation_pct")
         duplicates = self.duplicates.select("work_id", F.col("duplicate_score").alias("best_duplicate"), (F.col("duplicate_code") == "DUPLICATE_REVIEW_CANDIDATE").alias("duplicate_work_candidate"))
         rows = p.select("work_id", "lifecycle", (F.col("final_spend") > F.col("sanctioned")).alias("observed_cost_overrun"), ((F.col("lifecycle") == "EXECUTION") & (F.col("overdue_days") > 0)).alias("observed_delay"), (F.col("sanctioned_on").isNotNull() & (F.col("released_total") > F.col("sanctioned"))).alias("release_above_visible_sanction"), F.lit(False).alias("location_requires_review"))
@@ -851,8 +851,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from worksight.plans import desk  # noqa: F401  registers its queries
+
     return dict(REGISTERED)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: text for name, text in sql.all_sql().items() if name in REGISTERED}
+    from worksight.plans import desk
+
+    return {name: text for name, text in sql.all_sql(desk.SQL).items() if name in REGISTERED}

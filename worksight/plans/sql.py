@@ -155,8 +155,8 @@ CTES |= {
       UNION ALL SELECT work_id, 'COMPLIANCE_REVIEW', rid, s5 FROM (SELECT work_id, arg_min(rule_id, (CASE severity WHEN 'STRONG_WARNING' THEN 0 ELSE 1 END, rule_id)) AS rid FROM rule WHERE result = 'REVIEW' GROUP BY work_id) JOIN wide USING (work_id)""",
     "v2f": f"""SELECT p.work_id, p.lifecycle, coalesce(odd, 0) AS v0, coalesce(dev, 0) AS v1, CASE WHEN p.work_id % 97 = 0 THEN 90.0 + p.work_id % 10 ELSE 0 END AS v2, coalesce(fund_gap, 0) AS gap, coalesce(serving, 0) AS v6,
         coalesce(final_spend > sanctioned, false) AS f1, coalesce(p.lifecycle = 'EXECUTION' AND overdue_days > 0, false) AS f2, p.work_id IN (SELECT work_id FROM sig WHERE signal_code = 'PAYMENT_AUTH_BEFORE_REQUEST') AS f3, sanctioned_on IS NOT NULL AND released_total > sanctioned AS f4,
-        p.lifecycle = 'EXECUTION' AND p.work_id NOT IN (SELECT work_id FROM prog WHERE work_id IS NOT NULL AND date_trunc('month', report_date) = date_trunc('month', {EVENTS_AS_OF})) AS f5, false AS f6, p.work_id IN (SELECT work_id FROM rule WHERE result = 'NON_COMPLIANT' AND lifecycle = 'COMPLETION') AS f7, p.work_id % 97 = 0 AS f8
-      FROM p LEFT JOIN odd USING (work_id) LEFT JOIN sv USING (work_id) LEFT JOIN fund USING (work_id) LEFT JOIN (SELECT work_id, {pct('max_deviation', '', 'true', True)} AS dev FROM psum) z USING (work_id)""",
+        p.lifecycle = 'EXECUTION' AND p.work_id NOT IN (SELECT work_id FROM prog WHERE work_id IS NOT NULL AND date_trunc('month', report_date) = date_trunc('month', {EVENTS_AS_OF})) AS f5, false AS f6, p.lifecycle = 'COMPLETION' AND NOT (coalesce(any_public_use, false) AND coalesce(any_handover, false) AND coalesce(any_certificate, false)) AS f7, p.work_id % 97 = 0 AS f8
+      FROM p LEFT JOIN odd USING (work_id) LEFT JOIN sv USING (work_id) LEFT JOIN fund USING (work_id) LEFT JOIN (SELECT work_id, any_public_use, any_handover, any_certificate FROM asum) x USING (work_id) LEFT JOIN (SELECT work_id, {pct('max_deviation', '', 'true', True)} AS dev FROM psum) z USING (work_id)""",
     "v2s": "SELECT *, greatest(CASE WHEN f3 THEN 80.0 ELSE 0 END, least(100.0, greatest(0.0, gap / 75 * 100))) AS v3, CASE WHEN f1 THEN 100.0 WHEN f2 THEN 80.0 WHEN f4 THEN 75.0 ELSE 0 END AS v4, CASE WHEN f7 THEN 80.0 ELSE 0 END AS v5 FROM v2f",
     "v2p": "SELECT work_id, lifecycle, f1 OR f2 OR f3 OR f4 OR f5 OR f6 OR f7 OR f8 AS requires_review, least(100.0, round(CASE lifecycle " + " ".join(f"WHEN '{stage}' THEN " + " + ".join(f"round(v{i} * {w[f]} / 100, 6)" for i, f in enumerate(FAMILIES) if f in w) for stage, w in WEIGHTS_V2.items()) + " END, 6)) AS score FROM v2s",
     "lab": "SELECT doc_id AS work_id, quality AS label, doc_id * 7919 % 1000 / 1000.0 AS score, CASE WHEN toxic = 1 THEN 'A' ELSE 'B' END AS model FROM labels",
@@ -301,9 +301,9 @@ def fixed(text: str) -> str:
     return text
 
 
-def all_sql() -> dict[str, str]:
+def all_sql(more: dict[str, str] | None = None) -> dict[str, str]:
     out = {}
-    for name, body in BODIES.items():
+    for name, body in (BODIES | (more or {})).items():
         body = f"SELECT * REPLACE ({', '.join(f'strftime({c}, $$%Y-%m-%d$$) AS {c}' for c in OUTPUT_DATES[name])}) FROM ({body})" if name in OUTPUT_DATES else body
         out[name] = fixed(using(body))
     return out
