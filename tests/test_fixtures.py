@@ -1,6 +1,7 @@
 """Operators on hand-made rows with known answers."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -241,3 +242,17 @@ def test_text_normalization(spark):
 def test_explanation_names_what_leads(spark):
     df = spark.createDataFrame([(7, "EXECUTION", 61.5, "HIGH", "COMPLIANCE", "ANOMALY", None)], "work_id long, lifecycle string, score double, band string, top_family_1 string, top_family_2 string, top_family_3 string")
     assert serving.explanation(df).first().text == "Work 7 is in EXECUTION with review priority 61.50 (HIGH). Leading evidence: COMPLIANCE, ANOMALY. A human decides."
+
+
+def test_running_sums_and_last_values_over_ranges(spark):
+    r = random.Random(4)
+    rows = [(i, r.choice(["a", "a", "a", "b", None]), r.randint(-5, 5), r.choice([None, None, f"h{i}"])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, k string, v long, h string")
+    got = {x.id: x for x in stats.cumulated(df.repartition(6), ["k"], [F.desc("id")], F.col("v"), "upto").collect()}
+    seen = {x.id: x.last for x in stats.carried(df.repartition(6), ["k"], [F.col("id")], F.col("h"), "last").collect()}
+    for i, k, _, _ in rows:
+        assert got[i].upto == sum(v for j, q, v, _ in rows if q == k and j >= i)
+        assert seen[i] == next((h for j, q, _, h in reversed(rows) if q == k and j <= i and h), None)
+    whole = stats.cumulated(df, [], [F.col("id")], F.lit(1), "place").collect()
+    assert sorted((x.id, x.place) for x in whole) == [(i, i + 1) for i in range(400)]
+    assert stats.cumulated(df.where("false"), ["k"], [F.col("id")], F.lit(1), "place").count() == 0

@@ -6,20 +6,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from worksight.sources.durable import durable
+
 OUTLIER = 3.5
 MAD_FACTOR, IQR_FACTOR = 0.6745, 1.349
 
 
+def cumulated(df: DataFrame, keys: list[str], order: list[Column], value: Column, out: str) -> DataFrame:
+    """Adds out: the sum of value over the rows of keys up to each one, in a total order.
+
+    Rows are dealt by range and written out; each range sums on its own, and what the ranges
+    before it hold is added. So a hot key, or none at all, is no task of its own.
+    """
+    return _ranged(df, keys, order, lambda w: F.sum(value).over(w), F.sum(value), lambda w: F.sum("found__").over(w), lambda own, before: F.coalesce(before, F.lit(0)) + own, out)
+
+
+def carried(df: DataFrame, keys: list[str], order: list[Column], value: Column, out: str) -> DataFrame:
+    """Adds out: the last value that isn't null among the rows of keys up to each one, found as in `cumulated`."""
+    last = lambda c, w: F.last(c, ignorenulls=True).over(w)
+    latest = F.max_by(value, F.when(value.isNotNull(), F.struct(*order)))
+    return _ranged(df, keys, order, lambda w: last(value, w), latest, lambda w: last("found__", w), lambda own, before: F.coalesce(own, before), out)
+
+
+def _ranged(df: DataFrame, keys: list[str], order: list[Column], own, total: Column, before, both, out: str) -> DataFrame:
+    dealt = durable(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("part__", F.spark_partition_id()))
+    rows = dealt.withColumn("own__", own(W.partitionBy("part__", *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    # A row for each range and key that meet: hardly more than there are ranges and keys.
+    parts = dealt.groupBy("part__", *keys).agg(total.alias("found__"))
+    earlier = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy("part__").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select(F.col("part__").alias("in__"), *[F.col(k).alias(f"{k}__") for k in keys], before(earlier).alias("before__"))
+    same = F.col("part__") == F.col("in__")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}__"))
+    return rows.join(parts, same, "left").withColumn(out, both(F.col("own__"), F.col("before__"))).drop("part__", "in__", "own__", "before__", *[f"{k}__" for k in keys])
+
+
 def average_rank(df: DataFrame, keys: list[str], value: str, out: str = "average_rank", n: str = "n") -> DataFrame:
     """Adds the average rank of value within keys (null values keep null) and the count of values.
 
-    Equal values are counted first, so only distinct values of a group are sorted.
+    Equal values are counted first, so only distinct values are ranked.
     """
     values = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("same__"))
-    order = W.partitionBy(*keys).orderBy(value) if keys else W.partitionBy(F.lit(0)).orderBy(value)
-    whole = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    upto = F.sum("same__").over(order.rowsBetween(W.unboundedPreceding, 0))
-    ranks = values.select(*keys, value, (upto - (F.col("same__") - 1) / F.lit(2.0)).alias(out), F.sum("same__").over(whole).alias(n))
+    values = cumulated(values, keys, [F.col(value)], F.col("same__"), "upto__")
+    totals = values.groupBy(*keys).agg(F.max("upto__").alias(n))
+    values = values.join(totals, keys) if keys else values.crossJoin(totals)  # totals has one row
+    ranks = values.select(*keys, value, (F.col("upto__") - (F.col("same__") - 1) / F.lit(2.0)).alias(out), n)
     return df.join(ranks, [*keys, value], "left")
 
 
@@ -82,7 +113,8 @@ def rank_auc(df: DataFrame, score: str, label: str, keys: list[str]) -> DataFram
 
 def average_precision(df: DataFrame, score: str, label: str, keys: list[str]) -> DataFrame:
     """Per keys the sum over distinct scores of precision times the gain in recall."""
-    w = W.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0) if keys else W.partitionBy(F.lit(0)).orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
     steps = df.groupBy(*keys, score).agg(F.count("*").alias("n__"), F.sum(label).alias("p__"))
-    steps = steps.select(*keys, "p__", (F.sum("p__").over(w) / F.sum("n__").over(w)).alias("precision__"))
+    for c in ("n", "p"):
+        steps = cumulated(steps, keys, [F.desc(score)], F.col(f"{c}__"), f"{c}_upto")
+    steps = steps.select(*keys, "p__", (F.col("p_upto") / F.col("n_upto")).alias("precision__"))
     return steps.groupBy(*keys).agg((F.sum(F.col("precision__") * F.col("p__")) / F.sum("p__")).alias("average_precision"))

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from worksight.functions.scalar import band, fixed
-from worksight.functions.stats import percentile_exclusive
+from worksight.functions.stats import cumulated, percentile_exclusive
 from worksight.operators.signals import TOTAL
 
 # Evidence families in order, and their weights by lifecycle in percent.
@@ -110,16 +109,9 @@ def priority_scores(evidence: DataFrame) -> DataFrame:
 
 
 def ranked(scores: DataFrame) -> DataFrame:
-    """Adds rank_in_stage and, from per-score counts, rank overall; ties by work_id.
-
-    The overall rank counts works with a higher score, then places ties by work_id, so the
-    only ordered window over everything is over distinct scores.
-    """
-    order = W.orderBy(F.desc("score"))
-    above = scores.groupBy("score").agg(F.count("*").alias("n__")).withColumn("above__", F.coalesce(F.sum("n__").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    ties = F.row_number().over(W.partitionBy("score").orderBy("work_id"))
-    out = scores.join(above.select("score", "above__"), "score").withColumn("rank", (F.col("above__") + ties).cast("bigint")).drop("above__")
-    return out.withColumn("rank_in_stage", F.row_number().over(W.partitionBy("lifecycle").orderBy(F.desc("score"), "work_id")))
+    """Adds rank and rank_in_stage, by falling score; ties by work_id. No task sorts a stage."""
+    order = [F.desc("score"), F.col("work_id")]
+    return cumulated(cumulated(scores, [], order, F.lit(1), "rank"), ["lifecycle"], order, F.lit(1), "rank_in_stage")
 
 
 def priority_queue(scores: DataFrame) -> DataFrame:

@@ -90,12 +90,12 @@ def threshold_search(rows: DataFrame, score: str, label: str, low: float = 0.15,
 
 def serving_rank(rows: DataFrame, score: str) -> DataFrame:
     """Percentile and rank of the raw score among works in execution; others get none."""
-    from worksight.functions.stats import percentile_exclusive
+    from worksight.functions.stats import cumulated, percentile_exclusive
 
     serving = F.when(F.col("lifecycle") == "EXECUTION", F.col(score))
     out = percentile_exclusive(rows.withColumn("serving", serving), [], "serving", "serving_percentile")
-    place = F.row_number().over(W.partitionBy(F.col("lifecycle")).orderBy(F.desc("serving"), "work_id"))
-    return out.withColumn("serving_rank", F.when(F.col("serving").isNotNull(), place))
+    out = cumulated(out, ["lifecycle"], [F.desc_nulls_last("serving"), F.col("work_id")], F.lit(1), "place__")
+    return out.withColumn("serving_rank", F.when(F.col("serving").isNotNull(), F.col("place__").cast("int"))).drop("place__")
 
 
 def early_warning(probability: Column, threshold: float, useful: bool) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from worksight.functions.scalar import fixed, safe_ratio
+from worksight.functions.stats import carried, cumulated
 from worksight.operators.pairs import BLOCK, best
 
 ROLES = {"NATIONAL": (), "STATE": ("state",), "DISTRICT": ("state", "district"), "MP": ("mp_id",)}
@@ -172,8 +173,7 @@ def evidence_selection(evidence: DataFrame, cap: int = 8) -> DataFrame:
 
 def within_budget(pieces: DataFrame, budget: int, key: str, order: list[Column], size: Column) -> DataFrame:
     """Pieces of each key, in order, while their sizes together stay within a budget."""
-    w = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return pieces.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= budget)
+    return cumulated(pieces, [key], order, size, "used").where(F.col("used") <= budget)
 
 
 PROHIBITED = r"(?i)\b(fraud|corrupt\w*|guilty|criminal|scam|embezzl\w*)\b"
@@ -196,5 +196,4 @@ def explanation(scores: DataFrame) -> DataFrame:
 def carried_chapters(chunks: DataFrame, pattern: str) -> DataFrame:
     """Chunks (doc, page, text) with the latest chapter heading up to each page."""
     found = F.nullif(F.regexp_extract("text", pattern, 1), F.lit(""))
-    w = W.partitionBy("doc").orderBy("page").rowsBetween(W.unboundedPreceding, 0)
-    return chunks.withColumn("own__", found).withColumn("chapter", F.last("own__", ignorenulls=True).over(w)).drop("own__")
+    return carried(chunks.withColumn("heading", found).drop("text"), ["doc"], [F.col("page")], F.col("heading"), "chapter").drop("heading")

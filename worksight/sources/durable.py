@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame
 def durable(df: DataFrame) -> DataFrame:
     """The rows of df in the checkpoint folder, lineage cut, so that a lost executor loses nothing.
 
-    The session's spark.checkpoint.dir is the folder; only where none is set, as in tests,
-    a temporary folder takes its place.
+    The session's spark.checkpoint.dir is the folder. Only where none is set and all runs in
+    one process, as in tests, a temporary folder takes its place.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
