@@ -71,7 +71,8 @@ def test_template_language():
     assert chat.fold(chat.Expression("'a' == 'a' and x").whole()) == ("name", "x")
     assert chat.fold(chat.Expression("1 + 2 == 3").whole()) == ("const", True)
     assert show("{{ x.__class__ }}", x="s") == ""
-    for bad in ("{{ f(1) }}", "{% for x %}", "{% if a %}", "{% endif %}", "{{ 'a' | nothing }}", "{{ 1 + }}", "{{ a b }}", "{% import os %}"):
+    assert show("a  {%- if true -%}  b  {%- endif %} c{{- '}}' -}} \n{#- no -#}\n d {{ \"%}\" }}") == "ab c}}d %}"
+    for bad in ("{{ f(1) }}", "{% for x %}", "{% if a %}", "{% endif %}", "{{ 'a' | nothing }}", "{{ 1 + }}", "{{ a b }}", "{% import os %}", "{{ a", "{{ 'a }}", "{% for m in ms %}{{ loop.last }}{% endfor %}"):
         with pytest.raises(chat.TemplateError):
             chat.compile_template(bad)
 

@@ -48,7 +48,9 @@ def unescape(text: str) -> str:
 FILTERS: dict[str, Callable] = {"trim": lambda v: str(v).strip(), "upper": lambda v: str(v).upper(), "lower": lambda v: str(v).lower(), "length": len, "escape": lambda v: escape(str(v)), "default": lambda v, other: other if v is None else v}
 BINARY: dict[str, Callable] = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "in": lambda a, b: a in b, "+": lambda a, b: a + b, "~": lambda a, b: shown(a) + shown(b)}
 TOKEN = re.compile(r"""\s*(?:(?P<text>"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*')|(?P<number>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<sign>==|!=|<=|>=|[<>+~|().\[\],=]))""")
-TAG = re.compile(r"\{\{-?(.*?)-?\}\}|\{%-?(.*?)-?%\}|\{#.*?#\}", re.S)
+INSIDE = r"""((?:"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|[^"'])*?)"""
+TAG = re.compile(rf"\{{\{{-?{INSIDE}-?\}}\}}|\{{%-?{INSIDE}-?%\}}|\{{#.*?#\}}", re.S)
+LOOP = ("index", "index0", "first")
 BACKSLASHED = {"n": "\n", "t": "\t", "r": "\r"}
 CONSTANTS = {"true": True, "false": False, "none": None}
 
@@ -150,7 +152,10 @@ class Expression:
                 raise TemplateError(f"unexpected {value!r}")
         while True:
             if self.take("."):
-                tree = ("item", tree, ("const", self.need("name")))
+                name = self.need("name")
+                if tree == ("name", "loop") and name not in LOOP:
+                    raise TemplateError(f"no loop.{name}; loops run over streams and know {', '.join(LOOP)}")
+                tree = ("item", tree, ("const", name))
             elif self.take("["):
                 tree = ("item", tree, self.either())
                 self.need("sign", "]")
@@ -165,7 +170,13 @@ def parse(source: str) -> list[tuple]:
     at = 0
     for m in [*TAG.finditer(source), None]:
         body = open_tags[-1][1]
-        if text := source[at : m.start() if m else None]:
+        text = source[at : m.start() if m else None]
+        # A minus inside a tag takes away the white space beside it.
+        text = text.lstrip() if at and source[at - 3 : at - 2] == "-" else text
+        text = text.rstrip() if m and m[0][2] == "-" else text
+        if "{{" in text or "{%" in text:
+            raise TemplateError("a tag isn't closed")
+        if text:
             body.append(("text", text))
         if m is None:
             break

@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import os
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -64,7 +66,9 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE) -> DataFrame:
 
     A row whose refers_to is its own page_id, or null, becomes a response with its html
     as payload; others become revisits without payload that name the full payload's
-    digest and length. Parts of an archive are rows of one partition, in order.
+    digest and length. Rows that repeat a page_id have records of one WARC-Record-ID.
+    Null html is an empty payload, a null url about:blank. Parts of an archive are rows of
+    one partition, in order. Other columns are ignored. Empty in, empty out.
     """
     schema = pa.schema([("archive", pa.string()), ("part", pa.int64()), ("content", pa.binary())])
 
@@ -200,9 +204,13 @@ def save_archives(archives: DataFrame, folder: str) -> None:
     """Writes each archive as a file of `folder`, which all executors must have mounted."""
 
     def run(rows) -> None:
-        for row in rows:
-            with open(os.path.join(folder, row.archive), "ab" if row.part else "wb") as f:
-                f.write(row.content)
+        # Written under a name of the task's own first, so that a second attempt harms nothing.
+        attempt = f".{uuid.uuid4().hex}.part"
+        for name, parts in itertools.groupby(rows, key=lambda row: row.archive):
+            with open(os.path.join(folder, name + attempt), "wb") as f:
+                for row in parts:
+                    f.write(row.content)
+            os.replace(f.name, os.path.join(folder, name))
 
     archives.repartition("archive").sortWithinPartitions("archive", "part").foreachPartition(run)
 
@@ -210,10 +218,11 @@ def save_archives(archives: DataFrame, folder: str) -> None:
 def revisits(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) with refers_to: the largest page_id of an equal payload.
 
-    Payloads are compared by SHA-1 and length; null html is an empty payload. Only digests are
-    grouped, partly before the shuffle; then each page gets its decision by its id, so
-    that no group of equal payloads meets in one task. Rows that repeat a page_id with
-    other html keep decisions of their own.
+    Payloads are compared by SHA-1 and length; null html is an empty payload. Only digests
+    are grouped, partly before the shuffle. Those of equal payloads then meet the group's
+    one row by digest, a few bytes each, where adaptive execution splits or broadcasts; html
+    goes by page_id, so no task holds a group's pages. Rows that repeat a page_id with other
+    html keep decisions of their own. Other columns are ignored. Empty in, empty out.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
