@@ -32,6 +32,32 @@ def test_token_counts_are_the_librarys(spark, tokenizer):
     assert token_counts.token_counts(df.where("false"), tokenizer).count() == 0
 
 
+def test_other_tokenizers_are_refused(tokenizer):
+    from tokenizers import AddedToken, Tokenizer, normalizers, pre_tokenizers
+
+    def changed(**steps):
+        t = Tokenizer.from_file(tokenizer)
+        for name, value in steps.items():
+            setattr(t, name, value)
+        return t
+
+    token_counts.checked(changed())
+    stripped = changed()
+    stripped.add_special_tokens([AddedToken("<x>", lstrip=True)])
+    for t in (changed(normalizer=normalizers.NFC()), changed(pre_tokenizer=pre_tokenizers.Whitespace()), changed(pre_tokenizer=pre_tokenizers.ByteLevel(add_prefix_space=True)), stripped):
+        with pytest.raises(token_counts.TokenizerError):
+            token_counts.checked(t)
+
+
+def test_repeats_and_long_texts_are_counted(spark, tokenizer):
+    from tokenizers import Tokenizer
+
+    texts = ["word and more " * 40_000, "x" * 100_000, "same", "same"]
+    df = spark.createDataFrame([(1, t, "s", "en", "z") for t in texts], DOCS)
+    want = [len(e) for e in Tokenizer.from_file(tokenizer).encode_batch(texts, add_special_tokens=False)]
+    assert sorted(r.n_tokens for r in token_counts.token_counts(df, tokenizer).collect()) == sorted(want)
+
+
 def filled(sizes, weights, total, cap):
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [s for s in sizes if s is None]
     weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}

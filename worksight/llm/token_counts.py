@@ -9,6 +9,7 @@ is ever shuffled: the table comes from the counts of a bounded sample of documen
 from __future__ import annotations
 
 import functools
+import json
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,11 +23,26 @@ from worksight.llm.common import encoded
 #: Fixed value: how byte-level BPE of this family cuts text before merging.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space as Unicode has it; other libraries' \s also takes \x1c-\x1f.
-WHITE = r"\x09-\x0d\x20\x85\xa0  -     　"
+WHITE = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CACHE = 1 << 18
 LONGEST = 64
 
 
+class TokenizerError(ValueError):
+    """A tokenizer file asks for steps that this module doesn't cut text by."""
+
+
+def checked(tokenizer) -> None:
+    """Raises unless the file has byte-level pre-tokens by PRE_TOKENS, no normalizer, and plain special strings."""
+    told = json.loads(tokenizer.to_str())
+    cut = told["pre_tokenizer"] or {}
+    if told["normalizer"] or (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex", True)) != ("ByteLevel", False, True):
+        raise TokenizerError(f"normalizer {told['normalizer']}, pre_tokenizer {cut}")
+    odd = [t["content"] for t in told["added_tokens"] if t["single_word"] or t["lstrip"] or t["rstrip"] or not t["content"]]
+    if odd or told["truncation"] or told["padding"]:
+        raise TokenizerError(f"special strings with flags {odd}, truncation or padding")
+
+
 @functools.lru_cache(maxsize=1)
 def machinery(path: str):
     """(tokenizer, compiled pre-token pattern, special strings) of a worker."""
@@ -34,6 +50,7 @@ def machinery(path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    checked(tokenizer)
     pattern = PRE_TOKENS.replace(r"\S", f"[^{WHITE}]").replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]")
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     cut = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
@@ -108,7 +125,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, sample: int = 10
 
     `path` is a tokenizer file with byte-level pre-tokens. Counts are those of its library
     without begin or end tokens; special strings inside a text count as it treats them.
-    `sample` and `entries` bound the broadcast table; they change speed, never results.
+    Files that cut text in another way are an error. `sample` and `entries` bound the
+    broadcast table; they change speed, never results. Long texts are counted whole.
     Null texts count as empty: no bytes, no tokens. A null doc_id stays null and repeated
     rows are counted each. Other columns are ignored. Empty in, empty out.
     """
