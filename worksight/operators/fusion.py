@@ -121,6 +121,7 @@ def priority_queue(scores: DataFrame) -> DataFrame:
 def review_alerts(wide: DataFrame, funds: DataFrame, signals: DataFrame, compliance: DataFrame) -> DataFrame:
     """work_id, alert_type, evidence_code, strength."""
     s = lambda f: F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(F.col(f"{f}_score"), F.lit(0.0))))
+    # Alert types, their codes and families.
     tests = [
         ("STATISTICAL_ANOMALY", "LIFECYCLE_ANOMALY_TOP_DECILE", "ANOMALY", F.col("ANOMALY_score") >= 90),
         ("PEER_DEVIATION", "STATISTICAL_PEER_OUTLIER", "PEER_DEVIATION", F.col("PEER_DEVIATION_code") == "STATISTICAL_PEER_OUTLIER"),
