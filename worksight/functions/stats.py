@@ -29,16 +29,17 @@ def carried(df: DataFrame, keys: list[str], order: list[Column], value: Column,
 
 
 def _ranged(df: DataFrame, keys: list[str], order: list[Column], own, total: Column, before, both, out: str) -> DataFrame:
-    dealt = durable(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("part__", F.spark_partition_id()))
-    rows = dealt.withColumn("own__", own(W.partitionBy("part__", *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    dealt = durable(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("range__", F.spark_partition_id()))
+    rows = dealt.withColumn("inside__", own(W.partitionBy("range__", *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
     # A row for each range and key that meet: hardly more than there are ranges and keys.
-    parts = dealt.groupBy("part__", *keys).agg(total.alias("found__"))
-    earlier = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy("part__").rowsBetween(W.unboundedPreceding, -1)
-    parts = parts.select(F.col("part__").alias("in__"), *[F.col(k).alias(f"{k}__") for k in keys], before(earlier).alias("before__"))
-    same = F.col("part__") == F.col("in__")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"{k}__"))
-    return rows.join(parts, same, "left").withColumn(out, both(F.col("own__"), F.col("before__"))).drop("part__", "in__", "own__", "before__", *[f"{k}__" for k in keys])
+    parts = dealt.groupBy("range__", *keys).agg(total.alias("found__"))
+    earlier = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy("range__").rowsBetween(W.unboundedPreceding, -1)
+    names = {k: f"key{i}__" for i, k in enumerate(keys)}
+    parts = parts.select(F.col("range__").alias("at__"), *[F.col(k).alias(n) for k, n in names.items()], before(earlier).alias("earlier__"))
+    same = F.col("range__") == F.col("at__")
+    for k, n in names.items():
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    return rows.join(parts, same, "left").withColumn(out, both(F.col("inside__"), F.col("earlier__"))).drop("range__", "at__", "inside__", "earlier__", *names.values())
 
 
 def average_rank(df: DataFrame, keys: list[str], value: str, out: str = "average_rank", n: str = "n") -> DataFrame:
