@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 SPACE = frozenset(b" \t\n\r\x0b\x0c")
 #: Bytes of text hashed at a time; bounds the arrays of a task.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

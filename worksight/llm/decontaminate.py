@@ -183,7 +183,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 13, one_i
     Null and empty texts have no words. Rows that repeat an item_id count as one item, a
     null item_id as an item named by the empty string, rows that repeat a doc_id each for
     themselves. `tag` names a long column of docs that comes along; other columns are
-    ignored. Empty tables give no hits or no rows. A text of over 1 MB is hashed alone and
+    ignored. Empty tables give no hits or no rows. A text of over half a MB is hashed alone and
     takes about 50 times its size.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), (F.col(tag) if tag else F.lit(None)).cast("long").alias("tag"))

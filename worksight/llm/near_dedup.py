@@ -173,18 +173,20 @@ def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 
 #: Parts into which the rows of one component are dealt when they get its smallest doc_id.
-PARTS = 32
+PARTS = 8
 
 
 def component_ids(groups: DataFrame, classes: DataFrame) -> DataFrame:
-    """class, component, component_id (its smallest doc_id) of every class; groups (class, component) holds linked ones.
+    """digest, group, component_id (its smallest doc_id) of every class; groups (class, component) holds linked ones.
 
     The rows of a component are dealt over PARTS tasks, so that a large one spreads.
     """
-    linked_ = groups.join(classes.select("class", "first_id"), "class")
-    smallest = linked_.groupBy("component").agg(F.min("first_id").alias("component_id")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    named = linked_.withColumn("part", F.pmod(F.xxhash64("class"), F.lit(PARTS)).cast("int")).join(smallest, ["component", "part"]).select("class", "component", "component_id")
-    return classes.select("class", "first_id").join(named, "class", "left").select("class", F.coalesce("component", "class").alias("component"), F.coalesce("component_id", "first_id").alias("component_id"))
+    rows = classes.select("class", "digest", "first_id").join(groups, "class", "left")
+    smallest = rows.where("component is not null").groupBy(F.col("component").alias("group")).agg(F.min("first_id").alias("component_id"))
+    smallest = smallest.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    # A class of its own is its group, so that these spread by themselves.
+    rows = rows.select("digest", "first_id", F.coalesce("component", "class").alias("group"), F.pmod(F.xxhash64("class"), F.lit(PARTS)).cast("int").alias("part"))
+    return rows.join(smallest, ["group", "part"], "left").select("digest", "group", F.coalesce("component_id", "first_id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, permutations: int = 64, rows: int = 4, tag: str | None = None) -> DataFrame:
@@ -198,7 +200,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, permut
     Null or empty texts have no shingles and link with nothing. Rows that repeat a doc_id
     are documents of their own. A row whose doc_id is null links with nothing, has a null
     component_id and is kept. `tag` names a long column of docs that comes along, to tell
-    such rows apart, with the number of the component as group; other columns are ignored. Texts are hashed in blocks of about 1 MB; a
+    such rows apart, with the number of the component as group; other columns are ignored. Texts are hashed in blocks of about half a MB; a
     longer one is a block of its own and takes about 50 times its size. Empty in, empty out.
     """
     docs = docs.select("doc_id", "text", (F.col(tag) if tag else F.lit(None)).cast("long").alias("tag"))
@@ -221,7 +223,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, permut
         groups = components(links.unionByName(more))
     groups = groups.select(F.col("node").alias("class"), "component")
 
-    named = component_ids(groups, classes).join(classes.select("class", "digest"), "class").select("digest", F.col("component").alias("group"), "component_id")
+    named = component_ids(groups, classes)
     out = signed.select("doc_id", "tag", "n_shingles", "digest").join(named, "digest", "left")
     out = out.withColumn("component_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), *([F.col("tag").alias(tag), "group"] if tag else []))
