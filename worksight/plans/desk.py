@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from worksight.functions import scalar
 from worksight.functions.scalar import fixed
 from worksight.operators import desk, features, pairs, signals
+from worksight.plans import sql
 from worksight.plans.catalog import REPORT_ORDER, Tables, funds, query, served
 from worksight.sources import domain
 from worksight.sources.domain import AS_OF, EVENTS_AS_OF, table
@@ -123,6 +124,7 @@ SQL = {
     "distribution_summary": "SELECT coalesce(lifecycle, 'ALL') AS group_value, count(*) AS n, min(sanctioned) AS minimum, "
     + ", ".join(f"round(quantile_cont(sanctioned::DOUBLE, {q}), 4) AS {c}" for q, c in ((0.25, "p25"), (0.5, "median"), (0.75, "p75"), (0.9, "p90")))
     + ", round(avg(sanctioned), 4) AS mean, max(sanctioned) AS maximum FROM p WHERE sanctioned IS NOT NULL GROUP BY GROUPING SETS ((lifecycle), ())",
+    "pair_audit": f"SELECT l::DOUBLE AS least_cosine, count(DISTINCT (a, b)) AS pairs, count(DISTINCT id) AS records FROM (SELECT a, b, cosine, unnest([a, b]) AS id FROM ({sql.BODIES['vector_topk_pairs']})) JOIN (VALUES (0.2), (0.4), (0.6), (0.8)) t(l) ON cosine >= l::DOUBLE GROUP BY l",
     "snapshot_diagnostics": " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER ({c} <= {DAY}) AS included, count(*) FILTER ({c} > {DAY}) AS future, count(*) FILTER ({c} IS NULL) AS missing FROM ast" for c in ("completed_on", "marked_on", "public_use_on", "handover_on", "certificate_on")),
     "fan_out_cardinality": "SELECT count(*) AS works, coalesce(sum(a * b * c), 0)::BIGINT AS joined_rows FROM (SELECT work_id, count(*) AS a FROM pay GROUP BY 1) JOIN (SELECT work_id, count(*) AS b FROM ast GROUP BY 1) USING (work_id) JOIN (SELECT work_id, count(*) AS c FROM prog GROUP BY 1) USING (work_id)",
     "geo_status": f"SELECT work_id, lifecycle, coalesce(n, 0) AS captures, strftime(l, '%Y-%m-%d') AS latest_on, coalesce(late, 0) AS late, lifecycle = 'EXECUTION' AND coalesce(l < date_trunc('month', {TODAY}), true) AS missing_month FROM p LEFT JOIN (SELECT work_id, count(*) AS n, max(report_date) AS l, count(*) FILTER (day(report_date) > 4) AS late FROM prog WHERE report_date <= {TODAY} GROUP BY work_id) USING (work_id)",
