@@ -90,22 +90,30 @@ SPACED = outside_of(lambda b: b not in SPACE)
 ALNUM = outside_of(lambda b: b >= 128 or chr(b).isalnum())
 
 
-class Words:
-    """All words of a block of texts, A-Z as a-z: data, starts, ends, hashes, and first,
-    the index of each text's first word, with the number of words at its end."""
-
-    def __init__(self, texts: list[bytes], outside: np.ndarray = SPACED):
-        self.data = b"\n".join(texts).lower() + b"\n"
-        raw = np.frombuffer(self.data, np.uint8)
-        n = len(raw)
-        up, down = powers(max(2 * BLOCK, 1 << n.bit_length()))
-        edge = np.flatnonzero(np.diff((~outside[raw]).view(np.int8), prepend=np.int8(0)))
+class Spans:
+    """Where the words of a block of texts are: data, starts, ends, and first, the index of
+    each text's first word, with the number of words at its end. lower: A-Z as a-z."""
+
+    def __init__(self, texts: list[bytes], outside: np.ndarray = SPACED, lower: bool = True):
+        data = b"\n".join(texts) + b"\n"
+        self.data = data.lower() if lower else data
+        self.raw = np.frombuffer(self.data, np.uint8)
+        edge = np.flatnonzero(np.diff((~outside[self.raw]).view(np.int8), prepend=np.int8(0)))
         self.starts, self.ends = edge[::2], edge[1::2]
+        self.first = np.searchsorted(self.starts, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]))
+
+
+class Words(Spans):
+    """The words of a block of texts with their hashes."""
+
+    def __init__(self, texts: list[bytes], outside: np.ndarray = SPACED, lower: bool = True):
+        super().__init__(texts, outside, lower)
+        n = len(self.raw)
+        up, down = powers(max(2 * BLOCK, 1 << n.bit_length()))
         sums = np.empty(n + 1, np.uint64)
         sums[0] = 0
-        np.cumsum(BYTE_VALUES[raw] * up[:n], out=sums[1:])
+        np.cumsum(BYTE_VALUES[self.raw] * up[:n], out=sums[1:])
         self.hashes = mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
-        self.first = np.searchsorted(self.starts, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]))
 
 
 def slot_counts(texts: DataFrame, hashes: Callable[[list[bytes]], np.ndarray], slots: int) -> np.ndarray:
