@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worksight.llm import chat, decontaminate, fingerprints, language_id, mixing, near_dedup, pii, quality, token_counts, warc
+from worksight.llm import chat, decontaminate, filter_audit, fingerprints, importance, language_id, mixing, near_dedup, pii, quality, repeats, token_counts, warc
 from worksight.llm.common import durable, table
 
 
@@ -71,7 +71,20 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_token_counts, op3_source_mix, op4_warc, op5_language_id, op6_chat_format, op7_decontamination, op8_personal_data, op9_quality, op10_fingerprints)}
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_token_counts, op3_source_mix, op4_warc, op5_language_id, op6_chat_format, op7_decontamination, op8_personal_data, op9_quality, op10_fingerprints, op11_importance, op12_filter_audit, op13_substring_dedup)}
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -135,4 +148,48 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
   sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op4_warc": OP4_SQL, "op6_chat_format": OP6_SQL, "op7_decontamination": OP7_SQL}
+OP12_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), firsts AS (SELECT text, min(doc_id) AS smallest FROM d GROUP BY text),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END)
+    || (CASE WHEN 100 * length(regexp_replace(d.text, '[^A-Z]', '', 'g')) > 2 * length(d.text) THEN 'C' ELSE '' END)
+    || (CASE WHEN regexp_matches(d.text, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN d.doc_id > smallest THEN 'E' ELSE '' END) AS failed
+  FROM d JOIN firsts ON firsts.text = d.text LEFT JOIN l ON l.doc_id = d.doc_id
+), counted AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, failed),
+orders AS (
+  SELECT '' AS o UNION ALL SELECT o || x FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(o, x)
+), steps AS (
+  SELECT o AS filter_order, step, o[step:step] AS own, o[1:step-1] AS done FROM orders, (SELECT unnest(range(1, 6)) AS step) WHERE length(o) = 5
+), judged AS (
+  SELECT part, filter_order, step, own, n, good, toxic, failed, contains(failed, own) AS fails, length(translate(failed, done, '')) < length(failed) AS gone
+  FROM counted, steps
+), audited AS (
+  SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails AND NOT gone), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (fails AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (failed = own), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (fails AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (fails AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM judged GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM audited"""
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, unnest(range(1, greatest(1, len(w) - 18))) AS i, unnest(list_transform(range(1, greatest(1, len(w) - 18)), lambda i: array_to_string(w[i:i+19], ' '))) AS s FROM d
+), later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM windows) WHERE k > 1
+), gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM later),
+words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d),
+kept AS (
+  SELECT words.doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY words.p) AS t
+  FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.p = words.p WHERE gone.p IS NULL GROUP BY words.doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id"""
+
+ORACLE_SQL: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op4_warc": OP4_SQL, "op6_chat_format": OP6_SQL, "op7_decontamination": OP7_SQL, "op12_filter_audit": OP12_SQL, "op13_substring_dedup": OP13_SQL}
