@@ -12,34 +12,48 @@ OUTLIER = 3.5
 MAD_FACTOR, IQR_FACTOR = 0.6745, 1.349
 
 
-def cumulated(df: DataFrame, keys: list[str], order: list[Column], value: Column, out: str) -> DataFrame:
+#: Rows that one task may put in order: with no more of them in all, they aren't dealt by range.
+FEW = 1 << 18
+
+
+def cumulated(df: DataFrame, keys: list[str], order: list[Column], value: Column | dict[str, Column], out: str | None = None, total: dict[str, str] | None = None) -> DataFrame:
     """Adds out: the sum of value over the rows of keys up to each one, in a total order.
 
-    Rows are dealt by range and written out; each range sums on its own, and what the ranges
-    before it hold is added. So a hot key, or none at all, is no task of its own.
+    value may name several sums (out: value); total names columns for the sums over all rows
+    of keys ({out: name}). Rows are dealt by range and written out; each range sums on its
+    own, and what the ranges before it hold is added. So a hot key, or none at all, is no
+    task of its own, unless all rows together are FEW.
     """
-    return _ranged(df, keys, order, lambda w: F.sum(value).over(w), F.sum(value), lambda w: F.sum("found__").over(w), lambda own, before: F.coalesce(before, F.lit(0)) + own, out)
+    values = value if isinstance(value, dict) else {out: value}
+    return _ranged(df, keys, order, {o: lambda w, v=v: F.sum(v).over(w) for o, v in values.items()}, {o: F.sum(v) for o, v in values.items()}, lambda c, w: F.sum(c).over(w), lambda own, before: F.coalesce(before, F.lit(0)) + own, total or {})
 
 
 def carried(df: DataFrame, keys: list[str], order: list[Column], value: Column, out: str) -> DataFrame:
     """Adds out: the last value that isn't null among the rows of keys up to each one, found as in `cumulated`."""
     last = lambda c, w: F.last(c, ignorenulls=True).over(w)
     latest = F.max_by(value, F.when(value.isNotNull(), F.struct(*order)))
-    return _ranged(df, keys, order, lambda w: last(value, w), latest, lambda w: last("found__", w), lambda own, before: F.coalesce(own, before), out)
+    return _ranged(df, keys, order, {out: lambda w: last(value, w)}, {out: latest}, lambda c, w: last(c, w), lambda own, before: F.coalesce(own, before), {})
 
 
-def _ranged(df: DataFrame, keys: list[str], order: list[Column], own, total: Column, before, both, out: str) -> DataFrame:
+def _ranged(df: DataFrame, keys: list[str], order: list[Column], own: dict, sums: dict[str, Column], before, both, total: dict[str, str]) -> DataFrame:
+    df = durable(df)
+    if df.count() <= FEW:
+        w = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+        upto = {o: f(w.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)) for o, f in own.items()}
+        return df.withColumns(upto | {name: own[o](w) for o, name in total.items()})
     dealt = durable(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("range__", F.spark_partition_id()))
-    rows = dealt.withColumn("inside__", own(W.partitionBy("range__", *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    rows = dealt.withColumns({f"inside__{o}": f(W.partitionBy("range__", *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)) for o, f in own.items()})
     # A row for each range and key that meet: hardly more than there are ranges and keys.
-    parts = dealt.groupBy("range__", *keys).agg(total.alias("found__"))
-    earlier = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy("range__").rowsBetween(W.unboundedPreceding, -1)
+    parts = dealt.groupBy("range__", *keys).agg(*[x.alias(f"found__{o}") for o, x in sums.items()])
+    group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    earlier = group.orderBy("range__").rowsBetween(W.unboundedPreceding, -1)
     names = {k: f"key{i}__" for i, k in enumerate(keys)}
-    parts = parts.select(F.col("range__").alias("at__"), *[F.col(k).alias(n) for k, n in names.items()], before(earlier).alias("earlier__"))
+    parts = parts.select(F.col("range__").alias("at__"), *[F.col(k).alias(n) for k, n in names.items()], *[before(f"found__{o}", earlier).alias(f"earlier__{o}") for o in own], *[F.sum(f"found__{o}").over(group).alias(name) for o, name in total.items()])
     same = F.col("range__") == F.col("at__")
     for k, n in names.items():
         same = same & F.col(k).eqNullSafe(F.col(n))
-    return rows.join(parts, same, "left").withColumn(out, both(F.col("inside__"), F.col("earlier__"))).drop("range__", "at__", "inside__", "earlier__", *names.values())
+    out = rows.join(parts, same, "left").withColumns({o: both(F.col(f"inside__{o}"), F.col(f"earlier__{o}")) for o in own})
+    return out.drop("range__", "at__", *names.values(), *[f"{x}__{o}" for x in ("inside", "earlier") for o in own])
 
 
 def average_rank(df: DataFrame, keys: list[str], value: str, out: str = "average_rank", n: str = "n") -> DataFrame:
@@ -48,13 +62,46 @@ def average_rank(df: DataFrame, keys: list[str], value: str, out: str = "average
     Equal values are counted first, so only distinct values are ranked.
     """
     values = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("same__"))
-    values = cumulated(values, keys, [F.col(value)], F.col("same__"), "upto__")
-    totals = values.groupBy(*keys).agg(F.max("upto__").alias(n))
-    values = values.join(totals, keys) if keys else values.crossJoin(totals)  # totals has one row
+    values = cumulated(values, keys, [F.col(value)], F.col("same__"), "upto__", {"upto__": n})
     ranks = values.select(*keys, value, (F.col("upto__") - (F.col("same__") - 1) / F.lit(2.0)).alias(out), n)
     return df.join(ranks, [*keys, value], "left")
 
 
+def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float], weight: str | None = None) -> DataFrame:
+    """keys, n and a column for each wanted quantile, exact and interpolated; one row per key that has a value.
+
+    Distinct values are counted, their running totals taken over ranges, and only the rows
+    that a quantile falls on or between leave their task: no cohort's values meet in one.
+    weight names a column that says how many rows a row stands for.
+    """
+    values = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v__")).agg((F.sum(weight) if weight else F.count("*")).alias("same__"))
+    placed = cumulated(values, keys, [F.col("v__")], F.col("same__"), "upto__", {"upto__": "n"})
+    spots, picks = [], {}
+    for i, (name, q) in enumerate(wanted.items()):
+        at = (F.col("n") - 1) * F.lit(float(q))
+        low, high = F.floor(at), F.ceil(at)
+        inside = lambda r: (F.col("upto__") > r) & (F.col("upto__") - F.col("same__") <= r)
+        spots += [F.when(inside(low), F.col("v__")).alias(f"low{i}__"), F.when(inside(high), F.col("v__")).alias(f"high{i}__")]
+        picks[name] = (F.max(f"low{i}__") + (F.max(f"high{i}__") - F.max(f"low{i}__")) * F.max(at - low)).alias(name)
+    marked = placed.select(*keys, "n", *spots)
+    some = F.coalesce(*[F.col(f"{x}{i}__") for i in range(len(wanted)) for x in ("low", "high")]).isNotNull()
+    return marked.where(some).groupBy(*keys).agg(F.max("n").alias("n"), *picks.values())
+
+
+def spread(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """quantiles with median and mad, the median distance from the median, in two passes over distinct values."""
+    counted = durable(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias(value)).agg(F.count("*").alias("rows__")))
+    first = durable(quantiles(counted, keys, value, {"median": 0.5} | wanted, "rows__"))
+    middle = first.select(*[F.col(k).alias(f"{k}__m") for k in keys], F.col("median").alias("median__"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"{k}__m"))
+    away = counted.join(middle, on).withColumn("away__", F.abs(F.col(value) - F.col("median__")))
+    mad = quantiles(away.select(*keys, "away__", "rows__"), keys, "away__", {"mad": 0.5}, "rows__")
+    mad = mad.select(*[F.col(k).alias(f"{k}__m") for k in keys], "mad")
+    return first.join(mad, on, "left").drop(*[f"{k}__m" for k in keys])
+
+
 def percentile_exclusive(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """Adds (average rank - 1) / (n - 1) * 100; a lone value gets 100, null stays null."""
     ranked = average_rank(df, keys, value, "rank__", "n__")
@@ -104,18 +151,18 @@ def runs(df: DataFrame, keys: list[str], order: list[str], flag: Column) -> Data
     return each.groupBy(*keys).agg(F.sum("length__").alias("flagged"), F.max("length__").alias("longest_run"), F.max_by("length__", "run__").alias("latest_run"))
 
 
-def rank_auc(df: DataFrame, score: str, label: str, keys: list[str]) -> DataFrame:
-    """Per keys the area under the ROC curve by rank sums; null without both classes."""
-    ranked = average_rank(df, keys, score, "rank__", "n__")
-    got = ranked.groupBy(*keys).agg(F.sum(F.when(F.col(label) == 1, F.col("rank__"))).alias("ranks"), F.count_if(F.col(label) == 1).alias("positives"), F.count_if(F.col(label) == 0).alias("negatives"))
-    p, q = F.col("positives"), F.col("negatives")
-    return got.withColumn("roc_auc", F.when((p > 0) & (q > 0), (F.col("ranks") - p * (p + 1) / 2.0) / (p * q))).drop("ranks")
-
+def ranking(df: DataFrame, score: str, label: str, keys: list[str]) -> DataFrame:
+    """keys, roc_auc, average_precision of a 0/1 label by a score, from one ordered pass over distinct scores.
 
-def average_precision(df: DataFrame, score: str, label: str, keys: list[str]) -> DataFrame:
-    """Per keys the sum over distinct scores of precision times the gain in recall."""
-    steps = df.groupBy(*keys, score).agg(F.count("*").alias("n__"), F.sum(label).alias("p__"))
-    for c in ("n", "p"):
-        steps = cumulated(steps, keys, [F.desc(score)], F.col(f"{c}__"), f"{c}_upto")
-    steps = steps.select(*keys, "p__", (F.col("p_upto") / F.col("n_upto")).alias("precision__"))
-    return steps.groupBy(*keys).agg((F.sum(F.col("precision__") * F.col("p__")) / F.sum("p__")).alias("average_precision"))
+    ROC-AUC by rank sums, null without both classes; average precision as the sum over
+    distinct scores of precision times the gain in recall.
+    """
+    steps = df.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count("*").alias("n__"), F.sum(label).alias("p__"))
+    steps = cumulated(steps, keys, [F.col(score)], {"upto_n__": F.col("n__"), "upto_p__": F.col("p__")}, total={"upto_n__": "all_n__", "upto_p__": "all_p__"})
+    rank = F.col("upto_n__") - (F.col("n__") - 1) / F.lit(2.0)
+    # Rows from the greatest score down to this one.
+    precision = (F.col("all_p__") - F.col("upto_p__") + F.col("p__")) / (F.col("all_n__") - F.col("upto_n__") + F.col("n__"))
+    got = steps.groupBy(*keys).agg(F.sum(rank * F.col("p__")).alias("ranks__"), F.sum(precision * F.col("p__")).alias("hits__"), F.sum("p__").alias("positives"), (F.sum("n__") - F.sum("p__")).alias("negatives"))
+    p, q = F.col("positives"), F.col("negatives")
+    got = got.withColumns({"roc_auc": F.when((p > 0) & (q > 0), (F.col("ranks__") - p * (p + 1) / 2.0) / (p * q)), "average_precision": F.when(p > 0, F.col("hits__") / p)})
+    return got.drop("ranks__", "hits__")

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from worksight.functions import scalar, stats
 from worksight.functions.scalar import fixed
+from worksight.operators import pairs
 
 
 def filtered(rows: DataFrame, equal: dict[str, object] | None = None, flags: dict[str, bool | None] | None = None, search: str | None = None, searched: tuple[str, ...] = ()) -> DataFrame:
@@ -33,15 +35,18 @@ def paged(rows: DataFrame, order: list[Column], number: int, size: int) -> DataF
 
 def distribution(rows: DataFrame, value: str, by: str) -> DataFrame:
     """Count, least, quartiles, 90th percentile, mean and greatest value for all rows and each group."""
-    sets = rows.where(F.col(value).isNotNull()).groupingSets([[by], []], by)
-    quantiles = F.percentile(value, [0.25, 0.5, 0.75, 0.9])
-    out = sets.agg(F.grouping_id().alias("g"), F.count("*").alias("n"), F.min(value).alias("minimum"), quantiles.alias("q"), fixed(F.avg(value), 4).alias("mean"), F.max(value).alias("maximum"))
-    return out.select(F.when(F.col("g") == 1, "ALL").otherwise(F.col(by)).alias("group_value"), "n", "minimum", *[fixed(F.get("q", F.lit(i)), 4).alias(c) for i, c in enumerate(("p25", "median", "p75", "p90"))], "mean", "maximum")
+    names = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}
+    groups = F.explode(F.array(F.lit("ALL"), F.col(by).cast("string"))).alias("group_value")
+    stacked = rows.where(F.col(value).isNotNull()).select(groups, F.col(value).alias("value__"))
+    basic = stacked.groupBy("group_value").agg(F.count("*").alias("n"), F.min("value__").alias("minimum"), fixed(F.avg("value__"), 4).alias("mean"), F.max("value__").alias("maximum"))
+    found = stats.quantiles(stacked, ["group_value"], "value__", names).drop("n").withColumnRenamed("group_value", "g")
+    out = basic.join(found, F.col("group_value").eqNullSafe(F.col("g")))
+    return out.select("group_value", "n", "minimum", *[fixed(c, 4).alias(c) for c in names], "mean", "maximum")
 
 
-def pair_audit(pairs: DataFrame, score: str, limits: list[float]) -> DataFrame:
+def pair_audit(found: DataFrame, score: str, limits: list[float]) -> DataFrame:
     """Per limit: pairs at or above it, and how many distinct records they touch."""
-    rows = pairs.select("a", "b", F.explode(F.array(*[F.lit(x) for x in limits])).alias("limit"), F.col(score).alias("s")).where("s >= limit")
+    rows = found.select("a", "b", F.explode(F.array(*[F.lit(x) for x in limits])).alias("limit"), F.col(score).alias("s")).where("s >= limit")
     sides = rows.select("limit", F.explode(F.array("a", "b")).alias("id")).groupBy("limit").agg(F.countDistinct("id").alias("records"))
     return rows.groupBy("limit").agg(F.count("*").alias("pairs")).join(sides, "limit")
 
@@ -131,6 +136,27 @@ def similar_costs(works: DataFrame, asked: DataFrame, first: int = 40, k: int =
     return near.withColumn("place", F.row_number().over(W.partitionBy("asked_id").orderBy(*order))).where(F.col("place") <= k).select("asked_id", "work_id", "similarity", "place")
 
 
+# What makes a similar work one to review, and what is similar at all.
+SIMILAR = {"listed": 0.45, "text": 0.72, "amount": 0.70, "km": 5.0}
+
+
+def similar_works(near: DataFrame, records: DataFrame, k: int = 5) -> DataFrame:
+    """For each asked work the k most similar of its nearest texts near (query_id, chunk_id, score, place).
+
+    Those below the least similarity stay only with sector, sub-sector and district all
+    alike. A match is High if text, sector, amount and either distance or district agree.
+    """
+    both = pairs.with_sides(near.withColumnsRenamed({"query_id": "a", "chunk_id": "b"}), records)
+    alike = lambda c: scalar.same_text(f"{c}_a", f"{c}_b")
+    both = both.withColumns({"km": scalar.haversine("latitude_a", "longitude_a", "latitude_b", "longitude_b", scalar.EARTH_KM), "amount": scalar.amount_similarity("recommended_a", "recommended_b")})
+    listed = both.where((F.col("score") >= SIMILAR["listed"]) | (alike("sector") & alike("sub_sector") & alike("district")))
+    high = (F.col("score") >= SIMILAR["text"]) & alike("sector") & (F.col("amount") >= SIMILAR["amount"]) & ((F.col("km") <= SIMILAR["km"]) | alike("district"))
+    match = F.when(F.coalesce(high, F.lit(False)), "High").otherwise("Possible")
+    w = W.partitionBy("a").orderBy("place")
+    out = listed.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k)
+    return out.select(F.col("a").alias("asked_id"), F.col("b").alias("work_id"), "nth", "score", fixed("km", 2).alias("km"), match.alias("match"))
+
+
 def query_texts(scores: DataFrame, alerts: DataFrame, rules: DataFrame, top: int = 5) -> DataFrame:
     """Per work the text to search with: its stage, its strongest alerts, its actionable rules.
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from worksight.functions.scalar import fixed, fractional_instant, safe_ratio
-from worksight.functions.stats import average_precision, average_rank, rank_auc
+from worksight.functions.stats import average_rank, cumulated, quantiles, ranking
 from worksight.sources.durable import durable
 
 LANDMARKS = (0.25, 0.5, 0.75)
@@ -56,8 +56,8 @@ def ranking_metrics(rows: DataFrame, score: str, label: str, keys: list[str] = (
     keys = list(keys)
     basic = rows.groupBy(*keys).agg(F.count("*").alias("rows"), F.avg(F.pow(F.col(score) - F.col(label), 2)).alias("brier"), F.avg(label).alias("prevalence"))
     if not keys:
-        return basic.crossJoin(rank_auc(rows, score, label, [])).crossJoin(average_precision(rows, score, label, []))  # one row each
-    return basic.join(rank_auc(rows, score, label, keys), keys).join(average_precision(rows, score, label, keys), keys)
+        return basic.crossJoin(ranking(rows, score, label, []))  # one row each
+    return basic.join(ranking(rows, score, label, keys), keys)
 
 
 def calibration_error(rows: DataFrame, score: str, label: str, bins: int = 10) -> DataFrame:
@@ -89,13 +89,21 @@ def threshold_search(rows: DataFrame, score: str, label: str, low: float = 0.15,
 
 
 def serving_rank(rows: DataFrame, score: str) -> DataFrame:
-    """Percentile and rank of the raw score among works in execution; others get none."""
-    from worksight.functions.stats import cumulated, percentile_exclusive
+    """Percentile and rank of the raw score among works in execution; others get none. Ties rank by work.
 
+    Distinct scores are put in order once; both follow from how many rows stand before them.
+    """
     serving = F.when(F.col("lifecycle") == "EXECUTION", F.col(score))
-    out = percentile_exclusive(rows.withColumn("serving", serving), [], "serving", "serving_percentile")
-    out = cumulated(out, ["lifecycle"], [F.desc_nulls_last("serving"), F.col("work_id")], F.lit(1), "place__")
-    return out.withColumn("serving_rank", F.when(F.col("serving").isNotNull(), F.col("place__").cast("int"))).drop("place__")
+    rows = rows.withColumn("serving", serving)
+    values = rows.where("serving is not null").groupBy("serving").agg(F.count("*").alias("same__"))
+    values = cumulated(values, [], [F.col("serving")], F.col("same__"), "upto__", {"upto__": "n__"}).select(F.col("serving").alias("serving__"), "same__", "upto__", "n__")
+    out = rows.join(values, F.col("serving") == F.col("serving__"), "left")
+    average = F.col("upto__") - (F.col("same__") - 1) / F.lit(2.0)
+    percentile = F.when(F.col("n__") == 1, F.lit(100.0)).otherwise((average - 1) / (F.col("n__") - 1) * 100)
+    tie = F.row_number().over(W.partitionBy("serving__", "lifecycle").orderBy("work_id"))
+    place = (F.col("n__") - F.col("upto__") + tie).cast("int")
+    told = F.col("serving").isNotNull()
+    return out.withColumns({"serving_percentile": F.when(told, percentile), "serving_rank": F.when(told, place)}).drop("serving__", "same__", "upto__", "n__")
 
 
 def early_warning(probability: Column, threshold: float, useful: bool) -> Column:
@@ -190,7 +198,10 @@ def isolation_forest(profile: DataFrame, features: list[str], by: str = "lifecyc
     needs a slot of the hash per row, so no stage is sorted or sent to one task. Growing
     takes `trees` x `sample` rows per stage; scoring streams all rows past the forests.
     """
-    medians = profile.groupBy(by).agg(*[F.percentile(F.col(f).cast("double"), 0.5).alias(f"{f}__m") for f in features])
+    long = profile.select(by, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])).alias("x")).select(by, "x.*")
+    middle = quantiles(long, [by, "feature"], "value", {"median": 0.5})
+    medians = middle.groupBy(by).agg(*[F.max(F.when(F.col("feature") == f, F.col("median"))).alias(f"{f}__m") for f in features])
+    medians = profile.select(by).distinct().join(medians, by, "left")
     rows = profile.join(F.broadcast(medians), by).select("work_id", by, *[F.coalesce(F.col(f).cast("double"), F.col(f"{f}__m"), F.lit(0.0)).alias(f) for f in features])  # a row per stage
     slots = trees * sample
     slot = F.pmod(F.xxhash64("work_id", F.lit("forest")), F.lit(slots))

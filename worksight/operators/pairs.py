@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from worksight.functions.scalar import available_mean
+from worksight.functions.geodesic import geodesic_km
+from worksight.functions.scalar import amount_similarity, available_mean, date_proximity, haversine, ratio_similarity, same_text
 
 #: Vectors of a block; two blocks meet in one task.
 BLOCK = 2048
@@ -102,6 +103,54 @@ def review_reasons() -> Column:
     return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()]))
 
 
+def with_sides(pairs: DataFrame, records: DataFrame) -> DataFrame:
+    """Pairs (a, b, ..) with every column of the records (work_id, ..) of either side, as NAME_a and NAME_b."""
+    side = lambda s: records.select(*[F.col(c).alias(f"{c}_{s}") for c in records.columns])
+    return pairs.join(side("a"), F.col("a") == F.col("work_id_a")).join(side("b"), F.col("b") == F.col("work_id_b"))
+
+
+def scored_pairs(near: DataFrame, records: DataFrame) -> DataFrame:
+    """Pairs (a, b, cosine) with their evidence, score and what the review policy needs.
+
+    records has work_id, sector, sub_sector, state, district, block, village, latitude,
+    longitude, recommended, sanctioned, recommended_on, agency. Amounts are compared by both
+    the recommended and the sanctioned one, distances on the ellipsoid; what is missing on
+    either side leaves the weights of the rest.
+    """
+    both = with_sides(near, records)
+    same = {f"same_{c}": same_text(f"{c}_a", f"{c}_b") for c in ("state", "district", "block", "village", "sector", "sub_sector", "agency")}
+    both = both.withColumns({**same, "km": geodesic_km("latitude_a", "longitude_a", "latitude_b", "longitude_b"), "days": F.abs(F.datediff("recommended_on_a", "recommended_on_b"))})
+    both = both.withColumns({
+        "location": location_similarity(*[F.col(f"same_{c}") for c in ("state", "district", "block", "village")], F.col("km")),
+        "amount": available_mean([(amount_similarity("recommended_a", "recommended_b"), 0.6), (amount_similarity("sanctioned_a", "sanctioned_b"), 0.4)]),
+        "date": date_proximity("recommended_on_a", "recommended_on_b"),
+        "text": F.col("cosine"),
+    })
+    parts = {"text": F.col("text"), "location": F.col("location"), "amount": F.col("amount"), "date": F.col("date"), **{c: F.col(f"same_{c}").cast("double") for c in ("sector", "sub_sector", "agency")}}
+    return both.withColumn("score", pair_score(parts)).select("a", "b", "cosine", "text", "km", "days", "location", "amount", "date", *same, "score")
+
+
+# What corroborates a neighbour in the second profile.
+CORROBORATED = {"text": 0.90, "amount": 0.90, "metres": 1500.0}
+
+
+def corroborated_pairs(near: DataFrame, records: DataFrame) -> DataFrame:
+    """Pairs (a, b, cosine) by the second profile: ratio of amounts, great-circle metres, and whether all agree."""
+    both = with_sides(near, records.select("work_id", "sector", "district", "sanctioned", "latitude", "longitude"))
+    amount = F.coalesce(ratio_similarity("sanctioned_a", "sanctioned_b"), F.lit(0.0))
+    both = both.withColumns({"amount": amount, "metres": haversine("latitude_a", "longitude_a", "latitude_b", "longitude_b"), "same_sector": F.coalesce(F.col("sector_a") == F.col("sector_b"), F.lit(False)), "same_district": F.coalesce(F.col("district_a") == F.col("district_b"), F.lit(False))})
+    agreed = (F.col("cosine") >= CORROBORATED["text"]) & F.col("same_sector") & (F.col("amount") >= CORROBORATED["amount"]) & (F.col("metres") <= CORROBORATED["metres"])
+    return both.select("a", "b", "cosine", "amount", "metres", "same_sector", "same_district", F.coalesce(agreed, F.lit(False)).alias("review"))
+
+
+def best_candidates(ids: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Per id its best partner, review candidates before others, then by similarity, then by id."""
+    both = symmetric(pairs, "cosine", "review")
+    order = F.struct(~F.col("review"), -F.col("cosine"), F.col("other"))
+    got = both.groupBy("id").agg(F.min_by(F.struct("other", "cosine", "review"), order).alias("x"))
+    return ids.select("id").join(got, "id", "left").select("id", F.coalesce("x.review", F.lit(False)).alias("has_candidate"), F.col("x.other").alias("best"), F.col("x.cosine").alias("best_cosine"))
+
+
 def symmetric(pairs: DataFrame, *carried: str) -> DataFrame:
     """Each pair from both sides: id, other and the carried columns."""
     sides = F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))

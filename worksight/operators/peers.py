@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from worksight.functions.stats import OUTLIER, robust_deviation, robust_method
+from worksight.functions.stats import OUTLIER, robust_deviation, robust_method, spread
 from worksight.sources.durable import durable
 
 LEVELS = (("district", "sector", "sub_sector"), ("district", "sector"), ("sector", "sub_sector"), ("sector",), ())
@@ -20,27 +20,34 @@ def long_metrics(profile: DataFrame, metrics: list[str], keys: list[str]) -> Dat
 
 
 def peer_stats(long: DataFrame, keys: list[str]) -> DataFrame:
-    """Per cohort and metric: non-null count, quantiles, MAD and IQR (exact, interpolated)."""
-    first = long.groupBy(*keys, "metric").agg(F.count("value").alias("n"), F.percentile("value", [0.1, 0.25, 0.5, 0.75, 0.9]).alias("q"))
-    first = first.select(*keys, "metric", "n", *[F.get("q", F.lit(i)).alias(name) for i, name in enumerate(("p10", "q25", "median", "q75", "p90"))])
-    on = long.join(first.select(*keys, "metric", "median"), [*keys, "metric"])
-    mad = on.groupBy(*keys, "metric").agg(F.percentile(F.abs(F.col("value") - F.col("median")), 0.5).alias("mad"))
-    return first.join(mad, [*keys, "metric"]).withColumn("iqr", F.col("q75") - F.col("q25"))
+    """Per cohort and metric: non-null count, quantiles, MAD and IQR (exact, interpolated); null without values."""
+    by = [*keys, "metric"]
+    found = spread(long, by, "value", {"p10": 0.1, "q25": 0.25, "q75": 0.75, "p90": 0.9}).drop("n")
+    on = F.lit(True)
+    for k in by:
+        on = on & F.col(k).eqNullSafe(F.col(f"{k}__f"))
+    found = found.withColumnsRenamed({k: f"{k}__f" for k in by})
+    counts = long.groupBy(*by).agg(F.count("value").alias("n"))
+    out = counts.join(found, on, "left").withColumn("iqr", F.col("q75") - F.col("q25"))
+    return out.select(*by, "n", "p10", "q25", "median", "q75", "p90", "mad", "iqr")
 
 
 def peer_evidence(profile: DataFrame, metrics: list[str], minimum: int = MINIMUM) -> DataFrame:
     """Per work and metric: value, the cohort level used, its statistics and the deviation.
 
-    A level's statistics join back on its keys (null keys are a cohort of their own); the first of LEVELS with
+    The cohorts of all levels are measured together, keys that a level doesn't have being
+    null. Statistics join back on a level's keys (null keys are a cohort of their own); the first of LEVELS with
     `minimum` non-null values of the metric is used. Without one, all is null.
     """
     every = ["district", "sector", "sub_sector"]
-    long = durable(long_metrics(profile, metrics, ["work_id", "lifecycle", *every]))  # read by each level, twice
+    long = durable(long_metrics(profile, metrics, ["work_id", "lifecycle", *every]))
+    at_level = [F.struct(F.lit(i).alias("level"), *[(F.col(k) if k in level else F.lit(None)).cast("string").alias(k) for k in every]) for i, level in enumerate(LEVELS)]
+    stacked = long.select("lifecycle", "metric", "value", F.explode(F.array(*at_level)).alias("l")).select("lifecycle", "metric", "value", "l.*")
+    measured = durable(peer_stats(stacked, ["level", "lifecycle", *every]).where(F.col("n") >= minimum))
     out = long
     for i, level in enumerate(LEVELS):
         keys = ["lifecycle", *level]
-        renamed = peer_stats(long, keys).where(F.col("n") >= minimum)
-        renamed = renamed.select(*[F.col(k).alias(f"{k}__{i}") for k in [*keys, "metric"]], F.struct(F.lit(i).alias("level"), "n", "median", "mad", "iqr").alias(f"level__{i}"))
+        renamed = measured.where(F.col("level") == i).select(*[F.col(k).alias(f"{k}__{i}") for k in [*keys, "metric"]], F.struct("level", "n", "median", "mad", "iqr").alias(f"level__{i}"))
         on = F.lit(True)
         for k in [*keys, "metric"]:
             on = on & F.col(k).eqNullSafe(F.col(f"{k}__{i}"))
@@ -61,10 +68,8 @@ def peer_summary(evidence: DataFrame) -> DataFrame:
 
 def sector_deviation(df: DataFrame, value: str, by: str = "sector") -> DataFrame:
     """Adds deviation: (value - median) / (1.4826 MAD) within a group, null without spread."""
-    medians = df.groupBy(F.col(by).alias("by__")).agg(F.percentile(value, 0.5).alias("median__"))
-    out = df.join(medians, F.col(by).eqNullSafe(F.col("by__")), "left").drop("by__")
-    mads = out.groupBy(F.col(by).alias("by__")).agg(F.percentile(F.abs(F.col(value) - F.col("median__")), 0.5).alias("mad__"))
-    out = out.join(mads, F.col(by).eqNullSafe(F.col("by__")), "left")
+    found = spread(df.select(F.col(by).alias("by__"), F.col(value).alias("value__")), ["by__"], "value__", {}).select("by__", F.col("median").alias("median__"), F.col("mad").alias("mad__"))
+    out = df.join(found, F.col(by).eqNullSafe(F.col("by__")), "left")
     return out.withColumn("deviation", F.when(F.col("mad__") > 0, (F.col(value) - F.col("median__")) / (1.4826 * F.col("mad__")))).drop("by__", "median__", "mad__")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from worksight.functions.scalar import fixed, safe_ratio
-from worksight.functions.stats import carried, cumulated
+from worksight.functions.stats import carried, cumulated, quantiles
 from worksight.operators.pairs import BLOCK, best
 
 ROLES = {"NATIONAL": (), "STATE": ("state",), "DISTRICT": ("state", "district"), "MP": ("mp_id",)}
@@ -74,8 +74,11 @@ def fund_flow(rows: DataFrame, spent: DataFrame) -> DataFrame:
 
 def precheck_costs(rows: DataFrame, peers: int = 5, factor: float = 1.25) -> DataFrame:
     """Per work: median and upper quartile of peers (sub-sector if enough, else sector), and whether its cost is high."""
-    fine = rows.groupBy("sector", "sub_sector").agg(F.count("*").alias("fn"), F.percentile("sanctioned", [0.5, 0.75]).alias("fq"))
-    coarse = rows.groupBy("sector").agg(F.count("*").alias("cn"), F.percentile("sanctioned", [0.5, 0.75]).alias("cq"))
+    wanted = {"median": 0.5, "q75": 0.75}
+    costs = rows.select("sector", "sub_sector", "sanctioned")
+    fine = costs.groupBy("sector", "sub_sector").agg(F.count("*").alias("fn")).join(quantiles(costs, ["sector", "sub_sector"], "sanctioned", wanted).drop("n"), ["sector", "sub_sector"], "left")
+    fine = fine.select("sector", "sub_sector", "fn", F.array("median", "q75").alias("fq"))
+    coarse = quantiles(costs, ["sector"], "sanctioned", wanted).select("sector", F.array("median", "q75").alias("cq"))
     out = rows.join(fine, ["sector", "sub_sector"], "left").join(coarse, "sector", "left")
     q = F.when(F.col("fn") >= peers, F.col("fq")).otherwise(F.col("cq"))
     out = out.select("work_id", "sanctioned", F.when(F.col("fn") >= peers, "SUB_SECTOR").otherwise("SECTOR").alias("level"), F.get(q, F.lit(0)).alias("peer_median"), F.get(q, F.lit(1)).alias("peer_q75"))

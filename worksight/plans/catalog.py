@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from worksight.functions import scalar, stats
 from worksight.functions.scalar import fixed
 from worksight.operators import checks, features, fusion, models, pairs, peers, serving, signals, trends
-from worksight.plans import sql
+from worksight.plans import register, sql
 from worksight.sources import domain
 from worksight.sources.durable import durable
 from worksight.sources.domain import AS_OF, EVENTS_AS_OF, table
@@ -311,43 +311,24 @@ def isolation_forest(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def vector_topk_pairs(spark: SparkSession, d: str) -> DataFrame:
-    got = pairs.canonical_pairs(pairs.topk_neighbours(table(spark, d, "embeddings"), 10))
+    got = register.near_pairs(table(spark, d, "embeddings").select(F.col("vec_id").alias("work_id"), F.col("embedding").alias("v")), 10)
     return got.select("a", "b", fixed("cosine", 4).alias("cosine"))
 
 
-def scored_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbour vectors as candidate records: amounts, places and dates of the work with the vector's id."""
-    near = pairs.canonical_pairs(pairs.topk_neighbours(table(spark, d, "embeddings"), 5))
-    w = domain.works(spark, d).select("work_id", "state", "district", "sector", "sub_sector", "sanctioned", "recommended_on", "mp_id")
-    side = lambda s: w.select(*[F.col(c).alias(f"{c}_{s}") for c in w.columns])
-    both = near.join(side("a"), F.col("a") == F.col("work_id_a")).join(side("b"), F.col("b") == F.col("work_id_b"))
-    same = lambda c: scalar.same_text(f"{c}_a", f"{c}_b")
-    place = pairs.location_similarity(same("state"), same("district"), F.lit(None), F.lit(None), F.lit(None).cast("double"))
-    parts = {"text": F.col("cosine"), "location": place, "amount": scalar.amount_similarity("sanctioned_a", "sanctioned_b"), "date": scalar.date_proximity("recommended_on_a", "recommended_on_b"), "sector": same("sector").cast("double"), "sub_sector": same("sub_sector").cast("double"), "agency": (F.col("mp_id_a") == F.col("mp_id_b")).cast("double")}
-    out = both.withColumn("score", pairs.pair_score(parts))
-    return out.withColumns({"amount": parts["amount"], "same_district": same("district"), "same_sector": same("sector"), "same_sub_sector": same("sub_sector"), "days": F.abs(F.datediff("recommended_on_a", "recommended_on_b"))})
-
-
-def placed(rows: DataFrame) -> DataFrame:
-    """Scored pairs with what the policy needs; the tables have no block, village or distance, so these stand as met."""
-    return rows.withColumns({"text": F.col("cosine"), "same_block": F.lit(True), "same_village": F.lit(True), "km": F.lit(0.5)})
-
-
 @query
 def pair_score(spark: SparkSession, d: str) -> DataFrame:
-    return scored_pairs(spark, d).select("a", "b", fixed("score", 3).alias("score"))
+    rows = register.scored(spark, d)
+    return rows.select("a", "b", *[fixed(c, n).alias(c) for c, n in (("cosine", 4), ("km", 3), ("location", 4), ("amount", 4), ("date", 4), ("score", 3))])
 
 
 @query
 def pair_review_policy(spark: SparkSession, d: str) -> DataFrame:
-    rows = placed(scored_pairs(spark, d))
-    return rows.select("a", "b", F.array_join(pairs.review_reasons(), ",").alias("reasons"))
+    return register.scored(spark, d).select("a", "b", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query
 def pair_symmetric_summary(spark: SparkSession, d: str) -> DataFrame:
-    rows = scored_pairs(spark, d).select("a", "b", fixed("score", 3).alias("score"), F.col("same_sector").alias("review"))
-    return pairs.pair_summary(table(spark, d, "embeddings").select(F.col("vec_id").alias("id")), rows, "score", "review")
+    return register.summary(spark, d).withColumns({c: fixed(c, 3) for c in ("best_score", "best_review_score")})
 
 
 @query
@@ -524,12 +505,6 @@ def trend_context(spark: SparkSession, d: str) -> DataFrame:
 # Fusion
 
 
-def review_summary(t: Tables) -> DataFrame:
-    """The pair summary of all works with a vector; pairs without a failed check of the policy are review candidates."""
-    rows = placed(scored_pairs(t.spark, t.sf_dir)).withColumn("review", F.size(pairs.review_reasons()) == 0).select("a", "b", "score", "review")
-    return pairs.pair_summary(t.raw("embeddings").where("vec_id is not null and embedding is not null").select(F.col("vec_id").alias("id")).distinct(), durable(rows), "score", "review")
-
-
 WARNED_BY = ["payment_count", "released_total", "spend_ratio", "planned_days"]
 
 
@@ -598,7 +573,7 @@ def modelled(t: Tables) -> Evidence:
     odd = stats.percentile_exclusive(durable(models.isolation_forest(t.profile, METRICS)), ["lifecycle"], "anomaly_score", "odd").select("work_id", "odd")
     warned = durable(overrun_warning(t))
     serving_ = models.serving_rank(warned.withColumn("lifecycle", F.lit("EXECUTION")), "probability").select("work_id", "serving_percentile", "status")
-    return Evidence(t, odd, fusion.duplicate_family(review_summary(t)), serving_)
+    return Evidence(t, odd, fusion.duplicate_family(register.summary(t.spark, t.sf_dir)), serving_)
 
 
 def given(t: Tables) -> Evidence:
@@ -851,12 +826,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from worksight.plans import desk  # noqa: F401  registers its queries
+    from worksight.plans import desk, texts  # noqa: F401  register their queries
 
     return dict(REGISTERED)
 
 
 def oracle_sql() -> dict[str, str]:
-    from worksight.plans import desk
+    from worksight.plans import desk, texts
 
-    return {name: text for name, text in sql.all_sql(desk.SQL).items() if name in REGISTERED}
+    return {name: text for name, text in sql.all_sql(desk.SQL | texts.SQL).items() if name in REGISTERED}

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from worksight.functions import scalar
 from worksight.functions.scalar import fixed
-from worksight.operators import desk, features, pairs, signals
-from worksight.plans import sql
+from worksight.operators import desk, features, signals
+from worksight.plans import register, sql
 from worksight.plans.catalog import REPORT_ORDER, Tables, funds, query, served
 from worksight.sources import domain
 from worksight.sources.domain import AS_OF, EVENTS_AS_OF, table
@@ -53,7 +53,7 @@ def distribution_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def pair_audit(spark: SparkSession, d: str) -> DataFrame:
-    near = pairs.canonical_pairs(pairs.topk_neighbours(table(spark, d, "embeddings"), 10))
+    near = register.near_pairs(table(spark, d, "embeddings").select(F.col("vec_id").alias("work_id"), F.col("embedding").alias("v")), 10)
     return desk.pair_audit(near.withColumn("cosine", fixed("cosine", 4)), "cosine", [0.2, 0.4, 0.6, 0.8]).withColumnRenamed("limit", "least_cosine")
 
 

@@ -166,6 +166,12 @@ CTES |= {
 ORDER = {name: i for i, name in enumerate(CTES)}
 
 
+def extend(more: dict[str, str]) -> None:
+    """Adds table expressions, which may build on those before them."""
+    CTES.update(more)
+    ORDER.update({name: i for i, name in enumerate(CTES)})
+
+
 def using(body: str) -> str:
     """The body with the expressions that it needs, directly or through others."""
     import re
@@ -178,7 +184,7 @@ def using(body: str) -> str:
             need.add(name)
             todo += [x for x in words[name] if ORDER[x] < ORDER[name]]
     listed = ", ".join(f"{n} AS ({CTES[n]})" for n in sorted(need, key=ORDER.get))
-    return f"WITH {listed} {body}" if need else body
+    return f"WITH RECURSIVE {listed} {body}" if need else body
 
 
 KEYS = {"orders": ["o_orderkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"], "lineitem": ["l_orderkey", "l_linenumber"], "events": ["event_id"]}

@@ -84,3 +84,38 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case work_id % 5 when 0 then 'Pending' when 1 then null else 'Submitted' end as certificate_status",
         "if(work_id % 9 = 0, '', concat('PHOTO-', work_id)) as photo",
     )
+
+
+def register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Described works: documents in the role of work descriptions.
+
+    Places and amounts are cut from the length of the text, finer from level to level, so
+    that copies and near copies lie close together, as records entered twice do.
+    """
+    return table(spark, sf_dir, "documents").selectExpr(
+        "doc_id as work_id",
+        "text as description",
+        "lang as sector",
+        "concat('S', n_chars div 3000) as sub_sector",
+        "concat('R', n_chars div 8000) as state",
+        "concat('D', n_chars div 2000) as district",
+        "concat('B', n_chars div 500) as block",
+        "concat('V', n_chars div 100) as village",
+        "10 + (n_chars div 100) * 0.01D as latitude",
+        "75 + (n_chars % 100) * 0.0001D as longitude",
+        "n_chars * 100000 as recommended",
+        "n_chars * 1000 * (90 + doc_id % 15) as sanctioned",
+        "date_add(date'1997-01-01', cast(doc_id % 400 as int)) as recommended_on",
+        "source as agency",
+    )
+
+
+def site_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports from the site of a work: a payment's line some days later, its quantity and discount as progress."""
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey as work_id",
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(floor(l_extendedprice * 100 + 0.5) as bigint)) as progress_id",
+        "date_add(cast(l_shipdate as date), cast(l_partkey % 15 as int)) as report_date",
+        "least(100.0D, l_quantity * 2) as physical",
+        "least(100.0D, floor(l_discount * 1000 + 0.5)) as financial",
+    )
