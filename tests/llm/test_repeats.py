@@ -48,7 +48,7 @@ def corpus(seed, n):
     return docs
 
 
-@pytest.mark.parametrize("bucket_bytes,slice_rows,resolve", [(4 << 20, 4096, 50_000), (1500, 4096, 3), (4000, 2, 10), (700, 1, 1)])
+@pytest.mark.parametrize("bucket_bytes,slice_rows,resolve", [(4 << 20, 1024, 50_000), (1500, 1024, 3), (4000, 2, 10), (700, 1, 1)])
 def test_removed_words(spark, monkeypatch, bucket_bytes, slice_rows, resolve):
     monkeypatch.setattr(repeats, "BUCKET_BYTES", bucket_bytes)
     monkeypatch.setattr(repeats, "SLICE", slice_rows)

@@ -9,16 +9,16 @@ covers of a document: windows in a row, a few for each word run chosen.
 2. The pieces that remain meet by anchor and confirm which of their windows recur, and where
    each stands first. Rows in a row of such windows whose first places are in a row too are a
    phrase: a place in a document, and where the corpus has it first.
-3. Phrases and whole documents meet in buckets of documents. A bucket's phrases are cut in
-   blocks, every window holds one whole, and compiled to an Aho-Corasick automaton. All documents of
+3. Phrases and whole documents meet in buckets of documents. Of a bucket's phrases blocks of
+   words, of which every window holds one, are compiled to an Aho-Corasick automaton. All documents of
    the bucket stream through it; block hits grow to the longest common runs of words, and
    the words of those that stand later than the phrase's first place go.
 
 Scale: an automaton holds the phrases of one bucket, so it is bounded by the bucket's text;
 a phrase goes once to each bucket that has it, however often it is in there, as a place
 in one of the bucket's documents, not as text. Anchors with very many pieces are dealt in
-slices, whole buckets each, and their windows' first places are found by an aggregation over
-the slices. Texts are shuffled once.
+slices by document, and their windows' first places are found by an aggregation over the
+slices. Texts are shuffled once.
 """
 
 from __future__ import annotations
@@ -36,18 +36,19 @@ from worksight.llm.common import STEPS, Words, blocks, durable, encoded, mix
 #: Bits of the table of anchors that may recur, and of one page of it as the aggregate makes them.
 TABLE, PAGE = 1 << 26, 1 << 15
 #: An anchor with more pieces, and more than one in HOTTEST of all, is dealt in slices of as many; there are HOTTEST at most.
-SLICE, HOTTEST = 4096, 1 << 20
+SLICE, HOTTEST = 1024, 1 << 20
 #: Bytes of text that a bucket is meant to hold, and pieces that are resolved at a time.
 BUCKET_BYTES, RESOLVE = 4 << 20, 50_000
 #: Symbols of the automata; a word is spelled in a few of them, so that no node has more children.
 SYMBOLS = 128
-LAST = np.iinfo(np.int64).max
+#: Words that are compared at a time.
+STRIDE = 12
 
 
 class Pieces:
     """The pieces of a block of texts: text, first word in it, anchor, and the hashes of their windows from low to high."""
 
-    def __init__(self, texts: list[bytes], length: int):
+    def __init__(self, texts: list[bytes], length: int, windows: bool = True):
         w = Words(texts, lower=False)
         half = length // 2
         n = len(w.hashes) - length + 1
@@ -68,7 +69,8 @@ class Pieces:
         for j in range(span - 1, -1, -1):  # the leftmost of equal ones
             at[sums[j : n + j] == least] = j
         at += np.arange(n)
-        self.windows = mix(sums[:n] * STEPS[40] + sums[length - half : n + length - half] * STEPS[41])
+        if windows:
+            self.windows = mix(sums[:n] * STEPS[40] + sums[length - half : n + length - half] * STEPS[41])
         text = np.repeat(np.arange(len(texts)), np.diff(w.first))[:n]
         whole = np.arange(n) + length <= w.first[1:][text]
         new = whole & np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1]) | ~whole[:-1]])
@@ -87,7 +89,7 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             texts = encoded(batch.column(0))
             for a, b in blocks(texts):
-                yield pa.RecordBatch.from_arrays([pa.array(Pieces(texts[a:b], length).anchors.view(np.int64))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(Pieces(texts[a:b], length, windows=False).anchors.view(np.int64))], schema=schema)
 
     return docs.select("text").mapInArrow(run, "anchor long")
 
@@ -105,7 +107,7 @@ def recurring(counted: DataFrame) -> np.ndarray:
 def pieces(docs: DataFrame, length: int, table: np.ndarray, hot: dict[int, int]) -> DataFrame:
     """anchor, slice, bucket, none, doc_id, mark, start, windows of the pieces of docs whose anchor may recur.
 
-    hot has the slices of anchors that need several; pieces of one bucket are in one slice.
+    hot has the slices of anchors that need several; pieces of one document are in one slice.
     """
     known = docs.sparkSession.sparkContext.broadcast((table, np.array(sorted(hot), np.int64), np.array([hot[k] for k in sorted(hot)], np.int64)))
     schema = pa.schema([("anchor", pa.int64()), ("slice", pa.int32()), ("bucket", pa.int64()), ("none", pa.int32()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("start", pa.int64()), ("windows", pa.binary())])
@@ -113,8 +115,8 @@ def pieces(docs: DataFrame, length: int, table: np.ndarray, hot: dict[int, int])
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, keys, slices = known.value
         for batch in batches:
-            texts = encoded(batch.column(4))
-            bucket, none, ids, marks = (batch.column(i).to_numpy() for i in range(4))
+            texts = encoded(batch.column(5))
+            bucket, none, ids, marks, deal = (batch.column(i).to_numpy() for i in range(5))
             for a, b in blocks(texts):
                 p = Pieces(texts[a:b], length)
                 anchor = p.anchors.view(np.int64)
@@ -124,22 +126,22 @@ def pieces(docs: DataFrame, length: int, table: np.ndarray, hot: dict[int, int])
                 part = np.zeros(len(keep), np.int64)
                 if len(keys):
                     found = np.minimum(np.searchsorted(keys, anchor), len(keys) - 1)
-                    part = np.where(keys[found] == anchor, 1 + bucket[text] % slices[found], 0)
+                    part = np.where(keys[found] == anchor, 1 + deal[text] % slices[found], 0)
                 data = [p.windows[x:y].tobytes() for x, y in zip(p.low[keep], p.high[keep], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part, pa.int32()), pa.array(bucket[text]), pa.array(none[text], pa.int32()), pa.array(ids[text]), pa.array(marks[text]), pa.array(p.start[keep]), pa.array(data, pa.binary())], schema=schema)
 
-    return docs.select("bucket", "none", "doc_id", "mark", "text").mapInArrow(run, "anchor long, slice int, bucket long, none int, doc_id long, mark long, start long, windows binary")
+    return docs.select("bucket", "none", "doc_id", "mark", "deal", "text").mapInArrow(run, "anchor long, slice int, bucket long, none int, doc_id long, mark long, start long, windows binary")
 
 
 PHRASE = "anchor long, slice int, window long, bucket long, none int, doc_id long, mark long, start long, windows long, rows long, first_none int, first_id long, first_start long"
 
 
-def resolved(found: DataFrame) -> DataFrame:
-    """Phrases of pieces, each bucket's first places of them; rows of PHRASE.
+def resolved(found: DataFrame, hot_ones: bool) -> DataFrame:
+    """Phrases of pieces, each bucket's first places of them; rows of PHRASE, of anchors in slices or of the others.
 
     Where slice is 0, all pieces of the anchor were seen: phrases are of windows that recur,
-    as many in a row as can be. Else a phrase is one window, and rows is how often its
-    bucket has it; others may know an earlier place.
+    as many in a row as can be. Else a phrase is one window, and rows is how often the
+    slice has it in that bucket; others may know an earlier place.
     """
     schema = pa.schema([(c.split()[0], pa.int32() if c.endswith("int") else pa.int64()) for c in PHRASE.split(", ")])
 
@@ -186,6 +188,8 @@ def resolved(found: DataFrame) -> DataFrame:
         held: list[pa.RecordBatch] = []
         rows = 0
         for batch in batches:
+            # Chosen here, so that both choices read one shuffle.
+            batch = batch.filter(pa.array((batch.column(1).to_numpy() > 0) == hot_ones))
             keys = [(batch.column(0)[i].as_py(), batch.column(1)[i].as_py()) for i in (0, batch.num_rows - 1)] if batch.num_rows else []
             if not keys:
                 continue
@@ -207,20 +211,22 @@ def resolved(found: DataFrame) -> DataFrame:
 def phrases(found: DataFrame) -> DataFrame:
     """bucket, none, doc_id, mark, start, windows, first_none, first_id, first_start of the phrases of pieces."""
     dealt = found.repartition("anchor", "slice").sortWithinPartitions("anchor", "slice", "none", "doc_id", "start")
-    out = resolved(dealt)
     columns = ["bucket", "none", "doc_id", "mark", "start", "windows", "first_none", "first_id", "first_start"]
-    parts = out.where("slice > 0")
+    # What the slices know of a bucket's places of a window is one row.
+    lead = F.min(F.struct("none", "doc_id", "start", "mark")).alias("lead")
+    parts = resolved(dealt, True).groupBy("anchor", "window", "bucket").agg(lead, F.sum("rows").alias("rows"))
+    parts = durable(parts.select("anchor", "window", "bucket", "lead.*", F.lit(1).cast("long").alias("windows"), "rows"))
     places = parts.groupBy("anchor", "window").agg(F.min(F.struct("none", "doc_id", "start")).alias("first"), F.sum("rows").alias("rows")).where("rows > 1")
-    joined = parts.drop("first_none", "first_id", "first_start", "rows").join(places, ["anchor", "window"])
+    joined = parts.drop("rows").join(places, ["anchor", "window"])
     joined = joined.withColumns({"first_none": F.col("first.none"), "first_id": F.col("first.doc_id"), "first_start": F.col("first.start")})
-    return out.where("slice = 0").select(columns).unionByName(joined.select(columns))
+    return resolved(dealt, False).select(columns).unionByName(joined.select(columns))
 
 
 class Automaton:
-    """The phrases of a bucket, cut in blocks; finds where texts hold `length` words or more of one."""
+    """Blocks of the phrases of a bucket; finds where texts hold `length` words or more of one."""
 
     def __init__(self, passages: list[tuple[list[bytes], tuple[int, int, int]]], length: int):
-        self.passages, self.length, self.block = passages, length, length // 2
+        self.passages, self.length, self.block = passages, length, max(1, length // 3)
         ids: dict[bytes, int] = {}
         for words, _ in passages:
             for x in words:
@@ -233,7 +239,8 @@ class Automaton:
         self.places: list[list[tuple[int, int]]] = []
         self.tree = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for k, (words, _) in enumerate(passages):
-            for at in range(0, len(words) - self.block + 1, self.block):
+            # So far apart that every `length` words hold one whole.
+            for at in range(0, len(words) - self.block + 1, length - self.block + 1):
                 key = "".join(map(self.code.__getitem__, words[at : at + self.block]))
                 number = self.tree.get(key, -1)
                 if number < 0:
@@ -258,10 +265,14 @@ class Automaton:
                 if upto.get((k, here - at), -1) > here:
                     continue
                 own = self.passages[k][0]
-                a, b = here, at
+                a, b, x, y = here, at, here + self.block, at + self.block
+                # Many words at a time as long as they agree, then one by one.
+                while a >= STRIDE and b >= STRIDE and words[a - STRIDE : a] == own[b - STRIDE : b]:
+                    a, b = a - STRIDE, b - STRIDE
                 while a and b and words[a - 1] == own[b - 1]:
                     a, b = a - 1, b - 1
-                x, y = here + self.block, at + self.block
+                while x + STRIDE <= len(words) and y + STRIDE <= len(own) and words[x : x + STRIDE] == own[y : y + STRIDE]:
+                    x, y = x + STRIDE, y + STRIDE
                 while x < len(words) and y < len(own) and words[x] == own[y]:
                     x, y = x + 1, y + 1
                 upto[k, here - at] = x
@@ -352,7 +363,9 @@ def without_repeats(docs: DataFrame, length: int = 20, tag: str | None = None) -
     text = F.col("text").cast("string")
     docs = docs.select(F.col("doc_id").isNull().cast("int").alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("doc_id"), (F.col(tag) if tag else F.lit(None)).cast("long").alias("tag"), text.alias("text"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("mark"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    docs = docs.withColumn("bucket", F.pmod(F.xxhash64("none", "doc_id", "mark"), F.lit(size // BUCKET_BYTES + 1)))
+    dealt = F.shiftrightunsigned(F.xxhash64("none", "doc_id", "mark"), 1)
+    buckets = size // BUCKET_BYTES + 1
+    docs = docs.withColumn("dealt", dealt).withColumns({"bucket": F.col("dealt") % buckets, "deal": F.expr(f"dealt div {buckets}")}).drop("dealt")
     counted = anchors(docs, length).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     counted = durable(counted)
     total = counted.agg(F.sum("n")).first()[0] or 0
