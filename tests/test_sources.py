@@ -91,3 +91,62 @@ def test_streams_equal_batches(spark, tmp_path):
     assert spark.table("t_sessions").agg(F.sum("events")).first()[0] == 200
     late = streams.late_evidence(spark.createDataFrame([("2026-09-03", "2026-09-01"), ("2026-09-04", "2026-09-20")], "a string, b string").select(F.col("a").cast("date").alias("captured_on"), F.col("b").cast("date").alias("due_month")))
     assert [r.late for r in late.orderBy("captured_on").collect()] == [False, True]
+
+
+def test_settings_supplements_labels_and_profiles(spark, tmp_path):
+    (tmp_path / "meta.json").write_text('﻿{"synthetic_demo_data": true, "n": 3}', encoding="utf-8")
+    assert contracts.read_json(spark, str(tmp_path / "meta.json"), {"synthetic_demo_data": True})["n"] == 3
+    with pytest.raises(contracts.ContractError, match="synthetic"):
+        contracts.read_json(spark, str(tmp_path / "meta.json"), {"synthetic_demo_data": False})
+    (tmp_path / "extra.csv").write_text("﻿a,b\n1,x\n2,\"y,\nz\"\n", encoding="utf-8")
+    extra = contracts.load_supplements(spark, str(tmp_path), {"extra": "extra.csv"})["extra"]
+    assert dict(extra.dtypes) == {"a": "string", "b": "string"} and {r.b for r in extra.collect()} == {"x", "y,\nz"}
+    known = spark.createDataFrame([("M1",), ("M2",)], "mp_id string")
+    assert contracts.load_labels(spark, write(tmp_path / "l.csv", [GOOD]), MP, known, "mp_id").count() == 1
+    with pytest.raises(contracts.ContractError, match="M1"):
+        contracts.load_labels(spark, write(tmp_path / "m.csv", [GOOD, GOOD]), MP, known, "mp_id")
+    with pytest.raises(contracts.ContractError, match="M1"):
+        contracts.load_labels(spark, write(tmp_path / "n.csv", [GOOD]), MP, known.where("mp_id = 'M2'"), "mp_id")
+    got = contracts.load_profile(spark, str(tmp_path), "meta.json", {"l.csv": MP}, {"synthetic_demo_data": True})
+    assert got["mp"].count() == 1
+    with pytest.raises(contracts.ContractError):
+        contracts.load_profile(spark, str(tmp_path), "meta.json", {"l.csv": MP}, {"n": 4})
+
+
+def test_summaries_manifests_and_unchanged_inputs(spark, tmp_path):
+    root = str(tmp_path / "out")
+    contracts.write_summary(spark.createDataFrame([(float("inf"), 2, None)], "z double, a long, m string"), root, f"{root}/s")
+    assert [r.value for r in spark.read.text(f"{root}/s").collect()] == ['{"a":2,"m":null,"z":null}']
+    with pytest.raises(contracts.ContractError):
+        contracts.write_summary(spark.range(2), root, f"{root}/t")
+    spark.range(5).write.parquet(f"{root}/five")
+    inputs = {"five": spark.read.parquet(f"{root}/five")}
+    assert contracts.unchanged(inputs, lambda: 7) == 7
+
+    def spoil():
+        spark.range(5, 6).write.mode("append").parquet(f"{root}/five")
+        inputs["five"] = spark.read.parquet(f"{root}/five")
+
+    with pytest.raises(contracts.ContractError, match="five"):
+        contracts.unchanged(inputs, spoil)
+    listed = contracts.artifact_manifest(spark, root, {"five": "five"}).first()
+    assert (listed.table, listed.rows, len(listed.sha256)) == ("five", 6, 64) and listed.files >= 2
+    a, b = spark.createDataFrame([(1,), (1,), (None,)], "k long"), spark.createDataFrame([(1, 9)], "id long, k long")
+    faults = contracts.integrity_faults({"a": a, "b": b}, spark.createDataFrame([("a", 3), ("b", 2)], "table string, rows long"), {"a": "k"}, [("b", "k", "a", "k")])
+    assert {(r.table, r.fault, r.found) for r in faults.collect()} == {("b", "ROW_COUNT", 1), ("a", "REPEATED_KEY", 1), ("a", "NULL_KEY", 1), ("b", "ORPHAN_k", 1)}
+
+
+def test_rules_of_values_and_states(spark):
+    from datetime import date
+
+    from worksight.operators import checks
+
+    rows = spark.createDataFrame([(1, 0.5, 1, 2, date(2020, 1, 1), 1, 10, "EXECUTION", 0), (2, float("inf"), None, 0, date(2021, 1, 1), 0, 0, "COMPLETION", 0), (3, None, 1, 0, None, 1, 5, "EXECUTION", 0)], "work_id long, r double, a long, b long, on date, payment_count long, released_total long, lifecycle string, asset_count long")
+    paid = spark.createDataFrame([(1, date(2020, 1, 1), 10, True), (3, date(2020, 1, 1), 6, True)], "work_id long, released_on date, amount long, is_released boolean")
+    got = {r.rule: r.violations for r in checks.value_contract(rows, {"r": ("a", "b")}, ["on"], "2020-06-01", paid).collect()}
+    assert got == {"INFINITE_VALUE": 1, "RATIO_NULLNESS": 1, "FUTURE_DATE": 1, "PAYMENTS_DONT_RECONCILE": 1, "COMPLETION_MISMATCH": 1}
+    needs = spark.createDataFrame([(1, 1, None, True), (2, 1, None, False), (3, 1, "x", True)], "id long, work_id long, k string, done boolean")
+    assert [r.record_id for r in checks.required_keys(needs, {"NULL_K": ("k", F.col("done"))}, "t", "id").collect()] == ["1"]
+    works = spark.createDataFrame([(1, "P"), (2, "P"), (3, "F")], "work_id long, status string")
+    told = spark.createDataFrame([(2, 0.0, 5.0), (1, 0.0, 0.0)], "work_id long, physical double, financial double")
+    assert [(r.work_id, r.reports) for r in checks.status_inconsistency(works, F.col("status") == "P", paid.where("work_id = 3"), told).collect()] == [(2, 1)]

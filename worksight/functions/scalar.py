@@ -143,14 +143,16 @@ def add_working_days(date, n: int, holidays: Column | None = None) -> Column:
 
 
 def monthly_evidence(captured, month, today) -> Column:
-    """RECORDED, UPCOMING, DUE or OVERDUE for a capture due by the month's third working day."""
-    due = F.element_at(first_working_days(month, 3), 3)
-    return F.when(col(captured).isNotNull(), "RECORDED").when(col(today) < F.trunc(col(month), "MM"), "UPCOMING").when(col(today) <= due, "DUE").otherwise("OVERDUE")
+    """RECORDED, UPCOMING, DUE or OVERDUE: whether a month's first capture came by its third working day, as of a day."""
+    days = first_working_days(month, 3)
+    due = F.element_at(days, 3)
+    return F.when(col(captured).isNotNull(), F.when(col(captured) <= due, "RECORDED").otherwise("OVERDUE")).when(col(today) < F.element_at(days, 1), "UPCOMING").when(col(today) <= due, "DUE").otherwise("OVERDUE")
 
 
 def completion_evidence(completed, captured, today, days: int = 3) -> Column:
+    """RECORDED, DUE or OVERDUE: whether a completion was captured within so many working days of it, as of a day."""
     due = add_working_days(completed, days)
-    return F.when(col(completed).isNull(), "NOT_APPLICABLE").when(col(captured) >= col(completed), "RECORDED").when(col(today) <= due, "DUE").otherwise("OVERDUE")
+    return F.when(col(completed).isNull(), "NOT_APPLICABLE").when(col(captured).isNotNull(), F.when(col(captured) <= due, "RECORDED").otherwise("OVERDUE")).when(col(today) <= due, "DUE").otherwise("OVERDUE")
 
 
 def location_status(metres, limit: float = 500.0) -> Column:

@@ -139,6 +139,54 @@ def feature_contract(table: DataFrame, key: str, expected: DataFrame, columns: l
     return counts.select(F.explode(F.array(*rows)).alias("c")).select("c.*")
 
 
+def required_keys(df: DataFrame, rules: dict[str, tuple[str, Column]], table: str, record: str) -> DataFrame:
+    """Rows without a key that their state asks for: rules by code, (key column, whether the row needs it)."""
+    found = F.array_compact(F.array(*[F.when(F.col(key).isNull() & F.coalesce(needed, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(key).alias("key"))) for code, (key, needed) in rules.items()]))
+    rows = df.select(record, "work_id", F.explode(found).alias("x"))
+    return rows.select(F.col("x.code").alias("issue_code"), F.lit("ERROR").alias("severity"), F.lit(table).alias("table_name"), F.col(record).cast("string").alias("record_id"), F.col("work_id").cast("string").alias("work_id"), F.col("x.key").alias("observed"))
+
+
+def before_parent(children: DataFrame, when: str, parents: DataFrame, limits: dict[str, str], table: str, record: str) -> DataFrame:
+    """Children dated before a date of their work: limits by code, the parent's date column; null dates are no issue."""
+    joined = children.join(parents.select("work_id", *limits.values()), "work_id")
+    return chronology(joined, {code: (limit, when) for code, limit in limits.items()}, table, record)
+
+
+def status_inconsistency(works: DataFrame, idle: Column, payments: DataFrame, reports: DataFrame) -> DataFrame:
+    """Works that haven't begun by their status, but have payments, progress or spending."""
+    paid = payments.groupBy("work_id").agg(F.count("*").alias("payments"), F.sum("amount").alias("spent"))
+    told = reports.where("physical > 0 or financial > 0").groupBy("work_id").agg(F.count("*").alias("reports"))
+    rows = works.where(idle).select("work_id", "status").join(paid, "work_id", "left").join(told, "work_id", "left")
+    rows = rows.select("work_id", "status", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("payments", "reports", "spent")])
+    return rows.where("payments > 0 or reports > 0 or spent > 0")
+
+
+def value_contract(table: DataFrame, ratios: dict[str, tuple[str, str]], dates: list[str], as_of: str, payments: DataFrame) -> DataFrame:
+    """rule, violations of a feature table's values, in one pass and a join with the payments' sums.
+
+    No number is infinite; a ratio (its numerator, its denominator) is null exactly where the denominator is null or
+    not positive or the numerator null; no date lies after as_of; totals and counts are those of the
+    visible payments; the completion flag fits the assets counted.
+    """
+    numbers = [c for c, kind in table.dtypes if kind in ("double", "float")]
+    day = F.lit(as_of).cast("date")
+    infinite = [F.count_if(F.coalesce(F.abs(F.col(c)) == float("inf"), F.lit(False)) | F.coalesce(F.isnan(c), F.lit(False))) for c in numbers]
+    odd = [F.count_if(F.col(r).isNull() != (~F.coalesce(F.col(d) > 0, F.lit(False)) | F.col(n).isNull())) for r, (n, d) in ratios.items()]
+    late = [F.count_if(F.col(c) > day) for c in dates]
+    sums = payments.where("is_released").where(F.col("released_on") <= day).groupBy("work_id").agg(F.count("*").alias("n__"), F.sum("amount").alias("s__"))
+    rows = table.join(sums, "work_id", "left")
+    added = lambda parts: reduce(lambda a, b: a + b, parts, F.lit(0).cast("long"))
+    got = rows.agg(
+        added(infinite).alias("INFINITE_VALUE"),
+        added(odd).alias("RATIO_NULLNESS"),
+        added(late).alias("FUTURE_DATE"),
+        F.count_if((F.col("payment_count") != F.coalesce("n__", F.lit(0))) | (F.col("released_total") != F.coalesce("s__", F.lit(0)))).alias("PAYMENTS_DONT_RECONCILE"),
+        F.count_if((F.col("lifecycle") == "COMPLETION") & (F.col("asset_count") == 0) | (F.col("lifecycle") == "EXECUTION") & (F.col("asset_count") > 0)).alias("COMPLETION_MISMATCH"),
+    )
+    names = ["INFINITE_VALUE", "RATIO_NULLNESS", "FUTURE_DATE", "PAYMENTS_DONT_RECONCILE", "COMPLETION_MISMATCH"]
+    return got.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("violations")) for n in names])).alias("c")).select("c.*")
+
+
 def total_mismatch(works: DataFrame, reported: str, payments: DataFrame) -> DataFrame:
     """Works with payments whose sum is not the reported total."""
     sums = payments.groupBy("work_id").agg(F.sum("amount").alias("paid"))

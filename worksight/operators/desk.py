@@ -69,56 +69,76 @@ def fan_out(*histories: DataFrame) -> DataFrame:
     return both.agg(F.count("*").alias("works"), F.coalesce(F.sum(product), F.lit(0)).cast("bigint").alias("joined_rows"))
 
 
-def geo_status(captures: DataFrame, works: DataFrame, today: str, days: int = 3) -> DataFrame:
-    """Per work of `works`: captures, the latest one, late ones (over `days` after due_on), and whether this month has none.
+def geo_status(captures: DataFrame, works: DataFrame, today: str) -> DataFrame:
+    """Per work of `works` the state of its evidence from the site as of a day.
 
-    captures has work_id, due_on, captured_on.
+    captures has work_id, evidence_id, captured_on, stage (MONTHLY_PROGRESS or COMPLETION),
+    latitude, longitude; works work_id, lifecycle, completed_on, latitude, longitude. Monthly
+    evidence is late after its month's third working day; evidence of completion is due three
+    working days after it. The latest capture's place is compared with the registered one.
     """
-    late = F.datediff("captured_on", "due_on") > days
-    got = captures.where(F.col("captured_on") <= F.lit(today).cast("date")).groupBy("work_id").agg(F.count("*").alias("captures"), F.max("captured_on").alias("latest_on"), F.count_if(late).alias("late"))
-    out = works.select("work_id", "lifecycle").join(got, "work_id", "left")
-    month = F.trunc(F.lit(today).cast("date"), "month")
-    missing = (F.col("lifecycle") == "EXECUTION") & ~F.coalesce(F.col("latest_on") >= month, F.lit(False))
-    return out.select("work_id", "lifecycle", F.coalesce("captures", F.lit(0)).alias("captures"), "latest_on", F.coalesce("late", F.lit(0)).alias("late"), missing.alias("missing_month"))
+    day = F.lit(today).cast("date")
+    month = F.trunc(day, "month")
+    monthly, done = F.col("stage") == "MONTHLY_PROGRESS", F.col("stage") == "COMPLETION"
+    late = F.col("captured_on") > F.element_at(scalar.first_working_days("captured_on", 3), 3)
+    current = monthly & (F.trunc("captured_on", "month") == month)
+    at = F.struct("captured_on", "evidence_id")
+    got = captures.where(F.col("captured_on") <= day).groupBy("work_id").agg(
+        F.max_by(F.struct("evidence_id", "captured_on", "latitude", "longitude"), at).alias("latest"),
+        F.count_if(monthly & late).alias("late"),
+        F.min(F.when(current, F.col("captured_on"))).alias("first_of_month"),
+        F.max(F.when(done, F.col("captured_on"))).alias("completion_on"),
+    )
+    out = works.join(got, "work_id", "left")
+    status = F.when(F.col("lifecycle") != "EXECUTION", "NOT_APPLICABLE").otherwise(scalar.monthly_evidence("first_of_month", month, day))
+    completed = F.when(F.col("lifecycle") != "COMPLETION", "NOT_APPLICABLE").otherwise(scalar.completion_evidence("completed_on", "completion_on", day))
+    metres = scalar.haversine(out["latitude"], out["longitude"], F.col("latest.latitude"), F.col("latest.longitude"))
+    out = out.withColumns({"monthly_status": status, "completion_status": completed, "metres": metres})
+    missing = (F.col("monthly_status") == "OVERDUE") & F.col("first_of_month").isNull()
+    return out.select("work_id", "lifecycle", "monthly_status", "completion_status", F.col("latest.evidence_id").alias("latest_evidence"), F.col("latest.captured_on").alias("latest_on"), scalar.location_status("metres").alias("location_status"), "metres", F.coalesce("late", F.lit(0)).alias("late"), missing.alias("missing_month"))
 
 
 def last_velocity(reports: DataFrame, order: list[str]) -> DataFrame:
-    """Per work the change from the last report but one to the last, a day (one at least); null with one report."""
+    """Per work the change from the last report but one to the last, in 30 days (over a day at least); null with one report."""
     w = W.partitionBy("work_id").orderBy(*[F.desc(c) for c in order])
     rows = reports.withColumns({"n": F.row_number().over(w), "before": F.lead("physical").over(w), "before_on": F.lead("report_date").over(w)}).where("n = 1")
     days = F.greatest(F.lit(1), F.datediff("report_date", "before_on"))
-    return rows.select("work_id", "physical", fixed((F.col("physical") - F.col("before")) / days, 6).alias("velocity"))
+    return rows.select("work_id", "physical", fixed((F.col("physical") - F.col("before")) / days * 30, 6).alias("velocity"))
 
 
-def cost_snapshots(works: DataFrame, payments: DataFrame, completed: DataFrame, as_of: str) -> DataFrame:
-    """Per work the day of its snapshot and what had been paid by then.
+def applicability(profile: DataFrame, feasible: dict[str, bool]) -> DataFrame:
+    """Per work whether the prediction of delay and of cost_overrun applies to it now.
 
-    For completed works min(start + 0.6 * max(60, planned days), completion - 30 days), for
-    others the day itself. Works whose day lies before their start have none.
+    feasible tells for either target whether enough outcomes are known to learn it. What a work in
+    execution shows already is observed, not predicted; completed works know their outcome.
     """
-    rows = works.join(completed.select("work_id", "completed_on"), "work_id", "left")
-    planned = F.greatest(F.lit(60), F.datediff("expected_on", "recommended_on"))
-    trained = F.least(F.date_add("recommended_on", F.floor(planned * 3 / 5).cast("int")), F.date_sub("completed_on", 30))
-    rows = rows.select("work_id", "recommended_on", F.col("completed_on").isNotNull().alias("for_training"), F.when(F.col("completed_on").isNotNull(), trained).otherwise(F.lit(as_of).cast("date")).alias("cutoff")).where("cutoff >= recommended_on")
-    paid = payments.join(rows.select("work_id", "cutoff"), "work_id").where("released_on <= cutoff").groupBy("work_id").agg(F.count("*").alias("payments"), F.sum("amount").alias("paid"))
-    return rows.join(paid, "work_id", "left").select("work_id", "for_training", "cutoff", F.coalesce("payments", F.lit(0)).alias("payments"), F.coalesce("paid", F.lit(0)).cast("bigint").alias("paid"))
+    observed = {"delay": (F.col("overdue_days") > 0, "OBSERVED_OVERDUE"), "cost_overrun": (F.col("spend_ratio") > 1, "OBSERVED_OVER_SANCTION")}
 
+    def label(target: str) -> Column:
+        seen, name = observed[target]
+        running = F.when(F.coalesce(seen, F.lit(False)), name).otherwise("PREDICTED_EARLY_WARNING_ELIGIBLE") if feasible[target] else F.lit("INSUFFICIENT_SUPERVISED_OUTCOME_DATA")
+        return F.when(F.col("lifecycle") == "COMPLETION", "OUTCOME_ALREADY_KNOWN").when(F.col("lifecycle") == "EXECUTION", running).otherwise("NOT_APPLICABLE_STAGE")
 
-def applicability(profile: DataFrame, outcomes: DataFrame, least: int = 1) -> DataFrame:
-    """Per work and target whether a prediction applies to it now."""
-    known = outcomes.select("work_id", F.col("overran").isNotNull().alias("cost_known"), F.col("delayed").isNotNull().alias("delay_known"))
-    rows = profile.select("work_id", "lifecycle", "payment_count", "overdue_days", "overrun").join(known, "work_id", "left")
+    return profile.select("work_id", *[label(t).alias(t) for t in observed])
 
-    def label(known_: str, observed: Column) -> Column:
-        return F.when(F.col("lifecycle") == "PRE_SANCTION", "NOT_APPLICABLE_STAGE").when(F.col("lifecycle") == "COMPLETION", F.when(F.coalesce(F.col(known_), F.lit(False)), "OUTCOME_ALREADY_KNOWN").otherwise("NOT_APPLICABLE_STAGE")).when(F.coalesce(observed, F.lit(False)), "OUTCOME_ALREADY_OBSERVED").when(F.col("payment_count") < least, "INSUFFICIENT_EVIDENCE").otherwise("ELIGIBLE")
 
-    return rows.select("work_id", label("cost_known", F.col("overrun") > 0).alias("cost_overrun"), label("delay_known", F.col("overdue_days") > 0).alias("delay"))
+def runtime_checks(rows: DataFrame, today: str, gap: float = 25.0) -> DataFrame:
+    """work_id, area, level, message of the checks that a work fails.
 
-
-def runtime_checks(rows: DataFrame, gap: float = 25.0) -> DataFrame:
-    """work_id, code of the checks that a work under way fails; rows has released_total, sanctioned, fund_gap, overdue_days, early_authorization."""
-    tests = {"RELEASED_ABOVE_SANCTION": F.col("released_total") > F.col("sanctioned"), "PROGRESS_GAP": F.abs("fund_gap") >= gap, "OVERDUE": F.col("overdue_days") > 0, "AUTHORIZED_BEFORE_REQUEST": F.col("early_authorization")}
-    return rows.select("work_id", F.explode(F.array_compact(F.array(*[F.when(t, F.lit(c)) for c, t in tests.items()]))).alias("code"))
+    rows has released_total and sanctioned in hundredths, the latest report's physical and
+    financial, expected_on, finished (no more to do), early_authorization.
+    """
+    above = (F.col("released_total") - F.col("sanctioned")) / 100
+    apart = F.abs(F.col("financial") - F.col("physical"))
+    overdue = F.datediff(F.lit(today).cast("date"), "expected_on")
+    tests = [
+        ("Payments", "Strong Issue", (F.col("sanctioned") > 0) & (above > 0), F.concat(F.lit("Released payments are "), F.format_number(F.floor(above + 0.5), 0), F.lit(" above sanctioned cost."))),
+        ("Payments & Progress", "Attention", apart >= gap, F.concat(F.lit("Financial and physical progress differ by "), F.format_string("%.1f", fixed(apart, 1)), F.lit(" percentage points."))),
+        ("Schedule", "Strong Issue", (overdue > 0) & ~F.col("finished"), F.concat(F.lit("Expected completion is overdue by "), overdue.cast("string"), F.lit(" days."))),
+        ("Payment Dates", "Attention", F.col("early_authorization"), F.lit("An authorization date is recorded before its payment request date.")),
+    ]
+    found = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(area).alias("area"), F.lit(level).alias("level"), text.alias("message"))) for area, level, test, text in tests]))
+    return rows.select("work_id", F.explode(found).alias("x")).select("work_id", "x.*")
 
 
 def similar_costs(works: DataFrame, asked: DataFrame, first: int = 40, k: int = 5) -> DataFrame:
@@ -157,12 +177,30 @@ def similar_works(near: DataFrame, records: DataFrame, k: int = 5) -> DataFrame:
     return out.select(F.col("a").alias("asked_id"), F.col("b").alias("work_id"), "nth", "score", fixed("km", 2).alias("km"), match.alias("match"))
 
 
-def query_texts(scores: DataFrame, alerts: DataFrame, rules: DataFrame, top: int = 5) -> DataFrame:
-    """Per work the text to search with: its stage, its strongest alerts, its actionable rules.
+# Title and clause of each rule, in the registry's order.
+REFERENCES = {
+    "SANCTION_WITHIN_45_DAYS": ("Recommendation response within 45 days", "3.2.4; 3.2.6"),
+    "MINIMUM_SANCTION": ("Normal minimum sanctioned amount", "3.2.9"),
+    "PLAN_WITHIN_ONE_YEAR": ("General one-year completion limit", "3.2.12"),
+    "PUBLIC_USE": ("Public use after completion", "3.2.17"),
+    "COMPLETION_PHOTO": ("Completed-work photograph in register", "4.5.3"),
+    "HANDOVER": ("Completed asset handover", "11.3"),
+    "ASSET_REGISTER": ("Transferred asset register entry", "4.5.8; 11.3"),
+    "UTILISATION_CERTIFICATE": ("Utilization Certificate on completion", "11.2"),
+}
+
+
+def query_texts(works: DataFrame, contributions: DataFrame, alerts: DataFrame, rules: DataFrame, top: int = 5) -> DataFrame:
+    """Per work the text to search with: stage, sector, sub-sector, the codes that add most points, alerts, titles and clauses of rules.
 
-    alerts has alert_type and strength, rules the rule_id of those that ask for something.
+    contributions has family, code, points, alerts alert_type and strength, rules the
+    rule_id of those that ask for something. All parts that are there, joined by " | ".
     """
-    told = alerts.groupBy("work_id", "alert_type").agg(F.max("strength").alias("strength")).groupBy("work_id").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("strength")).alias("s"), "alert_type"))), 1, top), lambda x: x["alert_type"]).alias("told"))
-    asked = rules.groupBy("work_id").agg(F.slice(F.array_sort(F.collect_set("rule_id")), 1, top).alias("asked"))
-    both = scores.select("work_id", "lifecycle").join(told, "work_id", "left").join(asked, "work_id", "left")
-    return both.select("work_id", F.concat_ws(" ", "lifecycle", F.array_join("told", " "), F.array_join("asked", " ")).alias("text"))
+    first = lambda rows, order, value: rows.groupBy("work_id").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("v")))), 1, top), lambda x: x["v"]).alias(value))
+    codes = first(contributions.where("points > 0"), [(-F.col("points")).alias("o"), "family"], "code")
+    told = first(alerts, [(-F.col("strength")).alias("o")], "alert_type")
+    asked = rules.groupBy("work_id").agg(F.collect_set("rule_id").alias("asked"))
+    named = [F.when(F.array_contains("asked", rule), f"{title} clause {clause}") for rule, (title, clause) in REFERENCES.items()]
+    both = works.select("work_id", "lifecycle", "sector", "sub_sector").join(codes, "work_id", "left").join(told, "work_id", "left").join(asked, "work_id", "left")
+    label = lambda name, c: F.concat(F.lit(f"{name} "), F.col(c))
+    return both.select("work_id", F.concat_ws(" | ", label("lifecycle", "lifecycle"), label("sector", "sector"), label("sub-sector", "sub_sector"), F.col("code"), F.col("alert_type"), F.array_compact(F.array(*named))).alias("text"))

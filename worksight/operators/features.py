@@ -58,6 +58,12 @@ def progress_as_of(progress: DataFrame, as_of: str) -> DataFrame:
     return out.withColumns({"financial_gap": F.col("last_financial") - F.col("last_physical"), "days_since_report": F.datediff(F.lit(as_of).cast("date"), "last_report_on"), "velocity": F.when(elapsed > 0, (F.col("last_physical") - F.col("first_physical")) / elapsed * 30)})
 
 
+def latest_report(reports: DataFrame) -> DataFrame:
+    """work_id, physical, financial of each work's last report."""
+    last = F.max_by(F.struct("physical", "financial"), F.struct("report_date", "progress_id"))
+    return reports.groupBy("work_id").agg(last.alias("x")).select("work_id", "x.physical", "x.financial")
+
+
 ASSET_DATES = ("public_use_on", "handover_on", "certificate_on")
 
 

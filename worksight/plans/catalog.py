@@ -209,8 +209,30 @@ def dq_cardinality_profile(spark: SparkSession, d: str) -> DataFrame:
 @query
 def dq_status_inconsistency(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
-    paid = t.payments.where("is_released").groupBy("work_id").agg(F.count("*").alias("payments"))
-    return t.works.where("status = 'P'").join(paid, "work_id").select("work_id", "status", "payments")
+    return checks.status_inconsistency(t.works, F.col("status") == "P", t.payments.where("is_released"), domain.site_reports(spark, d))
+
+
+@query
+def dq_progress_chronology(spark: SparkSession, d: str) -> DataFrame:
+    limits = {"PROGRESS_BEFORE_RECOMMENDATION": "recommended_on", "PROGRESS_BEFORE_SANCTION": "sanctioned_on"}
+    found = checks.before_parent(domain.site_reports(spark, d), "report_date", domain.works(spark, d), limits, "progress", "progress_id")
+    return found.groupBy("issue_code", "severity").agg(F.count("*").alias("issues"), F.countDistinct("work_id").alias("works"))
+
+
+@query
+def dq_required_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Records that a completed work's assets must have once it is handed over."""
+    rows = domain.assets(spark, d)
+    handed = F.col("handover_on").isNotNull()
+    rules = {"NULL_REGISTER_AFTER_HANDOVER": ("register_entry", handed), "NULL_CERTIFICATE_DATE": ("certificate_on", F.col("certificate_status") == "Submitted"), "NULL_PUBLIC_USE": ("public_use_on", handed & (F.col("register_entry") == "Yes"))}
+    return checks.required_keys(rows, rules, "assets", "asset_id").select("issue_code", "record_id", "work_id", "observed")
+
+
+@query
+def dq_value_contract(spark: SparkSession, d: str) -> DataFrame:
+    t = Tables(spark, d)
+    ratios = {"spend_ratio": ("released_total", "sanctioned"), "schedule_ratio": ("planned_days", "planned_days"), "largest_share": ("payment_count", "released_total")}
+    return checks.value_contract(t.profile, ratios, ["recommended_on", "sanctioned_on", "expected_on", "completed_on"], AS_OF, t.payments)
 
 
 @query
@@ -443,22 +465,22 @@ def work_split(spark: SparkSession, d: str) -> DataFrame:
     return models.split(Tables(spark, d).works.withColumn("label", F.col("status")), "label").select("work_id", "part")
 
 
-@query
-def train_models(spark: SparkSession, d: str) -> DataFrame:
-    t = Tables(spark, d)
-    labels = t.works.withColumn("label", (F.col("sanctioned") < 25_000_000).cast("int")).select("work_id", "label")
-    rows = models.landmark_rows(t.works, t.payments, (0.5,)).join(labels, "work_id")
-    return models.train_models(models.split(rows, "label"), ["payment_count", "released_total", "spend_ratio"], "label")
-
-
 # Trends
 
 
 def trend_events(t: Tables) -> DataFrame:
-    w = t.works.select("work_id", "state", "district", "sector")
-    paid = t.payments.where("is_released").join(w, "work_id").select(F.lit("RELEASED_AMOUNT").alias("metric"), F.col("released_on").alias("event_on"), F.col("amount").alias("value"), "state", "district", "sector")
-    asked = t.works.select(F.lit("RECOMMENDATIONS").alias("metric"), F.col("recommended_on").alias("event_on"), F.lit(1).cast("bigint").alias("value"), "state", "district", "sector")
-    return paid.unionByName(asked)
+    """Events of the seven metrics; what is recommended is somewhat more than what is sanctioned."""
+    place = ["state", "district", "sector"]
+    w = t.works.select("work_id", *place)
+    one = F.lit(1).cast("bigint")
+    asked = F.expr("sanctioned * (100 + work_id % 10) div 100")
+    sides = lambda *metrics: F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in metrics])).alias("m")
+    works = t.works.select(F.col("recommended_on").alias("event_on"), *place, sides(("RECOMMENDATIONS", one), ("RECOMMENDED_AMOUNT", asked)))
+    sanctions = t.works.where("status <> 'P'").select(F.col("sanctioned_on").alias("event_on"), *place, sides(("SANCTIONS", one), ("SANCTIONED_AMOUNT", F.col("sanctioned"))))
+    paid = t.payments.where("is_released").join(w, "work_id").select(F.col("released_on").alias("event_on"), *place, sides(("RELEASED_PAYMENTS", one), ("RELEASED_AMOUNT", F.col("amount"))))
+    told = domain.site_reports(t.spark, t.sf_dir).select("work_id", "report_date").join(w, "work_id").select(F.col("report_date").alias("event_on"), *place, sides(("PROGRESS_REPORTS", one)))
+    rows = works.unionByName(sanctions).unionByName(paid).unionByName(told)
+    return rows.select("m.metric", "event_on", "m.value", *place)
 
 
 def baseline(t: Tables) -> DataFrame:
@@ -489,10 +511,32 @@ def trend_alerts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def hotspots(spark: SparkSession, d: str) -> DataFrame:
+    """Groups by the eight detectors, the model families being the plain numbers of `given`."""
+    t = Tables(spark, d)
     groups = {g: c for g, c in trends.GROUPS.items() if g != "STATE_SECTOR"}
-    flags = {"overspent": F.col("overrun") > 0, "overdue": F.col("overdue_days") > 0, "concentrated": F.col("vendor_hhi") > 0.5}
-    got = trends.hotspots(Tables(spark, d).profile, flags, 20, groups)
-    return got.withColumns({f"{n}_share": fixed(f"{n}_share", 6) for n in flags})
+    e = given_detectors(t)
+    rows = t.profile
+    for part in e:
+        rows = rows.join(part, "work_id", "left")
+    flags = {
+        "top_anomaly": F.col("odd") >= 90,
+        "duplicate_review": F.col("duplicate_code") == "DUPLICATE_REVIEW_CANDIDATE",
+        "payment_evidence": F.col("signals") > 0,
+        "persistent_gap": F.col("persistent_gap"),
+        "overdue": F.col("overdue_days") > 0,
+        "over_sanction": F.col("overrun") > 0,
+        "compliance_review": F.col("review_count") > 0,
+        "non_compliant": F.col("non_compliant_count") > 0,
+    }
+    got = trends.hotspots(rows, flags, 20, groups).drop("non_compliant_share")
+    return got.withColumns({f"{n}_share": fixed(f"{n}_share", 6) for n in flags if n != "non_compliant"})
+
+
+def given_detectors(t: Tables) -> list[DataFrame]:
+    odd, duplicates, _ = given_models(t)
+    found = signals.payment_signals(t.profile, t.payments, AS_OF).groupBy("work_id").agg(F.count("*").alias("signals"))
+    rules = signals.rule_summary(signals.rule_evidence(t.profile, t.assets, AS_OF)).select("work_id", "review_count", "non_compliant_count")
+    return [odd, duplicates.select("work_id", "duplicate_code"), found, funds(t).select("work_id", "persistent_gap"), rules]
 
 
 @query
@@ -576,8 +620,8 @@ def modelled(t: Tables) -> Evidence:
     return Evidence(t, odd, fusion.duplicate_family(register.summary(t.spark, t.sf_dir)), serving_)
 
 
-def given(t: Tables) -> Evidence:
-    """Evidence with plain numbers for the three model families, so that SQL can follow the policies.
+def given_models(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Plain numbers for the three model families, so that SQL can follow the policies.
 
     The percentile of planned days, a candidate for each work whose id is divisible by 97,
     and the percentile of the share spent.
@@ -587,7 +631,12 @@ def given(t: Tables) -> Evidence:
     candidate = F.col("work_id") % 97 == 0
     compared = p.select("work_id", F.when(candidate, 90.0 + F.col("work_id") % 10).otherwise(0.0).alias("duplicate_score"), F.when(candidate, "DUPLICATE_REVIEW_CANDIDATE").when(F.col("work_id") % 3 != 0, "NO_DUPLICATE_REVIEW_CANDIDATE").alias("duplicate_code"))
     warned = models.serving_rank(p.select("work_id", "lifecycle", "spend_ratio"), "spend_ratio").select("work_id", "serving_percentile", F.lit("SECONDARY_EARLY_WARNING").alias("status"))
-    return Evidence(t, odd, compared, warned)
+    return odd, compared, warned
+
+
+def given(t: Tables) -> Evidence:
+    """Evidence with the plain numbers of `given_models`."""
+    return Evidence(t, *given_models(t))
 
 
 def wide_signals(t: Tables, evidence: Callable[[Tables], Evidence] = modelled) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -697,7 +746,7 @@ def working_days(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def evidence_status(spark: SparkSession, d: str) -> DataFrame:
-    rows = domain.progress(spark, d).where("stage = 'view'").groupBy("work_id").agg(F.min("report_date").alias("captured_on"), F.max("report_date").alias("latest_on"))
+    rows = domain.progress(spark, d).groupBy("work_id").agg(F.min("report_date").alias("captured_on"), F.max("report_date").alias("latest_on"))
     late = F.when(F.dayofmonth("captured_on") % 2 == 0, F.col("captured_on"))
     today = F.lit("2024-01-04").cast("date")
     return rows.select("work_id", scalar.monthly_evidence(late, F.lit("2024-01-01").cast("date"), today).alias("monthly"), scalar.completion_evidence("captured_on", "latest_on", today).alias("completion"), (F.col("captured_on") > F.lit("2024-01-03").cast("date")).alias("late"))
@@ -804,12 +853,6 @@ def grounding_check(spark: SparkSession, d: str) -> DataFrame:
     return serving.grounding_faults(answers, known)
 
 
-@query
-def clause_extract(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "pages")
-    return pages.select("page_id", F.regexp_extract("html", r"<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit(r"<li>"), F.lit(0))).alias("items"))
-
-
 @query
 def chapter_carry_forward(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), "text")
@@ -826,12 +869,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from worksight.plans import desk, texts  # noqa: F401  register their queries
+    from worksight.plans import prediction, retrieval, texts, desk, cases, flows  # noqa: F401  register their queries, in the order in which their SQL builds
 
     return dict(REGISTERED)
 
 
 def oracle_sql() -> dict[str, str]:
-    from worksight.plans import desk, texts
+    from worksight.plans import prediction, retrieval, texts, desk, cases, flows
 
-    return {name: text for name, text in sql.all_sql(desk.SQL | texts.SQL).items() if name in REGISTERED}
+    return {name: text for name, text in sql.all_sql(cases.SQL | flows.SQL | desk.SQL | texts.SQL | prediction.SQL | retrieval.SQL).items() if name in REGISTERED}

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from worksight.functions import scalar
 from worksight.functions.scalar import fixed
-from worksight.operators import desk, features, signals
+from worksight.operators import desk, features, fusion, models, signals
 from worksight.plans import register, sql
-from worksight.plans.catalog import REPORT_ORDER, Tables, funds, query, served
+from worksight.plans.catalog import REPORT_ORDER, Tables, given, query, served, wide_signals
 from worksight.sources import domain
-from worksight.sources.domain import AS_OF, EVENTS_AS_OF, table
+from worksight.sources.domain import AS_OF, table
 
 ALERT = "PAYMENT_AUTH_BEFORE_REQUEST"
 
@@ -34,7 +34,7 @@ def review_queue(spark: SparkSession, d: str) -> DataFrame:
 def alert_filter(spark: SparkSession, d: str) -> DataFrame:
     """Alerts of a stage and a least strength, as far as the scope of a district reaches."""
     t = Tables(spark, d)
-    scope = t.profile.where("district = 'CHINA' and lifecycle = 'COMPLETION'").select("work_id")
+    scope = t.profile.where("district = 'NATION_7' and lifecycle = 'COMPLETION'").select("work_id")
     return payment_alerts(t).where("strength >= 90").join(scope, "work_id", "left_semi").groupBy("work_id", "alert_type").agg(F.count("*").alias("alerts"))
 
 
@@ -70,8 +70,8 @@ def fan_out_cardinality(spark: SparkSession, d: str) -> DataFrame:
 @query
 def geo_status(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
-    captures = t.progress.select("work_id", F.trunc("report_date", "month").alias("due_on"), F.col("report_date").alias("captured_on"))
-    return desk.geo_status(captures, t.profile, EVENTS_AS_OF)
+    works = t.profile.select("work_id", "lifecycle", "completed_on", *[F.expr(text.format("work_id")).alias(c) for c, text in domain.REGISTERED.items()])
+    return desk.geo_status(domain.captures(spark, d), works, AS_OF).withColumn("metres", fixed("metres", 1))
 
 
 @query
@@ -79,24 +79,21 @@ def last_velocity(spark: SparkSession, d: str) -> DataFrame:
     return desk.last_velocity(domain.progress(spark, d), REPORT_ORDER)
 
 
-@query
-def cost_snapshots(spark: SparkSession, d: str) -> DataFrame:
-    t = Tables(spark, d)
-    return desk.cost_snapshots(t.works, t.payments.where("is_released"), features.asset_summary(t.assets, AS_OF), AS_OF)
-
-
 @query
 def applicability(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
-    return desk.applicability(t.profile, signals.outcomes_of_completed(t.profile, t.assets, AS_OF))
+    known = signals.outcomes_of_completed(t.profile, t.assets, AS_OF)
+    feasible = {target: bool(models.feasibility(known, label).first().feasible) for target, label in (("delay", "delayed"), ("cost_overrun", "overran"))}
+    return desk.applicability(t.profile, feasible)
 
 
 @query
 def runtime_checks(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
     early = t.payments.groupBy("work_id").agg(F.bool_or(F.col("authorized_on") < F.col("requested_on")).alias("early_authorization"))
-    rows = t.profile.join(funds(t).select("work_id", "fund_gap"), "work_id", "left").join(early, "work_id", "left")
-    return desk.runtime_checks(rows)
+    told = features.latest_report(domain.site_reports(spark, d).where(F.col("report_date") <= F.lit(AS_OF).cast("date")))
+    rows = t.profile.join(told, "work_id", "left").join(early, "work_id", "left").withColumn("finished", F.col("lifecycle") == "COMPLETION")
+    return desk.runtime_checks(rows, AS_OF)
 
 
 @query
@@ -108,15 +105,15 @@ def similar_costs(spark: SparkSession, d: str) -> DataFrame:
 @query
 def query_texts(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
-    rules = signals.rule_evidence(t.profile, t.assets, AS_OF).where("result in ('NON_COMPLIANT', 'REVIEW')")
-    return desk.query_texts(t.profile, payment_alerts(t), rules)
+    wide, funds, found, rules = wide_signals(t, given)
+    alerts = fusion.review_alerts(wide, funds, found, rules)
+    return desk.query_texts(t.profile, fusion.family_evidence(wide), alerts, rules.where("result in ('NON_COMPLIANT', 'REVIEW')"))
 
 
 DAY = "DATE '1998-12-31'"
-TODAY = "DATE '2024-01-20'"
 SQL = {
     "review_queue": f"SELECT work_id, score, band, total, CAST(ceil(total / 10.0) AS BIGINT) AS total_pages FROM (SELECT work_id, score, band, count(*) OVER () AS total FROM served WHERE lifecycle = 'EXECUTION' AND overrun > 0 AND contains(lower(concat_ws(' ', state, district, sector, sub_sector)), 'asia') AND work_id IN (SELECT work_id FROM sigs WHERE signal_code = '{ALERT}')) ORDER BY score DESC, work_id LIMIT 10 OFFSET 10",
-    "alert_filter": "SELECT work_id, signal_code AS alert_type, count(*) AS alerts FROM sigs WHERE severity <> 'WARNING' AND work_id IN (SELECT work_id FROM p WHERE district = 'CHINA' AND lifecycle = 'COMPLETION') GROUP BY ALL",
+    "alert_filter": "SELECT work_id, signal_code AS alert_type, count(*) AS alerts FROM sigs WHERE severity <> 'WARNING' AND work_id IN (SELECT work_id FROM p WHERE district = 'NATION_7' AND lifecycle = 'COMPLETION') GROUP BY ALL",
     "attention_levels": """SELECT CASE WHEN band IN ('HIGH', 'CRITICAL') THEN CASE WHEN f THEN 'IMMEDIATE' ELSE 'PRIORITY' END WHEN f THEN 'WATCH' ELSE 'ROUTINE' END AS attention,
         CASE WHEN overrun_pct <= 0 THEN 'NORMAL' WHEN overrun_pct <= 5 THEN 'MINOR' WHEN overrun_pct <= 15 THEN 'MODERATE' WHEN overrun_pct <= 30 THEN 'HIGH' WHEN overrun_pct > 30 THEN 'SEVERE' END AS overrun_band, count(*) AS works,
         max(CASE WHEN sanctioned >= 1e7 THEN printf('%.2f crore', sanctioned / 1e7) WHEN sanctioned >= 1e5 THEN printf('%.2f lakh', sanctioned / 1e5) ELSE printf('%.0f', sanctioned::DOUBLE) END) AS last_text
@@ -127,19 +124,30 @@ SQL = {
     "pair_audit": f"SELECT l::DOUBLE AS least_cosine, count(DISTINCT (a, b)) AS pairs, count(DISTINCT id) AS records FROM (SELECT a, b, cosine, unnest([a, b]) AS id FROM ({sql.BODIES['vector_topk_pairs']})) JOIN (VALUES (0.2), (0.4), (0.6), (0.8)) t(l) ON cosine >= l::DOUBLE GROUP BY l",
     "snapshot_diagnostics": " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER ({c} <= {DAY}) AS included, count(*) FILTER ({c} > {DAY}) AS future, count(*) FILTER ({c} IS NULL) AS missing FROM ast" for c in ("completed_on", "marked_on", "public_use_on", "handover_on", "certificate_on")),
     "fan_out_cardinality": "SELECT count(*) AS works, coalesce(sum(a * b * c), 0)::BIGINT AS joined_rows FROM (SELECT work_id, count(*) AS a FROM pay GROUP BY 1) JOIN (SELECT work_id, count(*) AS b FROM ast GROUP BY 1) USING (work_id) JOIN (SELECT work_id, count(*) AS c FROM prog GROUP BY 1) USING (work_id)",
-    "geo_status": f"SELECT work_id, lifecycle, coalesce(n, 0) AS captures, strftime(l, '%Y-%m-%d') AS latest_on, coalesce(late, 0) AS late, lifecycle = 'EXECUTION' AND coalesce(l < date_trunc('month', {TODAY}), true) AS missing_month FROM p LEFT JOIN (SELECT work_id, count(*) AS n, max(report_date) AS l, count(*) FILTER (day(report_date) > 4) AS late FROM prog WHERE report_date <= {TODAY} GROUP BY work_id) USING (work_id)",
-    "last_velocity": "SELECT work_id, physical, round((physical - b) / greatest(1, report_date - d), 6) AS velocity FROM (SELECT *, row_number() OVER v AS n, lead(physical) OVER v AS b, lead(report_date) OVER v AS d FROM prog WINDOW v AS (PARTITION BY work_id ORDER BY report_date DESC, progress_id DESC)) WHERE n = 1",
-    "cost_snapshots": f"""SELECT s.work_id, for_training, strftime(cutoff, '%Y-%m-%d') AS cutoff, count(amount) AS payments, coalesce(sum(amount), 0)::BIGINT AS paid FROM
-        (SELECT work_id, recommended_on, completed_on IS NOT NULL AS for_training, CASE WHEN completed_on IS NULL THEN {DAY} ELSE least(recommended_on + CAST(floor(greatest(60, expected_on - recommended_on) * 3 / 5.0) AS INTEGER), completed_on - 30) END AS cutoff FROM w LEFT JOIN (SELECT work_id, completed_on FROM asum) USING (work_id)) s
-        LEFT JOIN (SELECT work_id, amount, released_on FROM pay WHERE is_released) y ON s.work_id = y.work_id AND released_on <= cutoff WHERE cutoff >= recommended_on GROUP BY ALL""",
-    "applicability": """SELECT work_id, """
-    + ", ".join(f"CASE lifecycle WHEN 'PRE_SANCTION' THEN 'NOT_APPLICABLE_STAGE' WHEN 'COMPLETION' THEN CASE WHEN {known} THEN 'OUTCOME_ALREADY_KNOWN' ELSE 'NOT_APPLICABLE_STAGE' END ELSE CASE WHEN {seen} THEN 'OUTCOME_ALREADY_OBSERVED' WHEN payment_count < 1 THEN 'INSUFFICIENT_EVIDENCE' ELSE 'ELIGIBLE' END END AS {name}" for name, known, seen in (("cost_overrun", "coalesce(alls, false) AND sanctioned > 0", "overrun > 0"), ("delay", "completed_on IS NOT NULL", "overdue_days > 0")))
-    + " FROM p LEFT JOIN (SELECT work_id, bool_and(final_spend IS NOT NULL) AS alls FROM vis GROUP BY work_id) USING (work_id)",
-    "runtime_checks": "SELECT work_id, 'RELEASED_ABOVE_SANCTION' AS code FROM p WHERE released_total > sanctioned UNION ALL SELECT work_id, 'PROGRESS_GAP' FROM fund WHERE abs(fund_gap) >= 25 UNION ALL SELECT work_id, 'OVERDUE' FROM p WHERE overdue_days > 0 UNION ALL SELECT work_id, 'AUTHORIZED_BEFORE_REQUEST' FROM p WHERE work_id IN (SELECT work_id FROM pay WHERE authorized_on < requested_on)",
+    "geo_status": f"""SELECT work_id, lifecycle, monthly_status, completion_status, latest_evidence, strftime(latest_on, '%Y-%m-%d') AS latest_on, CASE WHEN metres IS NULL THEN 'LOCATION_UNAVAILABLE' WHEN metres <= 500 THEN 'LOCATION_CONSISTENT' ELSE 'LOCATION_REQUIRES_REVIEW' END AS location_status, round(metres, 1) AS metres, late, monthly_status = 'OVERDUE' AND month_first IS NULL AS missing_month FROM
+      (SELECT *, CASE WHEN lifecycle <> 'EXECUTION' THEN 'NOT_APPLICABLE' WHEN month_first IS NOT NULL THEN CASE WHEN month_first <= DATE '1998-12-03' THEN 'RECORDED' ELSE 'OVERDUE' END ELSE 'OVERDUE' END AS monthly_status,
+        CASE WHEN lifecycle <> 'COMPLETION' THEN 'NOT_APPLICABLE' WHEN done_on <= list_filter(generate_series(completed_on + 1, completed_on + 10, INTERVAL 1 DAY), lambda x: isodow(x) < 6)[3] THEN 'RECORDED' WHEN done_on IS NULL AND {DAY} <= list_filter(generate_series(completed_on + 1, completed_on + 10, INTERVAL 1 DAY), lambda x: isodow(x) < 6)[3] THEN 'DUE' ELSE 'OVERDUE' END AS completion_status,
+        2 * 6371000.0::DOUBLE * asin(sqrt(sin(radians(la - (10 + (work_id % 200) * 0.05::DOUBLE)) / 2) ** 2 + cos(radians(10 + (work_id % 200) * 0.05::DOUBLE)) * cos(radians(la)) * sin(radians(lo - (75 + (work_id % 170) * 0.05::DOUBLE)) / 2) ** 2)) AS metres
+      FROM (SELECT work_id, lifecycle, completed_on, e AS latest_evidence, c AS latest_on, la, lo, month_first, done_on, coalesce(late, 0) AS late FROM p LEFT JOIN
+        (SELECT work_id, arg_max(evidence_id, (c, evidence_id)) AS e, max(c) AS c, arg_max(la, (c, evidence_id)) AS la, arg_max(lo, (c, evidence_id)) AS lo, min(c) FILTER (NOT fin AND c >= DATE '1998-12-01') AS month_first, max(c) FILTER (fin) AS done_on,
+          count(*) FILTER (NOT fin AND c > list_filter(generate_series(date_trunc('month', c)::DATE, date_trunc('month', c)::DATE + 9, INTERVAL 1 DAY), lambda x: isodow(x) < 6)[3]) AS late
+          FROM (SELECT l_orderkey AS work_id, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)) AS evidence_id, CAST(l_shipdate AS DATE) + CAST(l_partkey % 15 AS INTEGER) AS c, l_returnflag = 'R' AS fin, 10 + (l_orderkey % 200) * 0.05::DOUBLE + (l_suppkey % 7) * 0.001::DOUBLE AS la, 75 + (l_orderkey % 170) * 0.05::DOUBLE AS lo FROM lineitem)
+          WHERE c <= {DAY} GROUP BY work_id) USING (work_id)))""",
+    "last_velocity": "SELECT work_id, physical, round((physical - b) / greatest(1, report_date - d) * 30, 6) AS velocity FROM (SELECT *, row_number() OVER v AS n, lead(physical) OVER v AS b, lead(report_date) OVER v AS d FROM prog WINDOW v AS (PARTITION BY work_id ORDER BY report_date DESC, progress_id DESC)) WHERE n = 1",
+    "applicability": "SELECT work_id, "
+    + ", ".join(f"CASE lifecycle WHEN 'COMPLETION' THEN 'OUTCOME_ALREADY_KNOWN' WHEN 'EXECUTION' THEN CASE WHEN NOT (SELECT count(*) FILTER ({label} = 1) >= 50 AND count(*) FILTER ({label} = 0) >= 50 FROM out_w) THEN 'INSUFFICIENT_SUPERVISED_OUTCOME_DATA' WHEN {seen} THEN '{word}' ELSE 'PREDICTED_EARLY_WARNING_ELIGIBLE' END ELSE 'NOT_APPLICABLE_STAGE' END AS {name}" for name, label, seen, word in (("delay", "delayed", "overdue_days > 0", "OBSERVED_OVERDUE"), ("cost_overrun", "overran", "spend_ratio > 1", "OBSERVED_OVER_SANCTION")))
+    + " FROM p",
+    "runtime_checks": f"""SELECT work_id, 'Payments' AS area, 'Strong Issue' AS level, 'Released payments are ' || format('{{:,}}', floor((released_total - sanctioned) / 100.0::DOUBLE + 0.5)::BIGINT) || ' above sanctioned cost.' AS message FROM p WHERE sanctioned > 0 AND released_total > sanctioned
+      UNION ALL SELECT work_id, 'Payments & Progress', 'Attention', 'Financial and physical progress differ by ' || printf('%.1f', round(apart, 1)) || ' percentage points.' FROM p JOIN (SELECT work_id, abs(arg_max(financial, (report_date, progress_id)) - arg_max(physical, (report_date, progress_id))) AS apart FROM site WHERE report_date <= {DAY} GROUP BY work_id) USING (work_id) WHERE apart >= 25
+      UNION ALL SELECT work_id, 'Schedule', 'Strong Issue', 'Expected completion is overdue by ' || ({DAY} - expected_on) || ' days.' FROM p WHERE expected_on < {DAY} AND lifecycle <> 'COMPLETION'
+      UNION ALL SELECT work_id, 'Payment Dates', 'Attention', 'An authorization date is recorded before its payment request date.' FROM p WHERE work_id IN (SELECT work_id FROM pay WHERE authorized_on < requested_on)""",
     "similar_costs": """SELECT asked_id, work_id, similarity, row_number() OVER (PARTITION BY asked_id ORDER BY similarity DESC, work_id) AS place FROM
         (SELECT *, row_number() OVER (PARTITION BY asked_id ORDER BY similarity DESC, work_id) AS n FROM (SELECT a.work_id AS asked_id, b.work_id, a.sub_sector = b.sub_sector AS same_, round(least(a.sanctioned, b.sanctioned)::DOUBLE / greatest(a.sanctioned, b.sanctioned)::DOUBLE, 6) AS similarity
           FROM w a JOIN w b ON a.sector = b.sector AND a.work_id <> b.work_id AND a.sanctioned > 0 AND b.sanctioned > 0 WHERE a.work_id % 20 = 0) WHERE similarity >= 0.5) WHERE n <= 40 AND same_ QUALIFY place <= 5""",
-    "query_texts": """SELECT work_id, concat_ws(' ', lifecycle, told, asked) AS text FROM p
-      LEFT JOIN (SELECT work_id, string_agg(c, ' ' ORDER BY s DESC, c) AS told FROM (SELECT work_id, signal_code AS c, max(CASE severity WHEN 'WARNING' THEN 60 ELSE 90 END) AS s, row_number() OVER (PARTITION BY work_id ORDER BY max(CASE severity WHEN 'WARNING' THEN 60 ELSE 90 END) DESC, signal_code) AS n FROM sigs GROUP BY work_id, signal_code) WHERE n <= 5 GROUP BY work_id) USING (work_id)
-      LEFT JOIN (SELECT work_id, string_agg(rule_id, ' ' ORDER BY rule_id) AS asked FROM (SELECT work_id, rule_id, row_number() OVER (PARTITION BY work_id ORDER BY rule_id) AS n FROM rule WHERE result IN ('NON_COMPLIANT', 'REVIEW')) WHERE n <= 5 GROUP BY work_id) USING (work_id)""",
+    "query_texts": """SELECT work_id, concat_ws(' | ', 'lifecycle ' || lifecycle, 'sector ' || sector, 'sub-sector ' || sub_sector, codes, told, asked) AS text FROM p
+      LEFT JOIN (SELECT work_id, string_agg(code, ' | ' ORDER BY points DESC, family) AS codes FROM (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY points DESC, family) AS n FROM contrib WHERE points > 0) WHERE n <= 5 GROUP BY work_id) USING (work_id)
+      LEFT JOIN (SELECT work_id, string_agg(alert_type, ' | ' ORDER BY strength DESC, alert_type) AS told FROM (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY strength DESC, alert_type) AS n FROM alerts) WHERE n <= 5 GROUP BY work_id) USING (work_id)
+      LEFT JOIN (SELECT work_id, string_agg(words, ' | ' ORDER BY o) AS asked FROM rule JOIN (VALUES """
+    + ", ".join(f"('{rule}', {i}, '{title} clause {clause}')" for i, (rule, (title, clause)) in enumerate(desk.REFERENCES.items()))
+    + """) t(r, o, words) ON r = rule_id WHERE result IN ('NON_COMPLIANT', 'REVIEW') GROUP BY work_id) USING (work_id)""",
 }

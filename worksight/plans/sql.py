@@ -77,9 +77,14 @@ CTES = {
     "rule": " UNION ALL ".join(
         f"SELECT work_id, lifecycle, '{rule}' AS rule_id, '{severity}' AS severity, CASE WHEN lifecycle IN ({', '.join(repr(s) for s in stages)}) THEN r{i} ELSE 'NOT_APPLICABLE' END AS result FROM rw" for i, (rule, (severity, stages)) in enumerate(RULES.items(), 1)
     ),
+    "ev_r": "SELECT l_orderkey AS work_id, CAST(l_shipdate AS DATE) + CAST(l_partkey % 15 AS INTEGER) AS report_date FROM lineitem",
     "ev": """SELECT 'RELEASED_AMOUNT' AS metric, released_on AS event_on, amount AS value, state, district, sector FROM pay JOIN w USING (work_id) WHERE is_released
-      UNION ALL SELECT 'RECOMMENDATIONS', recommended_on, 1, state, district, sector FROM w""",
-    "evg": "SELECT metric, date_trunc('month', event_on)::DATE AS month, value, unnest(['STATE', 'DISTRICT', 'SECTOR', 'STATE_SECTOR', 'DISTRICT_SECTOR']) AS group_type, unnest(['state=' || state, 'state=' || state || '|district=' || district, 'sector=' || sector, 'state=' || state || '|sector=' || sector, 'state=' || state || '|district=' || district || '|sector=' || sector]) AS group_value FROM ev WHERE event_on <= DATE '1998-11-30' AND value IS NOT NULL",
+      UNION ALL SELECT 'RELEASED_PAYMENTS', released_on, 1, state, district, sector FROM pay JOIN w USING (work_id) WHERE is_released
+      UNION ALL SELECT 'RECOMMENDATIONS', recommended_on, 1, state, district, sector FROM w
+      UNION ALL SELECT 'RECOMMENDED_AMOUNT', recommended_on, sanctioned * (100 + work_id % 10) // 100, state, district, sector FROM w
+      UNION ALL SELECT 'SANCTIONS', sanctioned_on, 1, state, district, sector FROM w WHERE status <> 'P'
+      UNION ALL SELECT 'SANCTIONED_AMOUNT', sanctioned_on, sanctioned, state, district, sector FROM w WHERE status <> 'P'
+      UNION ALL SELECT 'PROGRESS_REPORTS', report_date, 1, state, district, sector FROM ev_r JOIN w USING (work_id)""",    "evg": "SELECT metric, date_trunc('month', event_on)::DATE AS month, value, unnest(['STATE', 'DISTRICT', 'SECTOR', 'STATE_SECTOR', 'DISTRICT_SECTOR']) AS group_type, unnest(['state=' || state, 'state=' || state || '|district=' || district, 'sector=' || sector, 'state=' || state || '|sector=' || sector, 'state=' || state || '|district=' || district || '|sector=' || sector]) AS group_value FROM ev WHERE event_on <= DATE '1998-11-30' AND value IS NOT NULL",
     "mon": "SELECT group_type, group_value, metric, month, sum(value) AS value, count(*) AS events FROM evg WHERE group_value IS NOT NULL GROUP BY ALL",
     "grid": "SELECT group_type, group_value, metric, unnest(generate_series(min(month), DATE '1998-11-01', INTERVAL 1 MONTH))::DATE AS month FROM mon GROUP BY group_type, group_value, metric",
     "dense": "SELECT group_type, group_value, metric, month, coalesce(value, 0)::BIGINT AS value, coalesce(events, 0) AS events FROM grid LEFT JOIN mon USING (group_type, group_value, metric, month)",
@@ -189,6 +194,17 @@ def using(body: str) -> str:
 
 KEYS = {"orders": ["o_orderkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"], "lineitem": ["l_orderkey", "l_linenumber"], "events": ["event_id"]}
 LINKS = [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("labels", "doc_id", "documents", "doc_id"), ("events", "user_id", "customer", "c_custkey")]
+#: The detectors of hotspots and their conditions; the last one has no share.
+HOT = [
+    ("top_anomaly", "odd >= 90"),
+    ("duplicate_review", "work_id % 97 = 0"),
+    ("payment_evidence", "n_sig > 0"),
+    ("persistent_gap", "persistent_gap"),
+    ("overdue", "overdue_days > 0"),
+    ("over_sanction", "overrun > 0"),
+    ("compliance_review", "reviews_ > 0"),
+    ("non_compliant", "fails_ > 0"),
+]
 BODIES = {
     "dq_primary_keys": " UNION ALL ".join(f"SELECT '{t}' AS table_name, CAST(sum(n) AS BIGINT) AS row_count, CAST(coalesce(sum(n) FILTER ({' OR '.join(f'{c} IS NULL' for c in k)}), 0) AS BIGINT) AS null_keys, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS repeated_rows, CAST(coalesce(sum(n - 1) FILTER (n > 1), 0) AS BIGINT) AS extra_rows FROM (SELECT {', '.join(k)}, count(*) AS n FROM {t} GROUP BY ALL)" for t, k in KEYS.items()),
     "dq_foreign_keys": " UNION ALL ".join(f"SELECT '{c}.{k}' AS relationship, count(*) AS total, count(*) FILTER (c.{k} IS NULL) AS null_keys, count(*) FILTER (x.id IS NOT NULL) AS matched, count(*) FILTER (c.{k} IS NOT NULL AND x.id IS NULL) AS orphans, CASE WHEN count(*) FILTER (c.{k} IS NOT NULL AND x.id IS NULL) = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM {c} c LEFT JOIN (SELECT DISTINCT {pk} AS id FROM {p}) x ON c.{k} = x.id" for c, k, p, pk in LINKS),
@@ -214,7 +230,10 @@ BODIES = {
     "dq_total_mismatch": "SELECT work_id, sanctioned AS reported, paid FROM w JOIN (SELECT work_id, CAST(sum(amount) AS BIGINT) AS paid FROM pay GROUP BY work_id) USING (work_id) WHERE paid <> sanctioned",
     "dq_running_total": "SELECT work_id, CAST(max(c) AS BIGINT) AS final_total, CAST(sum(c) AS BIGINT) AS sum_of_totals, count(*) AS payments FROM (SELECT work_id, sum(amount) OVER (PARTITION BY work_id ORDER BY released_on, stage, payment_id ROWS UNBOUNDED PRECEDING) AS c FROM pay) GROUP BY work_id",
     "dq_cardinality_profile": "SELECT count(*) FILTER (n = 0) AS with_none, count(*) FILTER (n = 1) AS with_one, count(*) FILTER (n > 1) AS with_many, min(n) AS minimum, quantile_cont(n::DOUBLE, 0.5) AS median, avg(n) AS mean, max(n) AS maximum FROM (SELECT w.work_id, count(pay.work_id) AS n FROM w LEFT JOIN pay ON w.work_id = pay.work_id GROUP BY w.work_id)",
-    "dq_status_inconsistency": "SELECT work_id, status, payments FROM w JOIN (SELECT work_id, count(*) AS payments FROM pay WHERE is_released GROUP BY work_id) USING (work_id) WHERE status = 'P'",
+    "dq_status_inconsistency": "SELECT work_id, status, coalesce(a, 0) AS payments, coalesce(b, 0) AS reports, coalesce(c, 0)::BIGINT AS spent FROM w LEFT JOIN (SELECT work_id, count(*) AS a, sum(amount) AS c FROM pay WHERE is_released GROUP BY work_id) USING (work_id) LEFT JOIN (SELECT l_orderkey AS work_id, count(*) AS b FROM lineitem WHERE l_quantity * 2 > 0 OR floor(l_discount * 1000 + 0.5) > 0 GROUP BY 1) USING (work_id) WHERE status = 'P' AND (a > 0 OR b > 0 OR c > 0)",
+    "dq_progress_chronology": "SELECT issue_code, 'WARNING' AS severity, count(*) AS issues, count(DISTINCT work_id) AS works FROM (SELECT work_id, 'PROGRESS_BEFORE_RECOMMENDATION' AS issue_code FROM ev_r JOIN w USING (work_id) WHERE report_date < recommended_on UNION ALL SELECT work_id, 'PROGRESS_BEFORE_SANCTION' FROM ev_r JOIN w USING (work_id) WHERE report_date < sanctioned_on) GROUP BY issue_code",
+    "dq_required_keys": "SELECT 'NULL_REGISTER_AFTER_HANDOVER' AS issue_code, asset_id AS record_id, work_id::VARCHAR AS work_id, 'register_entry' AS observed FROM ast WHERE register_entry IS NULL AND handover_on IS NOT NULL UNION ALL SELECT 'NULL_CERTIFICATE_DATE', asset_id, work_id::VARCHAR, 'certificate_on' FROM ast WHERE certificate_on IS NULL AND certificate_status = 'Submitted' UNION ALL SELECT 'NULL_PUBLIC_USE', asset_id, work_id::VARCHAR, 'public_use_on' FROM ast WHERE public_use_on IS NULL AND handover_on IS NOT NULL AND register_entry = 'Yes'",
+    "dq_value_contract": f"SELECT unnest(['INFINITE_VALUE', 'RATIO_NULLNESS', 'FUTURE_DATE', 'PAYMENTS_DONT_RECONCILE', 'COMPLETION_MISMATCH']) AS rule, unnest([0, (SELECT count(*) FILTER (planned_days <= 0 AND schedule_ratio IS NOT NULL) FROM p), (SELECT count(*) FILTER (recommended_on > {AS_OF}) + count(*) FILTER (sanctioned_on > {AS_OF}) + count(*) FILTER (expected_on > {AS_OF}) + count(*) FILTER (completed_on > {AS_OF}) FROM p), 0, 0]) AS violations",
     "dq_issue_summary": "SELECT severity, issue_code, count(*) AS issues, count(DISTINCT work_id) AS works FROM (SELECT work_id, 'PAYMENT_AUTH_BEFORE_REQUEST' AS issue_code, 'WARNING' AS severity FROM pay WHERE authorized_on < requested_on UNION ALL SELECT work_id, 'PAYMENT_RELEASE_BEFORE_AUTH', 'WARNING' FROM pay WHERE released_on < authorized_on UNION ALL SELECT work_id, 'PROGRESS_DECREASE', 'WARNING' FROM (SELECT *, physical - lag(physical) OVER (PARTITION BY work_id ORDER BY report_date, progress_id) AS c FROM prog) WHERE c < 0 UNION ALL SELECT work_id, 'VALUE_OUT_OF_RANGE', 'ERROR' FROM prog WHERE NOT coalesce(physical BETWEEN 0 AND 90, false)) GROUP BY ALL",
     "payments_as_of": "SELECT work_id, payment_count, released_total, vendor_count, largest_payment, first_payment_on, last_payment_on, final_payment_count, zero_payment_count, round(largest_share, 6) AS largest_share, round(vendor_hhi, 6) AS vendor_hhi, CAST(days_since_payment AS INTEGER) AS days_since_payment FROM paid JOIN hhi USING (work_id)",
     "progress_as_of": "SELECT work_id, report_count, first_report_on, last_report_on, first_physical, last_physical, last_financial, decrease_count, round(largest_decrease, 4) AS largest_decrease, same_day_extras, round(last_financial - last_physical, 4) AS financial_gap, CAST(days_since_report AS INTEGER) AS days_since_report, CASE WHEN last_report_on > first_report_on THEN round((last_physical - first_physical) / (last_report_on - first_report_on) * 30, 4) END AS velocity FROM latest",
@@ -254,14 +273,15 @@ BODIES = {
     "monthly_causal_z": "SELECT group_type, group_value, metric, month, CAST(baseline_months AS INTEGER) AS baseline_months, support, round(median, 2) AS median, round(mad, 2) AS mad, round(robust_z, 4) AS robust_z, method, status, coalesce(abs(robust_z) >= 3.5, false) AS flagged FROM base",
     "monthly_ewma": "SELECT group_value, metric, month, round(list_reduce(list(value::DOUBLE) OVER (PARTITION BY group_value, metric ORDER BY month), lambda a, x: 0.7 * a + 0.3 * x), 2) AS ewma FROM dense WHERE group_type = 'STATE'",
     "trend_alerts": "SELECT group_type, group_value, metric, month, metric || ' of ' || group_value || ' in ' || strftime(month, '%Y-%m') || ' is ' || CASE WHEN robust_z > 0 THEN 'above' ELSE 'below' END || ' its causal baseline' AS message FROM base WHERE abs(robust_z) >= 3.5",
-    "hotspots": "SELECT *, " + ", ".join(f"round({n}_count::DOUBLE / works, 6) AS {n}_share" for n in ("overspent", "overdue", "concentrated")) + " FROM (SELECT group_type, group_value, count(*) AS works, count(*) FILTER (overrun > 0) AS overspent_count, count(*) FILTER (overdue_days > 0) AS overdue_count, count(*) FILTER (vendor_hhi > 0.5) AS concentrated_count FROM (SELECT p.*, unnest(['STATE', 'DISTRICT', 'SECTOR', 'DISTRICT_SECTOR']) AS group_type, unnest(['state=' || state, 'state=' || state || '|district=' || district, 'sector=' || sector, 'state=' || state || '|district=' || district || '|sector=' || sector]) AS group_value FROM p) GROUP BY group_type, group_value HAVING count(*) >= 20)",
+    "hotspots": "SELECT *, " + ", ".join(f"round({n}_count::DOUBLE / works, 6) AS {n}_share" for n, _ in HOT[:-1]) + " FROM (SELECT group_type, group_value, count(*) AS works, " + ", ".join(f"count(*) FILTER ({test}) AS {n}_count" for n, test in HOT) + """ FROM (SELECT p.*, odd, n_sig, persistent_gap, reviews_, fails_, unnest(['STATE', 'DISTRICT', 'SECTOR', 'DISTRICT_SECTOR']) AS group_type, unnest(['state=' || state, 'state=' || state || '|district=' || district, 'sector=' || sector, 'state=' || state || '|district=' || district || '|sector=' || sector]) AS group_value
+      FROM p LEFT JOIN odd USING (work_id) LEFT JOIN (SELECT work_id, count(*) AS n_sig FROM sigs GROUP BY work_id) USING (work_id) LEFT JOIN (SELECT work_id, persistent_gap FROM fund) USING (work_id) LEFT JOIN (SELECT work_id, count(*) FILTER (result = 'REVIEW') AS reviews_, count(*) FILTER (result = 'NON_COMPLIANT') AS fails_ FROM rule GROUP BY work_id) USING (work_id)) GROUP BY group_type, group_value HAVING count(*) >= 20)""",
     "trend_context": "SELECT work_id, trend_group, trend_metric, round(trend_z, 4) AS trend_z, trend_flagged, round(trend_strength, 4) AS trend_strength FROM ctx",
     "policy_contributions": "SELECT work_id, lifecycle, family, round(score, 4) AS score, code, available, weight, round(points, 3) AS points FROM contrib",
     "policy_scores": "SELECT work_id, lifecycle, round(score, 3) AS score, coverage, band, top_family_1, row_number() OVER (ORDER BY score DESC, work_id) AS rank, row_number() OVER (PARTITION BY lifecycle ORDER BY score DESC, work_id) AS rank_in_stage FROM scores",
     "policy_alerts": "SELECT work_id, alert_type, evidence_code, round(strength, 3)::DOUBLE AS strength FROM alerts",
     "policy_authority_summary": " UNION ALL ".join(f"SELECT '{t}' AS group_type, {v} AS group_value, count(*) AS works, round(round(avg(score), 4), 2) AS mean_score, count(*) FILTER (band = 'HIGH') AS high, count(*) FILTER (band = 'CRITICAL') AS critical FROM scores JOIN (SELECT work_id, state, district, sector FROM p) USING (work_id) GROUP BY {v}" for t, v in (("STATE", "state"), ("DISTRICT", "concat_ws(' / ', state, district)"), ("SECTOR", "sector"))),
     "working_days": "SELECT work_id, (list_filter(generate_series(date_trunc('month', recommended_on)::DATE, last_day(recommended_on), INTERVAL 1 DAY), lambda x: isodow(x) < 6))[3]::DATE AS third_working_day, (list_filter(generate_series(recommended_on + 1, recommended_on + 24, INTERVAL 1 DAY), lambda x: isodow(x) < 6))[5]::DATE AS fifth_after FROM w",
-    "evidence_status": "SELECT work_id, CASE WHEN day(c) % 2 = 0 THEN 'RECORDED' WHEN DATE '2024-01-04' < DATE '2024-01-01' THEN 'UPCOMING' WHEN DATE '2024-01-04' <= DATE '2024-01-03' THEN 'DUE' ELSE 'OVERDUE' END AS monthly, CASE WHEN c IS NULL THEN 'NOT_APPLICABLE' WHEN l >= c THEN 'RECORDED' ELSE 'OVERDUE' END AS completion, c > DATE '2024-01-03' AS late FROM (SELECT work_id, min(report_date) AS c, max(report_date) AS l FROM prog WHERE stage = 'view' GROUP BY work_id)",
+    "evidence_status": "SELECT work_id, CASE WHEN day(c) % 2 = 0 THEN CASE WHEN c <= DATE '2024-01-03' THEN 'RECORDED' ELSE 'OVERDUE' END ELSE 'OVERDUE' END AS monthly, CASE WHEN c IS NULL THEN 'NOT_APPLICABLE' WHEN l <= list_filter(generate_series(c + 1, c + 10, INTERVAL 1 DAY), lambda x: isodow(x) < 6)[3] THEN 'RECORDED' ELSE 'OVERDUE' END AS completion, c > DATE '2024-01-03' AS late FROM (SELECT work_id, min(report_date) AS c, max(report_date) AS l FROM prog GROUP BY work_id)",
     "haversine_pairs": "SELECT s_suppkey, round(m / 1000, 3) AS km, CASE WHEN m <= 500 THEN 'LOCATION_CONSISTENT' ELSE 'LOCATION_REQUIRES_REVIEW' END AS status FROM (SELECT a.s_suppkey, 2 * 6371000.0 * asin(sqrt(least(1.0, power(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2)))) AS m FROM (SELECT s_suppkey, (s_suppkey * 37 % 160 - 80)::DOUBLE AS lat, (s_suppkey * 91 % 340 - 170)::DOUBLE AS lon FROM supplier) a JOIN (SELECT s_suppkey, (s_suppkey * 37 % 160 - 80)::DOUBLE AS lat, (s_suppkey * 91 % 340 - 170)::DOUBLE AS lon FROM supplier) b ON b.s_suppkey = a.s_suppkey + 1)",
     "scoped_queue": "SELECT work_id, district, sector, score, band FROM served WHERE state = 'ASIA' AND lifecycle = 'EXECUTION' AND contains(lower(concat_ws(' ', district, sector)), 'nation') ORDER BY score DESC, work_id LIMIT 25",
     "overview": "SELECT count(*) AS works, " + ", ".join(f"count(*) FILTER (band = '{b}') AS {b.lower()}" for b in ("LOW", "MEDIUM", "HIGH", "CRITICAL")) + ", " + ", ".join(f"count(*) FILTER (lifecycle = '{s}') AS {s.lower()}" for s in ("PRE_SANCTION", "EXECUTION", "COMPLETION")) + ", CAST(sum(sanctioned) AS BIGINT) AS sanctioned_total, CAST(sum(released_total) AS BIGINT) AS released_sum, round(count(*) FILTER (band IN ('HIGH', 'CRITICAL')) * 100.0::DOUBLE / count(*), 4) AS urgent_share, round(sum(released_total)::DOUBLE * 100 / sum(sanctioned)::DOUBLE, 4) AS utilisation FROM served",
@@ -274,7 +294,6 @@ BODIES = {
     "evidence_select": "SELECT work_id, rule_id, place FROM (SELECT work_id, rule_id, CAST(row_number() OVER (PARTITION BY work_id ORDER BY result = 'NON_COMPLIANT' DESC, CASE WHEN result = 'REVIEW' THEN 2 ELSE 1 END DESC, rule_id) AS INTEGER) AS place FROM rule WHERE result <> 'NOT_APPLICABLE') WHERE place <= 4",
     "budget_trim": "SELECT doc_id, source, used FROM (SELECT doc_id, source, CAST(sum(length(text)) OVER (PARTITION BY source ORDER BY length(text), doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM documents) WHERE used <= 20000",
     "grounding_check": "SELECT doc_id AS id, 'UNKNOWN_EVIDENCE_CODES' AS fault FROM documents WHERE doc_id % 5 NOT IN (1, 2) OR lang <> 'en' UNION ALL SELECT doc_id, 'PROHIBITED_VERDICT_LANGUAGE' FROM documents WHERE doc_id % 10 = 0",
-    "clause_extract": "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<li>')) AS INTEGER) AS items FROM pages",
     "chapter_carry_forward": "SELECT source AS doc, doc_id AS page, last_value(nullif(regexp_extract(text, '^(Th[a-z]+)', 1), '') IGNORE NULLS) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS chapter FROM documents",
 }
 

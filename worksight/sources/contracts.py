@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import json
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -154,3 +155,103 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, key: str) -> DataFra
     if twice:
         raise ContractError(f"repeated {key}: {[r[0] for r in twice]}")
     return df
+
+
+def read_json(spark: SparkSession, path: str, needs: dict[str, object] | None = None) -> dict:
+    """A small JSON file of settings or metadata, from any store, as a dict; `needs` are values that it must have.
+
+    It is read by Spark, whole, on the driver; a file of over a MB is an error.
+    """
+    found = spark.read.format("binaryFile").load(path).where("length <= 1048576").select("content").take(2)
+    if len(found) != 1:
+        raise ContractError(f"{path} is not one file of up to a MB")
+    got = json.loads(found[0].content.decode("utf-8-sig"))
+    wrong = {k: got.get(k) for k, v in (needs or {}).items() if got.get(k) != v}
+    if wrong:
+        raise ContractError(f"{path}: {wrong} where {({k: needs[k] for k in wrong})} is needed")
+    return got
+
+
+def load_supplements(spark: SparkSession, folder: str, files: dict[str, str]) -> dict[str, DataFrame]:
+    """Supplementary CSV files by name, all columns as text, joined with nothing; headers must have no blank or repeated names."""
+    out = {}
+    for name, file in files.items():
+        raw = spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).option("escape", '"').csv(f"{folder}/{file}")
+        names = [c.lstrip(BOM).strip() for c in raw.columns]
+        if "" in names or len(set(names)) < len(names):
+            raise ContractError(f"{name}: columns {names}")
+        out[name] = raw.toDF(*names)
+    return out
+
+
+def load_labels(spark: SparkSession, path: str, contract: Contract, known: DataFrame, key: str) -> DataFrame:
+    """Labels for evaluation alone, one row per key, all of them known; no scoring operator reads them.
+
+    known has the key of everything that may be labelled. A repeated or unknown key is an error.
+    """
+    rows = load(spark, path, contract)
+    odd = rows.groupBy(key).agg(F.count("*").alias("n")).join(known.select(key, F.lit(True).alias("known__")).distinct(), key, "left")
+    bad = odd.where("n > 1 or known__ is null").limit(5).collect()
+    if bad:
+        raise ContractError(f"{contract.name}: repeated or unknown {[r[key] for r in bad]}")
+    return rows
+
+
+def load_profile(spark: SparkSession, folder: str, metadata: str, files: dict[str, Contract], needs: dict[str, object]) -> dict[str, DataFrame]:
+    """Typed tables of a profile, only if its metadata file says what is needed, such as that its data are synthetic."""
+    read_json(spark, f"{folder}/{metadata}", needs)
+    return {contract.name: load(spark, f"{folder}/{file}", contract) for file, contract in files.items()}
+
+
+def write_summary(df: DataFrame, root: str, path: str) -> None:
+    """The one row of df as one JSON object, keys in order, NaN and infinity as null."""
+    from worksight.functions.scalar import json_safe
+
+    rows = df.limit(2).count()
+    if rows != 1:
+        raise ContractError(f"a summary is one row, not {'none' if not rows else 'more'}")
+    safe = df.select(*[(json_safe(c) if t in ("double", "float") else F.col(c)).alias(c) for c, t in sorted(df.dtypes)])
+    safe.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(guarded(root, path))
+
+
+def unchanged(inputs: dict[str, DataFrame], run):
+    """run()'s result, if the inputs hold the same rows after it as before; else an error that names those that don't."""
+    hashes = lambda: {name: tuple(content_hash(df).first()) for name, df in inputs.items()}
+    before = hashes()
+    out = run()
+    changed = [name for name, now in hashes().items() if now != before[name]]
+    if changed:
+        raise ContractError(f"inputs changed: {changed}")
+    return out
+
+
+def artifact_manifest(spark: SparkSession, folder: str, tables: dict[str, str]) -> DataFrame:
+    """table, files, bytes, rows, sha256 of Parquet tables below a folder (table: its path in it); the hash is over the files' hashes in order."""
+    out = None
+    for name, path in tables.items():
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{folder}/{path}").select("path", "length", F.sha2("content", 256).alias("sha256"))
+        listed = files.agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.element_at(F.split("path", "/"), -1).alias("file"), "sha256"))), lambda x: x["sha256"]), ","), 256).alias("sha256"))
+        rows = spark.read.parquet(f"{folder}/{path}").agg(F.count("*").alias("rows"))
+        one = listed.crossJoin(rows).select(F.lit(name).alias("table"), "files", "bytes", "rows", "sha256")  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def integrity_faults(tables: dict[str, DataFrame], expected: DataFrame, keys: dict[str, str], links: list[tuple[str, str, str, str]]) -> DataFrame:
+    """table, fault, found of tables that don't fit: rows other than expected (table, rows), repeated or null keys, children without parents."""
+    parts = []
+    for name, df in tables.items():
+        counted = df.agg(F.count("*").alias("rows")).withColumn("table", F.lit(name))
+        both = counted.join(expected.withColumnRenamed("rows", "wanted"), "table", "left")
+        parts.append(both.where("wanted is null or wanted <> rows").select("table", F.lit("ROW_COUNT").alias("fault"), F.col("rows").alias("found")))
+        if name in keys:
+            twice = df.groupBy(keys[name]).agg(F.count("*").alias("n")).where(F.col("n") > 1).agg(F.count("*").alias("found"))
+            empty = df.agg(F.count_if(F.col(keys[name]).isNull()).alias("found"))
+            parts += [x.where("found > 0").select(F.lit(name).alias("table"), F.lit(fault).alias("fault"), "found") for x, fault in ((twice, "REPEATED_KEY"), (empty, "NULL_KEY"))]
+    for child, key, parent, parent_key in links:
+        lost = tables[child].where(F.col(key).isNotNull()).join(tables[parent].select(F.col(parent_key).alias(key)).distinct(), key, "left_anti")
+        parts.append(lost.agg(F.count("*").alias("found")).where("found > 0").select(F.lit(child).alias("table"), F.lit(f"ORPHAN_{key}").alias("fault"), "found"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

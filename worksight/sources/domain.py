@@ -119,3 +119,19 @@ def site_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         "least(100.0D, l_quantity * 2) as physical",
         "least(100.0D, floor(l_discount * 1000 + 0.5)) as financial",
     )
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence from the site with its place: a payment's line some days later, a final one of the completion."""
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey as work_id",
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(floor(l_extendedprice * 100 + 0.5) as bigint)) as evidence_id",
+        "date_add(cast(l_shipdate as date), cast(l_partkey % 15 as int)) as captured_on",
+        "if(l_returnflag = 'R', 'COMPLETION', 'MONTHLY_PROGRESS') as stage",
+        f"{REGISTERED['latitude'].format('l_orderkey')} + (l_suppkey % 7) * 0.001D as latitude",
+        f"{REGISTERED['longitude'].format('l_orderkey')} as longitude",
+    )
+
+
+# Where works are registered, a place by the work's id.
+REGISTERED = {"latitude": "10 + ({0} % 200) * 0.05D", "longitude": "75 + ({0} % 170) * 0.05D"}
