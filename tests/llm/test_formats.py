@@ -133,3 +133,57 @@ def test_fingerprints(spark):
     assert fingerprints.edited_fingerprints(df.where("false")).count() == 0
     twice = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "q")], "doc_id long, text string")
     assert fingerprints.edited_fingerprints(twice).count() == 3
+
+
+def foreign(kind, block, **headers):
+    import gzip
+
+    head = "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in {"WARC_Type": kind, "Content_Length": len(block), **headers}.items())
+    return gzip.compress(b"WARC/1.0\r\n" + head.encode("latin-1") + b"\r\n" + block + b"\r\n\r\n")
+
+
+def test_archives_of_others(spark, tmp_path):
+    import base64
+
+    page = "<p>é</p>".encode()
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + page
+    sha1, sha256, md5 = (hashlib.new(n, page) for n in ("sha1", "sha256", "md5"))
+    data = foreign("warcinfo", b"software: x\r\n", WARC_Record_ID="<urn:uuid:0>", Content_Type="application/warc-fields")
+    data += foreign("request", b"GET / HTTP/1.1\r\n\r\n", WARC_Record_ID="<urn:uuid:1>", Content_Type="application/http; msgtype=request")
+    data += foreign("response", block, WARC_Record_ID="<urn:uuid:2>", WARC_Payload_Digest=f"sha256:{sha256.hexdigest()}", WARC_Target_URI="http://x/caf\xe9")
+    data += foreign("response", block, WARC_Record_ID="<urn:uuid:3>", WARC_Payload_Digest="sha1:" + base64.b32encode(sha1.digest()).decode().lower())
+    data += foreign("response", block, WARC_Record_ID="<urn:uuid:4>", WARC_Payload_Digest=f"md5:{md5.hexdigest().upper()}")
+    data += foreign("response", block, WARC_Record_ID="<urn:uuid:5>", WARC_Payload_Digest="xyz:abc", WARC_Block_Digest="sha-256:" + base64.b64encode(hashlib.sha256(block).digest()).decode())
+    data += foreign("revisit", block[: -len(page)], WARC_Record_ID="<urn:uuid:6>", WARC_Refers_To="<urn:uuid:2>", WARC_Payload_Digest="sha1:" + sha1.hexdigest())
+    data += foreign("resource", page, WARC_Record_ID="<urn:uuid:7>", Content_Type="text/html")
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    got = {x.record_id[-1]: x for x in warc.read_archives(warc.archives_of_files(files, part=100)).collect()}
+    assert len(got) == 8 and [got[i].record_type for i in "01267"] == ["warcinfo", "request", "response", "revisit", "resource"]
+    assert [got[i].verified for i in "02345"] == [False, True, True, True, True] and got["2"].url == "http://x/caf\xe9"
+    assert got["3"].payload_digest == got["6"].payload_digest == warc.digest(page) and got["2"].payload_digest == f"sha256:{sha256.hexdigest()}"
+    assert (got["6"].refers_to_id, got["6"].payload, got["6"].refers_to, got["2"].payload, got["7"].payload) == ("urn:uuid:2", None, None, page, page)
+
+
+def test_bad_records_are_warc_errors(monkeypatch):
+    import gzip
+
+    page = b"HTTP/1.1 200 OK\r\n\r\nabc"
+    for data, told in ((foreign("response", page, WARC_Payload_Digest=f"sha256:{'0' * 64}"), "payload digest"), (foreign("response", page, WARC_Block_Digest="md5:00"), "block digest"), (gzip.compress(b"WARC/1.0\r\nContent-Length: 0\r\n\r\n\r\n\r\n"), "no WARC-Type"), (gzip.compress(b"\xff\xfe"), "no WARC header")):
+        with pytest.raises(warc.WarcError, match=told):
+            [warc.parsed(*x) for x in warc.Reader().feed(data)]
+    monkeypatch.setattr(warc, "LARGEST", 1 << 16)
+    with pytest.raises(warc.WarcError, match="over"):
+        list(warc.Reader().feed(gzip.compress(b"0" * (1 << 24))))
+
+
+@pytest.mark.parametrize("source", ["{{ x | length }}", "{% if 1 < 'a' %}{% endif %}", "{% if x < 'a' %}{% endif %}", "{% for i in five %}{% endfor %}"])
+def test_values_that_dont_go_together(source):
+    with pytest.raises(chat.TemplateError):
+        list(chat.compile_template(source)(x=None, five=5))
+
+
+def test_long_conversations_and_null_ids(spark):
+    rows = [(1, i, "user" if i % 2 else "assistant", f"said {i} <|end|>") for i in range(3000)] + [(None, 0, None, None), (None, 1, "assistant", "x")]
+    got = {x.conv_id: x for x in chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert len(got) == 2 and chat.turns_of(got[1].formatted) == [(r, t) for _, _, r, t in rows[:3000]]

@@ -331,9 +331,22 @@ def node_closure(node: tuple) -> Callable[[dict, bool], Emit] | None:
 
 
 def compile_template(source: str) -> Callable[..., Emit]:
-    """A function that renders variables into pieces (text, under a generation marker)."""
-    run = body_closure(parse(source))
-    return lambda **scope: run(scope, False)
+    """A function that renders variables into pieces (text, under a generation marker).
+
+    What an expression can't do with its values is a TemplateError, like a mistake in the source.
+    """
+    try:
+        run = body_closure(parse(source))
+    except (TypeError, AttributeError, ArithmeticError) as e:
+        raise TemplateError(f"constants that don't go together: {e}") from e
+
+    def render(**scope) -> Emit:
+        try:
+            yield from run(scope, False)
+        except (TypeError, AttributeError, ArithmeticError) as e:
+            raise TemplateError(f"values that don't go together: {e}") from e
+
+    return render
 
 
 #: The production template. `escape` keeps control strings out of texts and roles.

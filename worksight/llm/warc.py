@@ -35,6 +35,12 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 ZERO_DATE = "1970-01-01T00:00:00Z"
 
 
+#: Bytes of the largest record that is read; a member that inflates to more is an error.
+LARGEST = 1 << 30
+#: Bytes inflated at a time.
+STEP = 1 << 20
+
+
 class WarcError(ValueError):
     """An archive breaks the format, or its bytes don't match a digest."""
 
@@ -44,6 +50,37 @@ def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def matches(said: str, data: bytes) -> bool | None:
+    """Whether a digest field (NAME:VALUE in hexadecimal, base32 or base64) is that of the data; None for unknown names."""
+    name, _, value = said.strip().partition(":")
+    kind = name.lower().replace("-", "")
+    if kind not in ("md5", "sha1", "sha256", "sha512") or not value:
+        return None
+    raw = hashlib.new(kind, data).digest()
+    bare = value.strip().rstrip("=")
+    return bare.lower() in (raw.hex(), base64.b32encode(raw).decode().rstrip("=").lower()) or bare == base64.b64encode(raw).decode().rstrip("=")
+
+
+def plain(said: str) -> str:
+    """A SHA-1 field as bare upper-case base32, any other as it is."""
+    name, _, value = said.strip().partition(":")
+    if name.lower().replace("-", "") != "sha1":
+        return said.strip()
+    value = value.strip()
+    try:
+        return base64.b32encode(bytes.fromhex(value)).decode() if len(value) == 40 else value.upper()
+    except ValueError:
+        return value.upper()
+
+
+def decoded(value: bytes) -> str:
+    """A header's text: UTF-8, or else Latin-1, which older writers use."""
+    try:
+        return value.decode()
+    except UnicodeDecodeError:
+        return value.decode("latin-1")
+
+
 def record(kind: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
     """One gzip member with a whole record."""
     lines = [("WARC-Type", kind), *headers, ("WARC-Date", ZERO_DATE), ("WARC-Block-Digest", f"sha1:{digest(block)}"), ("Content-Type", "application/http;msgtype=response"), ("Content-Length", str(len(block)))]
@@ -116,10 +153,12 @@ class Reader:
             if self.inflater is None:
                 self.inflater = zlib.decompressobj(31)
             try:
-                self.data += self.inflater.decompress(content)
+                self.data += self.inflater.decompress(content, STEP)
             except zlib.error as e:
                 raise WarcError(f"not a gzip member: {e}") from e
-            content = b""
+            if len(self.data) > LARGEST:
+                raise WarcError(f"a record of over {LARGEST} bytes")
+            content = self.inflater.unconsumed_tail
             if self.inflater.eof:
                 content, self.inflater = self.inflater.unused_data, None
                 yield self.framed(bytes(self.data))
@@ -135,7 +174,9 @@ class Reader:
         version, *lines = head.split(b"\r\n")
         if not found or not version.startswith(b"WARC/1."):
             raise WarcError("no WARC header")
-        headers = {k.strip().decode().lower(): v.strip().decode() for k, _, v in (line.partition(b":") for line in lines)}
+        headers = {decoded(k.strip()).lower(): decoded(v.strip()) for k, _, v in (line.partition(b":") for line in lines)}
+        if not headers.get("warc-type"):
+            raise WarcError("no WARC-Type")
         try:
             length = int(headers["content-length"])
         except (KeyError, ValueError) as e:
@@ -143,7 +184,7 @@ class Reader:
         if rest[length:] != b"\r\n\r\n":
             raise WarcError("the block's length is not Content-Length")
         block = rest[:length]
-        if (said := headers.get("warc-block-digest")) and said != f"sha1:{digest(block)}":
+        if (said := headers.get("warc-block-digest")) and matches(said, block) is False:
             raise WarcError(f"block digest of {headers.get('warc-record-id')}")
         return headers, block
 
@@ -154,14 +195,27 @@ def page_of(uri: str | None) -> int | None:
     return int(name) if name.lstrip("-").isdigit() else None
 
 
+def bare_id(uri: str | None) -> str | None:
+    """A record's id without its angle brackets."""
+    return uri.strip().removeprefix("<").removesuffix(">") if uri else None
+
+
 def parsed(headers: dict[str, str], block: bytes) -> tuple:
-    head, _, payload = block.partition(b"\r\n\r\n")
-    said = headers.get("warc-payload-digest", "").removeprefix("sha1:")
-    if headers["warc-type"] == "response" and said and said != digest(payload):
+    """page_id, record_type, url, payload_bytes, payload_digest, refers_to, payload, record_id, refers_to_id, verified."""
+    kind = headers["warc-type"]
+    framed = kind in ("response", "revisit", "request") and "http" in headers.get("content-type", "application/http")
+    head, _, payload = block.partition(b"\r\n\r\n") if framed else (b"", b"", block)
+    said = headers.get("warc-payload-digest", "")
+    same = matches(said, payload) if said and kind != "revisit" else None
+    if same is False:
         raise WarcError(f"payload digest of {headers.get('warc-record-id')}")
-    length = next((int(v) for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")) if k.lower() == b"content-length"), len(payload))
-    response = headers["warc-type"] == "response"
-    return page_of(headers.get("warc-record-id")), headers["warc-type"], headers.get("warc-target-uri"), length, said, page_of(headers.get("warc-refers-to")), payload if response else None
+    fields = (x.partition(b":") for x in head.split(b"\r\n"))
+    told = next((v.strip() for k, _, v in fields if k.lower() == b"content-length"), b"")
+    length = int(told) if told.isdigit() else len(payload)
+    own, refers = headers.get("warc-record-id"), headers.get("warc-refers-to")
+    block_said = headers.get("warc-block-digest", "")
+    verified = bool(same) or bool(block_said and matches(block_said, block))
+    return page_of(own), kind, headers.get("warc-target-uri"), length, plain(said) if said else None, page_of(refers), payload if kind != "revisit" else None, bare_id(own), bare_id(refers), verified
 
 
 def read_archives(archives: DataFrame, payloads: bool = True, in_order: bool = False) -> DataFrame:
@@ -169,11 +223,14 @@ def read_archives(archives: DataFrame, payloads: bool = True, in_order: bool = F
 
     Columns: page_id, record_type, url, payload_bytes and payload_digest (of the full
     payload, also for revisits), refers_to, payload (null for revisits, and if `payloads`
-    is false). A damaged archive raises WarcError. Null contents count as empty. With
+    is false), record_id and refers_to_id as they are written, verified (a digest was there
+    and was that of the data). page_id and refers_to are null where a record isn't of write_archives. Records of
+    all types come out; digests by MD5, SHA-1, SHA-256 or SHA-512 are checked, in whatever
+    spelling, others pass. A damaged archive raises WarcError. Null contents count as empty. With
     `in_order` the parts of an archive are taken to lie together and in order, as
     write_archives gives them and a checkpoint keeps them; else they are brought so.
     """
-    schema = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+    schema = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("record_id", pa.string()), ("refers_to_id", pa.string()), ("verified", pa.bool_())])
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
@@ -187,17 +244,24 @@ def read_archives(archives: DataFrame, payloads: bool = True, in_order: bool = F
                     at, reader = name, Reader()
                 rows = []
                 for headers, block in reader.feed(batch.column(1)[i].as_py() or b""):
-                    rows.append(parsed(headers, block)[: 7 if payloads else 6] + ((None,) if not payloads else ()))
+                    row = parsed(headers, block)
+                    rows.append(row if payloads else (*row[:6], None, *row[7:]))
                 yield batch_of(rows)
         reader.close()
 
     dealt = archives if in_order else archives.repartition("archive").sortWithinPartitions("archive", "part")
-    return dealt.select("archive", "content").mapInArrow(run, "page_id long, record_type string, url string, payload_bytes long, payload_digest string, refers_to long, payload binary")
+    return dealt.select("archive", "content").mapInArrow(run, "page_id long, record_type string, url string, payload_bytes long, payload_digest string, refers_to long, payload binary, record_id string, refers_to_id string, verified boolean")
+
 
+def archives_of_files(files: DataFrame, part: int = PART) -> DataFrame:
+    """archive, part, content of the rows that spark.read.format("binaryFile") gives, in pieces of `part` bytes.
 
-def archives_of_files(files: DataFrame) -> DataFrame:
-    """archive, part, content of the rows that spark.read.format("binaryFile") gives."""
-    return files.select(F.col("path").alias("archive"), F.lit(0).cast("long").alias("part"), "content")
+    Spark's reader loads a file into one row of its JVM; it leaves that in pieces, so
+    that Python holds a piece and a record at a time, however large the file.
+    """
+    pieces = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / part))))
+    cut = files.select(F.col("path").alias("archive"), pieces.alias("part"), "content")
+    return cut.select("archive", "part", F.expr(f"substring(content, cast(part * {part} + 1 as int), {part})").alias("content"))
 
 
 def save_archives(archives: DataFrame, folder: str) -> None:
