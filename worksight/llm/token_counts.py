@@ -9,6 +9,7 @@ is ever shuffled: the table comes from the counts of a bounded sample of documen
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 from collections import Counter
 from collections.abc import Iterator
@@ -45,7 +46,7 @@ def checked(tokenizer) -> None:
 
 @functools.lru_cache(maxsize=1)
 def machinery(path: str):
-    """(tokenizer, compiled pre-token pattern, special strings) of a worker."""
+    """(tokenizer, compiled pre-token pattern, special strings, cache of lengths) of a worker, kept over its tasks."""
     import regex
     from tokenizers import Tokenizer
 
@@ -54,7 +55,7 @@ def machinery(path: str):
     pattern = PRE_TOKENS.replace(r"\S", f"[^{WHITE}]").replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]")
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     cut = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-    return tokenizer, regex.compile(pattern), cut
+    return tokenizer, regex.compile(pattern), cut, {}
 
 
 def pieces(text: str, cut) -> tuple[list[str], int]:
@@ -66,11 +67,11 @@ def pieces(text: str, cut) -> tuple[list[str], int]:
 
 
 class Counting:
-    """Counts tokens with the shared table and a cache of its own."""
+    """Counts tokens with the shared table and the worker's cache."""
 
     def __init__(self, path: str, frequent: dict[str, int]):
-        self.tokenizer, self.pattern, self.cut = machinery(path)
-        self.frequent, self.cache = frequent, {}
+        self.tokenizer, self.pattern, self.cut, self.cache = machinery(path)
+        self.frequent = frequent
 
     def encode(self, missing: list[str]) -> None:
         for token, found in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
@@ -94,8 +95,9 @@ class Counting:
                 for token in once:
                     if len(token) > LONGEST:
                         del cache[token]
-                if len(cache) > CACHE:
-                    cache.clear()
+                if len(cache) > CACHE:  # the older half goes
+                    for token in list(itertools.islice(cache, CACHE // 2)):
+                        del cache[token]
         return total
 
 
@@ -105,7 +107,7 @@ def frequent_lengths(docs: DataFrame, path: str, sample: int, entries: int) -> d
     share = max(1, rows // sample)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, pattern, cut = machinery(path)
+        _, pattern, cut, _ = machinery(path)
         seen: Counter = Counter()
         for batch in batches:
             for text in encoded(batch.column(0)):
