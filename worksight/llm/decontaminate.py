@@ -14,8 +14,6 @@ rows are written out and numbered first.
 
 from __future__ import annotations
 
-import hashlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,57 +39,63 @@ def rarity(docs: DataFrame) -> np.ndarray:
 
 
 class Windows:
-    """The distinct windows of a slice of items, by anchor; their words stay in the items."""
+    """The distinct windows of a slice of items, by anchor; their words stay in the items.
+
+    All windows are hashed and given their anchors side by side; two sequences are taken for
+    one with a chance of 2 ** -128.
+    """
 
     def __init__(self, items: list[tuple[str, bytes]], length: int, counts: np.ndarray):
         self.names = [name for name, _ in items]
-        self.words: list[tuple[bytes, np.ndarray, np.ndarray]] = []
-        #: Names of windows that several items hold.
-        self.shared: dict[int, list[str]] = {}
-        seen: dict[bytes, int] = {}
-        hashes, lengths, anchors, offsets, self.item, self.first = [], [], [], [], array("i"), array("i")
-        for number, (name, text) in enumerate(items):
-            w = Words([text], ALNUM)
-            self.words.append((w.data, w.starts.astype(np.int32), w.ends.astype(np.int32)))
-            n = len(w.hashes)
-            seldom = counts[(w.hashes % np.uint64(SLOTS)).astype(np.int64)]
-            for i in range(max(0, n - length) + 1 if n else 0):
-                size = min(length, n)
-                key = hashlib.blake2b(self.text(number, i, size), digest_size=16).digest()
-                if (k := seen.setdefault(key, len(self.item))) < len(self.item):
-                    names = self.shared.setdefault(k, [self.names[self.item[k]]])
-                    if name not in names:
-                        names.append(name)
-                    continue
-                self.item.append(number)
-                self.first.append(i)
-                at = int(np.argmin(seldom[i : i + size]))
-                hashes.append(window_hash(w.hashes[i : i + size]))
-                lengths.append(size)
-                anchors.append(w.hashes[i + at])
-                offsets.append(at)
-        order = np.argsort(np.array(anchors, np.uint64), kind="stable")
-        self.order = order
-        self.anchors = np.array(anchors, np.uint64)[order]
-        self.offsets = np.array(offsets, np.int64)[order]
-        self.lengths = np.array(lengths, np.int64)[order]
-        self.hashes = np.array(hashes, np.uint64)[order]
+        w = Words([text for _, text in items], ALNUM)
+        self.data, self.starts, self.ends = w.data, w.starts.astype(np.int32), w.ends.astype(np.int32)
+        words = np.diff(w.first)
+        full = np.repeat(w.first[:-1], words), np.repeat(np.arange(len(items)), words)
+        inside = np.arange(len(w.hashes)) + length <= w.first[1:][full[1]]
+        short = np.flatnonzero((words > 0) & (words < length))
+        first = np.concatenate([np.flatnonzero(inside), w.first[:-1][short]])
+        item = np.concatenate([full[1][inside], short])
+        size = np.concatenate([np.full(int(inside.sum()), length, np.int64), words[short]])
+        seldom = counts[(w.hashes % np.uint64(SLOTS)).astype(np.int64)]
+        sums, other = np.zeros((2, len(first)), np.uint64)
+        rarest, offset = np.full(len(first), np.iinfo(np.int64).max), np.zeros(len(first), np.int64)
+        for j in range(length):
+            some = size > j
+            at = first[some] + j
+            sums[some] += w.hashes[at] * STEPS[j]
+            other[some] += w.hashes[at] * STEPS[length + j]
+            better = some.copy()
+            better[some] = seldom[at] < rarest[some]
+            rarest[better], offset[better] = seldom[first[better] + j], j
+        hashes, other = mix(sums + size.astype(np.uint64)), mix(other + size.astype(np.uint64))
+        order = np.lexsort((item, other, hashes))
+        new = np.concatenate([[True], (hashes[order][1:] != hashes[order][:-1]) | (other[order][1:] != other[order][:-1])])[: len(order)]
+        group = np.cumsum(new) - 1
+        own = order[new]
+        #: Names of windows that several items hold, by their place in the arrays below.
+        shared: dict[int, set[str]] = {}
+        for g, i in zip(group[~new].tolist(), item[order][~new].tolist(), strict=True):
+            shared.setdefault(g, {self.names[item[own[g]]]}).add(self.names[i])
+        anchors = w.hashes[first[own] + offset[own]] if len(own) else np.empty(0, np.uint64)
+        by_anchor = np.argsort(anchors, kind="stable")
+        place = np.empty(len(own), np.int64)
+        place[by_anchor] = np.arange(len(own))
+        self.shared = {int(place[g]): sorted(names) for g, names in shared.items() if len(names) > 1}
+        own = own[by_anchor]
+        self.anchors, self.offsets, self.lengths, self.hashes = anchors[by_anchor], offset[own], size[own], hashes[own]
+        self.item, self.first = item[own].astype(np.int32), first[own].astype(np.int32)
         self.bits = np.zeros(BITS, bool)
         self.bits[(self.anchors % np.uint64(BITS)).astype(np.int64)] = True
 
-    def text(self, item: int, first: int, size: int) -> bytes:
-        data, starts, ends = self.words[item]
-        return b" ".join(data[starts[i] : ends[i]] for i in range(first, first + size))
+    def text(self, k: int) -> bytes:
+        a = int(self.first[k])
+        return b" ".join(self.data[self.starts[i] : self.ends[i]] for i in range(a, a + int(self.lengths[k])))
 
     def holders(self, k: int) -> list[str]:
         """Names of the items that hold a window."""
         return self.shared.get(k) or [self.names[self.item[k]]]
 
 
-def window_hash(words: np.ndarray) -> np.uint64:
-    return mix(np.sum(words * STEPS[: len(words)], keepdims=True, dtype=np.uint64) + np.uint64(len(words)))[0]
-
-
 def occurrences(w: Words, windows: Windows) -> Iterator[tuple[int, int, int]]:
     """(index of the first word, number of words, window) wherever a window occurs in a text."""
     at = np.flatnonzero(windows.bits[(w.hashes % np.uint64(BITS)).astype(np.int64)])
@@ -115,8 +119,8 @@ def occurrences(w: Words, windows: Windows) -> Iterator[tuple[int, int, int]]:
         for j in range(length):
             sums += w.hashes[s + j] * STEPS[j]
         same = mix(sums + np.uint64(length)) == windows.hashes[k]
-        for a, b in zip(s[same].tolist(), windows.order[k[same]].tolist(), strict=True):
-            if b" ".join(w.data[w.starts[i] : w.ends[i]] for i in range(a, a + int(length))) == windows.text(windows.item[b], windows.first[b], int(length)):
+        for a, b in zip(s[same].tolist(), k[same].tolist(), strict=True):
+            if b" ".join(w.data[w.starts[i] : w.ends[i]] for i in range(a, a + int(length))) == windows.text(b):
                 yield a, int(length), b
 
 
