@@ -82,10 +82,32 @@ def signatures(docs: DataFrame, k: int, permutations: int, rows: int, percent: i
     return docs.mapInArrow(run, "doc_id long, tag long, n_shingles long, digest binary, bands array<long>, prefix array<int>")
 
 
+#: A class with more partners than this, and than one in HOTTEST of all sides of pairs, is hot; there are HOTTEST at most.
+HOT, HOTTEST = 128, 4096
+
+
+def turned(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the hot class of each as a, of two hot ones that with more partners; partners is how many a hot a has.
+
+    The texts of a class go once with each slice of its partners where it is a, and once
+    with each pair where it is b.
+    """
+    pairs = durable(pairs.select("a", "b"))
+    least = max(HOT, 2 * pairs.count() // HOTTEST)
+    sides = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n")).where(F.col("n") > least)
+    hot = durable(sides)
+    of = lambda c: F.broadcast(hot.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}")))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    turn = F.coalesce("n_b", F.lit(0)) > F.coalesce("n_a", F.lit(0))
+    return both.select(*[F.when(turn, F.col(y)).otherwise(F.col(x)).alias(name) for x, y, name in (("a", "b", "a"), ("b", "a", "b"), ("n_a", "n_b", "partners"))])
+
+
 def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Of the class pairs (a, b), those whose full sets have 100 * both >= percent * either."""
-    slices = F.greatest(F.lit(1), F.ceil(F.col("partners") / SLICE))
-    dealt = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("partners")), "a").select("a", "b", F.pmod(F.xxhash64("b"), slices).alias("slice"))
+    pairs = durable(turned(pairs))
+    others = pairs.where("partners is null").drop("partners")
+    counted = others.join(others.groupBy("a").agg(F.count("*").alias("partners")), "a").unionByName(pairs.where("partners is not null"))
+    dealt = counted.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("partners") / SLICE)).alias("slice"))
     legs = dealt.select("a", "slice", F.lit(1).alias("leg"), F.col("b").alias("class")).unionByName(dealt.select("a", "slice").distinct().withColumns({"leg": F.lit(0), "class": F.col("a")}))
     legs = legs.join(classes.select("class", "first_id", "digest"), "class")
     texts = docs.select(F.col("doc_id").cast("long").alias("first_id"), F.col("text").cast("string").alias("text"))
@@ -172,21 +194,23 @@ def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.col("class").alias("a"), F.col("class2").alias("b")).distinct()
 
 
-#: Parts into which the rows of one component are dealt when they get its smallest doc_id.
-PARTS = 8
+#: A component of more classes than this, and than one in HOTTEST of all, gets its smallest doc_id by broadcast.
+LARGE = 4096
 
 
 def component_ids(groups: DataFrame, classes: DataFrame) -> DataFrame:
     """digest, group, component_id (its smallest doc_id) of every class; groups (class, component) holds linked ones.
 
-    The rows of a component are dealt over PARTS tasks, so that a large one spreads.
+    Rows of the few large components stay where they are, so none is a task of its own.
     """
-    rows = classes.select("class", "digest", "first_id").join(groups, "class", "left")
-    smallest = rows.where("component is not null").groupBy(F.col("component").alias("group")).agg(F.min("first_id").alias("component_id"))
-    smallest = smallest.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    # A class of its own is its group, so that these spread by themselves.
-    rows = rows.select("digest", "first_id", F.coalesce("component", "class").alias("group"), F.pmod(F.xxhash64("class"), F.lit(PARTS)).cast("int").alias("part"))
-    return rows.join(smallest, ["group", "part"], "left").select("digest", "group", F.coalesce("component_id", "first_id").alias("component_id"))
+    rows = durable(classes.select("class", "digest", "first_id").join(groups, "class", "left").withColumn("group", F.coalesce("component", "class")))
+    alone = rows.where("component is null").select("digest", "group", F.col("first_id").alias("component_id"))
+    linked_rows = rows.where("component is not null").select("digest", "group", "first_id")
+    smallest = durable(linked_rows.groupBy("group").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n")))
+    least = max(LARGE, (smallest.agg(F.sum("n")).first()[0] or 0) // HOTTEST)
+    large = F.broadcast(smallest.where(F.col("n") > least).drop("n"))  # HOTTEST at most
+    few = linked_rows.join(large.select("group"), "group", "left_anti").join(smallest.where(F.col("n") <= least).drop("n"), "group")
+    return alone.unionByName(few.select("digest", "group", "component_id")).unionByName(linked_rows.join(large, "group").select("digest", "group", "component_id"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, permutations: int = 64, rows: int = 4, tag: str | None = None) -> DataFrame:
