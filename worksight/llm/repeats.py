@@ -104,10 +104,11 @@ def recurring(counted: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def pieces(docs: DataFrame, length: int, table: np.ndarray, hot: dict[int, int]) -> DataFrame:
+def pieces(docs: DataFrame, length: int, table: np.ndarray, hot: dict[int, int], hot_ones: bool) -> DataFrame:
     """anchor, slice, bucket, none, doc_id, mark, start, windows of the pieces of docs whose anchor may recur.
 
-    hot has the slices of anchors that need several; pieces of one document are in one slice.
+    hot has the slices of anchors that need several, from 1; pieces of one document are in one
+    slice. Either these come out, or all others, whose slice is 0.
     """
     known = docs.sparkSession.sparkContext.broadcast((table, np.array(sorted(hot), np.int64), np.array([hot[k] for k in sorted(hot)], np.int64)))
     schema = pa.schema([("anchor", pa.int64()), ("slice", pa.int32()), ("bucket", pa.int64()), ("none", pa.int32()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("start", pa.int64()), ("windows", pa.binary())])
@@ -127,6 +128,8 @@ def pieces(docs: DataFrame, length: int, table: np.ndarray, hot: dict[int, int])
                 if len(keys):
                     found = np.minimum(np.searchsorted(keys, anchor), len(keys) - 1)
                     part = np.where(keys[found] == anchor, 1 + deal[text] % slices[found], 0)
+                chosen = np.flatnonzero((part > 0) == hot_ones)
+                keep, text, anchor, part = keep[chosen], text[chosen], anchor[chosen], part[chosen]
                 data = [p.windows[x:y].tobytes() for x, y in zip(p.low[keep], p.high[keep], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part, pa.int32()), pa.array(bucket[text]), pa.array(none[text], pa.int32()), pa.array(ids[text]), pa.array(marks[text]), pa.array(p.start[keep]), pa.array(data, pa.binary())], schema=schema)
 
@@ -136,8 +139,8 @@ def pieces(docs: DataFrame, length: int, table: np.ndarray, hot: dict[int, int])
 PHRASE = "anchor long, slice int, window long, bucket long, none int, doc_id long, mark long, start long, windows long, rows long, first_none int, first_id long, first_start long"
 
 
-def resolved(found: DataFrame, hot_ones: bool) -> DataFrame:
-    """Phrases of pieces, each bucket's first places of them; rows of PHRASE, of anchors in slices or of the others.
+def resolved(found: DataFrame) -> DataFrame:
+    """Phrases of pieces, each bucket's first places of them; rows of PHRASE.
 
     Where slice is 0, all pieces of the anchor were seen: phrases are of windows that recur,
     as many in a row as can be. Else a phrase is one window, and rows is how often the
@@ -188,8 +191,6 @@ def resolved(found: DataFrame, hot_ones: bool) -> DataFrame:
         held: list[pa.RecordBatch] = []
         rows = 0
         for batch in batches:
-            # Chosen here, so that both choices read one shuffle.
-            batch = batch.filter(pa.array((batch.column(1).to_numpy() > 0) == hot_ones))
             keys = [(batch.column(0)[i].as_py(), batch.column(1)[i].as_py()) for i in (0, batch.num_rows - 1)] if batch.num_rows else []
             if not keys:
                 continue
@@ -208,18 +209,25 @@ def resolved(found: DataFrame, hot_ones: bool) -> DataFrame:
     return found.mapInArrow(run, PHRASE)
 
 
-def phrases(found: DataFrame) -> DataFrame:
-    """bucket, none, doc_id, mark, start, windows, first_none, first_id, first_start of the phrases of pieces."""
-    dealt = found.repartition("anchor", "slice").sortWithinPartitions("anchor", "slice", "none", "doc_id", "start")
+def phrases(docs: DataFrame, length: int, table: np.ndarray, hot: dict[int, int]) -> DataFrame:
+    """bucket, none, doc_id, mark, start, windows, first_none, first_id, first_start of the phrases of docs."""
     columns = ["bucket", "none", "doc_id", "mark", "start", "windows", "first_none", "first_id", "first_start"]
+
+    def found(hot_ones: bool) -> DataFrame:
+        dealt = pieces(docs, length, table, hot, hot_ones).repartition("anchor", "slice")
+        return resolved(dealt.sortWithinPartitions("anchor", "slice", "none", "doc_id", "start"))
+
+    out = found(False).select(columns)
+    if not hot:
+        return out
     # What the slices know of a bucket's places of a window is one row.
     lead = F.min(F.struct("none", "doc_id", "start", "mark")).alias("lead")
-    parts = resolved(dealt, True).groupBy("anchor", "window", "bucket").agg(lead, F.sum("rows").alias("rows"))
+    parts = found(True).groupBy("anchor", "window", "bucket").agg(lead, F.sum("rows").alias("rows"))
     parts = durable(parts.select("anchor", "window", "bucket", "lead.*", F.lit(1).cast("long").alias("windows"), "rows"))
     places = parts.groupBy("anchor", "window").agg(F.min(F.struct("none", "doc_id", "start")).alias("first"), F.sum("rows").alias("rows")).where("rows > 1")
     joined = parts.drop("rows").join(places, ["anchor", "window"])
     joined = joined.withColumns({"first_none": F.col("first.none"), "first_id": F.col("first.doc_id"), "first_start": F.col("first.start")})
-    return resolved(dealt, False).select(columns).unionByName(joined.select(columns))
+    return out.unionByName(joined.select(columns))
 
 
 class Automaton:
@@ -371,6 +379,5 @@ def without_repeats(docs: DataFrame, length: int = 20, tag: str | None = None) -
     total = counted.agg(F.sum("n")).first()[0] or 0
     least = max(SLICE, total // HOTTEST)
     hot = {r.anchor: -(-r.n // least) for r in counted.where(F.col("n") > least).collect()}  # HOTTEST at most
-    found = phrases(pieces(docs, length, recurring(counted), hot))
-    out = cleaned(docs, found, length)
+    out = cleaned(docs, phrases(docs, length, recurring(counted), hot), length)
     return out.select("doc_id", "n_words", "n_removed", "kept_text", *([F.col("tag").alias(tag)] if tag else []))
