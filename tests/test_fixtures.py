@@ -185,8 +185,6 @@ def test_scopes_and_workflow(spark):
     log = [(1, i, e) for i, e in enumerate(["submit", "review", "clarify", "review", "accept", "sanction", "pay", "complete"])] + [(2, 0, "accept"), (2, 1, "submit")]
     got = {r.id: r for r in serving.workflow_fold(spark.createDataFrame(log, "id long, n int, event string"), "id", "event", ["n"]).collect()}
     assert (got[1].state, got[1].refused) == ("COMPLETED", 0) and (got[2].state, got[2].refused) == ("RECOMMENDED", 1)
-    ids = serving.new_ids(spark.range(2), spark.createDataFrame([("REC-000041",)], "rec string"), "rec", "REC", ["id"])
-    assert sorted(r.rec for r in ids.collect()) == ["REC-000042", "REC-000043"]
 
 
 def test_grounding(spark):

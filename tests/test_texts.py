@@ -123,7 +123,7 @@ def test_similar_works(spark):
     assert got == {2: (1, "High"), 3: (2, "High"), 4: (3, "Possible"), 5: (4, "Possible")}
 
 
-@pytest.mark.parametrize("few", [0, 1 << 18])
+@pytest.mark.parametrize("few", [0, 1 << 20])
 def test_quantiles_by_range(spark, monkeypatch, few):
     monkeypatch.setattr(stats, "FEW", few)
     r = random.Random(8)

@@ -82,11 +82,6 @@ def same_text(a, b) -> Column:
     return F.coalesce(F.lower(F.trim(col(a))) == F.lower(F.trim(col(b))), F.lit(False))
 
 
-def stage_number(text) -> Column:
-    """n of "Stage n", else null."""
-    return F.expr("try_cast(regexp_extract({0}, '^Stage\\\\s+(\\\\d+)$', 1) as int)".format(text if isinstance(text, str) else "stage"))
-
-
 def normalized_text(text) -> Column:
     """Lower case; letters, digits, spaces and hyphens; single spaces. Plain Unicode forms only."""
     kept = F.regexp_replace(F.lower(col(text)), r"[^\p{L}\p{N}_\s-]", " ")
@@ -171,10 +166,6 @@ def json_safe(value) -> Column:
     return F.when(F.abs(v) < float("inf"), v)
 
 
-def canonical_hash(*values) -> Column:
-    return F.upper(F.sha2(F.concat_ws("\n", *[F.coalesce(col(v).cast("string"), F.lit("")) for v in values]), 256))
-
-
 def fractional_instant(start, end, fraction) -> Column:
     """start + fraction * (end - start) as a timestamp."""
     seconds = F.unix_seconds(col(start).cast("timestamp")).cast("double") + col(fraction) * 86400 * F.datediff(col(end), col(start))

@@ -13,7 +13,7 @@ MAD_FACTOR, IQR_FACTOR = 0.6745, 1.349
 
 
 #: Rows that one task may put in order: with no more of them in all, they aren't dealt by range.
-FEW = 1 << 18
+FEW = 1 << 20
 
 
 def cumulated(df: DataFrame, keys: list[str], order: list[Column], value: Column | dict[str, Column], out: str | None = None, total: dict[str, str] | None = None) -> DataFrame:

@@ -32,15 +32,31 @@ ROUNDS = 8
 HOT, HOTTEST = 4096, 4096
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    """The vectors of a column, all of one length, as rows."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    sizes = np.diff(column.offsets.to_numpy())
+    if len(sizes) and (sizes != sizes[0]).any():
+        raise ValueError("vectors differ in length")
+    return flat.reshape(len(column), -1)
+
+
+def as_lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+
+
 def classes(vectors: DataFrame) -> DataFrame:
     """id, class, v: class is a digest of the vector, v of unit length; rows without an id or a vector are left out."""
     schema = pa.schema([("id", pa.int64()), ("class", pa.binary()), ("v", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [np.array(v, np.float64) for v in batch.column(1).to_pylist()]
-            keys = [hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array([v / max(np.linalg.norm(v), 1e-12) for v in rows], pa.list_(pa.float64()))], schema=schema)
+            if not batch.num_rows:
+                continue
+            x = matrix(batch.column(1))
+            keys = [hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in x]
+            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), as_lists(x)], schema=schema)
 
     return vectors.select(F.col("id").cast("long"), F.col("v").cast("array<double>")).where("id is not null and v is not null").mapInArrow(run, "id long, class binary, v array<double>")
 
@@ -91,7 +107,7 @@ def dealt(rows: DataFrame, own: np.ndarray, probes: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             k = min(probes, len(shared.value))
-            x = np.stack([np.array(v) for v in batch.column(1).to_pylist()]) @ shared.value.T if len(shared.value) > 1 else np.zeros((batch.num_rows, 1))
+            x = matrix(batch.column(1)) @ shared.value.T if len(shared.value) > 1 else np.zeros((batch.num_rows, 1))
             near = np.argsort(-x, axis=1, kind="stable")[:, :k]
             at = np.repeat(np.arange(batch.num_rows), k)
             yield pa.RecordBatch.from_arrays([pa.array(near.ravel(), pa.int32()), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], schema=schema)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from worksight.functions.stats import OUTLIER, robust_deviation, robust_method, spread
@@ -71,8 +70,3 @@ def sector_deviation(df: DataFrame, value: str, by: str = "sector") -> DataFrame
     found = spread(df.select(F.col(by).alias("by__"), F.col(value).alias("value__")), ["by__"], "value__", {}).select("by__", F.col("median").alias("median__"), F.col("mad").alias("mad__"))
     out = df.join(found, F.col(by).eqNullSafe(F.col("by__")), "left")
     return out.withColumn("deviation", F.when(F.col("mad__") > 0, (F.col(value) - F.col("median__")) / (1.4826 * F.col("mad__")))).drop("by__", "median__", "mad__")
-
-
-def strongest(evidence: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of each group."""
-    return evidence.withColumn("nth__", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("nth__ = 1").drop("nth__")

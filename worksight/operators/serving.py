@@ -12,7 +12,7 @@ from worksight.functions.scalar import fixed, safe_ratio
 from worksight.functions.stats import carried, cumulated, quantiles
 from worksight.operators.pairs import BLOCK, best
 
-ROLES = {"NATIONAL": (), "STATE": ("state",), "DISTRICT": ("state", "district"), "MP": ("mp_id",)}
+ROLES = {"NATIONAL": (), "STATE": ("state",), "DISTRICT": ("state", "district"), "MP": ("mp_id",), "IA": ("agency",)}
 SORTS = {"score": F.desc, "work_id": F.asc, "sanctioned": F.desc}
 
 
@@ -128,12 +128,6 @@ def workflow_fold(events: DataFrame, key: str, event: str, order: list[str]) ->
     return out.select(key, "events", F.col("f.state").alias("state"), F.col("f.refused").alias("refused"))
 
 
-def new_ids(rows: DataFrame, taken: DataFrame, id_column: str, prefix: str, order: list[str]) -> DataFrame:
-    """Rows with ids PREFIX-n from the largest taken one on; for the few rows of one request."""
-    last = taken.agg(F.coalesce(F.max(F.regexp_extract(id_column, r"(\d+)$", 1).cast("int")), F.lit(0)).alias("last__"))
-    return rows.crossJoin(last).withColumn(id_column, F.format_string(f"{prefix}-%06d", F.col("last__") + F.row_number().over(W.orderBy(*order)))).drop("last__")  # last has one row
-
-
 def cosine_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """query_id, chunk_id, score, place of the k most similar chunks; both have (id, v), unit vectors.
 

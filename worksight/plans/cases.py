@@ -55,7 +55,7 @@ def points_check(spark: SparkSession, d: str) -> DataFrame:
     evidence = fusion.family_evidence(wide_signals(Tables(spark, d), given)[0])
     evidence = durable(evidence)
     got = cases.checked_points(fusion.priority_scores(evidence), evidence)
-    return got.withColumns({c: fixed(c, 3) for c in ("score", "contribution_sum")})
+    return got.withColumns({c: fixed(fixed(c, 6), 3) for c in ("score", "contribution_sum")})
 
 
 @query

@@ -869,12 +869,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from worksight.plans import prediction, retrieval, texts, desk, cases, flows  # noqa: F401  register their queries, in the order in which their SQL builds
+    from worksight.plans import prediction, retrieval, texts, desk, cases, flows, evidence  # noqa: F401  register their queries, in the order in which their SQL builds
 
     return dict(REGISTERED)
 
 
 def oracle_sql() -> dict[str, str]:
-    from worksight.plans import prediction, retrieval, texts, desk, cases, flows
+    from worksight.plans import prediction, retrieval, texts, desk, cases, flows, evidence
 
-    return {name: text for name, text in sql.all_sql(cases.SQL | flows.SQL | desk.SQL | texts.SQL | prediction.SQL | retrieval.SQL).items() if name in REGISTERED}
+    return {name: text for name, text in sql.all_sql(cases.SQL | evidence.SQL | flows.SQL | desk.SQL | texts.SQL | prediction.SQL | retrieval.SQL).items() if name in REGISTERED}

@@ -24,10 +24,6 @@ def tumbling(events: DataFrame, every: str = "1 day", late: str = "1 day") -> Da
     return events.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "events", "total")
 
 
-def sliding(events: DataFrame, size: str, step: str, late: str) -> DataFrame:
-    return events.withWatermark("ts", late).groupBy(F.window("ts", size, step), "event_type").agg(F.count("*").alias("events")).select(F.col("window.start").alias("start"), "event_type", "events")
-
-
 def sessions(events: DataFrame, gap: str = "2 hours", late: str = "1 day") -> DataFrame:
     """Sessions of a user: runs of events less than `gap` apart."""
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("events")).select("user_id", F.col("session_window.start").alias("start"), "events")
@@ -39,11 +35,6 @@ def late_evidence(captures: DataFrame, days: int = 3) -> DataFrame:
     return captures.withColumn("late", F.col("captured_on") > due)
 
 
-def distinct_records(log: DataFrame, late: str = "1 day") -> DataFrame:
-    """Each record once, by its id, within the watermark."""
-    return log.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
-
-
 def latest_status(log: DataFrame) -> DataFrame:
     """Per user the status of the last record seen and how many there were, updated as rows come."""
 
