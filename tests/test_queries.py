@@ -9,8 +9,10 @@ from worksight.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Take the evidence of queries that run here, in another form; tests/test_fusion_evidence.py holds it against its parts.
-SLOW = {"family_signals", "contributions", "priority_queue", "alert_summary", "authority_summary", "explanations", "train_models", "v2_alerts"}
+#: Take the evidence of queries that run here, in another form; the tests of their operators hold it against its parts.
+SLOW = {"family_signals", "contributions", "priority_queue", "alert_summary", "authority_summary", "explanations", "train_models", "v2_alerts", "v2_priority"}
+SLOW |= {"policy_contributions", "policy_alerts", "policy_authority_summary", "policy_v2_alerts", "points_check", "alert_ids", "query_texts", "evidence_bundle", "model_slices", "anomaly_ranks"}
+SLOW |= {"duplicate_distribution", "pair_score", "pair_symmetric_summary", "copies_retrieved", "v2_pairs", "v2_yearly_use", "v2_comparison", "v2_work_features", "retrieval_audit", "text_topk", "clause_extract", "rule_traces"}
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables")
 
 
